@@ -2,18 +2,33 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import neardup
+from factloom.llm import bpe, language, neardup
 from factloom.llm.common import table
 
+TOKENIZER_FILE = "byte_bpe_50k.tiktoken"
+
+
+def tokenizer() -> bpe.Tokenizer:
+    return bpe.Tokenizer.from_file(public_tokenizers.path(TOKENIZER_FILE), public_tokenizers.PATTERN)
+
 
 def op1_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.language_of(spark, table(spark, sf_dir, "documents"))
+
+
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer())
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_minhash_neardup,)}
+    return {f.__name__: f for f in (op1_minhash_neardup, op2_language_id, op3_byte_bpe)}
 
 
 def oracle_sql() -> dict:
