@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from factloom.llm import bpe, language, neardup
+from factloom.llm import bpe, decontaminate, language, neardup, secrets
 from factloom.llm.common import table
 
 TOKENIZER_FILE = "byte_bpe_50k.tiktoken"
@@ -27,8 +28,21 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer())
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings without their values: a digest stands for each."""
+    found = secrets.findings(table(spark, sf_dir, "documents"))
+    digest = F.sha2(F.col("value").cast("binary"), 256).alias("value_sha256")
+    return found.select("doc_id", "start", "n_chars", digest, F.round("probability", 6).alias("probability"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_minhash_neardup, op2_language_id, op3_byte_bpe)}
+    return {f.__name__: f for f in (
+        op1_minhash_neardup, op2_language_id, op3_byte_bpe, op4_decontamination, op8_secret_scan,
+    )}
 
 
 def oracle_sql() -> dict:
