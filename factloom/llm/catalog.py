@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import bpe, decontaminate, language, neardup, secrets
+from factloom.llm import bpe, decontaminate, language, neardup, secrets, warc
 from factloom.llm.common import table
 
 TOKENIZER_FILE = "byte_bpe_50k.tiktoken"
@@ -39,9 +39,18 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "start", "n_chars", digest, F.round("probability", 6).alias("probability"))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(table(spark, sf_dir, "pages")).drop("url")
+
+
 def queries() -> dict:
     return {f.__name__: f for f in (
-        op1_minhash_neardup, op2_language_id, op3_byte_bpe, op4_decontamination, op8_secret_scan,
+        op1_minhash_neardup,
+        op2_language_id,
+        op3_byte_bpe,
+        op4_decontamination,
+        op8_secret_scan,
+        op9_warc,
     )}
 
 
