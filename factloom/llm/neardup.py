@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.llm.common import U64, maybe_broadcast, mix64, shingle_set, written
@@ -145,6 +145,51 @@ def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Dat
     return both.mapInArrow(_confirm(size, percent), "a long, b long")
 
 
+def _still_apart(members: DataFrame) -> DataFrame:
+    """The members (key, component, ...) of buckets in which more than one component meets."""
+    keys = members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+    keys = written(keys.where("lo < hi").select("key"), "buckets")
+    return members.join(maybe_broadcast(keys, 500_000), "key", "left_semi")
+
+
+def _grouped(members: DataFrame, group: DataFrame) -> DataFrame:
+    named = members.join(group, F.col("rep") == F.col("node"), "left")
+    return named.select(*members.columns, F.coalesce("component", "rep").alias("component"))
+
+
+def _explode_sets(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                sets = [shingle_set(t, size) for t in part.column(3).to_pylist()]
+                take = pa.array(np.repeat(np.arange(len(sets)), [len(s) for s in sets]))
+                key = pa.array(np.concatenate(sets).view(np.int64))
+                yield pa.RecordBatch.from_arrays(
+                    [*(part.column(i).take(take) for i in range(3)), key], names=["rep", "n", "component", "key"]
+                )
+
+    return run
+
+
+def _rare_shingles(left: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """rep, n, component, key and turn: for each set, the n - ceil(percent% of n) + 1 shingles that fewest others have.
+
+    Two sets with k shingles in common share one of the first n - k + 1 of each, in any order that
+    is the same for all (prefix filter). By rarity, sets that were edited in different places hardly
+    ever do, however large their group.
+    """
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string")).dropDuplicates(["rep"])
+    found = maybe_broadcast(left, 200_000).join(texts, "rep").select("rep", "n", "component", "text")
+    shingles = found.mapInArrow(_explode_sets(size), "rep long, n long, component long, key long")
+    shingles = written(shingles, "shingles")
+    counted = shingles.join(shingles.groupBy("key").agg(F.count("*").alias("c")), "key")
+    turn = Window.partitionBy("rep").orderBy("c", "key")  # the rows of one document
+    counted = counted.withColumn("turn", F.row_number().over(turn))
+    first = counted.where(f"turn <= n - (({percent} * n + 99) div 100) + 1 and c > 1")
+    return first.select("rep", "n", "component", "key", "turn")
+
+
 def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of docs (columns doc_id and text; others are ignored).
 
@@ -155,7 +200,8 @@ def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80) -> DataFr
     component_id is null and it is kept. An empty table gives no rows.
 
     Equal sets collapse first, so copies are never paired. Buckets link their members to one member
-    (a star), and every other pair of a bucket is checked only if its two groups are still apart.
+    (a star), twice with other members. Documents whose buckets still hold other components go
+    through an exact search by rare shingles, which pairs those of different components alone.
     """
     signed = written(signatures(docs, size), "signatures")
     named = signed.where("n_shingles > 0 and doc_id is not null")
@@ -183,23 +229,28 @@ def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80) -> DataFr
     links = written(_verified(star, docs, size, percent), "links")
     group = written(components(links), "groups")
 
-    grouped = searched.join(group, searched.rep == group.node, "left").select(
-        "rep", "n", F.coalesce("component", "rep").alias("component"), F.explode("bands").alias("key")
-    )
-    split = grouped.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-    split = written(split.where("lo < hi").select("key"), "buckets")
-    across = written(grouped.join(maybe_broadcast(split, 500_000), "key", "left_semi"), "across")
-    other = across.select(
-        "key", F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("component_b")
-    )
-    rest = (
-        across.join(other, "key")
-        .where(near & F.expr("component < component_b"))
-        .select(F.col("rep").alias("a"), "b")
-        .distinct()
+    apart = _grouped(searched.select("rep", "n", "bands"), group)
+    apart = written(_still_apart(apart.select("rep", "n", "component", F.explode("bands").alias("key"))), "apart")
+    # Another centre for every bucket: whoever has links in its buckets meets most of them here
+    centre = apart.groupBy("key").agg(F.min(F.struct(F.xxhash64("rep", "key").alias("h"), "rep", "n", "component")).alias("c"))
+    centre = centre.select("key", F.col("c.rep").alias("b"), F.col("c.n").alias("n_b"), F.col("c.component").alias("component_b"))
+    star = apart.join(centre, "key").where(near & F.expr("component <> component_b"))
+    star = written(star.select(F.greatest("rep", "b").alias("a"), F.least("rep", "b").alias("b")).distinct(), "pairs")
+    links = written(links.union(_verified(star, docs, size, percent)), "links")
+    apart = _grouped(apart.drop("component"), written(components(links), "groups"))
+    left = written(_still_apart(apart).select("rep", "n", "component").distinct(), "left")
+
+    rows = written(_rare_shingles(left, docs, size, percent), "prefixes")
+    rows = written(_still_apart(rows), "prefixes")
+    other = rows.select(
+        "key", F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("component_b"), F.col("turn").alias("turn_b")
     )
-    more = written(_verified(written(rest, "pairs"), docs, size, percent), "links")
-    joined = components(links.union(more))
+    # least: shingles that two sets of these sizes have in common if they are similar enough
+    least = f"(({percent} * (n + n_b) + {99 + percent}) div {100 + percent})"
+    first = F.expr(f"turn <= n - {least} + 1 and turn_b <= n_b - {least} + 1")
+    rest = rows.join(other, "key").where(near & F.expr("component < component_b") & first)
+    rest = written(rest.select(F.col("rep").alias("a"), "b").distinct(), "pairs")
+    joined = components(links.union(_verified(rest, docs, size, percent)))
 
     home = sets.select("set_lo", "set_hi", "rep").join(joined, F.col("rep") == F.col("node"), "left")
     home = home.select("set_lo", "set_hi", F.coalesce("component", "rep").alias("component"))
