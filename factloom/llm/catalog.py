@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import bpe, decontaminate, language, neardup, secrets, warc
+from factloom.llm import bpe, decontaminate, language, neardup, nearest, secrets, warc
 from factloom.llm.common import table
 
 TOKENIZER_FILE = "byte_bpe_50k.tiktoken"
@@ -43,6 +43,11 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived(table(spark, sf_dir, "pages")).drop("url")
 
 
+def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = nearest.usable(table(spark, sf_dir, "embeddings"))
+    return nearest.nearest(rows, rows.where("vec_id % 20 = 0"))
+
+
 def queries() -> dict:
     return {f.__name__: f for f in (
         op1_minhash_neardup,
@@ -51,6 +56,7 @@ def queries() -> dict:
         op4_decontamination,
         op8_secret_scan,
         op9_warc,
+        op10_nearest,
     )}
 
 
