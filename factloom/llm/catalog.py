@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import bpe, decontaminate, language, neardup, nearest, secrets, warc
+from factloom.llm import bpe, decontaminate, language, neardup, nearest, reshard, secrets, warc
 from factloom.llm.common import table
 
 TOKENIZER_FILE = "byte_bpe_50k.tiktoken"
@@ -48,12 +48,17 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.nearest(rows, rows.where("vec_id % 20 = 0"))
 
 
+def op6_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reshard.resharded(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {f.__name__: f for f in (
         op1_minhash_neardup,
         op2_language_id,
         op3_byte_bpe,
         op4_decontamination,
+        op6_reshard,
         op8_secret_scan,
         op9_warc,
         op10_nearest,
