@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import bpe, decontaminate, language, neardup, nearest, reshard, secrets, warc
+from factloom.llm import bpe, decontaminate, language, neardup, nearest, reshard, secrets, toxicity, warc
 from factloom.llm.common import table
 
 TOKENIZER_FILE = "byte_bpe_50k.tiktoken"
@@ -52,6 +52,10 @@ def op6_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reshard.resharded(table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_of(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict:
     return {f.__name__: f for f in (
         op1_minhash_neardup,
@@ -59,6 +63,7 @@ def queries() -> dict:
         op3_byte_bpe,
         op4_decontamination,
         op6_reshard,
+        op7_toxicity,
         op8_secret_scan,
         op9_warc,
         op10_nearest,
