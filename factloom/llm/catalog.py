@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import bpe, decontaminate, language, neardup, nearest, reshard, secrets, toxicity, warc
+from factloom.llm import bpe, decontaminate, html_text, language, neardup, nearest, reshard, secrets, toxicity, warc
 from factloom.llm.common import table
 
 TOKENIZER_FILE = "byte_bpe_50k.tiktoken"
@@ -56,12 +56,17 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_of(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extracted(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict:
     return {f.__name__: f for f in (
         op1_minhash_neardup,
         op2_language_id,
         op3_byte_bpe,
         op4_decontamination,
+        op5_html_text,
         op6_reshard,
         op7_toxicity,
         op8_secret_scan,
