@@ -2,18 +2,12 @@
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.llm import bpe, decontaminate, html_text, language, neardup, nearest, reshard, secrets, toxicity, warc
 from factloom.llm.common import table
-
-TOKENIZER_FILE = "byte_bpe_50k.tiktoken"
-
-
-def tokenizer() -> bpe.Tokenizer:
-    return bpe.Tokenizer.from_file(public_tokenizers.path(TOKENIZER_FILE), public_tokenizers.PATTERN)
+from factloom.llm.stages import tokenizer
 
 
 def op1_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
