@@ -3,15 +3,1005 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from factloom import oracles as O
+from factloom.functions import patterns as P
+from factloom.functions import text as T
+from factloom.operators import chunks, consensus, extract, qa, quota, score, stats, validate
+from factloom.oracles import fx, hits, joined
+from factloom.plans import chains
+from factloom.sources import facts_io, fixtures
+from factloom.streaming import ingest
+
+_QUERIES: dict = {}
+_ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a query under its function's name, with the SQL that must return the same rows."""
+
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql is not None:
+            _ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def bar(column) -> F.Column:
+    return F.array_join(column, "|")
+
+
+def pages_of(spark: SparkSession, d: str) -> DataFrame:
+    """Web pages as the pages of fifty documents."""
+    p = table(spark, d, "pages")
+    return p.select((F.col("page_id") % 50).alias("doc_id"), F.expr("page_id div 50").alias("page_no"), F.col("html").alias("text"))
+
+
+PAGES = "select page_id % 50 as doc_id, page_id // 50 as page_no, html as text from pages"
+
+
+# --- sources and sinks
+
+
+@query("select doc_id, length(text) as chars, md5(text) as digest from documents")
+def scan_documents(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.length("text").cast("long").alias("chars"), F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+@query(
+    "select doc_id, i as line_no, l[i] as line from (select doc_id, l, unnest(range(1, len(l) + 1)) as i"
+    " from (select doc_id, string_split(text, chr(10)) as l from documents))"
+)
+def scan_lines(spark, d):
+    rows = table(spark, d, "documents").select("doc_id", F.posexplode(T.lines_of(F.col("text"))).alias("at", "line"))
+    return rows.select("doc_id", (F.col("at") + 1).cast("long").alias("line_no"), "line")
+
+
+@query(
+    f"select doc_id, count(*) as pages, sum(length(text)) as total_chars,"
+    f" md5(string_agg(text, chr(10) || chr(10) || '=== PAGE BREAK ===' || chr(10) || chr(10) order by page_no)) as digest from ({PAGES}) group by doc_id"
+)
+def assemble_pages(spark, d):
+    rows = facts_io.assemble_pages(pages_of(spark, d))
+    return rows.select("doc_id", "pages", "total_chars", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+@query("select doc_id, length(trim(text)) < 50 as low_text from documents")
+def page_low_text_flag(spark, d):
+    return facts_io.page_low_text_flag(table(spark, d, "documents")).select("doc_id", "low_text")
+
+
+@query(f"select doc_id, md5(text) as digest from ({PAGES}) where page_no = 1")
+def page_select(spark, d):
+    return facts_io.page_select(pages_of(spark, d), 1).select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+@query(f"select doc_id, count(*) as pages, sum(strlen(text)) as size, max(length(text)) as longest_page from ({PAGES}) group by doc_id")
+def document_info(spark, d):
+    return facts_io.document_info(pages_of(spark, d)).withColumn("longest_page", F.col("longest_page").cast("long"))
+
+
+@query(
+    f"select doc_id, count(*) as pages, sum(length(text)) as total_chars, sum(case when length(trim(text)) < 50 then 1 else 0 end) as low_text_pages"
+    f" from ({PAGES}) group by doc_id"
+)
+def extraction_metadata(spark, d):
+    return facts_io.extraction_metadata(pages_of(spark, d))
+
+
+FACT_COLUMNS = ["claim", "source_doc", "source_location", "evidence_quote", "confidence", "fact_type"]
+
+
+@query(fx("select source_doc as document, claim, source_location, evidence_quote, confidence, fact_type from fx_facts"))
+def scan_facts_json(spark, d):
+    rows = facts_io.scan_facts_json(facts_io.consolidate_facts(fixtures.facts(spark, d)))
+    return rows.select("document", *[c for c in FACT_COLUMNS if c != "source_doc"])
+
+
+@query(fx("select source_doc, count(*) as fact_count from fx_facts group by source_doc"))
+def consolidate_facts(spark, d):
+    return facts_io.consolidate_facts(fixtures.facts(spark, d)).select("source_doc", "fact_count")
+
+
+def _raw_json(spark, d):
+    """Facts as a model might answer: plain JSON, in a fence of either kind, or none at all."""
+    rows = fixtures.facts(spark, d)
+    body = F.to_json(F.struct("claim", "fact_no"))
+    raw = F.expr("fact_no % 4")
+    raw = F.when(raw == 0, body).when(raw == 1, F.concat(F.lit("Here:\n```json\n"), body, F.lit("\n```"))).when(raw == 2, F.concat(F.lit("```\n"), body, F.lit("```"))).otherwise("sorry")
+    return rows.select("doc_id", "fact_no", raw.alias("raw"))
+
+
+@query(fx("select doc_id, fact_no, case when fact_no % 4 < 3 then claim end as claim from fx_facts"))
+def parse_llm_json(spark, d):
+    parsed = T.parse_llm_json(F.col("raw"), "claim string, fact_no int", "claim")
+    return _raw_json(spark, d).select("doc_id", "fact_no", parsed["claim"].alias("claim"))
+
+
+def _damaged(spark, d):
+    claim = F.when(F.col("fact_no") % 10 != 0, F.col("claim"))
+    confidence = F.when(F.col("fact_no") % 7 == 0, F.lit(1.5)).otherwise(F.col("confidence"))
+    return fixtures.facts(spark, d).withColumns({"claim": claim, "confidence": confidence})
+
+
+@query(fx("select doc_id, fact_no, fact_no % 10 <> 0 and fact_no % 7 <> 0 as is_valid from fx_facts"))
+def fact_schema_check(spark, d):
+    valid, rejects = facts_io.fact_schema_check(_damaged(spark, d))
+    return valid.select("doc_id", "fact_no", F.lit(True).alias("is_valid")).union(rejects.select("doc_id", "fact_no", F.lit(False)))
+
+
+def _stored(spark, d, twice=False):
+    rows = fixtures.facts(spark, d).select("doc_id", "chunk_id", "fact_no", "claim")
+    path = facts_io.scratch(spark, "facts")
+    facts_io.sink_chunks(rows, path, "doc_id", "chunk_id")
+    if twice:  # chunks that are written again don't double
+        facts_io.sink_chunks(rows.where("chunk_id < 3"), path, "doc_id", "chunk_id")
+    return path
+
+
+@query(fx("select doc_id, chunk_id, fact_no, claim from fx_facts"))
+def sink_chunk_facts(spark, d):
+    return facts_io.load_all_facts(spark, _stored(spark, d))
+
+
+@query(fx("select doc_id, chunk_id, fact_no, claim from fx_facts where doc_id = 3"))
+def load_all_facts(spark, d):
+    return facts_io.load_all_facts(spark, _stored(spark, d), 3)
+
+
+@query(fx("select doc_id, chunk_id, fact_no, claim from fx_facts"))
+def resume_union(spark, d):
+    return facts_io.load_all_facts(spark, _stored(spark, d, twice=True))
+
+
+@query(fx("select doc_id, chunk_id, md5(chunk_text) as digest from fx_chunks"))
+def sink_chunk_text(spark, d):
+    path = facts_io.scratch(spark, "chunks")
+    facts_io.sink_chunks(fixtures.chunks(spark, d), path, "doc_id")
+    return spark.read.parquet(path).select("doc_id", "chunk_id", F.md5(F.col("chunk_text").cast("binary")).alias("digest"))
+
+
+SUMMARY = "select doc_id, cast(len(string_split(text, chr(10))) as int) as lines, cast(length(text) as int) as chars, string_split(text, chr(10))[1][:80] as title from documents"
+
+
+@query(SUMMARY)
+def sink_summary(spark, d):
+    path = facts_io.scratch(spark, "summaries")
+    chains.summarize_documents(table(spark, d, "documents")).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+@query(SUMMARY)
+def summarize_documents(spark, d):
+    return chains.summarize_documents(table(spark, d, "documents"))
+
+
+# --- chunks and generators
+
+CHUNKED = (
+    "with n as (select doc_id, string_split(text, chr(10)) as l from documents), c as (select doc_id, l, unnest(range(0,"
+    " case when len(l) <= 10 then 1 else cast(ceil((len(l) - 10) / 8.0) as int) + 1 end)) as chunk_id from n)"
+    " select doc_id, cast(chunk_id as int) as chunk_id, cast(chunk_id * 8 + 1 as int) as start_line, cast(least(chunk_id * 8 + 10, len(l)) as int) as end_line,"
+    " md5(array_to_string(list_slice(l, chunk_id * 8 + 1, chunk_id * 8 + 10), chr(10))) as digest from c"
+)
+
+
+def _chunked(spark, d):
+    return chunks.chunk_lines(table(spark, d, "documents"), 10, 2)
+
+
+def _digest(rows):
+    return rows.withColumn("digest", F.md5(F.col("chunk_text").cast("binary"))).drop("chunk_text")
+
+
+@query(CHUNKED)
+def chunk_lines(spark, d):
+    return _digest(_chunked(spark, d))
+
+
+@query(f"select * from ({CHUNKED}) where chunk_id between 1 and 3")
+def chunk_range(spark, d):
+    return _digest(chunks.chunk_range(_chunked(spark, d), 1, 3))
+
+
+@query(f"select * from ({CHUNKED}) where (doc_id + chunk_id) % 3 <> 0")
+def pending_chunks(spark, d):
+    rows = _chunked(spark, d)
+    return _digest(chunks.pending_chunks(rows, rows.where("(doc_id + chunk_id) % 3 = 0")))
+
+
+@query(fx(
+    "select doc_id, line_no, cast(i - 1 as int) as qv_ord, q[i].value as value, q[i].type as type, case when q[i].type = 'frequency' then "
+    f"{O.normalized('q[i].value')} end as normalized from (select doc_id, line_no, q, unnest(range(1, len(q) + 1)) as i from"
+    f" (select doc_id, line_no, {O.quantities('line')} as q from fx_lines))"
+))
+def quantitative_values(spark, d):
+    return extract.quantitative_values(fixtures.lines(spark, d), "line", "doc_id", "line_no")
+
+
+def _family(name: str, rules: list[str], distinct: bool = False):
+    items = hits("line", rules)
+    items = O.first_seen(items) if distinct else items
+
+    def run(spark, d):
+        found = (P.distinct_hits if distinct else P.hits)(F.col("line"), rules)
+        return fixtures.lines(spark, d).select("doc_id", "line_no", bar(found).alias("found"))
+
+    run.__name__ = name
+    query(fx(f"select doc_id, line_no, coalesce({joined(items)}, '') as found from fx_lines"))(run)
+
+
+for _name, _rules in (("frequencies", P.FREQUENCY), ("durations", P.DURATION), ("sample_sizes", P.SAMPLE), ("percentages", P.PERCENTAGE), ("counts", P.COUNT)):
+    _family(f"extract_{_name}", _rules)
+for _name, _rules in (("encryption_specs", P.ENCRYPTION), ("authentication_specs", P.AUTHENTICATION), ("network_specs", P.NETWORK), ("roles", P.ROLES)):
+    _family(f"extract_{_name}", _rules, distinct=True)
+
+
+@query(fx(f"select doc_id, line_no, {O.normalized('line')} as normalized from fx_lines"))
+def normalize_frequency(spark, d):
+    return fixtures.lines(spark, d).select("doc_id", "line_no", P.normalize_frequency(F.col("line")).alias("normalized"))
+
+
+def _control_text(spark, d):
+    """Chunks as control tables: an id before every fifth line, a result after every fifth."""
+    rows = fixtures.lines(spark, d).withColumn("chunk_id", F.floor((F.col("line_no") - 1) / 40).cast("int"))
+    line = F.when(F.col("line_no") % 5 == 1, F.concat(F.lit("CC"), (F.col("line_no") % 9).cast("string"), F.lit(".1 "), F.col("line")))
+    line = line.when(F.col("line_no") % 5 == 3, F.concat(F.lit("Inspected that "), F.col("line"))).when(F.col("line_no") % 5 == 0, F.concat(F.col("line"), F.lit(" No Exceptions Noted"))).otherwise(F.col("line"))
+    ordered = F.array_sort(F.collect_list(F.struct("line_no", line.alias("line"))))
+    return rows.groupBy("doc_id", "chunk_id").agg(ordered.alias("l")).select("doc_id", "chunk_id", F.array_join(F.col("l.line"), "\n").alias("chunk_text"))
+
+
+@query()
+def control_rows(spark, d):
+    return extract.control_rows(_control_text(spark, d), "doc_id", "chunk_id")
+
+
+@query()
+def control_facts(spark, d):
+    rows = extract.control_facts(extract.control_rows(_control_text(spark, d), "doc_id", "chunk_id"))
+    return rows.select("doc_id", "chunk_id", "control_id", "start_line", "claim", "fact_type", "value")
+
+
+# --- text functions
+
+
+@query(f"select doc_id, md5({O.norm('text')}) as digest from documents where not regexp_matches(text, '[^\\x00-\\x7F]')")
+def normalize_text(spark, d):
+    plain = table(spark, d, "documents").where(~F.col("text").rlike(r"[^\x00-\x7F]"))
+    return plain.select("doc_id", F.md5(T.normalize_text(F.col("text")).cast("binary")).alias("digest"))
+
+
+@query(fx("select doc_id, fact_no, start_line, start_line as end_line from fx_facts"))
+def parse_line_range(spark, d):
+    return fixtures.facts(spark, d).select("doc_id", "fact_no", T.parse_line_range(F.col("source_location")).alias("r")).select("doc_id", "fact_no", "r.*")
+
+
+@query(fx("select doc_id, fact_no, start_line, start_line as end_line from fx_facts"))
+def parse_line_range_loose(spark, d):
+    told = F.concat(F.lit("see "), F.col("source_location"), F.lit(" of the report"))
+    return fixtures.facts(spark, d).select("doc_id", "fact_no", T.parse_line_range_loose(told).alias("r")).select("doc_id", "fact_no", "r.*")
+
+
+@query(fx(f"select doc_id, fact_no, round({O.ratio('evidence_quote', 'claim')}, 6) as ratio from fx_facts"))
+def quote_match(spark, d):
+    ratio = T.match_ratio(F.col("evidence_quote"), F.col("claim"))
+    return fixtures.facts(spark, d).select("doc_id", "fact_no", F.round(ratio, 6).alias("ratio"))
+
+
+@query(
+    "select doc_id, md5(array_to_string(list_transform(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '' and not"
+    " (length(x) - length(replace(x, '.', '')) > 20 and length(trim(replace(x, '.', ''))) < 10)), lambda x: regexp_replace(regexp_replace(regexp_replace(x,"
+    " '[.:]{10,}', ' ... ', 'g'), '[=-]{5,}', '---', 'g'), '[@#$%^&*](\\s|$)', '\\1', 'g')), chr(10))) as digest from documents"
+)
+def clean_ocr_text(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.md5(T.clean_ocr_text(F.col("text")).cast("binary")).alias("digest"))
+
+
+def _answers(spark, d):
+    """Texts that cite facts: of each document's chunk, its first fact twice and one that isn't there."""
+    rows = fixtures.facts(spark, d).groupBy("doc_id").agg(F.min("fact_no").alias("lo"), F.max("fact_no").alias("hi"))
+    mark = lambda c: F.concat(F.lit("[Fact "), c.cast("string"), F.lit("]"))
+    text = F.concat_ws(" so ", mark(F.col("hi")), mark(F.col("lo")), mark(F.col("hi")), F.lit("[Fact 999999]"))
+    return rows.select("doc_id", text.alias("answer"))
+
+
+@query(fx("select doc_id, max(fact_no) || '|' || min(fact_no) || '|999999' as cited from fx_facts group by doc_id having min(fact_no) < max(fact_no)"))
+def question_citations(spark, d):
+    rows = _answers(spark, d).select("doc_id", T.question_citations(F.col("answer")).alias("c")).where("size(c) = 3")
+    return rows.select("doc_id", bar(F.col("c")).alias("cited"))
+
+
+@query("select doc_id, array_to_string(list_slice(list_sort(list_distinct(list_filter(regexp_extract_all(text, '\\b[A-Z][a-z]+(?: [A-Z][a-z]+)*\\b', 0), lambda x: length(x) > 2))), 1, 5), '|') as entities from documents where not regexp_matches(text, '[^\\x00-\\x7F]')")
+def context_entities(spark, d):
+    plain = table(spark, d, "documents").where(~F.col("text").rlike(r"[^\x00-\x7F]"))
+    return plain.select("doc_id", bar(T.context_entities(F.col("text"))).alias("entities"))
+
+
+@query(fx(
+    "select f.doc_id, f.fact_no, substr(trim(regexp_replace(regexp_extract(c.chunk_text, '(?is).{0,200}' || f.qv || '.{0,200}', 0), '\\s+', ' ', 'g')), 1, 250) as context"
+    " from fx_facts f join fx_chunks c using (doc_id, chunk_id) where f.qv is not null"
+))
+def qv_context(spark, d):
+    rows = fixtures.facts(spark, d).where("qv is not null").join(fixtures.chunks(spark, d), ["doc_id", "chunk_id"])
+    return rows.select("doc_id", "fact_no", T.quantity_context(F.col("qv"), F.col("chunk_text")).alias("context"))
+
+
+# --- predicates, enrichment and scores
+
+
+def _fact(expr, name):
+    return lambda spark, d: fixtures.facts(spark, d).select("doc_id", "fact_no", expr().alias(name))
+
+
+@query(fx(f"select doc_id, fact_no, {O.PURE} as test_only from (select * replace (case when fact_no % 3 = 0 then 'No exceptions were noted.' else claim end as claim) from fx_facts)"))
+def is_test_result_only(spark, d):
+    claim = F.when(F.col("fact_no") % 3 == 0, "No exceptions were noted.").otherwise(F.col("claim"))
+    return fixtures.facts(spark, d).select("doc_id", "fact_no", score.is_test_result_only(claim).alias("test_only"))
+
+
+@query(fx(f"select doc_id, fact_no, {O.GENERIC} as generic from fx_facts"))
+def contains_generic_terms(spark, d):
+    return fixtures.facts(spark, d).select("doc_id", "fact_no", score.contains_generic_terms(F.col("claim")).alias("generic"))
+
+
+@query(fx(
+    "select doc_id, fact_no, coalesce(nullif(concat_ws('; ', case when regexp_matches(lower(claim), '\\bit (staff|personnel)\\b') then '" + score.ADVICE[2][1].replace("'", "''") + "' end,"
+    " case when regexp_matches(lower(claim), '\\bmanagement\\b') then '" + score.ADVICE[3][1].replace("'", "''") + "' end,"
+    " case when regexp_matches(lower(claim), '\\b(periodic|periodically|regular|regularly|ongoing)\\b') then '" + score.ADVICE[4][1].replace("'", "''") + f"' end), ''), '{score.NO_ADVICE}') as advice from fx_facts"
+))
+def generic_term_feedback(spark, d):
+    return fixtures.facts(spark, d).select("doc_id", "fact_no", score.generic_term_feedback(F.col("claim")).alias("advice"))
+
+
+@query(fx(f"select f.doc_id, f.fact_no, q.qv_ord, {O.QV_MATCH} as matches from fx_facts f join chunk_qv q using (doc_id, chunk_id) where f.line_no % 40 < 10", O.CHUNK_QV))
+def qv_matches_claim(spark, d):
+    values = quota.chunk_quantities(fixtures.chunks(spark, d))
+    rows = fixtures.facts(spark, d).where("line_no % 40 < 10").join(values, ["doc_id", "chunk_id"])
+    return rows.select("doc_id", "fact_no", "qv_ord", score.qv_matches_claim(F.col("value"), F.col("type"), F.col("claim")).alias("matches"))
+
+
+@query(fx(f"select doc_id, fact_no, round({O.SPECIFICITY}, 6) as score from fx_facts"))
+def specificity_score(spark, d):
+    s = score.specificity_score(F.col("claim"), F.col("entities"), F.col("quantitative_values"), F.col("process_details"))
+    return fixtures.facts(spark, d).select("doc_id", "fact_no", F.round(s, 6).alias("score"))
+
+
+RESCORED = f"case when specificity_score is null or abs(specificity_score - {O.SPECIFICITY}) > 0.1 then {O.SPECIFICITY} else specificity_score end"
+
+
+@query(fx(f"select doc_id, fact_no, round({RESCORED}, 6) as score from fx_facts"))
+def rescore_specificity(spark, d):
+    return score.rescore_specificity(fixtures.facts(spark, d)).select("doc_id", "fact_no", F.round("specificity_score", 6).alias("score"))
+
+
+def _in_chunk(spark, d):
+    text = F.col("chunk_text")
+    specs = F.array_distinct(F.concat(*(P.hits(text, r) for r in (P.ENCRYPTION, P.AUTHENTICATION, P.NETWORK))))
+    found = fixtures.chunks(spark, d).select("doc_id", "chunk_id", specs.alias("specs"), P.distinct_hits(text, P.ROLES[1:]).alias("roles"), P.quantities(text).alias("chunk_values"))
+    return fixtures.facts(spark, d).join(found, ["doc_id", "chunk_id"])
+
+
+SPECS = P.ENCRYPTION + P.AUTHENTICATION + P.NETWORK
+
+
+@query(fx(
+    f"select f.doc_id, f.fact_no, {joined('list_sort(list_distinct(list_concat(case when entity is null then [] else [entity] end, list_filter(' + hits('chunk_text', SPECS) + ', lambda x: contains(lower(claim), lower(x))))))')} as entities"
+    " from fx_facts f join fx_chunks using (doc_id, chunk_id)"
+))
+def enrich_entities(spark, d):
+    return score.enrich_entities(_in_chunk(spark, d)).select("doc_id", "fact_no", bar(F.array_sort("entities")).alias("entities"))
+
+
+@query(fx(
+    f"select f.doc_id, f.fact_no, coalesce(who, list_filter({O.first_seen(hits('chunk_text', P.ROLES[1:]))}, lambda x: contains(lower(claim), lower(x)))[1]) as who"
+    " from fx_facts f join fx_chunks using (doc_id, chunk_id)"
+))
+def enrich_role(spark, d):
+    return score.enrich_role(_in_chunk(spark, d)).select("doc_id", "fact_no", F.col("process_details.who").alias("who"))
+
+
+TAGGED = (
+    "tagged as (select f.doc_id, f.fact_no, list_sort(list_distinct(list_concat(case when any_value(f.qv) is null then [] else [any_value(f.qv)] end,"
+    f" coalesce(list(q.value) filter (where {O.QV_MATCH}), [])))) as l from fx_facts f left join chunk_qv q using (doc_id, chunk_id) group by f.doc_id, f.fact_no)"
+)
+
+
+@query(fx(f"select doc_id, fact_no, {joined('l')} as found from tagged", O.CHUNK_QV, TAGGED))
+def tag_quantitative(spark, d):
+    return score.tag_quantitative(_in_chunk(spark, d)).select("doc_id", "fact_no", bar(F.array_sort("quantitative_values")).alias("found"))
+
+
+@query(_ORACLES["tag_quantitative"])
+def join_claim_qv(spark, d):
+    return tag_quantitative(spark, d)
+
+
+@query(fx(f"select doc_id, fact_no, round(case when qv is null and ({O.GENERIC}) then greatest(0.3, confidence - 0.3) else confidence end, 6) as confidence from fx_facts where qv is not null or not ({O.PURE})"))
+def filter_low_value(spark, d):
+    return score.filter_low_value(fixtures.facts(spark, d))[0].select("doc_id", "fact_no", F.round("confidence", 6).alias("confidence"))
+
+
+@query(fx("select doc_id, fact_no from fx_facts where coalesce(specificity_score, 0.0) >= 0.5 or qv is not null"))
+def filter_low_specificity(spark, d):
+    return score.filter_low_specificity(fixtures.facts(spark, d)).select("doc_id", "fact_no")
+
+
+SECTIONS = {"Encryption": ["tls", "aes-256"], "Access": ["user", "access"], "Network": ["firewall"]}
+
+
+@query(fx(
+    "select doc_id, line_no, case when contains(lower(line), 'tls') or contains(lower(line), 'aes-256') then 'Encryption' when contains(lower(line), 'user') or contains(lower(line), 'access')"
+    " then 'Access' when contains(lower(line), 'firewall') then 'Network' else 'Unknown' end as section from fx_lines"
+))
+def detect_section(spark, d):
+    return extract.detect_section(fixtures.lines(spark, d), SECTIONS, "line").select("doc_id", "line_no", "section")
+
+
+@query(fx("select doc_id, fact_no, 1 as quotes, evidence_quote as primary_quote from fx_facts"))
+def evidence_normalize(spark, d):
+    bare = fixtures.facts(spark, d).withColumn("evidence_quotes", F.when(F.col("fact_no") % 2 == 0, F.col("evidence_quotes")))
+    return score.evidence_normalize(bare).select("doc_id", "fact_no", F.size("all_quotes").alias("quotes"), "primary_quote")
+
+
+RETRO = (
+    f"retro as (select doc_id, fact_no, list_concat(case when qv is null then [] else [qv] end, list_filter(list_transform({O.quantities('claim')}, lambda x: x.value), lambda x: qv is null or x <> qv)) as l from fx_facts)"
+)
+
+
+@query(fx(f"select doc_id, fact_no, nullif({joined('l')}, '') as found from retro", RETRO))
+def retro_tag_qv(spark, d):
+    return quota.retro_tag_qv(fixtures.facts(spark, d)).select("doc_id", "fact_no", bar(F.col("quantitative_values")).alias("found"))
+
+
+@query(fx(f"select doc_id, fact_no, nullif({joined('l')}, '') as found from retro", RETRO))
+def values_minus(spark, d):
+    return retro_tag_qv(spark, d)
+
+
+@query(fx("select doc_id, fact_no, coalesce(concat_ws('|', qv, 'daily'), 'daily') as found from (select doc_id, fact_no, nullif(qv, 'daily') as qv from fx_facts)"))
+def values_union(spark, d):
+    both = F.array_union(F.array_remove(F.coalesce("quantitative_values", F.array().cast("array<string>")), "daily"), F.array(F.lit("daily")))
+    return fixtures.facts(spark, d).select("doc_id", "fact_no", bar(both).alias("found"))
+
+
+@query(fx(f"select doc_id, fact_no, round({O.QUALITY}, 6) as quality from fx_facts"))
+def quality_score(spark, d):
+    rows = fixtures.facts(spark, d)
+    return rows.select("doc_id", "fact_no", F.round(score.quality_score(rows), 6).alias("quality"))
+
+
+FREQ = extract.CLAIMS["frequency"]
+CLAIM_SQL = "case type " + " ".join(
+    f"when '{kind}' then case " + " ".join("when " + " or ".join(f"contains(lower(line), '{w}')" for w in words) + f" then '{c[0]} '" for words, c in ways if words) + f" else '{ways[-1][1][0]} ' end"
+    for kind, ways in extract.CLAIMS.items()
+) + f" else '{extract.DEFAULT_CLAIM[0]} ' end || value"
+
+
+@query(fx(
+    f"select doc_id, line_no, value, type, {CLAIM_SQL} as claim from (select doc_id, line_no, line, unnest({O.quantities('line')}, recursive := true) from fx_lines)"
+))
+def generate_fact_claim(spark, d):
+    rows = extract.quantitative_values(fixtures.lines(spark, d), "line", "doc_id", "line_no", "line")
+    made = extract.generated_claim(F.col("type"), F.col("value"), F.col("line"))
+    return rows.select("doc_id", "line_no", "value", "type", made["claim"].alias("claim"))
+
+
+@query()
+def extract_facts(spark, d):
+    return chains.extract_facts(fixtures.chunks(spark, d))
+
+
+@query(fx(
+    "select doc_id, line_no, 'quantitative' as pass_type from fx_lines where len(" + O.quantities("line") + ") > 0 union all"
+    " select doc_id, line_no, 'technical_specs' from fx_lines where len(" + hits("line", SPECS) + ") > 0"
+))
+def specialized_pass(spark, d):
+    rows = fixtures.lines(spark, d)
+    out = chains.specialized_pass(rows, "quantitative")
+    for name in ("technical_specs", "cuec", "test_procedures", "other"):
+        out = out.unionByName(chains.specialized_pass(rows, name))
+    return out.select("doc_id", "line_no", "pass_type")
+
+
+# --- validation
+
+
+def _validated(spark, d):
+    return validate.validate_in_lines(fixtures.facts(spark, d), fixtures.document_lines(spark, d))
+
+
+@query(fx("select doc_id, fact_no, scope, scope is not null as is_valid from validated", O.VALIDATED))
+def validate_in_lines(spark, d):
+    return _validated(spark, d).select("doc_id", "fact_no", "scope", "is_valid")
+
+
+STATS = "count(*) as total, sum(case when scope is not null then 1 else 0 end) as valid, sum(case when scope is null then 1 else 0 end) as invalid, round(avg(case when scope is not null then 1.0 else 0.0 end), 6) as rate"
+
+
+@query(fx(f"select doc_id, {STATS} from validated group by doc_id", O.VALIDATED))
+def validate_facts(spark, d):
+    return validate.validation_stats(_validated(spark, d), "doc_id").withColumn("rate", F.round("rate", 6))
+
+
+@query(fx(f"select {STATS} from validated", O.VALIDATED))
+def validation_stats(spark, d):
+    return validate.validation_stats(_validated(spark, d)).withColumn("rate", F.round("rate", 6))
+
+
+@query(fx(f"select doc_id, chunk_id, {STATS} from validated group by doc_id, chunk_id", O.VALIDATED))
+def validate_session(spark, d):
+    return validate.validation_stats(_validated(spark, d), "doc_id", "chunk_id").withColumn("rate", F.round("rate", 6))
+
+
+@query(fx("select doc_id, fact_no from validated where scope is null", O.VALIDATED))
+def show_invalid_only(spark, d):
+    return validate_in_lines(spark, d).where("not is_valid").select("doc_id", "fact_no")
+
+
+@query(fx("select doc_id, fact_no, scope is not null as is_valid from validated", O.VALIDATED))
+def rejected_split(spark, d):
+    valid, rejected = qa.rejected_split(_validated(spark, d))
+    return valid.select("doc_id", "fact_no", "is_valid").union(rejected.select("doc_id", "fact_no", "is_valid"))
+
+
+@query(fx("select scope is not null as is_valid, doc_id, count(*) as n from validated group by all", O.VALIDATED))
+def write_validation_report(spark, d):
+    path = facts_io.scratch(spark, "report")
+    _validated(spark, d).select("doc_id", "fact_no", "scope", "is_valid").write.json(path)
+    back = spark.read.schema("doc_id int, fact_no int, scope string, is_valid boolean").json(path)
+    return back.groupBy("is_valid", "doc_id").agg(F.count("*").alias("n"))
+
+
+IN_CHUNK = f"in_chunk as (select f.*, auto_generated or {O.ratio('evidence_quote', 'chunk_text')} >= 0.7 as is_valid from fx_facts f join fx_chunks using (doc_id, chunk_id))"
+
+
+def _in_chunk_validated(spark, d):
+    return validate.validate_in_chunk(chunks.join_fact_chunk(fixtures.facts(spark, d), fixtures.chunks(spark, d)))
+
+
+@query(fx("select doc_id, fact_no, is_valid from in_chunk", IN_CHUNK))
+def validate_in_chunk(spark, d):
+    return _in_chunk_validated(spark, d).select("doc_id", "fact_no", "is_valid")
+
+
+@query(fx("select doc_id, fact_no, auto_generated or fact_no % 2 = 0 as is_valid from fx_facts"))
+def skip_auto_generated(spark, d):
+    return fixtures.facts(spark, d).select("doc_id", "fact_no", validate.skip_auto_generated(F.col("auto_generated"), F.col("fact_no") % 2 == 0).alias("is_valid"))
+
+
+@query(fx("select doc_id, chunk_id, count(*) as extracted, sum(is_valid::int) as validated, count(*) - sum(is_valid::int) as rejected, round(avg(is_valid::int), 6) as rate from in_chunk group by rollup (doc_id, chunk_id) having doc_id is not null", IN_CHUNK))
+def chunk_stats(spark, d):
+    return stats.chunk_stats(_in_chunk_validated(spark, d)).withColumn("rate", F.round("rate", 6))
+
+
+@query(fx(f"select * from (select doc_id, fact_no, round({O.ratio('evidence_quote', O.cited(20))}, 2) as best_match from fx_facts f join fx_docs d using (doc_id)) where best_match >= 0.4 and best_match < 0.7"))
+def medium_confidence(spark, d):
+    rows = validate.medium_confidence(fixtures.facts(spark, d), fixtures.document_lines(spark, d))
+    return rows.select("doc_id", "fact_no", "best_match")
+
+
+PROPOSALS = "proposals as (select doc_id, fact_no, line_no % 3 <> 0 as found, case when fact_no % 2 = 0 then claim else 'a text from elsewhere' end as quote, cast(0.7 as double) + (fact_no % 3) * cast(0.1 as double) as confidence from fx_facts)"
+
+
+def _proposals(spark, d):
+    quote = F.when(F.col("fact_no") % 2 == 0, F.col("claim")).otherwise("a text from elsewhere")
+    return fixtures.facts(spark, d).select("doc_id", "fact_no", (F.col("line_no") % 3 != 0).alias("found"), quote.alias("quote"), (0.7 + (F.col("fact_no") % 3) * 0.1).alias("confidence"))
+
+
+@query(fx(f"select f.doc_id, f.fact_no, p.found and p.confidence >= 0.8 and {O.ratio('p.quote', O.cited(20))} >= 0.7 as was_recovered from fx_facts f join fx_docs d using (doc_id) join proposals p using (doc_id, fact_no)", PROPOSALS))
+def recover_quote(spark, d):
+    rows = validate.recover_quotes(fixtures.facts(spark, d), fixtures.document_lines(spark, d), _proposals(spark, d))
+    return rows.select("doc_id", "fact_no", "was_recovered")
+
+
+CORRECTED = (
+    "corrected as (select f.doc_id, f.fact_no, m, case when p.quote is null then 0.0 else case when r >= 1 then 1.0 when r >= 0.7 then 0.8 else 0.0 end end as score, p.quote from"
+    f" (select f.*, {O.ratio('evidence_quote', 'claim')} as m from fx_facts f) f join fx_docs d using (doc_id) left join (select * from proposals where found) p using (doc_id, fact_no)"
+    f", lateral (select {O.ratio('p.quote', O.cited(30))} as r) where m >= 0.3 and m < 1)"
+)
+
+
+def _corrected(spark, d):
+    rows = fixtures.facts(spark, d).withColumn("match_percentage", T.match_ratio(F.col("evidence_quote"), F.col("claim"))).where("match_percentage < 1")
+    return validate.correct_quotes(rows, fixtures.document_lines(spark, d), _proposals(spark, d))
+
+
+@query(fx("select doc_id, fact_no, cast(score as double) as score, case when score > 0 then quote end as corrected_quote from corrected", PROPOSALS, CORRECTED))
+def correct_quotes(spark, d):
+    return _corrected(spark, d).select("doc_id", "fact_no", "score", "corrected_quote")
+
+
+@query(fx("select doc_id, count(*) as tried, sum(case when score > 0 then 1 else 0 end) as corrected from corrected group by doc_id", PROPOSALS, CORRECTED))
+def correct_facts_from_file(spark, d):
+    return _corrected(spark, d).groupBy("doc_id").agg(F.count("*").alias("tried"), F.sum((F.col("score") > 0).cast("int")).alias("corrected"))
+
+
+@query(fx(f"select f.doc_id, f.fact_no, md5({O.cited(30)}) as digest from fx_facts f join fx_docs d using (doc_id)"))
+def expand_context(spark, d):
+    rows = chunks.join_fact_lines(fixtures.facts(spark, d), fixtures.document_lines(spark, d), 30)
+    return rows.select("doc_id", "fact_no", F.md5(F.col("cited_text").cast("binary")).alias("digest"))
+
+
+@query(fx("select doc_id, fact_no, case when fact_no % 2 = 0 then '1/1 quotes not found: ' || case when length(evidence_quote) > 60 then evidence_quote[:60] || '...' else evidence_quote end end as error from fx_facts"))
+def quote_snippet(spark, d):
+    quotes = F.transform("evidence_quotes", lambda q: q["quote"])
+    failed = F.when(F.col("fact_no") % 2 == 0, 1).otherwise(0)
+    return fixtures.facts(spark, d).select("doc_id", "fact_no", validate.error_text(quotes, failed).alias("error"))
+
+
+# --- joins
+
+
+@query(fx("select doc_id, fact_no, length(chunk_text) as chars from fx_facts join fx_chunks using (doc_id, chunk_id)"))
+def join_fact_chunk(spark, d):
+    rows = chunks.join_fact_chunk(fixtures.facts(spark, d), fixtures.chunks(spark, d))
+    return rows.select("doc_id", "fact_no", F.length("chunk_text").cast("long").alias("chars"))
+
+
+@query(fx(f"select f.doc_id, f.fact_no, {O.cited(0)} as cited_text from fx_facts f join fx_docs d using (doc_id)"))
+def join_fact_lines(spark, d):
+    return chunks.join_fact_lines(fixtures.facts(spark, d), fixtures.document_lines(spark, d)).select("doc_id", "fact_no", "cited_text")
+
+
+def _part_facts(spark, d):
+    """The facts of even lines alone, so that quantities are left over."""
+    return fixtures.facts(spark, d).where("line_no % 2 = 0")
+
+
+PART = "part as (select * from fx_facts where line_no % 2 = 0)"
+MISSING = (
+    "missing as (select q.* from chunk_qv q where not exists (select 1 from part p where p.doc_id = q.doc_id and p.chunk_id = q.chunk_id and (p.qv = q.value or contains(lower(p.claim), lower(q.value)))))"
+)
+
+
+@query(fx("select * from missing", O.CHUNK_QV, PART, MISSING))
+def missing_qv(spark, d):
+    rows = quota.missing_qv(quota.chunk_quantities(fixtures.chunks(spark, d)), _part_facts(spark, d))
+    return rows.select("doc_id", "chunk_id", "qv_ord", "value", "type")
+
+
+GLOBAL = "free as (select distinct doc_id, value, type from chunk_qv q where not exists (select 1 from part p where p.doc_id = q.doc_id and p.qv = q.value))"
+
+
+@query(fx("select * from free", O.CHUNK_QV, PART, GLOBAL))
+def global_missing_qv(spark, d):
+    return quota.global_missing_qv(quota.chunk_quantities(fixtures.chunks(spark, d)), _part_facts(spark, d)).select("doc_id", "value", "type")
+
+
+@query(fx("select doc_id, value, min(chunk_id) as chunk_id from chunk_qv group by all", O.CHUNK_QV))
+def first_chunk_with_qv(spark, d):
+    return quota.first_chunk_with_qv(quota.chunk_quantities(fixtures.chunks(spark, d)))
+
+
+@query(fx("select distinct value, type from chunk_qv", O.CHUNK_QV))
+def distinct_values(spark, d):
+    return quota.chunk_quantities(fixtures.chunks(spark, d)).select("value", "type").distinct()
+
+
+@query(fx("select doc_id, hi as fact_no, 0 as position from (select doc_id, max(fact_no) hi, min(fact_no) lo from fx_facts group by 1) union all select doc_id, lo, 1 from (select doc_id, max(fact_no) hi, min(fact_no) lo from fx_facts group by 1) where lo < hi"))
+def cited_facts(spark, d):
+    return qa.cited_facts(_answers(spark, d), fixtures.facts(spark, d)).select("doc_id", "fact_no", "position")
+
+
+@query(fx(f"select f.doc_id, f.fact_no, md5(nullif({O.cited(10)}, '')) as digest from fx_facts f join fx_docs d using (doc_id)"))
+def facts_with_context(spark, d):
+    rows = qa.facts_with_context(fixtures.facts(spark, d), fixtures.document_lines(spark, d))
+    return rows.select("doc_id", "fact_no", F.md5(F.col("context").cast("binary")).alias("digest"))
+
+
+@query(fx("select f.doc_id, f.fact_no, s.s_name as title from fx_facts f left join (select s_suppkey, s_name from supplier where s_suppkey % 2 = 0) s on s.s_suppkey = f.doc_id"))
+def facts_with_summary(spark, d):
+    names = table(spark, d, "supplier").where("s_suppkey % 2 = 0").select(F.col("s_suppkey").alias("doc_id"), F.col("s_name").alias("title"))
+    return qa.facts_with_summary(fixtures.facts(spark, d), names).select("doc_id", "fact_no", "title")
+
+
+# --- aggregates
+
+
+@query(fx("select doc_id, chunk_id, round(avg(case when qv is null then 0.0 else 1.0 end), 6) as coverage from fx_facts group by all"))
+def qv_coverage(spark, d):
+    return stats.qv_coverage(fixtures.facts(spark, d), "doc_id", "chunk_id").withColumn("coverage", F.round("coverage", 6))
+
+
+@query(fx(
+    f"select doc_id, chunk_id, round(case when len(v) = 0 then 1.0 else len(list_filter(v, lambda x: contains(coalesce(c, ''), lower(x)))) / cast(len(v) as double) end, 6) as coverage from (select doc_id, chunk_id, {hits('chunk_text', P.FREQUENCY)} as v from fx_chunks)"
+    " left join (select doc_id, chunk_id, string_agg(lower(claim), ' ' order by fact_no) as c from fx_facts group by all) using (doc_id, chunk_id)"
+))
+def extraction_coverage(spark, d):
+    rows = stats.extraction_coverage(fixtures.chunks(spark, d), fixtures.facts(spark, d), P.hits(F.col("chunk_text"), P.FREQUENCY))
+    return rows.withColumn("coverage", F.round("coverage", 6))
+
+
+@query(fx(f"select doc_id, count(*) as total, count(qv) as with_qv, sum(({O.PURE})::int) as test_only, sum(({O.GENERIC})::int) as generic, sum(coalesce(specificity_score >= 0.7, false)::int) as specific, round(avg(specificity_score), 6) as mean_specificity from fx_facts group by doc_id"))
+def enhancement_stats(spark, d):
+    return stats.enhancement_stats(fixtures.facts(spark, d), "doc_id").withColumn("mean_specificity", F.round("mean_specificity", 6))
+
+
+PROFILE = (
+    "count(*) as total, round(avg((qv is not null)::int), 6) as qv_share, round(avg((entity is not null)::int), 6) as entity_share, round(avg((who is not null)::int), 6) as process_share,"
+    " sum((coalesce(specificity_score, 0) >= 0.7)::int) as high, sum((coalesce(specificity_score, 0) >= 0.5 and coalesce(specificity_score, 0) < 0.7)::int) as medium,"
+    " sum((coalesce(specificity_score, 0) < 0.5)::int) as low, round(avg(coalesce(specificity_score, 0)), 6) as mean_specificity"
+)
+
+
+def _rounded(rows, *names):
+    return rows.withColumns({n: F.round(n, 6) for n in names})
+
+
+@query(fx(f"select doc_id, {PROFILE} from fx_facts group by doc_id"))
+def fact_set_profile(spark, d):
+    return _rounded(stats.fact_set_profile(fixtures.facts(spark, d), "doc_id"), "qv_share", "entity_share", "process_share", "mean_specificity")
+
+
+@query(fx("select doc_id, round(coalesce(k, 0) / cast(n as double) * 100, 6) as density from (select doc_id, count(*) n from fx_lines group by 1) left join (select doc_id, count(*) k from fx_facts group by 1) using (doc_id)"))
+def fact_density(spark, d):
+    return _rounded(stats.fact_density(fixtures.facts(spark, d), fixtures.lines(spark, d)), "density")
+
+
+@query(fx(
+    f"select a.metric, round(b.v, 6) as before, round(a.v, 6) as after, round(a.v - b.v, 6) as delta, round((a.v - b.v) * 100 / b.v, 6) as change from"
+    f" (unpivot (select total::double as total, qv_share::double as qv_share, entity_share::double as entity_share, process_share::double as process_share, mean_specificity::double as mean_specificity from (select {PROFILE.replace('round(', '(').replace(', 6)', ')')} from fx_facts)) on columns(*) into name metric value v) a join"
+    f" (unpivot (select total::double as total, qv_share::double as qv_share, entity_share::double as entity_share, process_share::double as process_share, mean_specificity::double as mean_specificity from (select {PROFILE.replace('round(', '(').replace(', 6)', ')')} from part)) on columns(*) into name metric value v) b using (metric)", PART
+))
+def compare_runs(spark, d):
+    return _rounded(stats.compare_runs(_part_facts(spark, d), fixtures.facts(spark, d)), "before", "after", "delta", "change")
+
+
+@query(fx(
+    "select doc_id, metric, round(value, 6) as value, case when value >= target then 'met' when value >= near then 'close' else 'missed' end as verdict from (select doc_id, avg((qv is not null)::int) a, avg(coalesce(specificity_score, 0)) b, avg((entity is not null)::int) c, avg((who is not null)::int) e from fx_facts group by doc_id),"
+    " lateral (values ('qv_share', a, 0.35, 0.30), ('mean_specificity', b, 0.70, 0.65), ('entity_share', c, 0.40, 0.30), ('process_share', e, 0.40, 0.30)) t(metric, value, target, near)"
+))
+def target_assessment(spark, d):
+    return _rounded(stats.target_assessment(fixtures.facts(spark, d), "doc_id"), "value")
+
+
+@query(fx("select fact_type, count(*) as n from fx_facts group by fact_type"))
+def facts_by_type(spark, d):
+    return stats.facts_by_type(fixtures.facts(spark, d))
+
+
+@query(fx("select doc_id, count(distinct chunk_id) as chunks, array_to_string(list_sort(list(distinct chunk_id)), '|') as processed, max(chunk_id) as last_chunk from fx_facts group by doc_id"))
+def session_stats(spark, d):
+    return stats.session_stats(fixtures.facts(spark, d)).withColumn("processed", bar(F.col("processed").cast("array<string>")))
+
+
+@query(fx("select doc_id, min(chunk_id) as first_chunk, max(chunk_id) as last_chunk, count(*) as facts, doc_id % 2 = 0 as has_summary, max(chunk_id) + 1 as next_chunk from fx_facts group by doc_id"))
+def session_info(spark, d):
+    names = table(spark, d, "supplier").where("s_suppkey % 2 = 0").select(F.col("s_suppkey").cast("int").alias("doc_id"))
+    return stats.session_info(fixtures.facts(spark, d), names)
+
+
+@query(fx("select count(*) as total, sum((fact_no % 3 <> 0)::int) as single, sum((fact_no % 3 = 0)::int) as multi, round(sum((fact_no % 3 = 0)::int) * 100.0 / count(*), 6) as multi_percent from fx_facts"))
+def multi_quote_stats(spark, d):
+    twice = F.when(F.col("fact_no") % 3 == 0, F.concat("evidence_quotes", "evidence_quotes")).otherwise(F.col("evidence_quotes"))
+    return _rounded(stats.multi_quote_stats(fixtures.facts(spark, d).withColumn("evidence_quotes", twice)), "multi_percent")
+
+
+@query(fx("select doc_id, count(*) as chunks, max(case when chunk_id % 2 = 0 then chunk_id end) as last_chunk, round(avg((chunk_id % 2 = 0)::int), 6) as share from fx_chunks group by doc_id"))
+def progress(spark, d):
+    rows = fixtures.chunks(spark, d)
+    return _rounded(stats.progress(rows, rows.where("chunk_id % 2 = 0")), "share")
+
+
+@query(fx("select doc_id, round(avg(coalesce(specificity_score, 0)), 6) as average, round(avg((coalesce(specificity_score, 0) >= 0.7)::int), 6) as high_share from fx_facts group by doc_id"))
+def specificity_distribution(spark, d):
+    return _rounded(stats.specificity_distribution(fixtures.facts(spark, d), "doc_id"), "average", "high_share")
+
+
+@query(fx("select doc_id, count(*) as fact_count from fx_facts group by rollup (doc_id)"))
+def consolidated_totals(spark, d):
+    return stats.consolidated_totals(fixtures.facts(spark, d))
+
+
+@query(fx("select fact_type, count(*) as n, round(avg((qv is not null)::int), 6) as qv_share from fx_facts group by rollup (fact_type)"))
+def knowledge_stats(spark, d):
+    return _rounded(stats.knowledge_stats(fixtures.facts(spark, d)), "qv_share")
+
+
+# --- quotas and order
+
+WANTED = (
+    "quotas as (select doc_id, chunk_id, coalesce(t, 0) as total, coalesce(k, 0) as with_qv, coalesce(a, 0) as available from (select doc_id, chunk_id, count(*) t, count(qv) k from part group by all)"
+    " full join (select doc_id, chunk_id, count(*) a from chunk_qv group by all) using (doc_id, chunk_id)),"
+    " wanted as (select *, cast(case when available = 0 then 0 when total = 0 or with_qv / total::double < 0.5 then trunc((0.5 * total - with_qv) / 0.5) + 1 else 0 end as int) as wanted from quotas)"
+)
+
+
+@query(fx("select * from wanted", O.CHUNK_QV, PART, WANTED))
+def chunk_quota(spark, d):
+    return quota.chunk_quota(_part_facts(spark, d), quota.chunk_quantities(fixtures.chunks(spark, d)))
+
+
+@query(fx(
+    "select doc_id, chunk_id, qv_ord, value, type, pass from (select *, row_number() over (partition by doc_id, chunk_id order by pass, qv_ord) as turn from"
+    " (select *, 1 as pass from missing union all select *, 2 from chunk_qv)) join wanted using (doc_id, chunk_id) where turn <= wanted", O.CHUNK_QV, PART, WANTED, MISSING
+))
+def generate_missing_facts(spark, d):
+    rows = fixtures.chunks(spark, d)
+    made = quota.generate_missing_facts(rows, quota.chunk_quantities(rows), _part_facts(spark, d))
+    return made.select("doc_id", "chunk_id", "qv_ord", "value", "type", "pass")
+
+
+GLOBAL_WANTED = "whole as (select doc_id, count(*) as total, count(qv) as with_qv, cast(case when count(qv) / count(*)::double < 0.35 then trunc((0.35 * count(*) - count(qv)) / 0.65) + 1 else 0 end as int) as wanted from part group by doc_id)"
+
+
+@query(fx("select * from whole", PART, GLOBAL_WANTED))
+def global_quota(spark, d):
+    return quota.global_quota(_part_facts(spark, d))
+
+
+@query(fx(
+    "select doc_id, chunk_id, value, type from (select *, row_number() over (partition by doc_id order by value, type) as turn from free) join whole using (doc_id)"
+    " join (select doc_id, value, min(chunk_id) as chunk_id from chunk_qv group by all) using (doc_id, value) where turn <= wanted", O.CHUNK_QV, PART, GLOBAL, GLOBAL_WANTED
+))
+def generate_global_facts(spark, d):
+    rows = fixtures.chunks(spark, d)
+    made = quota.generate_global_facts(rows, quota.chunk_quantities(rows), _part_facts(spark, d))
+    return made.select("doc_id", "chunk_id", "value", "type")
+
+
+KEPT = (
+    f"scored as (select *, qv is not null as has_qv, {O.QUALITY} as quality_score from fx_facts), ranked as (select *, row_number() over (partition by doc_id order by has_qv, quality_score desc, fact_no) as turn,"
+    " count(qv) over (partition by doc_id) as k from scored), kept as (select * from ranked where has_qv or turn <= trunc(k / 0.35::double) - k)"
+)
+
+
+@query(fx("select doc_id, fact_no, has_qv, round(quality_score, 6) as quality_score from kept", KEPT))
+def quota_filter(spark, d):
+    return _rounded(quota.quota_filter(fixtures.facts(spark, d)).select("doc_id", "fact_no", "has_qv", "quality_score"), "quality_score")
+
+
+@query(fx("select doc_id, round(max(quality_score), 6) as best, round(min(quality_score), 6) as worst from kept where not has_qv group by doc_id", KEPT))
+def score_range(spark, d):
+    return _rounded(quota.score_range(quota.quota_filter(fixtures.facts(spark, d))), "best", "worst")
+
+
+CURATED = KEPT.replace("qv is not null as has_qv", "len(l) > 0 as has_qv").replace("from fx_facts)", "from fx_facts join retro using (doc_id, fact_no))").replace("count(qv) over", "sum((len(l) > 0)::int) over")
+
+
+@query(fx("select doc_id, fact_no, has_qv from kept", RETRO, CURATED))
+def curate_chain(spark, d):
+    return chains.curate_chain(fixtures.facts(spark, d)).select("doc_id", "fact_no", "has_qv")
+
+
+@query(fx("select doc_id, chunk_id, fact_no from fx_facts"))
+def order_by_chunk(spark, d):
+    return qa.order_by_chunk(fixtures.facts(spark, d)).select("doc_id", "chunk_id", "fact_no")
+
+
+@query(fx("select doc_id, fact_no, row_number() over (order by doc_id, fact_no) as fact_id from fx_facts"))
+def number_facts(spark, d):
+    return qa.number_facts(fixtures.facts(spark, d)).select("doc_id", "fact_no", "fact_id")
+
+
+@query(fx("select doc_id, chunk_id, min_by(claim, fact_no) as claim from fx_facts group by all"))
+def first_match_per_group(spark, d):
+    return qa.first_match_per_group(fixtures.facts(spark, d), ["doc_id", "chunk_id"], "fact_no", "claim")
+
+
+@query(fx("select doc_id, fact_no, claim from fx_facts"))
+def union_facts(spark, d):
+    rows = fixtures.facts(spark, d).select("doc_id", "fact_no", "claim")
+    return rows.where("fact_no % 2 = 0").unionByName(rows.where("fact_no % 2 = 1"))
+
+
+@query(fx("select doc_id, fact_no from fx_facts where qv is null"))
+def non_qv_facts(spark, d):
+    return fixtures.facts(spark, d).where(score.count_of(F.col("quantitative_values")) == 0).select("doc_id", "fact_no")
+
+
+# --- chains and questions
+
+
+@query()
+def post_process_chain(spark, d):
+    rows = chains.post_process_chain(fixtures.facts(spark, d), fixtures.chunks(spark, d))
+    return rows.select("doc_id", "fact_no", F.round("specificity_score", 6).alias("score"), bar(F.array_sort("quantitative_values")).alias("found"), F.round("confidence", 6).alias("confidence"))
+
+
+QUESTION = "Who reviews firewall rules daily?"
+
+
+@query(fx(
+    "select doc_id, fact_no, overlap, rank from (select *, row_number() over (partition by doc_id order by overlap desc, confidence desc, fact_no) as rank from (select *, len(list_intersect(list_distinct(regexp_split_to_array(lower(claim), '[^a-z0-9]+')), ['who', 'reviews', 'firewall', 'rules', 'daily'])) as overlap from fx_facts) where overlap > 0) where rank <= 5"
+))
+def answer_question(spark, d):
+    return qa.answer_question(fixtures.facts(spark, d), QUESTION).select("doc_id", "fact_no", "overlap", "rank")
+
+
+@query(fx(
+    "select doc_id, cast((fact_no - 1) // 200 as int) as block_no, md5(string_agg('[Fact ' || fact_no || '] ' || claim || chr(10) || 'Location: ' || source_location || chr(10) || 'Evidence: ' || evidence_quote[:150], chr(10) || chr(10) order by fact_no)) as digest from fx_facts group by all"
+))
+def facts_prompt_block(spark, d):
+    rows = qa.facts_prompt_block(fixtures.facts(spark, d))
+    return rows.select("doc_id", "block_no", F.md5(F.col("block").cast("binary")).alias("digest"))
+
+
+@query()
+def stream_quantities(spark, d):
+    """The stream of documents, run until all files are read, and its table read back."""
+    base = facts_io.scratch(spark, "stream")
+    ingest.stream_quantities(spark, f"{d}/documents.parque[t]", f"{base}/table", f"{base}/checkpoint", 10, 2).awaitTermination()
+    return spark.read.schema("chunk_id int, qv_ord int, value string, type string, normalized string, doc_id long").parquet(f"{base}/table")
+
+
+# --- consensus
+
+
+def _runs(spark, d):
+    rows = fixtures.facts(spark, d).crossJoin(F.broadcast(spark.range(5).select(F.col("id").cast("int").alias("instance_id"))))
+    return rows.where("fact_no % 7 >= instance_id")
+
+
+RUNS = (
+    "runs as (select f.*, i as instance_id from fx_facts f, (select unnest(range(0, 5)) as i) where fact_no % 7 >= i),"
+    " agreed as (select doc_id, claim, count(distinct instance_id) as support_count, count(distinct instance_id) / 5.0::double as support from runs group by all)"
+)
+
+
+@query(fx("select doc_id, claim, support_count, round(support, 6) as support, support >= 0.8 as is_consensus from agreed", RUNS))
+def consensus_facts(spark, d):
+    return _rounded(consensus.consensus_facts(_runs(spark, d), 5).drop("confidence"), "support")
+
+
+@query(fx("select doc_id, claim, support_count from agreed where support < 0.8", RUNS))
+def outlier_facts(spark, d):
+    return consensus.outlier_facts(consensus.consensus_facts(_runs(spark, d), 5)).select("doc_id", "claim", "support_count")
+
+
+AGAINST = "against as (select doc_id, trim(replace(claim, qv, '')) as subject, min(qv) as low, max(qv) as high, count(distinct qv) as \"values\" from fx_facts where qv is not null group by all having count(distinct qv) > 1)"
+
+
+@query(fx("select * from against", AGAINST))
+def contradictions(spark, d):
+    return consensus.contradictions(fixtures.facts(spark, d))
+
+
+@query(fx("select doc_id, min_by(fact_no, [-confidence, fact_no]) as fact_no from fx_facts group by doc_id, array_to_string(list_sort(list_distinct(regexp_split_to_array(lower(claim), '\\W+'))), ' ')"))
+def semantic_dedup(spark, d):
+    return consensus.semantic_dedup(fixtures.facts(spark, d)).select("doc_id", "fact_no")
+
+
+@query(fx("select doc_id, 'CC' || (line_no % 9) as control_id, count(*) as facts, min(fact_no) as first_fact, max(fact_no) as last_fact from fx_facts group by all"))
+def control_graph(spark, d):
+    return consensus.control_graph(fixtures.facts(spark, d))
+
+
+@query(fx(
+    "select doc_id, count(*) as claims, sum((support >= 0.8)::int) as agreed, round(avg(support), 6) as mean_support, coalesce(any_value(n), 0) as contradictions from agreed left join (select doc_id, count(*) n from against group by 1) using (doc_id) group by doc_id", RUNS, AGAINST
+))
+def answer_report(spark, d):
+    rows = consensus.answer_report(consensus.consensus_facts(_runs(spark, d), 5), consensus.contradictions(fixtures.facts(spark, d)))
+    return _rounded(rows, "mean_support")
+
+
+@query()
+def similar_facts(spark, d):
+    return consensus.similar_facts(table(spark, d, "embeddings"), 0.4)
+
+
+@query()
+def fact_clusters(spark, d):
+    vectors = table(spark, d, "embeddings")
+    nodes = vectors.where("vec_id is not null").select(F.col("vec_id").alias("node")).distinct()
+    return consensus.fact_clusters(consensus.similar_facts(vectors, 0.4), nodes)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Validation statistics of each document."""
+    return validate_facts(spark, sf_dir)
 
 
 def queries() -> dict:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(_ORACLES)
