@@ -924,12 +924,20 @@ def facts_prompt_block(spark, d):
     return rows.select("doc_id", "block_no", F.md5(F.col("block").cast("binary")).alias("digest"))
 
 
-@query()
+@query(fx(
+    "select doc_id, cast(c as int) as chunk_id, cast(i - 1 as int) as qv_ord, q[i].value as value, q[i].type as type, case when q[i].type = 'frequency' then "
+    f"{O.normalized('q[i].value')} end as normalized from (select *, unnest(range(1, len(q) + 1)) as i from (select doc_id, c, {O.quantities('t')} as q from"
+    " (select doc_id, c, array_to_string(list_slice(lines, c * 8 + 1, c * 8 + 10), chr(10)) as t from (select doc_id, lines, unnest(range(0,"
+    " case when len(lines) <= 10 then 1 else cast(ceil((len(lines) - 10) / 8.0) as int) + 1 end)) as c from fx_docs))))"
+))
 def stream_quantities(spark, d):
     """The stream of documents, run until all files are read, and its table read back."""
     base = facts_io.scratch(spark, "stream")
-    ingest.stream_quantities(spark, f"{d}/documents.parque[t]", f"{base}/table", f"{base}/checkpoint", 10, 2).awaitTermination()
-    return spark.read.schema("chunk_id int, qv_ord int, value string, type string, normalized string, doc_id long").parquet(f"{base}/table")
+    docs = fixtures.document_lines(spark, d).select("doc_id", F.array_join("lines", "\n").alias("text"))
+    docs.write.parquet(f"{base}/documents")
+    ingest.stream_quantities(spark, f"{base}/documents", f"{base}/table", f"{base}/checkpoint", 10, 2).awaitTermination()
+    rows = spark.read.parquet(f"{base}/table")
+    return rows.select("doc_id", "chunk_id", "qv_ord", "value", "type", "normalized")
 
 
 # --- consensus
