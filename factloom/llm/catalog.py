@@ -69,5 +69,29 @@ def queries() -> dict:
     )}
 
 
+#: All pairs of documents that share a shingle, exactly, and the groups that links make.
+NEAR_DUPLICATES = r"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as l from documents),
+s as (select doc_id, unnest(list_distinct(case when len(l) < 2 then l else list_transform(range(1, len(l)), lambda i: l[i] || ' ' || l[i + 1]) end)) as sh from w),
+n as (select doc_id, count(sh) as n from w left join s using (doc_id) group by doc_id),
+p as (select a.doc_id as x, b.doc_id as y, count(*) as k from s a join s b on a.sh = b.sh and a.doc_id < b.doc_id group by all),
+e as (select x, y from p join n nx on nx.doc_id = x join n ny on ny.doc_id = y where 100 * k >= 80 * (nx.n + ny.n - k)),
+u as (select x as a, y as b from e union all select y, x from e),
+r(node, root) as (select doc_id, doc_id from w union select u.b, r.root from r join u on u.a = r.node)
+select doc_id, any_value(n) as n_shingles, min(root) as component_id, doc_id = min(root) as kept from r join n on n.doc_id = r.node group by doc_id
+"""
+
+#: The records that archives of these pages must hold.
+ARCHIVED = """
+with p as (select page_id, coalesce(html, '') as payload from pages),
+d as (select page_id, strlen(payload) as payload_bytes, sha1(payload) as payload_digest from p),
+g as (select *, max(page_id) over (partition by payload_digest, payload_bytes) as first from d)
+select page_id, payload_bytes, payload_digest,
+  case when payload_bytes >= 1000 and first <> page_id then 'revisit' else 'response' end as record_type,
+  case when payload_bytes >= 1000 and first <> page_id then first end as refers_to
+from g
+"""
+
+
 def oracle_sql() -> dict:
-    return {}
+    return {"op1_minhash_neardup": NEAR_DUPLICATES, "op9_warc": ARCHIVED}
