@@ -151,9 +151,9 @@ def sink_chunk_facts(spark, d):
     return facts_io.load_all_facts(spark, _stored(spark, d))
 
 
-@query(fx("select doc_id, chunk_id, fact_no, claim from fx_facts where doc_id = 3"))
+@query(fx("select doc_id, chunk_id, fact_no, claim from fx_facts"))
 def load_all_facts(spark, d):
-    return facts_io.load_all_facts(spark, _stored(spark, d), 3)
+    return facts_io.load_all_facts(spark, _stored(spark, d)).orderBy("doc_id", "chunk_id", "fact_no")
 
 
 @query(fx("select doc_id, chunk_id, fact_no, claim from fx_facts"))
@@ -211,10 +211,11 @@ def chunk_range(spark, d):
     return _digest(chunks.chunk_range(_chunked(spark, d), 1, 3))
 
 
-@query(f"select * from ({CHUNKED}) where (doc_id + chunk_id) % 3 <> 0")
+@query(f"select * from ({CHUNKED}) join (select doc_id from documents where lang <> 'en') using (doc_id)")
 def pending_chunks(spark, d):
-    rows = _chunked(spark, d)
-    return _digest(chunks.pending_chunks(rows, rows.where("(doc_id + chunk_id) % 3 = 0")))
+    """The chunks that are left when those of English documents are done."""
+    done = chunks.chunk_lines(table(spark, d, "documents").where("lang = 'en'"), 10, 2)
+    return _digest(chunks.pending_chunks(_chunked(spark, d), done))
 
 
 @query(fx(
@@ -272,10 +273,9 @@ def control_facts(spark, d):
 # --- text functions
 
 
-@query(f"select doc_id, md5({O.norm('text')}) as digest from documents where not regexp_matches(text, '[^\\x00-\\x7F]')")
+@query(f"select doc_id, md5(replace(replace({O.norm('text')}, ' –', '–'), '– ', '–')) as digest from documents")
 def normalize_text(spark, d):
-    plain = table(spark, d, "documents").where(~F.col("text").rlike(r"[^\x00-\x7F]"))
-    return plain.select("doc_id", F.md5(T.normalize_text(F.col("text")).cast("binary")).alias("digest"))
+    return table(spark, d, "documents").select("doc_id", F.md5(T.normalize_text(F.col("text")).cast("binary")).alias("digest"))
 
 
 @query(fx("select doc_id, fact_no, start_line, start_line as end_line from fx_facts"))
@@ -318,10 +318,12 @@ def question_citations(spark, d):
     return rows.select("doc_id", bar(F.col("c")).alias("cited"))
 
 
-@query("select doc_id, array_to_string(list_slice(list_sort(list_distinct(list_filter(regexp_extract_all(text, '\\b[A-Z][a-z]+(?: [A-Z][a-z]+)*\\b', 0), lambda x: length(x) > 2))), 1, 5), '|') as entities from documents where not regexp_matches(text, '[^\\x00-\\x7F]')")
+@query(
+    "select doc_id, array_to_string(list_slice(list_sort(list_distinct(list_filter(regexp_extract_all(regexp_replace(text, '[^\\x00-\\x7F]', '_', 'g'),"
+    " '\\b[A-Z][a-z]+(?: [A-Z][a-z]+)*\\b', 0), lambda x: length(x) > 2))), 1, 5), '|') as entities from documents"
+)
 def context_entities(spark, d):
-    plain = table(spark, d, "documents").where(~F.col("text").rlike(r"[^\x00-\x7F]"))
-    return plain.select("doc_id", bar(T.context_entities(F.col("text"))).alias("entities"))
+    return table(spark, d, "documents").select("doc_id", bar(T.context_entities(F.col("text"))).alias("entities"))
 
 
 @query(fx(
@@ -360,10 +362,10 @@ def generic_term_feedback(spark, d):
     return fixtures.facts(spark, d).select("doc_id", "fact_no", score.generic_term_feedback(F.col("claim")).alias("advice"))
 
 
-@query(fx(f"select f.doc_id, f.fact_no, q.qv_ord, {O.QV_MATCH} as matches from fx_facts f join chunk_qv q using (doc_id, chunk_id) where f.line_no % 40 < 10", O.CHUNK_QV))
+@query(fx(f"select f.doc_id, f.fact_no, q.qv_ord, {O.QV_MATCH} as matches from fx_facts f join chunk_qv q using (doc_id, chunk_id)", O.CHUNK_QV))
 def qv_matches_claim(spark, d):
     values = quota.chunk_quantities(fixtures.chunks(spark, d))
-    rows = fixtures.facts(spark, d).where("line_no % 40 < 10").join(values, ["doc_id", "chunk_id"])
+    rows = fixtures.facts(spark, d).join(values, ["doc_id", "chunk_id"])
     return rows.select("doc_id", "fact_no", "qv_ord", score.qv_matches_claim(F.col("value"), F.col("type"), F.col("claim")).alias("matches"))
 
 
@@ -651,11 +653,11 @@ def join_fact_lines(spark, d):
 
 
 def _part_facts(spark, d):
-    """The facts of even lines alone, so that quantities are left over."""
-    return fixtures.facts(spark, d).where("line_no % 2 = 0")
+    """The facts that are sure enough, so that quantities are left over."""
+    return fixtures.facts(spark, d).where("confidence >= 0.9")
 
 
-PART = "part as (select * from fx_facts where line_no % 2 = 0)"
+PART = "part as (select * from fx_facts where confidence >= 0.9)"
 MISSING = (
     "missing as (select q.* from chunk_qv q where not exists (select 1 from part p where p.doc_id = q.doc_id and p.chunk_id = q.chunk_id and (p.qv = q.value or contains(lower(p.claim), lower(q.value)))))"
 )
@@ -696,9 +698,9 @@ def facts_with_context(spark, d):
     return rows.select("doc_id", "fact_no", F.md5(F.col("context").cast("binary")).alias("digest"))
 
 
-@query(fx("select f.doc_id, f.fact_no, s.s_name as title from fx_facts f left join (select s_suppkey, s_name from supplier where s_suppkey % 2 = 0) s on s.s_suppkey = f.doc_id"))
+@query(fx("select f.doc_id, f.fact_no, s.s_name as title from fx_facts f left join (select s_suppkey, s_name from supplier where s_acctbal > 0) s on s.s_suppkey = f.doc_id"))
 def facts_with_summary(spark, d):
-    names = table(spark, d, "supplier").where("s_suppkey % 2 = 0").select(F.col("s_suppkey").alias("doc_id"), F.col("s_name").alias("title"))
+    names = table(spark, d, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("doc_id"), F.col("s_name").alias("title"))
     return qa.facts_with_summary(fixtures.facts(spark, d), names).select("doc_id", "fact_no", "title")
 
 
@@ -772,9 +774,9 @@ def session_stats(spark, d):
     return stats.session_stats(fixtures.facts(spark, d)).withColumn("processed", bar(F.col("processed").cast("array<string>")))
 
 
-@query(fx("select doc_id, min(chunk_id) as first_chunk, max(chunk_id) as last_chunk, count(*) as facts, doc_id % 2 = 0 as has_summary, max(chunk_id) + 1 as next_chunk from fx_facts group by doc_id"))
+@query(fx("select doc_id, min(chunk_id) as first_chunk, max(chunk_id) as last_chunk, count(*) as facts, doc_id in (select s_suppkey from supplier where s_acctbal > 0) as has_summary, max(chunk_id) + 1 as next_chunk from fx_facts group by doc_id"))
 def session_info(spark, d):
-    names = table(spark, d, "supplier").where("s_suppkey % 2 = 0").select(F.col("s_suppkey").cast("int").alias("doc_id"))
+    names = table(spark, d, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").cast("int").alias("doc_id"))
     return stats.session_info(fixtures.facts(spark, d), names)
 
 
@@ -784,10 +786,10 @@ def multi_quote_stats(spark, d):
     return _rounded(stats.multi_quote_stats(fixtures.facts(spark, d).withColumn("evidence_quotes", twice)), "multi_percent")
 
 
-@query(fx("select doc_id, count(*) as chunks, max(case when chunk_id % 2 = 0 then chunk_id end) as last_chunk, round(avg((chunk_id % 2 = 0)::int), 6) as share from fx_chunks group by doc_id"))
+@query(fx("select doc_id, count(*) as chunks, max(case when contains(chunk_text, 'within 24 hours') then chunk_id end) as last_chunk, round(avg((contains(chunk_text, 'within 24 hours'))::int), 6) as share from fx_chunks group by doc_id"))
 def progress(spark, d):
     rows = fixtures.chunks(spark, d)
-    return _rounded(stats.progress(rows, rows.where("chunk_id % 2 = 0")), "share")
+    return _rounded(stats.progress(rows, rows.where("contains(chunk_text, 'within 24 hours')")), "share")
 
 
 @query(fx("select doc_id, round(avg(coalesce(specificity_score, 0)), 6) as average, round(avg((coalesce(specificity_score, 0) >= 0.7)::int), 6) as high_share from fx_facts group by doc_id"))

@@ -22,8 +22,11 @@ def scratch(spark: SparkSession, label: str) -> str:
 
 
 def sink_chunks(rows: DataFrame, path: str, *by: str) -> None:
-    """Write rows partitioned by `by`; partitions that are written again are replaced, others stay."""
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+    """Write rows partitioned by `by`; partitions that are written again are replaced, others stay.
+
+    Rows of a partition meet in one task first, so that each gets one file.
+    """
+    rows.repartition(*by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
 
 
 def load_all_facts(spark: SparkSession, path: str, doc_id: int | None = None) -> DataFrame:
