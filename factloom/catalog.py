@@ -495,9 +495,9 @@ def generate_fact_claim(spark, d):
     return rows.select("doc_id", "line_no", "value", "type", made["claim"].alias("claim"))
 
 
-@query()
+@query(fx(f"select doc_id, chunk_id, qv_ord, value, type, {CLAIM_SQL.replace('lower(line)', 'lower(chunk_text)')} as claim from chunk_qv join fx_chunks using (doc_id, chunk_id)", O.CHUNK_QV))
 def extract_facts(spark, d):
-    return chains.extract_facts(fixtures.chunks(spark, d))
+    return chains.extract_facts(fixtures.chunks(spark, d)).drop("fact_type")
 
 
 @query(fx(

@@ -10,11 +10,18 @@ from factloom.operators.chunks import join_fact_lines
 
 
 def number_facts(facts: DataFrame, *order: str) -> DataFrame:
-    """facts with fact_id from 1. The order is total over a document first, then over documents' counts, so that no
-    task sorts all facts: documents are numbered by their offsets."""
-    sizes = facts.groupBy("doc_id").agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = sizes.select("doc_id", before.alias("_before"))
+    """facts with fact_id from 1, by doc_id and then `order` (fact_no).
+
+    No task sorts all facts: each is ranked within its document, and documents are offset by the
+    counts before them, first within a range of ids and then over ranges.
+    """
+    sizes = facts.groupBy("doc_id").agg(F.count("*").alias("_n")).withColumn("_range", F.floor(F.col("doc_id") / 10_000))
+    earlier = (Window.unboundedPreceding, -1)
+    inside = F.sum("_n").over(Window.partitionBy("_range").orderBy("doc_id").rowsBetween(*earlier))
+    ranges = sizes.groupBy("_range").agg(F.sum("_n").alias("_m"))
+    ranges = ranges.select("_range", F.coalesce(F.sum("_m").over(Window.orderBy("_range").rowsBetween(*earlier)), F.lit(0)).alias("_ahead"))
+    offsets = sizes.withColumn("_inside", F.coalesce(inside, F.lit(0))).join(ranges, "_range")
+    offsets = offsets.select("doc_id", (F.col("_inside") + F.col("_ahead")).alias("_before"))
     turn = F.row_number().over(Window.partitionBy("doc_id").orderBy(*(order or ("fact_no",))))
     return facts.join(offsets, "doc_id").withColumn("fact_id", F.col("_before") + turn).drop("_before")
 
