@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from factloom.llm.common import U64, mix64
 
 #: Pre-tokens whose ids a worker holds, twice over at most; none longer than LONGEST_HELD characters.
-HELD, LONGEST_HELD = 250_000, 64
+HELD, LONGEST_HELD = 120_000, 64
 
 
 MASK = (1 << 64) - 1

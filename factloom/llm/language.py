@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -15,10 +16,10 @@ from pyspark.sql import functions as F
 #: The model is fitted on at most so many labelled rows of a language, those with the least hash.
 ROWS_PER_LANGUAGE = 2000
 #: Most frequent words, and n-grams of each length, that the model holds for a language.
-WORDS_PER_LANGUAGE, GRAMS_PER_LANGUAGE = 50_000, 10_000
+WORDS_PER_LANGUAGE, GRAMS_PER_LANGUAGE = 20_000, 5_000
 LONGEST = 4
 #: Unseen words whose scores a worker holds before it starts afresh.
-HELD = 200_000
+HELD = 50_000
 #: Words of evidence at which the score stops sharpening.
 FULL_EVIDENCE = 25
 UNDETERMINED = "und"
@@ -54,17 +55,21 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @dataclass
 class Model:
-    """Log frequencies by language, for words (level 0) and for n-grams of each length."""
+    """Log frequencies by language, for words (level 0) and for n-grams of each length.
+
+    A level maps its strings to rows of one matrix, so that the model stays small in every worker.
+    """
 
     languages: list[str]
-    levels: list[dict[str, np.ndarray]]
+    levels: list[dict[str, int]]
+    table: np.ndarray
 
     def backed_off(self, word: str) -> np.ndarray:
         """The mean over the longest n-grams of an unseen word that the model knows; else nothing."""
         for n in range(LONGEST, 0, -1):
-            hits = [v for g in grams(word, n) if (v := self.levels[n].get(g)) is not None]
+            hits = [at for g in grams(word, n) if (at := self.levels[n].get(g)) is not None]
             if hits:
-                return np.mean(hits, axis=0)
+                return self.table[hits].mean(axis=0)
         return np.zeros(len(self.languages), np.float32)
 
 
@@ -86,54 +91,59 @@ def fit(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> Model:
     most = Window.partitionBy("lang", "n").orderBy(F.desc("k"), "part")
     limit = F.when(F.col("n") == 0, WORDS_PER_LANGUAGE).otherwise(GRAMS_PER_LANGUAGE)
     top = counts.where("n > 0 or k > 1").withColumn("turn", F.row_number().over(most)).where(F.col("turn") <= limit)
-    rows = top.select("lang", "n", "part", "k").toPandas()
+    rows = top.select("lang", "n", "part", "k").toArrow()
 
-    languages = sorted(rows["lang"].unique())
-    index = {lang: i for i, lang in enumerate(languages)}
-    levels = []
+    names = rows["lang"].unique().to_pylist()
+    languages = sorted(names)
+    width, levels, blocks, start = len(languages), [], [], 0
     for n in range(LONGEST + 1):
-        part = rows[rows["n"] == n]
-        table: dict[str, np.ndarray] = {}
-        for lang, text, k in zip(part["lang"], part["part"], part["k"], strict=True):
-            table.setdefault(text, np.zeros(len(languages), np.float32))[index[lang]] = k
-        total = part.groupby("lang")["k"].sum().reindex(languages).fillna(0).to_numpy(np.float32)
-        smooth = total + 0.5 * max(1, len(table))
-        levels.append({text: np.log((v + 0.5) / smooth).astype(np.float32) for text, v in table.items()})
-    return Model(languages, levels)
-
-
-def _predict(model: Model):
+        part = rows.filter(pc.equal(rows["n"], n))
+        level: dict[str, int] = {}
+        for text in part["part"].to_pylist():
+            level.setdefault(text, start + len(level))
+        k = np.zeros((len(level), width))
+        at = np.array([level[t] for t in part["part"].to_pylist()], np.int64) - start
+        lang = np.array([languages.index(x) for x in part["lang"].to_pylist()], np.int64)
+        k[at, lang] = part["k"].to_numpy()
+        blocks.append(np.log((k + 0.5) / (k.sum(axis=0) + 0.5 * max(1, len(level)))).astype(np.float32))
+        levels.append(level)
+        start += len(level)
+    return Model(languages, levels, np.concatenate(blocks) if width else np.zeros((0, 1), np.float32))
+
+
+def _texts(batch: pa.RecordBatch) -> pa.Array:
+    """The texts of a batch: its second column, or the field of its only one, a struct."""
+    return batch.column(1) if batch.num_columns > 1 else batch.column(0).field("text")
+
+
+def _predict(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        width = max(1, len(model.languages))
-        base = model.levels[0]
-        table = np.zeros((len(base) + HELD + 1, width), np.float32)
-        place = {}
-        for i, (word, v) in enumerate(base.items()):
-            place[word], table[i] = i, v
-        fixed = len(base)
-        end, known = fixed, dict(place)
+        model = shared.value
+        base, fixed = model.levels[0], len(model.table)
+        table = np.concatenate([model.table, np.zeros((HELD, model.table.shape[1]), np.float32)])
+        unseen: dict[str, int] = {}
         for batch in batches:
             langs, scores = [], []
-            for text in batch.column(1):
+            for text in _texts(batch):
                 text = text.as_py()
                 words = LETTERS.findall(text.lower()) if text else []
                 if not words or not model.languages:
                     langs.append(UNDETERMINED)
                     scores.append(0.0)
                     continue
-                total, at = np.zeros(width), 0
-                while at < len(words):  # in slices, so that unseen words never outgrow the table
+                total = np.zeros(table.shape[1])
+                for at in range(0, len(words), HELD):  # in slices, so that unseen words never outgrow the table
                     piece = words[at : at + HELD]
-                    at += HELD
-                    fresh = {w for w in piece if w not in known}
-                    if end + len(fresh) > len(table):
-                        end, known = fixed, dict(place)
-                        fresh = {w for w in piece if w not in known}
+                    rows = list(map(base.get, piece))
+                    fresh = {w for w, row in zip(piece, rows, strict=True) if row is None and w not in unseen}
+                    if len(unseen) + len(fresh) > HELD:
+                        unseen.clear()
+                        fresh = {w for w, row in zip(piece, rows, strict=True) if row is None}
                     for w in fresh:
-                        table[end] = model.backed_off(w)
-                        known[w] = end
-                        end += 1
-                    total += table[np.fromiter(map(known.__getitem__, piece), np.int64, len(piece))].sum(0)
+                        unseen[w] = row = fixed + len(unseen)
+                        table[row] = model.backed_off(w)
+                    rows = [unseen[w] if row is None else row for w, row in zip(piece, rows, strict=True)]
+                    total += table[rows].sum(axis=0)
                 mean = total / len(words) * min(len(words), FULL_EVIDENCE)
                 p = np.exp(mean - mean.max())
                 langs.append(model.languages[int(p.argmax())])
@@ -153,10 +163,14 @@ def identify(docs: DataFrame, model: Model, row: Column | None = None) -> DataFr
     text if nothing could be learnt. The score is the winner's share of the likelihood, from words
     worth at most FULL_EVIDENCE; ties go to the first language by name.
     """
-    row = F.struct(*docs.columns) if row is None else row
-    rows = docs.select(row.alias("row"), F.col("text").cast("string").alias("text"))
+    if row is None:  # the text travels once, within the row
+        rows = docs.withColumn("text", F.col("text").cast("string"))
+        rows = rows.select(F.struct(*rows.columns).alias("row"))
+    else:
+        rows = docs.select(row.alias("row"), F.col("text").cast("string").alias("text"))
     kind = rows.schema["row"].dataType.simpleString()
-    return rows.mapInArrow(_predict(model), f"row {kind}, lang_pred string, score double")
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return rows.mapInArrow(_predict(shared), f"row {kind}, lang_pred string, score double")
 
 
 def training_rows(docs: DataFrame) -> DataFrame:

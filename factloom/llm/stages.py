@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +14,9 @@ from factloom.llm.common import maybe_broadcast, table, written
 TOKENIZER_FILE = "byte_bpe_50k.tiktoken"
 
 
+@lru_cache(maxsize=1)
 def tokenizer() -> bpe.Tokenizer:
+    """Built once: it is of fixed size and never changes."""
     return bpe.Tokenizer.from_file(public_tokenizers.path(TOKENIZER_FILE), public_tokenizers.PATTERN)
 
 
