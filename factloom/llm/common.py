@@ -17,12 +17,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a local one only where the session names none (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", "")
+    """The folder that all executors share, as the session names it; a local one only where it names none (tests)."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        named = tempfile.mkdtemp(prefix="factloom-shared-")
-        spark.conf.set("spark.checkpoint.dir", named)
+        named = _OWN.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="factloom-shared-"))
     return named.rstrip("/")
 
 
