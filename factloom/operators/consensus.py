@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factloom.sources.facts_io import stored
+
 
 def cosine(a: Column, b: Column) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
@@ -43,14 +45,15 @@ def similar_facts(vectors: DataFrame, least: float = 0.85, planes: int = 4, tabl
 def fact_clusters(pairs: DataFrame, nodes: DataFrame, rounds: int = 30) -> DataFrame:
     """node, cluster: connected groups by the smallest id reachable; nodes without a pair are their own."""
     both = pairs.select("a", "b").union(pairs.select("b", "a")).distinct()
-    labels = nodes.select(F.col("node"), F.col("node").alias("cluster"))
+    both = stored(both, "links")
+    labels = stored(nodes.select(F.col("node"), F.col("node").alias("cluster")), "clusters")
     for _ in range(rounds):
-        labels = labels.checkpoint()
         around = both.join(labels, both["b"] == labels["node"]).groupBy(F.col("a").alias("node")).agg(F.min("cluster").alias("least"))
         step = labels.join(around, "node", "left").select("node", F.least("cluster", F.coalesce("least", "cluster")).alias("cluster"))
         # follow the label's own label, which halves the distance left
         via = step.select(F.col("node").alias("via"), F.col("cluster").alias("root"))
-        new = step.join(via, step["cluster"] == via["via"]).select("node", F.col("root").alias("cluster")).checkpoint()
+        new = step.join(via, step["cluster"] == via["via"]).select("node", F.col("root").alias("cluster"))
+        new = stored(new, "clusters")
         changed = new.join(labels.withColumnRenamed("cluster", "old"), "node").where("cluster <> old").limit(1).count()
         labels = new
         if not changed:

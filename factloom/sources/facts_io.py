@@ -12,15 +12,24 @@ FACT = "struct<claim:string,source_doc:string,source_location:string,evidence_qu
 CONSOLIDATED = f"session_id string, documents map<string, struct<facts: array<{FACT}>, fact_count: bigint>>, facts array<{FACT}>"
 
 
+_OWN: dict[str, str] = {}
+
+
 def scratch(spark: SparkSession, label: str) -> str:
     """A new folder in the shared one that the session names (a local one only where it names none)."""
-    base = spark.conf.get("spark.checkpoint.dir", "")
+    base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="factloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        base = _OWN.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="factloom-"))
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """Cut lineage: write rows to the shared folder and read them back."""
+    path = scratch(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def sink_chunks(rows: DataFrame, path: str, *by: str) -> None:
     """Write rows partitioned by `by`; partitions that are written again are replaced, others stay.
 
