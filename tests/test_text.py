@@ -88,6 +88,6 @@ def test_control_rows():
 
 
 def test_cleaning_and_citations(spark):
-    dirty = "a\n\n  Contents ........................ 4\nb ========== c\nx #\n"
+    dirty = "a\n\n  Toc ........................ 4\nb ========== c\nx #\n"
     assert column(spark, [dirty, "", None], T.clean_ocr_text) == ["a\nb --- c\nx ", "", None]
     assert column(spark, ["[Fact 2] so [Fact 1], [Fact 2]", "none"], T.question_citations) == [["2", "1"], []]
