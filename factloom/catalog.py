@@ -1001,7 +1001,7 @@ def similar_facts(spark, d):
 def fact_clusters(spark, d):
     vectors = table(spark, d, "embeddings")
     nodes = vectors.where("vec_id is not null").select(F.col("vec_id").alias("node")).distinct()
-    return consensus.fact_clusters(consensus.similar_facts(vectors, 0.4), nodes)
+    return consensus.fact_clusters(consensus.similar_links(vectors, 0.4), nodes)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

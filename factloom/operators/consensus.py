@@ -2,52 +2,53 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from factloom.operators.cosine import close_vectors, cosine, usable
 from factloom.sources.facts_io import stored
 
 
-def cosine(a: Column, b: Column) -> Column:
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+def _close(vectors: DataFrame, least: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows that have a cosine, their different vectors (the smallest id stands for equal ones), close pairs of these."""
+    rows = stored(usable(vectors), "usable")
+    distinct = rows.groupBy("key").agg(F.first("kind").alias("kind"), F.first("vector").alias("vector"), F.min("vec_id").alias("first"))
+    distinct = stored(distinct, "distinct")
+    return rows, distinct, close_vectors(distinct, least)
 
 
-def similar_facts(vectors: DataFrame, least: float = 0.85, planes: int = 4, tables: int = 12, seed: int = 11) -> DataFrame:
-    """a, b, cosine: pairs (a < b) within a label whose cosine is at least `least`.
+def similar_facts(vectors: DataFrame, least: float = 0.85) -> DataFrame:
+    """a, b, cosine: every pair (a < b) within a label whose cosine is at least `least`.
 
-    Candidates share the label and a bucket of signs of a few components' sums in one of several
-    tables, so labels of any size are never paired whole; the cosine then decides.
+    Equal vectors are compared once and their rows paired afterwards. Vectors of another width, of
+    zeros or with a component that is null or not finite have no cosine.
     """
-
-    def plane(t: int, p: int) -> Column:
-        def signed(x: Column, i: Column) -> Column:
-            return F.when(F.pmod(F.xxhash64(i, F.lit(t), F.lit(p), F.lit(seed)), F.lit(2)) == 0, x).otherwise(-x)
-
-        total = F.aggregate(F.transform("embedding", signed), F.lit(0.0), lambda s, v: s + v.cast("double"))
-        return F.when(total > 0, 1 << p).otherwise(0)
-
-    def bucket(t: int) -> Column:
-        code = reduce(lambda a, b: a + b, [plane(t, p) for p in range(planes)])
-        return F.struct(F.lit(t).alias("t"), code.alias("code"))
-
-    rows = vectors.where("embedding is not null and vec_id is not null").select(
-        "vec_id", "label", "embedding", F.explode(F.array(*(bucket(t) for t in range(tables)))).alias("bucket")
-    )
-    other = rows.select("label", "bucket", F.col("vec_id").alias("b"), F.col("embedding").alias("other"))
-    pairs = rows.join(other, ["label", "bucket"]).where("vec_id < b")
-    found = pairs.select(F.col("vec_id").alias("a"), "b", cosine(F.col("embedding"), F.col("other")).alias("cosine"))
-    return found.where(F.col("cosine") >= least).dropDuplicates(["a", "b"])
-
-
-def fact_clusters(pairs: DataFrame, nodes: DataFrame, rounds: int = 30) -> DataFrame:
+    rows, distinct, close = _close(vectors, least)
+    close = stored(close, "close")
+    ids = rows.select("key", "vec_id")
+    of = lambda s: ids.select(F.col("key").alias(f"key_{s}"), F.col("vec_id").alias(s))
+    apart = close.join(of("a"), "key_a").join(of("b"), "key_b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "cosine")
+    same = distinct.select("key", cosine(F.col("vector"), F.col("vector")).alias("cosine")).where(F.col("cosine") >= least)
+    same = same.join(ids.withColumnRenamed("vec_id", "a"), "key").join(ids.withColumnRenamed("vec_id", "b"), "key").select("a", "b", "cosine")
+    # An id that stands at several vectors has its best cosine
+    return apart.union(same).where("a < b").groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
+
+
+def similar_links(vectors: DataFrame, least: float = 0.85) -> DataFrame:
+    """a, b: links that join the same rows into groups as similar_facts, without all pairs of equal vectors."""
+    rows, distinct, close = _close(vectors, least)
+    of = lambda s: distinct.select(F.col("key").alias(f"key_{s}"), F.col("first").alias(s))
+    apart = close.join(of("a"), "key_a").join(of("b"), "key_b").select("a", "b")
+    same = distinct.where(cosine(F.col("vector"), F.col("vector")) >= least).select("key", F.col("first").alias("a"))
+    return apart.union(same.join(rows, "key").select("a", F.col("vec_id").alias("b"))).where("a <> b")
+
+
+def fact_clusters(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """node, cluster: connected groups by the smallest id reachable; nodes without a pair are their own."""
     both = pairs.select("a", "b").union(pairs.select("b", "a")).distinct()
     both = stored(both, "links")
     labels = stored(nodes.select(F.col("node"), F.col("node").alias("cluster")), "clusters")
-    for _ in range(rounds):
+    while True:
         around = both.join(labels, both["b"] == labels["node"]).groupBy(F.col("a").alias("node")).agg(F.min("cluster").alias("least"))
         step = labels.join(around, "node", "left").select("node", F.least("cluster", F.coalesce("least", "cluster")).alias("cluster"))
         # follow the label's own label, which halves the distance left
@@ -57,8 +58,7 @@ def fact_clusters(pairs: DataFrame, nodes: DataFrame, rounds: int = 30) -> DataF
         changed = new.join(labels.withColumnRenamed("cluster", "old"), "node").where("cluster <> old").limit(1).count()
         labels = new
         if not changed:
-            break
-    return labels
+            return labels
 
 
 def centroids(clusters: DataFrame, vectors: DataFrame) -> DataFrame:
