@@ -31,7 +31,7 @@ ROWS_PER_LABEL = 10_000
 LEAST_DOCUMENTS, MOST_FEATURES = 5, 50_000
 STEMS = range(3, 8)
 HELD = 200_000
-#: Longer runs without white space are no disguised words; only their runs of letters count.
+#: Longer runs are decoded in pieces of this length, each of which starts in the middle of the one before.
 LONGEST_TOKEN = 256
 EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "“”«»„…¿¡"
 
@@ -151,8 +151,24 @@ class Restorer:
         if all(p.isalpha() and len(p) > 1 for p in plain) and not REPEATED.search(token):
             return pieces
         # pieces too, so that a plain word beside signs still counts
-        out = [w for s in decode(token, self.model) for w in s.split()] if len(token) <= LONGEST_TOKEN else []
-        return list(dict.fromkeys(out + [p for p in pieces if len(p) > 2]))
+        return list(dict.fromkeys(self._decoded(token) + [p for p in pieces if len(p) > 2]))
+
+    def _decoded(self, token: str) -> list[str]:
+        """Words of the likeliest plain texts of a run of any length.
+
+        A word at a cut may be a part of one; it stands whole inside the piece before or after, if it
+        covers less than a quarter of a piece.
+        """
+        if len(token) <= LONGEST_TOKEN:
+            return [w for s in decode(token, self.model) for w in s.split()]
+        out: dict[str, None] = {}
+        step = LONGEST_TOKEN // 2
+        for at in range(0, len(token) - step, step):
+            for s in decode(token[at : at + LONGEST_TOKEN], self.model):
+                words = s.split()
+                last = at + LONGEST_TOKEN >= len(token)
+                out |= dict.fromkeys(words[at > 0 : len(words) - (not last)] or words)
+        return list(out)
 
     def words(self, text: str) -> list[str]:
         text = text.lower()

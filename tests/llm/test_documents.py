@@ -240,3 +240,18 @@ def test_toxicity_of_disguised_words(spark):
     assert all(got[i] >= 0.3 for i in range(6)), got
     assert all(got[i] < 0.3 for i in range(6, 10)), got
     assert toxicity.fit(docs.limit(5), labels.limit(0)).prior == 0
+
+
+def test_toxicity_of_long_disguised_runs(spark):
+    docs, labels = (common.table(spark, "/root/testdata/sf0.1", t) for t in ("documents", "labels"))
+    model = toxicity.fit(docs.select("doc_id", "text"), labels)
+    plain = "the thing and that which they made of it for the people in the house "
+    texts = []
+    for before, after in ((0, 0), (0, 30), (30, 0), (15, 16)):
+        words = plain.split() * before + "you are a stupid idiot and a moron".split() + plain.split() * after
+        texts += ["  ".join(" ".join(w) for w in words), ".".join("".join(words)), "--".join("-".join(w) for w in words)]
+    texts += ["  ".join(" ".join(w) for w in plain.split() * 40)]
+    assert max(map(len, texts)) > 3000
+    got = {r.row.doc_id: r.score for r in toxicity.score(table(spark, texts), model).collect()}
+    assert all(got[i] >= 0.3 for i in range(len(texts) - 1)), got
+    assert got[len(texts) - 1] < 0.3, got
