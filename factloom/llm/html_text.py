@@ -34,6 +34,10 @@ CLOSES = {
     "option": {"option"},
 }
 KEEPERS = frozenset("table ul ol dl div section article main body html td th".split())
+#: Elements of text, which stand in an article and are never where it stands; parts of tables, which are so unless a cell lays out the page.
+LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 hgroup pre blockquote ul ol dl li dt dd figure figcaption caption summary legend address".split())
+TABLES, CELLS = frozenset("table thead tbody tfoot tr".split()), frozenset(["td", "th"])
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements that hold no part of an article.
 OUTSIDE = frozenset("nav header footer aside form menu button select dialog head label fieldset".split())
 #: Words of class, id and role that mark the same.
@@ -130,22 +134,52 @@ def _good(b: Block) -> int:
     return 0 if b.outside else max(0, len(b.text) - 2 * b.links)
 
 
+def _tag(name: str) -> str:
+    return name.split(".", 1)[0]
+
+
+def _likely(name: str) -> bool:
+    """True for the elements of articles, and for classes that name one."""
+    tag, _, classes = name.partition(".")
+    return tag in ("article", "main") or MAIN.search(classes.replace(".", " ")) is not None
+
+
+def _containers(path: tuple[str, ...], layout: set[tuple[str, ...]]) -> Iterator[tuple[str, ...]]:
+    """The paths above a block at which an article may stand: none within text, lists or tables of data."""
+    for i, name in enumerate(path, 1):
+        tag = _tag(name)
+        if tag in LEAVES or (tag in CELLS and path[:i] not in layout):
+            return
+        if tag not in TABLES:
+            yield path[:i]
+
+
 def scores(page: list[Block]) -> dict[str, float]:
-    """Generalised paths of containers, and how well each holds the page's text and nothing else."""
+    """Generalised paths of containers, and how well each holds the page's text and nothing else.
+
+    Text outside an article is left out wherever it stands, so no container is charged for it.
+    """
     good, all_text = defaultdict(int), defaultdict(int)
     total = 0
+    # Cells that hold headings or are named as an article's lay out the page
+    layout = {
+        b.path[:i]
+        for b in page
+        for i, name in enumerate(b.path, 1)
+        if _tag(name) in CELLS and (_likely(name) or any(_tag(n) in HEADINGS for n in b.path[i:]))
+    }
     for b in page:
         g = _good(b)
         total += g
-        for i in range(1, len(b.path) + 1):
-            good[b.path[:i]] += g
-            all_text[b.path[:i]] += len(b.text)
+        if b.outside:
+            continue
+        for path in _containers(b.path, layout):
+            good[path] += g
+            all_text[path] += len(b.text)
     out = {}
     for path, g in good.items():
         if total and g >= 0.3 * total:
-            name = path[-1]
-            likely = name.split(".")[0] in ("article", "main") or MAIN.search(name.replace(".", " ")) is not None
-            out["/".join(path)] = g / total * g / max(1, all_text[path]) * (1.2 if likely else 1.0)
+            out["/".join(path)] = g / total * g / max(1, all_text[path]) * (1.2 if _likely(path[-1]) else 1.0)
     return out
 
 

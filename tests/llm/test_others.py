@@ -26,6 +26,28 @@ def test_main_text():
     assert html_text.extract(html_text.blocks("<p>a<p>b <!-- open"), "html/none") == "a\nb"
 
 
+LONG = """<html><body><nav>Home</nav><div class="story-box"><h1>{0}</h1>{1}<h2>Second heading</h2><ul><li>first item</li><li>second item</li></ul>
+<table><tr><td>cell one</td><td>cell two</td></tr></table><blockquote>a quote</blockquote><pre>some code</pre>
+<div class="comments">{2}</div></div><footer>end</footer></body></html>"""
+
+
+@pytest.mark.parametrize("inner", [0, 500, 5000])
+def test_articles_keep_lists_and_headings(spark, inner):
+    body = "".join(f"<p>{'sentence of the story. ' * 20}</p>" for _ in range(5))
+    pages = [LONG.format(f"Heading {i}", body, "I disagree. " * (inner // 12)).replace("story-box", name) for i, name in enumerate(("story-box", "x", "box"))]
+    rows = [(i, f"http://h{i}.example/", page) for i, page in enumerate(pages)]
+    for r in html_text.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect():
+        lines = r.text.split("\n")
+        assert lines[0] == f"Heading {r.page_id}" and len(lines) == 13 and "disagree" not in r.text
+        assert {"Second heading", "first item", "second item", "cell one", "cell two", "a quote", "some code"} < set(lines)
+
+
+def test_cells_that_lay_out_a_page():
+    page = "<table><tr><td><a href=x>other pages of the site</a></td><td class=content><h1>Title</h1><p>The article.</p></td></tr></table>"
+    blocks = html_text.blocks(page)
+    assert html_text.extract(blocks, html_text.best(html_text.scores(blocks))) == "Title\nThe article."
+
+
 def test_hosts_vote(spark):
     def page(i, body):
         return (i, f"http://h{i % 2}.example/{i}", f"<html><body><nav>x y</nav><div class='c{i}'><p>{body}</p></div></body></html>", "x")
