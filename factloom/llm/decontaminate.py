@@ -3,8 +3,9 @@
 DataFrame functions only. Three steps narrow the windows, none of which can lose one that the last
 step would accept:
 
-1. A window that shares no shingle with an item has similarity 0, so only windows aligned at a
-   shared shingle are fingerprinted, and only where a document shares enough shingles with the item.
+1. A window whose first shingle is not the item's is no better than the one a shingle later, so the
+   most similar window starts at a shared shingle. Only those are fingerprinted, and of those only
+   the ones that hold enough places of shared shingles to reach the similarity.
 2. Two 64-bit fingerprints at most RADIUS bits apart agree on one of RADIUS + 1 blocks of their bits
    (pigeonhole), so a join on blocks finds all of them. At similarity 0.8 fingerprints differ in
    about 10 bits, with a standard deviation of 3; RADIUS lies 6 deviations above.
@@ -63,7 +64,8 @@ def contaminated(docs: DataFrame, items: DataFrame, size: int = SHINGLE, percent
     similarity to it of at least percent / 100, over `size`-word shingles weighted by their number.
     An item of fewer words is one shingle and must occur word for word. Texts and keys that are null,
     and texts without words, match nothing. Rows that repeat a doc_id are searched each by
-    themselves; the pair is returned once. Ties go to the first window. Other columns are ignored.
+    themselves; the pair is returned once. Ties go to the first window that
+    starts at a shared shingle. Other columns are ignored.
     """
     spark = docs.sparkSession
     items = items.where("item_id is not null and text is not null").select(
@@ -102,7 +104,7 @@ def _search(texts: DataFrame, items: DataFrame, size: int, percent: int) -> Data
         F.count("*").alias("hits"),
         F.first("n").alias("n"),
         F.first("n_words").alias("n_words"),
-        F.collect_set(F.greatest(F.col("pos") - F.col("at"), F.lit(0))).alias("starts"),
+        F.array_sort(F.collect_set("pos")).alias("starts"),
     )
     # |A and B| >= percent% of |A or B| >= percent% of the item's shingles
     shared = written(shared.where(f"100 * hits >= {percent} * n"), "shared")
@@ -113,7 +115,10 @@ def _search(texts: DataFrame, items: DataFrame, size: int, percent: int) -> Data
     )
     again = again.select("doc_id", "copy", _shingles(size).alias("shingles")).distinct()
     windows = again.join(shared.select("doc_id", "copy", "item_id", "n", "n_words", "starts"), ["doc_id", "copy"])
-    windows = windows.select("doc_id", "copy", "item_id", "n", "n_words", "shingles", F.explode("starts").alias("start"))
+    # both >= percent% of (own + n - both), and a window has at most as many shingles in common as shared places
+    least = f"cast(ceil({percent} * (least(n, size(shingles) - s) + n) / {100 + percent}.0) as int)"
+    starts = F.expr(f"filter(starts, (s, i) -> get(starts, i + {least} - 1) < s + n)")
+    windows = windows.select("doc_id", "copy", "item_id", "n", "n_words", "shingles", F.explode(starts).alias("start"))
     rows = written(
         windows.select(*WINDOW, "n", "n_words", F.explode(F.expr("slice(shingles, start + 1, n)")).alias("h")), "windows"
     )
