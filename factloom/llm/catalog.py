@@ -38,8 +38,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = nearest.usable(table(spark, sf_dir, "embeddings"))
-    return nearest.nearest(rows, rows.where("vec_id % 20 = 0"))
+    return nearest.nearest(nearest.usable(table(spark, sf_dir, "embeddings")), F.expr("vec_id % 20 = 0"))
 
 
 def op6_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -81,30 +81,73 @@ def test_archives(spark, tmp_path):
     assert warc.archived(df.limit(0)).count() == 0
 
 
-def test_nearest_equals_brute_force(spark):
-    rng = np.random.default_rng(3)
-    x = rng.standard_normal((3000, 16)).round(3).astype(np.float32)
-    x[5] = x[6] = x[7]
-    rows = [(i, v.tolist(), 0) for i, v in enumerate(x)]
-    rows += [(5000, None, 0), (5020, [0.0] * 16, 0), (5040, [float("nan")] * 16, 0), (5060, [None] * 16, 0), (5080, [float("inf")] * 16, 0), (None, [1.0] * 16, 0)]
-    df = nearest.usable(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"))
-    got = {}
-    for r in nearest.nearest(df, df.where("vec_id % 20 = 0")).orderBy("query_id", "rank").collect():
+def answers(df, **how):
+    """{query_id: [(rank, vec_id, score), ...]} and the mean number of vectors compared."""
+    got, verified = {}, {}
+    for r in nearest.nearest(df, F.expr("vec_id % 20 = 0"), **how).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
-    assert len(got) == 150
+        verified[r.query_id] = r.verified
+    return got, np.mean(list(verified.values()))
+
+
+def recall(x, got, k=20):
+    """The share of the k best that were found; ranks, scores and order are checked too."""
     hit = 0
     wide = x.astype(np.float64)
     for q, found in got.items():
         s = wide @ wide[q]
         s[q] = -np.inf
-        want = np.lexsort((np.arange(len(s)), -s))[:20]
+        want = np.lexsort((np.arange(len(s)), -s))[:k]
         hit += len(set(want) & {v for _, v, _ in found})
-        assert [r for r, _, _ in found] == list(range(1, 21)) and all(abs(sc - s[v]) < 1e-9 for _, v, sc in found)
+        assert [r for r, _, _ in found] == list(range(1, k + 1)) and all(abs(sc - s[v]) < 1e-9 for _, v, sc in found)
         assert found == sorted(found, key=lambda f: (-f[2], f[1]))
-    assert hit >= 0.9 * 20 * len(got)
-    few = df.where("vec_id < 3")
-    assert nearest.nearest(few, few.where("vec_id = 0")).count() == 2
-    assert nearest.nearest(df.limit(0), df.limit(0)).count() == 0
+    return hit / (k * len(got))
+
+
+@pytest.mark.parametrize("pack_rows", [600, 20_000])
+def test_nearest_equals_brute_force(spark, pack_rows):
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((3000, 16)).round(3).astype(np.float32)
+    x[5] = x[6] = x[7]
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(x)]
+    rows += [(5000, None, 0), (5020, [0.0] * 16, 0), (5040, [float("nan")] * 16, 0), (5060, [None] * 16, 0), (5080, [float("inf")] * 16, 0), (None, [1.0] * 16, 0), (5100, [1.0] * 3, 0)]
+    df = nearest.usable(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"))
+    got, _ = answers(df, pack_rows=pack_rows)
+    assert len(got) == 150 and recall(x, got) >= 0.9
+    few, none = df.where("vec_id < 3"), df.limit(0)
+    assert nearest.nearest(few, F.expr("vec_id = 0")).count() == 2
+    assert nearest.nearest(none, F.expr("vec_id = 0")).count() == 0
+    assert nearest.nearest(df, F.expr("vec_id = -1")).count() == 0
+
+
+def test_search_stops_early(spark):
+    """Isotropic unit vectors, the worst case for an index, and tight groups, where whole packs are out of reach."""
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((12_000, 64))
+    x = (x / np.sqrt((x * x).sum(1))[:, None]).astype(np.float32)
+    df = nearest.usable(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>"))
+    got, verified = answers(df)
+    assert recall(x, got) >= 0.9 and verified <= 0.3 * len(x)
+    y = (4 * rng.standard_normal((100, 64))[np.arange(6000) % 100] + 0.3 * rng.standard_normal((6000, 64))).astype(np.float32)
+    df = nearest.usable(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(y)], "vec_id long, embedding array<float>"))
+    got, verified = answers(df, pack_rows=500)
+    assert recall(y, got) >= 0.9 and verified <= 0.1 * len(y)
+
+
+def test_nearest_of_repeated_rows(spark):
+    """A third of all rows is one vector, and a vec_id stands at two rows: each is a query and a candidate by itself."""
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.standard_normal(8).round(2).tolist()) for i in range(200)] + [(1000 + i, [1.0] * 8) for i in range(100)]
+    rows += [(20, [2.0] * 8), (40, rows[40][1])]
+    df = nearest.usable(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = nearest.nearest(df, F.expr("vec_id in (20, 40)"), k=5, pack_rows=40).collect()
+    assert len(got) == 4 * 5
+    vectors = [np.array(v) for _, v in rows]
+    for at, (i, v) in enumerate(rows):
+        if i in (20, 40):
+            scores = sorted((float(np.array(v) @ w) for n, w in enumerate(vectors) if n != at), reverse=True)[:5]
+            mine = [r for r in got if r.query_id == i]
+            assert all(min(abs(s - r.score) for r in mine if r.rank == k + 1) < 1e-9 for k, s in enumerate(scores))
 
 
 def test_components(spark):
