@@ -22,6 +22,8 @@ from factloom.llm.common import maybe_broadcast, shared_dir, written
 
 #: Uncompressed bytes after which a frame and a bundle are closed; a record is never cut.
 FRAME_BYTES, BUNDLE_BYTES = 256 << 10, 64 << 20
+#: Frames of a run, which is read at one go, and runs of a task.
+RUN_FRAMES, RUNS_PER_TASK = 16, 4
 #: Payloads of fewer bytes are always stored in full.
 LEAST_REVISIT = 1000
 #: Fixed values of the seekable Zstandard format: skippable frame, and the footer's last four bytes.
@@ -36,31 +38,34 @@ RECORD = (
 )
 
 
-def _id(page: int) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page}')}>"
+def _id(page: int | None, row: int) -> str:
+    """An identifier of the row, so that rows that repeat a page have records of their own."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page}:{row}')}>"
 
 
 def _clean(value: str) -> str:
     return "".join(c for c in value if c not in "\r\n")
 
 
-def record(page: int, url: str | None, payload: bytes | None, size: int, digest: str, refers_to: int | None) -> bytes:
-    """One WARC/1.1 record; a revisit has no payload, but the length and digest of the one it refers to."""
+def record(row: int, page: int | None, url: str | None, payload: bytes | None, size: int, digest: str, leader: int | None, refers_to: int | None) -> bytes:
+    """One WARC/1.1 record; a revisit (of the row `leader`) has no payload, but the length and digest of the one it refers to."""
     head = [
         "WARC/1.1",
-        f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
-        f"WARC-Record-ID: {_id(page)}",
+        f"WARC-Type: {'response' if leader is None else 'revisit'}",
+        f"WARC-Record-ID: {_id(page, row)}",
         f"WARC-Date: {DATE}",
         f"WARC-Payload-Digest: sha1:{digest}",
-        f"X-Page-ID: {page}",
         f"X-Payload-Length: {size}",
         "Content-Type: text/html; charset=utf-8",
     ]
+    if page is not None:
+        head.append(f"X-Page-ID: {page}")
     if url is not None:
         head.append(f"WARC-Target-URI: {_clean(url)}")
-    if refers_to is not None:
-        head += [f"WARC-Refers-To: {_id(refers_to)}", f"X-Refers-To-Page-ID: {refers_to}", f"WARC-Profile: {PROFILE}"]
-    body = payload if refers_to is None and payload else b""
+    if leader is not None:
+        head += [f"WARC-Refers-To: {_id(refers_to, leader)}", f"WARC-Profile: {PROFILE}"]
+        head += [f"X-Refers-To-Page-ID: {refers_to}"] if refers_to is not None else []
+    body = payload if leader is None and payload else b""
     head.append(f"Content-Length: {len(body)}")
     return ("\r\n".join(head) + "\r\n\r\n").encode() + body + b"\r\n\r\n"
 
@@ -122,16 +127,16 @@ def parse(data: bytes) -> Iterator[dict]:
         end = body + length + 4
         if data[body + length : end] != b"\r\n\r\n":
             raise ValueError("record does not end where its length says")
-        refers = head.get("X-Refers-To-Page-ID")
+        number = lambda name: int(head[name]) if name in head else None
         yield {
             "offset": at,
             "length": end - at,
-            "page_id": int(head["X-Page-ID"]),
+            "page_id": number("X-Page-ID"),
             "url": head.get("WARC-Target-URI"),
             "record_type": head["WARC-Type"],
             "payload_bytes": int(head["X-Payload-Length"]),
             "payload_digest": head["WARC-Payload-Digest"].removeprefix("sha1:"),
-            "refers_to": None if refers is None else int(refers),
+            "refers_to": number("X-Refers-To-Page-ID"),
             "payload": data[body : body + length],
         }
         at = end
@@ -160,12 +165,12 @@ def _writer(folder: str):
             return out
 
         for batch in batches:
-            for page, url, payload, size, digest, refers in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for row, page, *rest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if bundle is None:
                     # A name of its own for every attempt: only the index of the one that succeeds is kept
                     name = f"{uuid.uuid4().hex}.warc.zst"
                     bundle = BundleWriter(fs.open_output_stream(f"{root}/{name}", compression=None))
-                data = record(page, url, payload, size, digest, refers)
+                data = record(row, page, *rest)
                 frame, offset = bundle.add(data)
                 waiting.append((page, frame, offset, len(data)))
                 if bundle.plain >= FRAME_BYTES:
@@ -192,9 +197,10 @@ def _reader(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pafs.FileSystem.from_uri(folder)
         for batch in batches:
-            for name in batch.column(0).to_pylist():
+            for name, frames in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 with fs.open_input_file(f"{root}/{name}") as file:
-                    for start, packed, plain in seek_table(file):
+                    table = seek_table(file)
+                    for start, packed, plain in (table[frame] for frame in sorted(frames)):
                         file.seek(start)
                         data = zstandard.ZstdDecompressor().decompress(file.read(packed), max_output_size=plain)
                         got = list(parse(data))
@@ -209,39 +215,54 @@ def _reader(folder: str):
 
 
 def prepared(pages: DataFrame) -> DataFrame:
-    """page_id, url, payload, its bytes and SHA-1, and refers_to: the largest page_id with an equal payload, if another."""
-    rows = pages.where("page_id is not null").select(
+    """row, page_id, url, payload (null for a revisit), its bytes and SHA-1, leader and refers_to.
+
+    Of the rows with an equal payload the leader is the one with the largest page_id (null is the
+    smallest, and of equal ones the first row leads); for the others, leader and refers_to name it.
+    """
+    rows = pages.select(
+        F.monotonically_increasing_id().alias("row"),
         F.col("page_id").cast("long"),
         F.col("url").cast("string"),
         F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8").alias("payload"),
     )
     rows = rows.withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": F.sha1("payload")})
-    groups = rows.where(f"payload_bytes >= {LEAST_REVISIT}").groupBy("payload_digest", "payload_bytes").agg(
-        F.max("page_id").alias("first"), F.count("*").alias("copies")
-    )
-    # Only payloads that repeat go into the join, which is broadcast if they are few
+    rows = written(rows, "pages")  # row numbers are fixed from here on
+    same = ["payload_digest", "payload_bytes"]
+    groups = rows.where(f"payload_bytes >= {LEAST_REVISIT}").groupBy(*same).agg(F.max("page_id").alias("refers_to"), F.count("*").alias("copies"))
+    # Only payloads that repeat go into the joins, which are broadcast if they are few
     groups = written(groups.where("copies > 1").drop("copies"), "payloads")
-    joined = rows.join(maybe_broadcast(groups, 200_000), ["payload_digest", "payload_bytes"], "left")
-    refers = F.when(F.col("first") != F.col("page_id"), F.col("first"))
+    heads = rows.select("row", "page_id", *same).join(maybe_broadcast(groups, 200_000), same).where("page_id <=> refers_to")
+    groups = written(heads.groupBy(*same, "refers_to").agg(F.min("row").alias("leader")), "leaders")
+    joined = rows.join(maybe_broadcast(groups, 200_000), same, "left")
+    again = F.col("leader") != F.col("row")
     # The payload of a revisit is not written, so it doesn't go to the writer
-    kept = F.when(refers.isNull(), F.col("payload"))
-    return joined.select("page_id", "url", kept.alias("payload"), "payload_bytes", "payload_digest", refers.alias("refers_to"))
+    kept = F.when(F.coalesce(again, F.lit(False)), F.lit(None)).otherwise(F.col("payload"))
+    leader, refers = F.when(again, F.col("leader")), F.when(again, F.col("refers_to"))
+    return joined.select("row", "page_id", "url", kept.alias("payload"), *same[::-1], leader.alias("leader"), refers.alias("refers_to"))
 
 
 def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     """Write pages as bundles into folder (a URI that all executors reach) and return the index rows.
 
-    A null html is an empty payload; a null url gives no target; rows without page_id are passed
-    over. Rows that repeat a page_id become records of their own. A task that is run again writes
+    A null html is an empty payload; a null url gives no target, a null page_id no number. Rows that
+    repeat a page_id become records of their own, and an empty table gives none. A task that is run again writes
     bundles of new names; those of the attempt that failed are in no index.
     """
     return written(prepared(pages).mapInArrow(_writer(folder), INDEX), "warc-index")
 
 
 def read_archives(index: DataFrame, folder: str) -> DataFrame:
-    """All records of the bundles that the index names, each bundle read by one task frame by frame."""
-    bundles = index.select("bundle").distinct()
-    return bundles.mapInArrow(_reader(folder), RECORD)
+    """All records of the bundles that the index names.
+
+    A row for the reader is a run of a bundle's frames, found by its seek table and read by ranged
+    reads; runs are dealt over as many tasks as their number asks for, whatever the size of the rows.
+    """
+    frames = index.select("bundle", "frame").distinct()
+    runs = frames.groupBy("bundle", F.expr(f"frame div {RUN_FRAMES}")).agg(F.collect_list("frame").alias("frames")).select("bundle", "frames")
+    runs = written(runs, "runs")
+    tasks = max(1, runs.count() // RUNS_PER_TASK)
+    return runs.repartition(tasks).mapInArrow(_reader(folder), RECORD)
 
 
 def read_record(index_row, folder: str) -> dict:

@@ -60,16 +60,14 @@ def test_hosts_vote(spark):
 
 def test_archives(spark, tmp_path):
     same = "x" * 1200
-    rows = [(1, "http://a", same), (2, "http://b", same), (9, None, same), (3, "u\r\nv", "small"), (4, "u", "small"), (5, "u", None), (6, "u", "é" * 600), (7, "u", "é\r\n\r\nWARC/1.1\r\n"), (None, "u", "lost")]
+    rows = [(1, "http://a", same), (2, "http://b", same), (9, None, same), (3, "u\r\nv", "small"), (4, "u", "small"), (5, "u", None), (6, "u", "é" * 600), (7, "u", "é\r\n\r\nWARC/1.1\r\n"), (None, "u", "no number")]
     rows += [(100 + i, "u", f"{i} " * 400) for i in range(300)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
     folder = f"file://{tmp_path}/warc"
     index = warc.write_archives(df, folder)
     back = {r.page_id: r for r in warc.read_archives(index, folder).collect()}
-    assert len(back) == len(rows) - 1
-    for page, _, html in rows[:-1] if rows[-1][0] is None else rows:
-        if page is None:
-            continue
+    assert len(back) == len(rows)
+    for page, _, html in rows:
         data = (html or "").encode()
         r = back[page]
         assert (r.payload_bytes, r.payload_digest) == (len(data), hashlib.sha1(data).hexdigest())
@@ -104,6 +102,25 @@ def recall(x, got, k=20):
     return hit / (k * len(got))
 
 
+def test_archives_of_repeated_pages(spark, tmp_path):
+    """A page_id that stands at several rows, null ones, a payload of half the table, a long one, clashing columns."""
+    same, long = "y" * 1200, "<p>é</p>\r\n" * 200_000
+    rows = [(7, "a", same), (7, "b", same), (7, "c", same), (3, "d", same), (None, "e", same), (None, "f", "n" * 1000), (None, "g", "n" * 1000), (1, "h", long), (2, "i", long)]
+    rows += [(100 + i, "u", "z" * 1000) for i in range(40)]
+    df = spark.createDataFrame([(*r, 0, "x", "y") for r in rows], "page_id long, url string, html string, row int, payload string, leader string")
+    folder = f"file://{tmp_path}/warc"
+    index = warc.write_archives(df, folder)
+    back = warc.read_archives(index, folder).collect()
+    assert len(back) == len(rows)
+    kind = {r.url: (r.page_id, r.record_type, r.refers_to) for r in back if r.url != "u"}
+    first = [u for u in "abc" if kind[u][1] == "response"]
+    assert len(first) == 1 and all(kind[u] == (7, "revisit", 7) for u in "abc" if u != first[0])
+    assert kind["d"] == (3, "revisit", 7) and kind["e"] == (None, "revisit", 7)
+    assert sorted((kind["f"][1], kind["g"][1])) == ["response", "revisit"] and kind["h"] == (1, "revisit", 2)
+    assert [r.page_id for r in back if r.url == "u" and r.record_type == "response"] == [139]
+    assert next(r for r in back if r.page_id == 2).payload_bytes == len(long.encode())
+
+
 @pytest.mark.parametrize("pack_rows", [600, 20_000])
 def test_nearest_equals_brute_force(spark, pack_rows):
     rng = np.random.default_rng(3)
