@@ -12,14 +12,13 @@ FACT = "struct<claim:string,source_doc:string,source_location:string,evidence_qu
 CONSOLIDATED = f"session_id string, documents map<string, struct<facts: array<{FACT}>, fact_count: bigint>>, facts array<{FACT}>"
 
 
-_OWN: dict[str, str] = {}
-
-
 def scratch(spark: SparkSession, label: str) -> str:
-    """A new folder in the shared one that the session names (a local one only where it names none)."""
+    """A new folder in the shared one that the session names. Only a local session may name none (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = _OWN.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="factloom-"))
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = f"{tempfile.gettempdir()}/factloom-{spark.sparkContext.applicationId}"
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
