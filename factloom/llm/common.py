@@ -7,7 +7,7 @@ import uuid
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 U64 = np.uint64
@@ -17,14 +17,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_OWN: dict[str, str] = {}
-
-
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, as the session names it; a local one only where it names none (tests)."""
+    """The folder that all executors share, as the session names it. Only a local session may name none (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        named = _OWN.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="factloom-shared-"))
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        named = f"{tempfile.gettempdir()}/factloom-{spark.sparkContext.applicationId}"
     return named.rstrip("/")
 
 
@@ -49,6 +48,19 @@ def maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if small_enough(df, rows) else df
 
 
+def least_hash(rows: DataFrame, group: str, key: str, most: int) -> DataFrame:
+    """At most `most` rows of each group, those whose keys have the least hash; ties by key.
+
+    A threshold from the group's number of rows leaves little more than that before anything is
+    shuffled and ranked, so a group of any size takes no more room in a task than `most` asks for.
+    """
+    h = F.pmod(F.xxhash64(key), F.lit(1 << 30))
+    counts = rows.groupBy(group).agg(F.count("*").alias("_n"))
+    kept = rows.join(maybe_broadcast(counts, 10_000), group).where(h * F.col("_n") < F.lit((most * 5 // 4 + 200) * (1 << 30)))
+    turn = F.row_number().over(Window.partitionBy(group).orderBy(h, key))
+    return kept.withColumn("_n", turn).where(F.col("_n") <= most).drop("_n")
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser, element by element."""
     x = x ^ (x >> U64(30))

@@ -10,16 +10,17 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import xxhash
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factloom.llm.common import least_hash
+
 #: The model is fitted on at most so many labelled rows of a language, those with the least hash.
 ROWS_PER_LANGUAGE = 2000
-#: Most frequent words, and n-grams of each length, that the model holds for a language.
-WORDS_PER_LANGUAGE, GRAMS_PER_LANGUAGE = 20_000, 5_000
 LONGEST = 4
-#: Unseen words whose scores a worker holds before it starts afresh.
-HELD = 50_000
+#: Words whose rows a worker holds before it starts afresh.
+HELD = 100_000
 #: Words of evidence at which the score stops sharpening.
 FULL_EVIDENCE = 25
 UNDETERMINED = "und"
@@ -32,83 +33,83 @@ def grams(word: str, n: int) -> list[str]:
     return [marked[i : i + n] for i in range(len(marked) - n + 1)]
 
 
+def hashes(parts: list[str]) -> np.ndarray:
+    """As xxhash64() of Spark gives them."""
+    return np.fromiter((xxhash.xxh64_intdigest(p.encode("utf-8", "surrogatepass"), 42) for p in parts), np.uint64, len(parts)).view(np.int64)
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """lang, part, k: the words and n-grams of texts; a part begins with its length in characters, 0 for words."""
     for batch in batches:
         seen: dict[str, Counter] = {}
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             seen.setdefault(lang, Counter()).update(LETTERS.findall(text.lower()))
-        rows: list[tuple[str, int, str, int]] = []
         for lang, words in seen.items():
-            parts: dict[int, Counter] = {n: Counter() for n in range(1, LONGEST + 1)}
+            parts = Counter({f"0{w}": k for w, k in words.items()})
             for word, k in words.items():
-                for n, c in parts.items():
+                for n in range(1, LONGEST + 1):
                     for g in grams(word, n):
-                        c[g] += k
-            rows += [(lang, 0, w, k) for w, k in words.items()]
-            rows += [(lang, n, g, k) for n, c in parts.items() for g, k in c.items()]
-        cols = list(zip(*rows, strict=True)) or [(), (), (), ()]
-        kinds = (pa.string(), pa.int32(), pa.string(), pa.int64())
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["lang", "n", "part", "k"]
-        )
+                        parts[f"{n}{g}"] += k
+            columns = [pa.array([lang] * len(parts), pa.string()), pa.array(parts.keys(), pa.string()), pa.array(parts.values(), pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["lang", "part", "k"])
 
 
 @dataclass
 class Model:
-    """Log frequencies by language, for words (level 0) and for n-grams of each length.
+    """Log frequencies by language of all words (level 0) and n-grams of the sample, a row for each.
 
-    A level maps its strings to rows of one matrix, so that the model stays small in every worker.
+    Rows are found by the sorted hashes of their parts, so that the whole vocabulary is two arrays
+    and takes some 30 bytes an entry in every worker.
     """
 
     languages: list[str]
-    levels: list[dict[str, int]]
+    keys: np.ndarray
     table: np.ndarray
 
+    def rows(self, parts: list[str]) -> np.ndarray:
+        """The row of each part, or -1."""
+        if not len(self.keys) or not parts:
+            return np.full(len(parts), -1)
+        wanted = hashes(parts)
+        at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+        return np.where(self.keys[at] == wanted, at, -1)
+
     def backed_off(self, word: str) -> np.ndarray:
         """The mean over the longest n-grams of an unseen word that the model knows; else nothing."""
         for n in range(LONGEST, 0, -1):
-            hits = [at for g in grams(word, n) if (at := self.levels[n].get(g)) is not None]
-            if hits:
-                return self.table[hits].mean(axis=0)
+            hits = self.rows([f"{n}{g}" for g in grams(word, n)])
+            if (hits >= 0).any():
+                return self.table[hits[hits >= 0]].mean(axis=0)
         return np.zeros(len(self.languages), np.float32)
 
 
 def fit(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> Model:
     """Fit on docs with text and lang; others are passed over.
 
-    The sample and the vocabulary are bounded by parameters, so the model that goes to the driver
-    and to the executors has a fixed size whatever the input. Ties are settled by hash and doc_id.
+    The rows learnt from are bounded by a parameter, whatever the input, and the vocabulary is all
+    of theirs. Ties are settled by hash and doc_id. Rows that repeat a doc_id are learnt from each.
     """
     labelled = docs.where("text is not null and lang is not null and doc_id is not null")
-    turn = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = labelled.select("doc_id", "lang").withColumn("turn", F.row_number().over(turn))
-    chosen = chosen.where(F.col("turn") <= rows_per_language).select("doc_id").distinct()
+    chosen = least_hash(labelled.select("doc_id", "lang"), "lang", "doc_id", rows_per_language).select("doc_id").distinct()
     # chosen is bounded by rows_per_language and the number of languages
     sample = labelled.join(F.broadcast(chosen), "doc_id", "left_semi").select("lang", F.col("text").cast("string"))
-    counts = sample.mapInArrow(_count, "lang string, n int, part string, k long").groupBy("lang", "n", "part").agg(
-        F.sum("k").alias("k")
-    )
-    most = Window.partitionBy("lang", "n").orderBy(F.desc("k"), "part")
-    limit = F.when(F.col("n") == 0, WORDS_PER_LANGUAGE).otherwise(GRAMS_PER_LANGUAGE)
-    top = counts.where("n > 0 or k > 1").withColumn("turn", F.row_number().over(most)).where(F.col("turn") <= limit)
-    rows = top.select("lang", "n", "part", "k").toArrow()
-
-    names = rows["lang"].unique().to_pylist()
-    languages = sorted(names)
-    width, levels, blocks, start = len(languages), [], [], 0
+    counts = sample.mapInArrow(_count, "lang string, part string, k long").groupBy("lang", "part").agg(F.sum("k").alias("k"))
+    rows = counts.select("lang", F.substring("part", 1, 1).cast("int").alias("n"), F.xxhash64("part").alias("key"), "k").toArrow()
+
+    languages = sorted(rows["lang"].unique().to_pylist())
+    width = len(languages)
+    keys, first, at = np.unique(rows["key"].to_numpy(), return_index=True, return_inverse=True)
+    level = rows["n"].to_numpy()[first]
+    lang = pc.index_in(rows["lang"], pa.array(languages, pa.string())).to_numpy()
+    table = np.zeros((len(keys), width), np.float32)
     for n in range(LONGEST + 1):
-        part = rows.filter(pc.equal(rows["n"], n))
-        level: dict[str, int] = {}
-        for text in part["part"].to_pylist():
-            level.setdefault(text, start + len(level))
-        k = np.zeros((len(level), width))
-        at = np.array([level[t] for t in part["part"].to_pylist()], np.int64) - start
-        lang = np.array([languages.index(x) for x in part["lang"].to_pylist()], np.int64)
-        k[at, lang] = part["k"].to_numpy()
-        blocks.append(np.log((k + 0.5) / (k.sum(axis=0) + 0.5 * max(1, len(level)))).astype(np.float32))
-        levels.append(level)
-        start += len(level)
-    return Model(languages, levels, np.concatenate(blocks) if width else np.zeros((0, 1), np.float32))
+        mine = np.flatnonzero(level == n)
+        k = np.zeros((len(keys), width))
+        here = rows["n"].to_numpy() == n
+        k[at[here], lang[here]] = rows["k"].to_numpy()[here]
+        k = k[mine]
+        table[mine] = np.log((k + 0.5) / (k.sum(axis=0) + 0.5 * max(1, len(mine))))
+    return Model(languages, keys, table if width else np.zeros((0, 1), np.float32))
 
 
 def _texts(batch: pa.RecordBatch) -> pa.Array:
@@ -119,9 +120,9 @@ def _texts(batch: pa.RecordBatch) -> pa.Array:
 def _predict(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        base, fixed = model.levels[0], len(model.table)
+        fixed = len(model.table)
         table = np.concatenate([model.table, np.zeros((HELD, model.table.shape[1]), np.float32)])
-        unseen: dict[str, int] = {}
+        held: dict[str, int] = {}  # rows of words met so far: the model's, or one behind them for an unseen word
         for batch in batches:
             langs, scores = [], []
             for text in _texts(batch):
@@ -132,18 +133,18 @@ def _predict(shared):
                     scores.append(0.0)
                     continue
                 total = np.zeros(table.shape[1])
-                for at in range(0, len(words), HELD):  # in slices, so that unseen words never outgrow the table
+                for at in range(0, len(words), HELD):  # in slices, so that new words never outgrow the table
                     piece = words[at : at + HELD]
-                    rows = list(map(base.get, piece))
-                    fresh = {w for w, row in zip(piece, rows, strict=True) if row is None and w not in unseen}
-                    if len(unseen) + len(fresh) > HELD:
-                        unseen.clear()
-                        fresh = {w for w, row in zip(piece, rows, strict=True) if row is None}
-                    for w in fresh:
-                        unseen[w] = row = fixed + len(unseen)
-                        table[row] = model.backed_off(w)
-                    rows = [unseen[w] if row is None else row for w, row in zip(piece, rows, strict=True)]
-                    total += table[rows].sum(axis=0)
+                    fresh = [w for w in dict.fromkeys(piece) if w not in held]
+                    if len(held) + len(fresh) > HELD:
+                        held.clear()
+                        fresh = list(dict.fromkeys(piece))
+                    for w, row in zip(fresh, model.rows([f"0{w}" for w in fresh]).tolist(), strict=True):
+                        if row < 0:
+                            row = fixed + len(held)
+                            table[row] = model.backed_off(w)
+                        held[w] = row
+                    total += table[list(map(held.__getitem__, piece))].sum(axis=0, dtype=np.float64)
                 mean = total / len(words) * min(len(words), FULL_EVIDENCE)
                 p = np.exp(mean - mean.max())
                 langs.append(model.languages[int(p.argmax())])
@@ -179,7 +180,11 @@ def training_rows(docs: DataFrame) -> DataFrame:
 
 
 def language_of(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, lang_pred and score; lang, source and doc_id play no part in a prediction."""
+    """doc_id, held_out, lang_pred and score; lang, source and doc_id play no part in a prediction.
+
+    Rows that repeat a doc_id are predicted each by their own text; a null doc_id is not held out and
+    not learnt from; an empty table gives no rows; other columns are ignored.
+    """
     found = identify(docs.select("doc_id", "text"), fit(training_rows(docs)), F.struct("doc_id"))
     held_out = F.expr("coalesce(pmod(crc32(cast(cast(row.doc_id as string) as binary)), 5) = 0, false)")
     return found.select("row.doc_id", held_out.alias("held_out"), "lang_pred", "score")

@@ -9,9 +9,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factloom.llm.common import least_hash
+
 #: Letters of the character model; all others are word boundaries (code 0).
 LETTERS = "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïñòóôõöøùúûüýÿœ"
 CODE = {c: i + 1 for i, c in enumerate(LETTERS)}
@@ -271,9 +273,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     spark = docs.sparkSession
     letters = character_model(docs)
     labels = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    h = F.xxhash64("doc_id")
-    turn = Window.partitionBy("toxic").orderBy(h, "doc_id")
-    chosen = labels.withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= ROWS_PER_LABEL)
+    chosen = least_hash(labels, "toxic", "doc_id", ROWS_PER_LABEL)
     half = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(2)).alias("half")
     sample = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("text is not null")
     # chosen has at most ROWS_PER_LABEL rows for each of two labels

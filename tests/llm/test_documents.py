@@ -99,6 +99,55 @@ def test_language(spark):
     assert {r.lang_pred for r in nothing} == {"und"}
 
 
+def test_language_equals_brute_force(spark):
+    """Scores by hand, from every word and n-gram of the learnt texts."""
+    import math
+    import re
+
+    rng = random.Random(8)
+    made = {"xx": ["ba", "bo", "bu", "bana"], "yy": ["ki", "ko", "kele", "ka"], "zz": ["été", "âme", "où", "kele"]}
+    docs = [(i, " ".join(rng.choices(made[lang], k=rng.randrange(1, 30))), lang, "s", 0, "x", "y", "z") for i, lang in enumerate(list(made) * 12)]
+    docs += [(100, "Bababa kelekele!", None, "s", 0, "x", "y", "z"), (101, "qqq", None, "s", 0, "x", "y", "z"), (101, "ba ki " * 3000, None, "s", 0, "x", "y", "z"), (None, "ba", "xx", "s", 0, "x", "y", "z")]
+    df = spark.createDataFrame(docs, SCHEMA)
+    counts = {n: {x: Counter() for x in made} for n in range(5)}
+    for i, text, lang, *_ in docs:
+        if lang and i is not None and zlib.crc32(str(i).encode()) % 5:
+            for w in re.findall(r"[^\W\d_]+", text.lower()):
+                counts[0][lang][w] += 1
+                for n in range(1, 5):
+                    counts[n][lang].update(language.grams(w, n))
+    vocabulary = {n: set().union(*c.values()) for n, c in counts.items()}
+
+    def log(n, x, part):
+        return math.log((counts[n][x][part] + 0.5) / (sum(counts[n][x].values()) + 0.5 * len(vocabulary[n])))
+
+    def word(w, x):
+        if w in vocabulary[0]:
+            return log(0, x, w)
+        for n in range(4, 0, -1):
+            known = [g for g in language.grams(w, n) if g in vocabulary[n]]
+            if known:
+                return sum(log(n, x, g) for g in known) / len(known)
+        return 0.0
+
+    got = Counter((r.doc_id, r.held_out, r.lang_pred, round(r.score, 3)) for r in language.language_of(spark, df).collect())
+    want = Counter()
+    for i, text, *_ in docs:
+        words = re.findall(r"[^\W\d_]+", text.lower())
+        mean = {x: sum(word(w, x) for w in words) / len(words) * min(len(words), language.FULL_EVIDENCE) for x in made}
+        best = max(made, key=lambda x: mean[x])
+        want[i, i is not None and zlib.crc32(str(i).encode()) % 5 == 0, best, round(1 / sum(math.exp(m - mean[best]) for m in mean.values()), 3)] += 1
+    assert got == want
+    assert language.language_of(spark, df.limit(0)).count() == 0
+
+
+def test_samples_are_bounded_and_the_same_for_any_order(spark):
+    rows = spark.range(30_000).select(F.expr("if(id % 3 = 0, 'a', if(id % 1000 = 1, 'b', 'c'))").alias("g"), "id")
+    got = common.least_hash(rows, "g", "id", 500)
+    assert {r.g: r["count"] for r in got.groupBy("g").count().collect()} == {"a": 500, "b": 20, "c": 500}
+    assert got.exceptAll(common.least_hash(rows.orderBy(F.desc("id")), "g", "id", 500)).count() == 0
+
+
 @pytest.fixture(scope="module")
 def exact():
     with open(public_tokenizers.path(stages.TOKENIZER_FILE), "rb") as f:
