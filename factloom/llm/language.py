@@ -74,13 +74,22 @@ class Model:
         at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
         return np.where(self.keys[at] == wanted, at, -1)
 
-    def backed_off(self, word: str) -> np.ndarray:
-        """The mean over the longest n-grams of an unseen word that the model knows; else nothing."""
+    def backed_off(self, words: list[str]) -> np.ndarray:
+        """For each unseen word the mean over its longest n-grams that the model knows; else nothing."""
+        out = np.zeros((len(words), len(self.languages)))
+        left = np.arange(len(words))
         for n in range(LONGEST, 0, -1):
-            hits = self.rows([f"{n}{g}" for g in grams(word, n)])
-            if (hits >= 0).any():
-                return self.table[hits[hits >= 0]].mean(axis=0)
-        return np.zeros(len(self.languages), np.float32)
+            found = [[f"{n}{g}" for g in grams(words[i], n)] for i in left]
+            owner = np.repeat(left, [len(f) for f in found])
+            rows = self.rows([g for f in found for g in f])
+            owner, rows = owner[rows >= 0], rows[rows >= 0]
+            number = np.bincount(owner, minlength=len(words))
+            for at in range(out.shape[1]):
+                out[:, at] += np.bincount(owner, self.table[rows, at], minlength=len(words)) / np.maximum(number, 1)
+            left = left[number[left] == 0]
+            if not len(left):
+                break
+        return out
 
 
 def fit(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> Model:
@@ -139,11 +148,12 @@ def _predict(shared):
                     if len(held) + len(fresh) > HELD:
                         held.clear()
                         fresh = list(dict.fromkeys(piece))
-                    for w, row in zip(fresh, model.rows([f"0{w}" for w in fresh]).tolist(), strict=True):
-                        if row < 0:
-                            row = fixed + len(held)
-                            table[row] = model.backed_off(w)
-                        held[w] = row
+                    if fresh:
+                        rows = model.rows([f"0{w}" for w in fresh])
+                        unseen = np.flatnonzero(rows < 0)
+                        rows[unseen] = fixed + len(held) + np.arange(len(unseen))
+                        table[rows[unseen]] = model.backed_off([fresh[i] for i in unseen])
+                        held.update(zip(fresh, rows.tolist(), strict=True))
                     total += table[list(map(held.__getitem__, piece))].sum(axis=0, dtype=np.float64)
                 mean = total / len(words) * min(len(words), FULL_EVIDENCE)
                 p = np.exp(mean - mean.max())
