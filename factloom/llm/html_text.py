@@ -1,4 +1,7 @@
-"""Main text of web pages: containers are scored on each page, and hosts vote on where their article is."""
+"""Main text of web pages: containers are scored on each page, and hosts vote on where their article is.
+
+Reading, scoring and extraction take time in proportion to a page, however deep or broken its markup.
+"""
 
 from __future__ import annotations
 
@@ -6,33 +9,34 @@ import html
 import re
 from collections import defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm.common import maybe_broadcast, written
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>"
-    r"|<(?P<raw>script|style|noscript|template|iframe|svg|textarea|title|math|object|canvas|xmp)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<close>/?)(?P<tag>[a-zA-Z][\w:-]*)(?P<rest>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)>"
-    r"|(?P<text>[^<]+|<)",
-    re.S | re.I,
-)
-ATTRIBUTE = re.compile(r"(class|id|role|itemprop|hidden|style|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+NAME, STOP = re.compile(r"[a-zA-Z][\w:-]*"), re.compile("[>\"']")
+ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+HIDDEN = re.compile(r"display\s*:\s*none", re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-BLOCK = frozenset(
+#: Elements whose content is no markup, up to their end tag; those of the second kind may also close themselves.
+RAW = frozenset("script style noscript template iframe svg textarea title math object canvas xmp".split())
+FOREIGN = frozenset("svg math object canvas iframe".split())
+#: Elements that stand on lines of their own.
+LINES = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form"
     " h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th"
     " thead tr ul".split()
 )
 #: Elements that an opening tag closes if they are the nearest of their kind.
 CLOSES = {
-    "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
-    "option": {"option"},
+    "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"),
+    "option": ("option",),
 }
+LISTS = ("ul", "ol", "dl", "table")
 KEEPERS = frozenset("table ul ol dl div section article main body html td th".split())
 #: Elements of text, which stand in an article and are never where it stands; parts of tables, which are so unless a cell lays out the page.
 LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 hgroup pre blockquote ul ol dl li dt dd figure figcaption caption summary legend address".split())
@@ -40,37 +44,119 @@ TABLES, CELLS = frozenset("table thead tbody tfoot tr".split()), frozenset(["td"
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements that hold no part of an article.
 OUTSIDE = frozenset("nav header footer aside form menu button select dialog head label fieldset".split())
-#: Words of class, id and role that mark the same.
+#: Words of class, id and role that mark the same, wherever they stand.
 MARKED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adbox|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay"
-    r"|nav|navbar|navigation|menu|breadcrumbs?|toolbar|sidebar|side|aside|widget|footer|foot|header|masthead|topbar"
+    r"(?:^|[\s_-])(?:ads?|advert\w*|adbox|adsense|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|popup|modal|overlay"
+    r"|nav|navbar|navigation|menu|breadcrumbs?|toolbar|sidebar|widget|footer"
     r"|comments?|commentlist|disqus|respond|replies|share|sharing|social|related|recommend\w*|newsletter|subscribe|subscription"
-    r"|signup|login|search|pagination|pager|skip|copyright|legal|complementary|contentinfo|navigation)(?=$|[\s_-])",
+    r"|signup|login|pagination|pager|complementary|contentinfo)(?=$|[\s_-])",
     re.I,
 )
+#: Words that mark the surroundings of an article, and may also name a part of one: they count outside articles and for no element of text.
+AROUND = re.compile(r"(?:^|[\s_-])(?:banner|alert|side|aside|foot|header|masthead|topbar|search|skip|copyright|legal)(?=$|[\s_-])", re.I)
 MAIN = re.compile(r"(?:^|[\s_-])(?:article|articlebody|main|content|post|entry|story|body|text)(?=$|[\s_-])", re.I)
+#: The host's path is followed if it holds this share of what the page's own best container holds.
+LEAST_SHARE = 0.5
+
+
+@dataclass
+class Node:
+    """An element that stands on lines of its own, and what it holds in all."""
+
+    parent: int
+    tag: str
+    likely: bool  # an element of articles, or a class that names one
+    path: int  # a hash of the generalised names from the root
+    depth: int
+    good: int = 0
+    whole: int = 0
+    heads: bool = False
 
 
 @dataclass
-class Block:
-    """A run of text between block tags: where it stands, its text, the share in links, whether it is outside."""
+class Run:
+    """Text between such elements: its node, its characters in links, whether it is outside of any article."""
 
-    path: tuple[str, ...]
+    node: int
     text: str
     links: int
     outside: bool
 
 
-def _name(tag: str, attributes: dict[str, str]) -> str:
-    """A tag and its classes without digits, so that numbered ones are alike."""
-    classes = sorted({re.sub(r"\d+", "", c).strip("-_") for c in attributes.get("class", "").lower().split()} - {""})
-    return ".".join([tag, *classes])
+@dataclass
+class Page:
+    """The nodes of a page, parents first, and its runs of text in order."""
+
+    nodes: list[Node] = field(default_factory=list)
+    runs: list[Run] = field(default_factory=list)
+
+
+def _likely(tag: str, classes: str) -> bool:
+    return tag in ("article", "main") or MAIN.search(classes) is not None
+
+
+def tokens(page: str) -> Iterator[tuple[str, str, str]]:
+    """(kind, name, rest): `text`, `open` and `close`. Comments, declarations and raw elements are left out.
+
+    A tag ends at the first > that isn't quoted. Where quotes don't close before the end of the page,
+    they count for nothing from there on, so no part of a page is read again and again.
+    """
+    last, at, quoted = page.rfind(">"), 0, True
+    while at < len(page):
+        lt = page.find("<", at)
+        if lt != at:
+            yield "text", page[at:lt] if lt >= 0 else page[at:], ""
+        if lt < 0:
+            return
+        if page.startswith("<!--", lt):
+            end = page.find("-->", lt + 4)
+            at = end + 3 if end >= 0 else len(page)
+            continue
+        if lt > last:
+            yield "text", "<", ""
+            at = lt + 1
+            continue
+        if page[lt + 1] in "!?":
+            at = page.find(">", lt) + 1
+            continue
+        closing = page[lt + 1] == "/"
+        name = NAME.match(page, lt + 1 + closing)
+        if name is None:
+            yield "text", "<", ""
+            at = lt + 1
+            continue
+        end = name.end()
+        while quoted:
+            stop = STOP.search(page, end)
+            if stop is None:
+                quoted = False
+            elif stop[0] == ">":
+                end = stop.start()
+                break
+            else:
+                end = page.find(stop[0], stop.end()) + 1
+                quoted = end > 0
+        if not quoted:
+            end = page.find(">", name.end())
+            if end < 0:
+                yield "text", page[lt:], ""
+                return
+        tag, rest, at = name[0].lower(), page[name.end() : end], end + 1
+        if tag in RAW and not closing:
+            if not (tag in FOREIGN and rest.endswith("/")):
+                close = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(page, at)
+                after = page.find(">", close.end()) if close else -1
+                at = after + 1 if after >= 0 else len(page)
+            continue
+        yield "close" if closing else "open", tag, rest
 
 
-def blocks(page: str | None) -> list[Block]:
-    """The text blocks of a page in order. Tags left open are closed as browsers do, in the common cases."""
-    out: list[Block] = []
-    stack: list[tuple[str, str, bool]] = []  # tag, name, outside
+def read(page: str | None) -> Page:
+    """The nodes and runs of a page. Tags left open are closed as browsers do, in the common cases."""
+    out = Page()
+    # tag, node, outside, in an article, elements with lines of their own so far, where the nearest p or keeper is
+    stack: list[tuple[str, int, bool, bool, int, int]] = []
+    where: dict[str, list[int]] = defaultdict(list)
     parts: list[str] = []
     linked = 0
 
@@ -78,146 +164,148 @@ def blocks(page: str | None) -> list[Block]:
         nonlocal linked
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
-            path = tuple(name for tag, name, _ in stack if tag in BLOCK)
-            out.append(Block(path, text, linked, bool(stack) and stack[-1][2]))
+            out.runs.append(Run(stack[-1][1] if stack else -1, text, linked, bool(stack) and stack[-1][2]))
         parts.clear()
         linked = 0
 
-    for m in TOKEN.finditer(page or ""):
-        if m["text"] is not None:
-            parts.append(m["text"])
-            if any(tag == "a" for tag, _, _ in stack):
-                linked += len(m["text"])
-            continue
-        tag = m["tag"]
-        if tag is None:
+    def cut(at: int) -> None:
+        while len(stack) > at:
+            where[stack.pop()[0]].pop()
+
+    for kind, tag, rest in tokens(page or ""):
+        if kind == "text":
+            parts.append(tag)
+            if where["a"]:
+                linked += len(tag)
             continue
-        tag = tag.lower()
         if tag == "br":
             parts.append(" ")
             continue
-        block = tag in BLOCK
-        if block:
+        lines = tag in LINES
+        if lines:
             flush()
-        if m["close"]:
-            at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            if at is not None and (block or not any(s[0] in BLOCK for s in stack[at:])):
-                del stack[at:]
+        if kind == "close":
+            if where[tag]:
+                at = where[tag][-1]
+                if lines or stack[-1][4] == (stack[at - 1][4] if at else 0):
+                    cut(at)
             continue
-        if block:
-            # A block closes an open paragraph; list items and cells close their like
-            if tag not in ("html", "body"):
-                at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == "p" or stack[i][0] in KEEPERS), None)
-                if at is not None and stack[at][0] == "p":
-                    del stack[at:]
+        if lines:
+            # Such an element closes an open paragraph; list items and cells close their like
+            if tag not in ("html", "body") and stack and stack[-1][5] >= 0 and stack[stack[-1][5]][0] == "p":
+                cut(stack[-1][5])
             if tag in CLOSES:
-                at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in CLOSES[tag] or stack[i][0] in ("ul", "ol", "dl", "table")), None)
-                if at is not None and stack[at][0] in CLOSES[tag]:
-                    del stack[at:]
-        if tag in VOID or m["rest"].endswith("/"):
+                like = max((where[t][-1] for t in CLOSES[tag] if where[t]), default=-1)
+                if like > max((where[t][-1] for t in LISTS if where[t]), default=-1):
+                    cut(like)
+        if tag in VOID or rest.endswith("/"):
             continue
-        attributes = {a[0].lower(): a[1] or a[2] or a[3] for a in ATTRIBUTE.findall(m["rest"])}
+        attributes = {a[0].lower(): a[1] or a[2] or a[3] for a in ATTRIBUTE.findall(rest)}
+        classes = attributes.get("class", "")
         marks = " ".join(attributes.get(k, "") for k in ("class", "id", "role"))
-        hidden = "hidden" in attributes or attributes.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", attributes.get("style", ""))
+        hidden = "hidden" in attributes or attributes.get("aria-hidden") == "true" or HIDDEN.search(attributes.get("style", ""))
+        above = stack[-1] if stack else ("", -1, False, False, 0, -1)
+        likely = _likely(tag, classes)
         # The heading of an article may stand in a header of its own
-        own_header = tag == "header" and any(s[0] in ("article", "main") for s in stack)
-        outside = (bool(stack) and stack[-1][2]) or (tag in OUTSIDE and not own_header) or bool(hidden)
+        outside = above[2] or (tag in OUTSIDE and not (tag == "header" and (where["article"] or where["main"]))) or bool(hidden)
         if tag not in ("html", "body", "article", "main"):
-            outside = outside or bool(MARKED.search(marks))
-        stack.append((tag, _name(tag, attributes), outside))
+            around = lines and tag not in LEAVES and not above[3] and AROUND.search(marks)
+            outside = outside or bool(tag not in HEADINGS and MARKED.search(marks)) or bool(around)
+        node = above[1]
+        if lines:
+            names = sorted({re.sub(r"\d+", "", c).strip("-_") for c in classes.lower().split()} - {""})
+            parent = out.nodes[node] if node >= 0 else None
+            path = xxhash.xxh3_64_intdigest(".".join([tag, *names]), parent.path if parent else 0)
+            out.nodes.append(Node(node, tag, likely, path, parent.depth + 1 if parent else 1))
+            node = len(out.nodes) - 1
+        here = len(stack) if tag == "p" or tag in KEEPERS else above[5]
+        where[tag].append(len(stack))
+        stack.append((tag, node, outside, above[3] or (likely and tag not in ("html", "body")), above[4] + lines, here))
     flush()
+    # what a node holds goes up to its parent once
+    for run in out.runs:
+        if run.node >= 0 and not run.outside:
+            node = out.nodes[run.node]
+            node.good += max(0, len(run.text) - 2 * run.links)  # little where most is links
+            node.whole += len(run.text)
+            node.heads |= node.tag in HEADINGS
+    for node in reversed(out.nodes):
+        if node.parent >= 0:
+            parent = out.nodes[node.parent]
+            parent.good, parent.whole = parent.good + node.good, parent.whole + node.whole
+            parent.heads |= node.heads
     return out
 
 
-def _good(b: Block) -> int:
-    """Characters that count towards an article: none outside it, few where most are links."""
-    return 0 if b.outside else max(0, len(b.text) - 2 * b.links)
-
-
-def _tag(name: str) -> str:
-    return name.split(".", 1)[0]
-
-
-def _likely(name: str) -> bool:
-    """True for the elements of articles, and for classes that name one."""
-    tag, _, classes = name.partition(".")
-    return tag in ("article", "main") or MAIN.search(classes.replace(".", " ")) is not None
-
-
-def _containers(path: tuple[str, ...], layout: set[tuple[str, ...]]) -> Iterator[tuple[str, ...]]:
-    """The paths above a block at which an article may stand: none within text, lists or tables of data."""
-    for i, name in enumerate(path, 1):
-        tag = _tag(name)
-        if tag in LEAVES or (tag in CELLS and path[:i] not in layout):
-            return
-        if tag not in TABLES:
-            yield path[:i]
+def held(page: Page) -> dict[int, tuple[int, int, int, bool]]:
+    """For each path at which an article may stand (none within text, lists or tables of data): good and all
+    characters, depth, whether it is a likely place."""
+    # Cells that hold headings or are named as an article's lay out the page
+    layout = {n.path for n in page.nodes if n.tag in CELLS and (n.likely or n.heads)}
+    fits: list[bool] = []
+    out: dict[int, tuple[int, int, int, bool]] = {}
+    for n in page.nodes:
+        fits.append((n.parent < 0 or fits[n.parent]) and n.tag not in LEAVES and (n.tag not in CELLS or n.path in layout))
+        if fits[-1] and n.tag not in TABLES and n.good:
+            good, whole, *_ = out.get(n.path, (0, 0))
+            out[n.path] = (good + n.good, whole + n.whole, n.depth, n.likely)
+    return out
 
 
-def scores(page: list[Block]) -> dict[str, float]:
-    """Generalised paths of containers, and how well each holds the page's text and nothing else.
+def scores(page: Page) -> dict[int, tuple[float, int]]:
+    """Paths of containers, how well each holds the page's text and nothing else, and their depth.
 
     Text outside an article is left out wherever it stands, so no container is charged for it.
     """
-    good, all_text = defaultdict(int), defaultdict(int)
-    total = 0
-    # Cells that hold headings or are named as an article's lay out the page
-    layout = {
-        b.path[:i]
-        for b in page
-        for i, name in enumerate(b.path, 1)
-        if _tag(name) in CELLS and (_likely(name) or any(_tag(n) in HEADINGS for n in b.path[i:]))
+    total = sum(max(0, len(r.text) - 2 * r.links) for r in page.runs if not r.outside)
+    return {
+        path: (good / total * good / max(1, whole) * (1.2 if likely else 1.0), depth)
+        for path, (good, whole, depth, likely) in held(page).items()
+        if total and good >= 0.3 * total
     }
-    for b in page:
-        g = _good(b)
-        total += g
-        if b.outside:
-            continue
-        for path in _containers(b.path, layout):
-            good[path] += g
-            all_text[path] += len(b.text)
-    out = {}
-    for path, g in good.items():
-        if total and g >= 0.3 * total:
-            out["/".join(path)] = g / total * g / max(1, all_text[path]) * (1.2 if _likely(path[-1]) else 1.0)
-    return out
 
 
-def best(votes: dict[str, float]) -> str | None:
-    """The path with the most votes; ties go to the longer one, then by name."""
-    return min(votes, key=lambda p: (-round(votes[p], 9), -p.count("/"), p), default=None)
+def best(votes: dict[int, tuple[float, int]]) -> int | None:
+    """The path with the most votes; ties go to the deeper one, then by number."""
+    return min(votes, key=lambda p: (-round(votes[p][0], 9), -votes[p][1], p), default=None)
 
 
-def extract(page: list[Block], path: str | None) -> str:
-    """The text at a path, else at the page's own best path, else all text that isn't outside."""
-    for p in (path, best(scores(page)), ""):
-        if p is None:
-            continue
-        steps = tuple(p.split("/")) if p else ()
-        text = "\n".join(b.text for b in page if not b.outside and b.path[: len(steps)] == steps)
-        if text:
-            return text
-    return ""
+def text_at(page: Page, path: int | None) -> str:
+    """The text within nodes of a path; all text that isn't outside, if there is none."""
+    inside: list[bool] = []
+    for n in page.nodes:
+        inside.append((n.parent >= 0 and inside[n.parent]) or n.path == path)
+    return "\n".join(r.text for r in page.runs if not r.outside and (path is None or (r.node >= 0 and inside[r.node])))
+
+
+def extract(page: Page, path: int | None) -> str:
+    """The text at the host's path, if it holds the page's article, else at the page's own best path, else all
+    text that isn't outside."""
+    own, there = best(scores(page)), held(page)
+    good = lambda p: there[p][0] if p in there else 0
+    chosen = path if path is not None and good(path) and good(path) >= LEAST_SHARE * good(own) else own
+    return text_at(page, chosen) or text_at(page, None)
 
 
 def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        votes: dict[tuple[str, str], float] = defaultdict(float)
+        votes: dict[tuple[str, int, int], float] = defaultdict(float)
         for host, page in zip(batch.column(0), batch.column(1), strict=True):
             host = host.as_py()
             if host is not None:
-                for path, s in scores(blocks(page.as_py())).items():
-                    votes[host, path] += s
+                for path, (s, depth) in scores(read(page.as_py())).items():
+                    votes[host, path - (1 << 64) if path >> 63 else path, depth] += s
         keys = list(votes)
         yield pa.RecordBatch.from_arrays(
-            [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array(votes.values(), pa.float64())],
-            names=["host", "path", "votes"],
+            [*(pa.array([k[i] for k in keys], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int32()))), pa.array(votes.values(), pa.float64())],
+            names=["host", "path", "depth", "votes"],
         )
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = [extract(blocks(page.as_py()), path.as_py()) for page, path in zip(batch.column(1), batch.column(2), strict=True)]
+        paths = [p if p is None else p % (1 << 64) for p in batch.column(2).to_pylist()]
+        texts = [extract(read(page.as_py()), path) for page, path in zip(batch.column(1), paths, strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["row", "text"])
 
 
@@ -228,9 +316,9 @@ def host_of(url: Column) -> Column:
 def winning_paths(pages: DataFrame) -> DataFrame:
     """host and path: where most of a host's pages have their article. Votes are summed before the shuffle."""
     rows = pages.select(host_of(F.col("url").cast("string")).alias("host"), F.col("html").cast("string"))
-    votes = rows.mapInArrow(_vote, "host string, path string, votes double").groupBy("host", "path")
+    votes = rows.mapInArrow(_vote, "host string, path long, depth int, votes double").groupBy("host", "path", "depth")
     votes = votes.agg(F.round(F.sum("votes"), 6).alias("votes"))
-    deepest = F.struct("votes", F.size(F.split("path", "/")).alias("depth"), "path")
+    deepest = F.struct("votes", "depth", "path")
     return votes.groupBy("host").agg(F.max(deepest).alias("best")).select("host", F.col("best.path").alias("path"))
 
 
@@ -238,7 +326,8 @@ def main_text(pages: DataFrame, row: Column | None = None) -> DataFrame:
     """row (all columns of pages, or those given) and text of every page's whole html.
 
     A null html has no text. Pages without a host, or without their host's path, go by their own
-    best container. Repeated rows are extracted each; an empty table gives no rows.
+    best container, and so do pages whose article stands elsewhere. Repeated rows are extracted each, a
+    page of any length or depth whole; an empty table gives no rows, and other columns come back in row.
     """
     row = F.struct(*pages.columns) if row is None else row
     won = written(winning_paths(pages), "paths")
