@@ -25,6 +25,8 @@ from factloom.llm.common import maybe_broadcast, written
 SHINGLE, PERCENT, RADIUS, BANDS = 5, 80, 19, 4
 #: Item shingles up to which the item side is broadcast; beyond it Spark joins by shuffle.
 BROADCAST_SHINGLES = 1_000_000
+#: Rows of a task that looks for the starts of windows.
+PLACES_PER_TASK = 5_000
 TEXT, WINDOW = ["doc_id", "copy", "n"], ["doc_id", "copy", "n", "start"]
 
 
@@ -66,7 +68,7 @@ def banded(prints: DataFrame, key: list[str], name: str, around: int = 0) -> Dat
 
 def within_radius(prints: DataFrame, items: DataFrame) -> DataFrame:
     """n, print, item_id: all pairs of the distinct prints (n, print) and items (n, item_id, print_i) within RADIUS bits."""
-    near = banded(items, ["n", "item_id"], "print_i", RADIUS // BANDS)
+    near = banded(items, ["n", "item_id"], "print_i", RADIUS // BANDS).hint("shuffle_hash")  # some 10,000 rows an item
     pairs = banded(prints, ["n"], "print").join(near, ["n", "band", "bits"])
     return pairs.where(f"bit_count(print ^ print_i) <= {RADIUS}").select("n", "print", "item_id").distinct()
 
@@ -141,7 +143,9 @@ def _search(texts: DataFrame, items: DataFrame, size: int, percent: int) -> Data
     places = places.join(known, "h").groupBy("doc_id", "copy", "length").agg(F.array_sort(F.collect_set("pos")).alias("places"))
     least = F.array([F.lit(n) for n in lengths])
     places = places.select("*", F.explode(F.filter(least, lambda n: F.size("places") * 100 >= n * percent)).alias("n"))
-    places = written(places, "places").select(*TEXT, _starts(percent).alias("starts"))
+    places = written(places, "places")
+    # few bytes, but much to do: dealt by rows
+    places = places.repartition(places.count() // PLACES_PER_TASK + 1).select(*TEXT, _starts(percent).alias("starts"))
     places = written(places, "starts").where("size(starts) > 0")
 
     chosen = maybe_broadcast(places.select("doc_id", "copy").distinct(), 200_000)
@@ -150,9 +154,12 @@ def _search(texts: DataFrame, items: DataFrame, size: int, percent: int) -> Data
 
     def shingles_of(starts: DataFrame, *key: str) -> DataFrame:
         """One row for each shingle h of the windows that start at `starts`; those of a text and length stay together."""
-        held = starts.join(again, ["doc_id", "copy"]).repartition(*TEXT)
-        held = held.select(*TEXT, *key, "shingles", F.explode("starts").alias("start"))
-        return held.select(*WINDOW, *key, F.explode(F.expr("slice(shingles, start + 1, n)")).alias("h"))
+        first = starts.withColumns({"first": F.array_min("starts"), "last": F.array_max("starts")})
+        # only the part of a text in which its windows lie travels with them
+        held = first.join(again, ["doc_id", "copy"]).withColumn("part", F.expr("slice(shingles, first + 1, last - first + n)"))
+        held = held.select(*TEXT, *key, "starts", "first", "part").repartition(*TEXT)
+        held = held.select(*TEXT, *key, "first", "part", F.explode("starts").alias("start"))
+        return held.select(*WINDOW, *key, F.explode(F.expr("slice(part, start - first + 1, n)")).alias("h"))
 
     prints = written(fingerprints(shingles_of(places), WINDOW), "prints")
     item_prints = fingerprints(item_h.select("n", "item_id", "h"), ["n", "item_id"], "print_i")
