@@ -1,4 +1,4 @@
-"""All pairs of vectors whose cosine reaches a bound, exactly: packed blocks, bounds on pairs of blocks, Arrow batches."""
+"""All pairs of vectors whose cosine reaches a bound, exactly: packed tiles, bounds on pairs of tiles, Arrow batches."""
 
 from __future__ import annotations
 
@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from factloom.sources.facts_io import stored
 
-#: Vectors of a block at most, but for the chance of a hash; signs that can order a label's vectors; rows compared at once.
-BLOCK_ROWS, SIGNS, STRIP, FOUND = 2_048, 8, 256, 50_000
+#: Vectors of a tile at most, but for the chance of a hash; signs that can order a label's vectors; rows compared at once.
+TILE_ROWS, SIGNS, STRIP, FOUND = 2_048, 8, 256, 50_000
 #: Angles within which rounding may move a bound.
 SLACK = 1e-6
 
@@ -49,7 +49,7 @@ def _signs(seed: int) -> Column:
 
 
 def _pack(rows: pa.Table) -> pa.Table:
-    """One row for a block, with a cone (centre and angle) that holds all its vectors."""
+    """One row for a tile, with a cone (centre and angle) that holds all its vectors."""
     x = rows["vector"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(rows.num_rows, -1)
     unit = x / np.sqrt((x * x).sum(1))[:, None]
     centre = unit.mean(0)
@@ -59,7 +59,7 @@ def _pack(rows: pa.Table) -> pa.Table:
     return pa.table(
         {
             "kind": rows["kind"].slice(0, 1),
-            "block": rows["block"].slice(0, 1),
+            "tile": rows["tile"].slice(0, 1),
             "keys": pa.array([rows["key"].to_pylist()], pa.list_(pa.string())),
             "data": pa.array([x.tobytes()], pa.binary()),
             "centre": pa.array([centre.tolist()], pa.list_(pa.float64())),
@@ -69,7 +69,7 @@ def _pack(rows: pa.Table) -> pa.Table:
 
 
 def _compare(least: float):
-    """Every pair of two blocks (of one block, every pair once): a product of matrices, then the exact cosine."""
+    """Every pair of two tiles (of one tile, every pair once): a product of matrices, then the exact cosine."""
 
     def unpack(keys: list[str], data: bytes):
         x = np.frombuffer(data, np.float64).reshape(len(keys), -1)
@@ -100,31 +100,31 @@ def _compare(least: float):
     return run
 
 
-def close_vectors(distinct: DataFrame, least: float, seed: int = 11, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def close_vectors(distinct: DataFrame, least: float, seed: int = 11, tile_rows: int = TILE_ROWS) -> DataFrame:
     """key_a, key_b, cosine: every pair of different keys of a kind whose cosine is at least `least`, once.
 
-    distinct: key, kind, vector. A kind's vectors are dealt into blocks of about block_rows, by signs so
-    that like ones meet, then by a hash. Two blocks are compared whole in a task, unless the cones
+    distinct: key, kind, vector. A kind's vectors are dealt into tiles of about tile_rows, by signs so
+    that like ones meet, then by a hash. Two tiles are compared whole in a task, unless the cones
     around them lie so far apart that no pair can reach the bound. All pairs of a kind are
     covered, so without gaps between groups the work grows with the square of its vectors.
     """
     rows = stored(distinct.select("key", "kind", "vector", _signs(seed).alias("signs")), "vectors")
     counts = rows.groupBy("kind", "signs").agg(F.count("*").alias("n"))
     totals = counts.groupBy("kind").agg(F.sum("n").alias("total"))
-    depth = F.least(F.lit(SIGNS), F.greatest(F.lit(0), F.ceil(F.log2(F.col("total") / block_rows)).cast("int")))
+    depth = F.least(F.lit(SIGNS), F.greatest(F.lit(0), F.ceil(F.log2(F.col("total") / tile_rows)).cast("int")))
     cells = counts.join(totals, "kind").withColumn("cell", F.col("signs") % F.pow(F.lit(2), depth).cast("int"))
-    sizes = cells.groupBy("kind", "cell").agg(F.ceil(F.sum("n") / block_rows).cast("long").alias("parts"))
+    sizes = cells.groupBy("kind", "cell").agg(F.ceil(F.sum("n") / tile_rows).cast("long").alias("parts"))
     cells = cells.join(sizes, ["kind", "cell"]).select("kind", "signs", "cell", "parts")
     part = F.pmod(F.xxhash64("key"), F.col("parts"))
-    dealt = rows.join(cells, ["kind", "signs"]).select("key", "kind", "vector", F.concat_ws("/", "kind", "cell", part).alias("block"))
-    schema = "kind string, block string, keys array<string>, data binary, centre array<double>, angle double"
-    packed = stored(dealt.groupBy("block").applyInArrow(_pack, schema), "blocks")
+    dealt = rows.join(cells, ["kind", "signs"]).select("key", "kind", "vector", F.concat_ws("/", "kind", "cell", part).alias("tile"))
+    schema = "kind string, tile string, keys array<string>, data binary, centre array<double>, angle double"
+    packed = stored(dealt.groupBy("tile").applyInArrow(_pack, schema), "tiles")
 
-    cone = lambda s: packed.select("kind", F.col("block").alias(f"block_{s}"), F.col("centre").alias(f"centre_{s}"), F.col("angle").alias(f"angle_{s}"))
+    cone = lambda s: packed.select("kind", F.col("tile").alias(f"tile_{s}"), F.col("centre").alias(f"centre_{s}"), F.col("angle").alias(f"angle_{s}"))
     apart = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(F.col("centre_a"), F.col("centre_b")))))
     gap = F.greatest(F.lit(0.0), apart - F.col("angle_a") - F.col("angle_b") - SLACK)
-    pairs = cone("a").join(cone("b"), "kind").where("block_a <= block_b").where((F.col("block_a") == F.col("block_b")) | (F.cos(gap) >= least - SLACK))
-    held = lambda s: packed.select(F.col("block").alias(f"block_{s}"), F.col("keys").alias(f"keys_{s}"), F.col("data").alias(f"data_{s}"))
-    pairs = pairs.select("block_a", "block_b").join(held("a"), "block_a").join(held("b"), "block_b")
-    pairs = pairs.withColumn("same", F.col("block_a") == F.col("block_b")).repartition("block_a", "block_b")
-    return pairs.drop("block_a", "block_b").mapInArrow(_compare(least), "key_a string, key_b string, cosine double")
+    pairs = cone("a").join(cone("b"), "kind").where("tile_a <= tile_b").where((F.col("tile_a") == F.col("tile_b")) | (F.cos(gap) >= least - SLACK))
+    held = lambda s: packed.select(F.col("tile").alias(f"tile_{s}"), F.col("keys").alias(f"keys_{s}"), F.col("data").alias(f"data_{s}"))
+    pairs = pairs.select("tile_a", "tile_b").join(held("a"), "tile_a").join(held("b"), "tile_b")
+    pairs = pairs.withColumn("same", F.col("tile_a") == F.col("tile_b")).repartition("tile_a", "tile_b")
+    return pairs.drop("tile_a", "tile_b").mapInArrow(_compare(least), "key_a string, key_b string, cosine double")

@@ -1,4 +1,4 @@
-"""Questions over facts: ordinals, retrieval, citations, prompt blocks."""
+"""Questions over facts: ordinals, retrieval, answers, citations, prompt texts."""
 
 from __future__ import annotations
 
@@ -30,13 +30,28 @@ def order_by_chunk(facts: DataFrame) -> DataFrame:
     return facts.orderBy("doc_id", "chunk_id", "fact_no")
 
 
-def answer_question(facts: DataFrame, question: str, k: int = 5) -> DataFrame:
-    """The k facts of each document that share most words with a question; ties by confidence, then ordinal."""
+def ranked_facts(facts: DataFrame, question: str, k: int | None = None) -> DataFrame:
+    """The facts of each document that share words with a question, with overlap and rank, the k best if k is given;
+    ties by confidence, then ordinal."""
     words = F.array_distinct(F.filter(F.split(F.lower(F.lit(question)), r"[^a-z0-9]+"), lambda w: F.length(w) > 2))
     claim = F.array_distinct(F.split(F.lower("claim"), r"[^a-z0-9]+"))
     scored = facts.withColumn("overlap", F.size(F.array_intersect(claim, words))).where("overlap > 0")
     best = Window.partitionBy("doc_id").orderBy(F.desc("overlap"), F.desc("confidence"), "fact_no")
-    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    ranked = scored.withColumn("rank", F.row_number().over(best))
+    return ranked if k is None else ranked.where(F.col("rank") <= k)
+
+
+def answer_question(facts: DataFrame, question: str, k: int = 5) -> DataFrame:
+    """doc_id, answer, confidence, hits: the claims of the k best facts, each with its citation.
+
+    confidence is High with three facts or more, Medium with one or two. A document without any hit
+    has no row, since nothing in it answers.
+    """
+    best = ranked_facts(facts, question)
+    said = F.when(F.col("rank") <= k, F.struct("rank", F.concat("claim", F.lit(" [Fact "), F.col("fact_no").cast("string"), F.lit("]")).alias("text")))
+    rows = best.groupBy("doc_id").agg(F.array_sort(F.collect_list(said)).alias("l"), F.count("*").alias("hits"))
+    confidence = F.when(F.col("hits") >= 3, "High").otherwise("Medium")
+    return rows.select("doc_id", F.array_join(F.col("l.text"), " ").alias("answer"), confidence.alias("confidence"), "hits")
 
 
 def cited_facts(answers: DataFrame, facts: DataFrame) -> DataFrame:
@@ -56,7 +71,7 @@ def facts_with_summary(facts: DataFrame, summaries: DataFrame) -> DataFrame:
     return facts.join(summaries, "doc_id", "left")
 
 
-def fact_block(context: Column | None = None) -> Column:
+def fact_entry(context: Column | None = None) -> Column:
     parts = [
         F.concat(F.lit("[Fact "), F.col("fact_no").cast("string"), F.lit("] "), F.col("claim")),
         F.concat(F.lit("Location: "), F.col("source_location")),
@@ -67,12 +82,12 @@ def fact_block(context: Column | None = None) -> Column:
     return F.concat_ws("\n", *parts)
 
 
-def facts_prompt_block(facts: DataFrame, context: str | None = None, per_block: int = 200) -> DataFrame:
-    """doc_id, block_no, block: the facts of a document as ordered text, per_block facts to a block."""
-    text = fact_block(None if context is None else F.col(context))
-    rows = facts.select("doc_id", F.floor((F.col("fact_no") - 1) / per_block).cast("int").alias("block_no"), "fact_no", text.alias("text"))
+def facts_prompt_block(facts: DataFrame, context: str | None = None, per_part: int = 200) -> DataFrame:
+    """doc_id, part_no, part: the facts of a document as ordered text, per_part facts to a part."""
+    text = fact_entry(None if context is None else F.col(context))
+    rows = facts.select("doc_id", F.floor((F.col("fact_no") - 1) / per_part).cast("int").alias("part_no"), "fact_no", text.alias("text"))
     ordered = F.array_sort(F.collect_list(F.struct("fact_no", "text")))
-    return rows.groupBy("doc_id", "block_no").agg(ordered.alias("l")).select("doc_id", "block_no", F.array_join(F.col("l.text"), "\n\n").alias("block"))
+    return rows.groupBy("doc_id", "part_no").agg(ordered.alias("l")).select("doc_id", "part_no", F.array_join(F.col("l.text"), "\n\n").alias("part"))
 
 
 def rejected_split(validated: DataFrame) -> tuple[DataFrame, DataFrame]:

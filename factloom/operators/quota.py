@@ -111,6 +111,13 @@ def score_range(kept: DataFrame) -> DataFrame:
     return kept.where("not has_qv").groupBy("doc_id").agg(F.max("quality_score").alias("best"), F.min("quality_score").alias("worst"))
 
 
+def values_minus(facts: DataFrame) -> DataFrame:
+    """doc_id, fact_no, fresh: the quantities in a claim that its list doesn't have; repeats in the claim repeat."""
+    old = F.coalesce("quantitative_values", F.array().cast("array<string>"))
+    found = F.transform(quantities(F.col("claim")), lambda q: q["value"])
+    return facts.select("doc_id", "fact_no", F.filter(found, lambda v: ~F.array_contains(old, v)).alias("fresh"))
+
+
 def retro_tag_qv(facts: DataFrame) -> DataFrame:
     """Append the quantities in a claim that its list doesn't have yet; repeats in the claim repeat."""
     old = F.coalesce("quantitative_values", F.array().cast("array<string>"))

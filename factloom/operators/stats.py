@@ -83,16 +83,21 @@ def compare_runs(first: DataFrame, second: DataFrame) -> DataFrame:
 
 
 # The targets of a fact set and the least value that counts as close.
-TARGETS = {"qv_share": (0.35, 0.30), "mean_specificity": (0.70, 0.65), "entity_share": (0.40, 0.30), "process_share": (0.40, 0.30)}
+TARGETS = {"qv_share": (0.35, 0.30), "mean_specificity": (0.70, 0.65), "entity_share": (0.40, 0.35), "process_share": (0.40, 0.35)}
+DENSITY = (8.0, 12.0)
 
 
-def target_assessment(facts: DataFrame, *by: str) -> DataFrame:
-    """by, metric, value and verdict (`met`, `close` or `missed`)."""
+def target_assessment(facts: DataFrame, lines: DataFrame, *by: str) -> DataFrame:
+    """by, metric, value and verdict (`met`, `close` or `missed`); the density of facts is met within its bounds or missed."""
     profile = fact_set_profile(facts, *by)
     stack = ", ".join(f"'{n}', {n}, double({t}), double({c})" for n, (t, c) in TARGETS.items())
     long = profile.selectExpr(*by, f"stack({len(TARGETS)}, {stack}) as (metric, value, target, near)")
     verdict = F.expr("case when value >= target then 'met' when value >= near then 'close' else 'missed' end")
-    return long.select(*by, "metric", "value", verdict.alias("verdict"))
+    shares = long.select(*by, "metric", "value", verdict.alias("verdict"))
+    n, k = lines.groupBy(*by).agg(F.count("*").alias("lines")), facts.groupBy(*by).agg(F.count("*").alias("facts"))
+    dense = n.join(k, list(by)).withColumn("value", F.col("facts") / F.col("lines") * 100)
+    verdict = F.when(F.col("value").between(*DENSITY), "met").otherwise("missed")
+    return shares.unionByName(dense.select(*by, F.lit("density").alias("metric"), "value", verdict.alias("verdict")))
 
 
 def facts_by_type(facts: DataFrame) -> DataFrame:

@@ -2,17 +2,34 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions import patterns as P
 from factloom.operators import score
-from factloom.operators.extract import generated_claim, quantitative_values
-from factloom.operators.quota import quota_filter, retro_tag_qv
+from factloom.operators.extract import control_facts, control_rows, generated_claim, quantitative_values
+from factloom.operators.quota import chunk_quantities, generate_missing_facts, quota_filter, retro_tag_qv
+from factloom.sources.facts_io import stored
+
+
+def post_process_chain(facts: DataFrame, chunks: DataFrame, target: float = 0.5) -> DataFrame:
+    """Rescore, enrich from the chunk, tag quantities, drop facts of little value, then make facts for the quantities
+    that each chunk's quota is short of. Those have auto_generated set, their ordinal in the chunk's quantities in
+    qv_ord, and no fact_no. stats.extraction_coverage and stats.enhancement_stats report on the result."""
+    kept = refined(facts, chunks)
+    held = stored(kept, "refined")  # read by the quota, the search for what is missing, and the result
+    made = generate_missing_facts(chunks, stored(chunk_quantities(chunks), "quantities"), held, target)
+    made = made.select(
+        "doc_id", "chunk_id", "qv_ord", "claim", "fact_type", "specificity_score", "evidence_quote", "confidence", "auto_generated",
+        F.array("value").alias("quantitative_values"),
+    )
+    return held.unionByName(made, allowMissingColumns=True)
 
 
-def post_process_chain(facts: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Rescore, enrich from the chunk, tag quantities, then drop facts of little value."""
+def refined(facts: DataFrame, chunks: DataFrame) -> DataFrame:
+    """The facts that are kept, rescored, enriched and tagged."""
     text = F.col("chunk_text")
     specs = F.array_distinct(F.concat(*(P.hits(text, r) for r in (P.ENCRYPTION, P.AUTHENTICATION, P.NETWORK))))
     found = chunks.select("doc_id", "chunk_id", specs.alias("specs"), P.distinct_hits(text, P.ROLES).alias("roles"), P.quantities(text).alias("chunk_values"))
@@ -27,10 +44,22 @@ def curate_chain(facts: DataFrame, target: float = 0.35) -> DataFrame:
 
 
 def extract_facts(chunks: DataFrame) -> DataFrame:
-    """Facts by rule: one for each quantity of a chunk, claimed by its context."""
+    """Facts by rule: one for each quantity of a chunk, claimed by its context, and those of its control tables."""
     rows = quantitative_values(chunks, "chunk_text", "doc_id", "chunk_id", "chunk_text")
     made = generated_claim(F.col("type"), F.col("value"), F.col("chunk_text"))
-    return rows.select("doc_id", "chunk_id", "qv_ord", "value", "type", made["claim"].alias("claim"), made["fact_type"].alias("fact_type"))
+    found = rows.select("doc_id", "chunk_id", "qv_ord", "value", "type", made["claim"].alias("claim"), made["fact_type"].alias("fact_type"))
+    controls = control_facts(control_rows(chunks, "doc_id", "chunk_id"))
+    none = F.lit(None)
+    controls = controls.select(
+        "doc_id", "chunk_id", none.cast("int").alias("qv_ord"), "value", none.cast("string").alias("type"), "claim", "fact_type"
+    )
+    return found.unionByName(controls)
+
+
+def facts_of_producer(chunks: DataFrame, produce: Callable, schema: str) -> DataFrame:
+    """Facts that `produce` makes (a function over iterators of pandas frames of chunks, as mapInPandas takes it): the
+    place of a model. schema: of its facts."""
+    return chunks.mapInPandas(produce, schema)
 
 
 def summarize_documents(docs: DataFrame) -> DataFrame:

@@ -62,10 +62,10 @@ def test_similar_facts_equal_brute_force(spark, least):
     assert found == groups(ids, want)
 
 
-def test_small_blocks_lose_no_pair(spark):
+def test_small_tiles_lose_no_pair(spark):
     rows = vectors()
     known = cosine.usable(spark.createDataFrame(rows, SCHEMA)).dropDuplicates(["key"])
     id_of = {r.key: r.vec_id for r in known.select("key", "vec_id").collect()}
     distinct = [r for r in rows if r[0] in set(id_of.values())]
-    got = [tuple(sorted((id_of[r.key_a], id_of[r.key_b]))) for r in cosine.close_vectors(known, 0.4, block_rows=16).collect()]
+    got = [tuple(sorted((id_of[r.key_a], id_of[r.key_b]))) for r in cosine.close_vectors(known, 0.4, tile_rows=16).collect()]
     assert len(got) == len(set(got)) and set(got) == set(close(distinct, 0.4))
