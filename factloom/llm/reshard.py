@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from factloom.llm.common import shared_dir, written
 
-#: Blocks of an old shard: rows are dealt into them by hash, and all but the blocks at a cut move whole.
-BLOCKS = 256
+#: Pieces of an old shard at least, and rows of one where a table has more: rows are dealt into pieces by hash, and all
+#: but the pieces at a cut move whole.
+PIECES, ROWS_PER_PIECE = 256, 50_000
 
 
 def min_cost_flow(supply: list[int], capacity: list[int], cost) -> dict[tuple[int, int], int]:
@@ -68,7 +69,7 @@ def min_cost_flow(supply: list[int], capacity: list[int], cost) -> dict[tuple[in
 
 @dataclass
 class Transfers:
-    """Cuts of the old shards: shard old holds bytes lo to hi, in block order, for shard new."""
+    """Cuts of the old shards: shard old holds bytes lo to hi, in piece order, for shard new."""
 
     cuts: list[tuple[int, int, int, int]]
     moved: int
@@ -97,8 +98,8 @@ def plan(sizes: list[int], shards: int) -> Transfers:
 ORDER = ["doc_id", "text_crc32", "size"]
 
 
-def laid_out(docs: DataFrame, old_shards: int) -> DataFrame:
-    """docs with size, text_crc32, old_shard and block; columns of these names are replaced.
+def laid_out(docs: DataFrame, old_shards: int, pieces: int = PIECES) -> DataFrame:
+    """docs with size, text_crc32, old_shard and piece; columns of these names are replaced.
 
     size: UTF-8 bytes of the text, plus 1; a null text has none and its checksum is that of no bytes.
     The old shard is the checksum of doc_id modulo old_shards; a null doc_id is in shard 0.
@@ -110,7 +111,7 @@ def laid_out(docs: DataFrame, old_shards: int) -> DataFrame:
             "size": (F.octet_length(text) + 1).cast("long"),
             "text_crc32": F.crc32(text),
             "old_shard": home.cast("int"),
-            "block": F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(BLOCKS)).cast("int"),
+            "piece": F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(pieces)).cast("int"),
         }
     )
 
@@ -118,33 +119,33 @@ def laid_out(docs: DataFrame, old_shards: int) -> DataFrame:
 class Resharding:
     """The transfers from old shards to new ones for a laid out table, and where each row goes.
 
-    Rows follow one another in their old shard by block and by order within it; a row goes where its
+    Rows follow one another in their old shard by piece and by order within it; a row goes where its
     middle byte falls, so a new shard is off its capacity by less than a row at each cut. Only the
-    totals of blocks come to the driver: old shards times BLOCKS rows, whatever the table.
+    totals of pieces come to the driver: old shards times PIECES rows, whatever the table.
     """
 
     def __init__(self, layout: DataFrame, shards: int):
-        totals = layout.groupBy("old_shard", "block").agg(F.sum("size").alias("bytes")).collect()
-        blocks = sorted((r["old_shard"], r["block"], r["bytes"]) for r in totals)
-        count = 1 + max([b[0] for b in blocks], default=0)
-        self.transfers = plan([sum(b[2] for b in blocks if b[0] == i) for i in range(count)], shards)
+        totals = layout.groupBy("old_shard", "piece").agg(F.sum("size").alias("bytes")).collect()
+        pieces = sorted((r["old_shard"], r["piece"], r["bytes"]) for r in totals)
+        count = 1 + max([b[0] for b in pieces], default=0)
+        self.transfers = plan([sum(b[2] for b in pieces if b[0] == i) for i in range(count)], shards)
         rows, at = [], dict.fromkeys(range(count), 0)
-        for old, block, size in blocks:
+        for old, piece, size in pieces:
             lo, hi = at[old], at[old] + size
             at[old] = hi
             whole = next((j for i, j, a, b in self.transfers.cuts if i == old and a <= lo and hi <= b), None)
-            rows.append((old, block, lo, whole))
+            rows.append((old, piece, lo, whole))
         spark = layout.sparkSession
-        self.places = spark.createDataFrame(rows, "old_shard int, block int, lo long, whole int")
+        self.places = spark.createDataFrame(rows, "old_shard int, piece int, lo long, whole int")
         cuts = spark.createDataFrame(self.transfers.cuts, "old_shard int, new int, a long, b long")
         self.cuts = cuts.groupBy("old_shard").agg(F.array_sort(F.collect_list(F.struct("a", "b", "new"))).alias("cuts"))
 
     def place(self, layout: DataFrame) -> DataFrame:
-        """layout with the new shard. Blocks that no cut divides are placed where they are read, without a shuffle."""
+        """layout with the new shard. Pieces that no cut divides are placed where they are read, without a shuffle."""
         columns = layout.columns
-        placed = layout.join(F.broadcast(self.places), ["old_shard", "block"])  # bounded by shards and blocks
+        placed = layout.join(F.broadcast(self.places), ["old_shard", "piece"])  # bounded by shards and pieces
         whole = placed.where("whole is not null").withColumn("shard", F.col("whole"))
-        before = Window.partitionBy("old_shard", "block").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, -1)
+        before = Window.partitionBy("old_shard", "piece").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, -1)
         middle = F.col("lo") + F.coalesce(F.sum("size").over(before), F.lit(0)) + F.expr("size div 2")
         cut = placed.where("whole is null").withColumn("middle", middle).join(F.broadcast(self.cuts), "old_shard")
         cut = cut.withColumn("shard", F.expr("filter(cuts, c -> middle < c.b)[0].new"))
@@ -152,41 +153,49 @@ class Resharding:
 
 
 def slotted(rows: DataFrame) -> DataFrame:
-    """rows (shard, old_shard, block, ...) with a gapless slot in each shard: rows of earlier pieces, plus the turn."""
-    piece = ["shard", "old_shard", "block"]
-    counts = rows.groupBy(*piece).agg(F.count("*").alias("n")).collect()  # bounded by shards and blocks
+    """rows (shard, old_shard, piece, ...) with a gapless slot in each shard: rows of earlier pieces, plus the turn."""
+    piece = ["shard", "old_shard", "piece"]
+    counts = rows.groupBy(*piece).agg(F.count("*").alias("n")).collect()  # bounded by shards and pieces
     first, start = [], {}
     for r in sorted((*(r[c] for c in piece), r["n"]) for r in counts):
         first.append((*r[:3], start.get(r[0], 0)))
         start[r[0]] = start.get(r[0], 0) + r[3]
-    first = rows.sparkSession.createDataFrame(first, "shard int, old_shard int, block int, first long")
+    first = rows.sparkSession.createDataFrame(first, "shard int, old_shard int, piece int, first long")
     turn = F.row_number().over(Window.partitionBy(*piece).orderBy(*ORDER))
     return rows.join(F.broadcast(first), piece).withColumn("slot", F.col("first") + turn - 1).drop("first")
 
 
-def rewrite(docs: DataFrame, move: Resharding, old_shards: int, folder: str) -> DataFrame:
-    """Write all rows that change their shard, whole, into folder by new shard; return them as read back.
+def rewrite(docs: DataFrame, move: Resharding, old_shards: int, pieces: int, folder: str) -> DataFrame:
+    """Write the old shards into folder/old, and all shards that gain or lose rows anew, whole, into folder/new.
 
-    Rows that stay keep the files they are in.
+    A shard that the transfers leave alone stays in its old files. Returns the rows of all new shards
+    (the columns of docs and shard) as read back from the files that now hold them.
     """
-    moved = move.place(laid_out(docs, old_shards)).where("shard <> old_shard")
-    moved.write.partitionBy("shard").parquet(folder)
-    return docs.sparkSession.read.schema(moved.schema).parquet(folder)
+    read = docs.sparkSession.read
+    old = laid_out(docs, old_shards, pieces)
+    old.write.partitionBy("old_shard").parquet(f"{folder}/old")
+    placed = move.place(read.schema(old.schema).parquet(f"{folder}/old"))
+    changed = sorted({shard for i, j, _, _ in move.transfers.cuts if i != j for shard in (i, j)})
+    affected = F.col("shard").isin(changed) if changed else F.lit(False)
+    columns = [*docs.columns, "shard"]
+    placed.where(affected).select(*columns).write.partitionBy("shard").parquet(f"{folder}/new")
+    new = read.schema(placed.select(*columns).schema).parquet(f"{folder}/new")
+    return placed.where(~affected).select(*columns).unionByName(new)
 
 
 def resharded(docs: DataFrame, old_shards: int = 6, shards: int = 8) -> DataFrame:
     """doc_id, size, text_crc32, law (`bytes`), shard, slot, grown_shard (null) and old_shard of every row.
 
-    Sizes and checksums of rows that moved are taken from the files written. Equal rows are
-    interchangeable, so repeated rows are placed each; an empty table gives no rows.
+    Sizes and checksums are those of the rows in the new shards' files. Equal rows are
+    interchangeable, so repeated rows are placed each; a null doc_id is in shard 0 of old; rows of
+    any size are never cut; an empty table gives no rows.
     """
     docs = docs.select("doc_id", "text")
-    layout = written(laid_out(docs, old_shards).drop("text"), "layout")
+    pieces = max(PIECES, docs.count() // (old_shards * ROWS_PER_PIECE))
+    layout = written(laid_out(docs, old_shards, pieces).drop("text"), "layout")
     move = Resharding(layout, shards)
-    back = rewrite(docs, move, old_shards, f"{shared_dir(docs.sparkSession)}/shards-{uuid.uuid4().hex}")
-    back = laid_out(back.select("doc_id", "text", "shard"), old_shards).drop("text")
-    stay = move.place(layout).where("shard = old_shard")
-    rows = slotted(written(stay.unionByName(back), "assigned"))
+    back = rewrite(docs, move, old_shards, pieces, f"{shared_dir(docs.sparkSession)}/shards-{uuid.uuid4().hex}")
+    rows = slotted(written(laid_out(back, old_shards, pieces).drop("text"), "assigned"))
     fixed = {"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")}
     return rows.withColumns(fixed).select(
         "doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard", "old_shard"
