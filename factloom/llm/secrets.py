@@ -25,7 +25,7 @@ KEYWORD = r"(?i)(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_
 CANDIDATE = (
     KEYWORD + r"[\"']?\s{0,3}[:=]\s{0,3}[\"']?[^\s\"'<>,;]{6,}"
     r"|-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[A-Za-z0-9+/=\s]{16,}-----END [A-Z ]{0,30}PRIVATE KEY-----"
-    r"|(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]{0,60}[0-9])[A-Za-z0-9+/_\-]{12,}={0,2}"
+    r"|(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]*+[0-9])[A-Za-z0-9+/_\-]{12,}={0,2}"
 )
 ASSIGNED = r"^" + KEYWORD + r"[\"']?\s{0,3}[:=]\s{0,3}[\"']?"
 #: Characters around a candidate whose words are its neighbours.
@@ -209,12 +209,16 @@ def findings(docs: DataFrame, labelled: DataFrame | None = None, threshold: floa
 def redacted(docs: DataFrame, found: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """docs with every occurrence of its findings' values replaced by a mark, and n_chars to match.
 
-    Longer values go first, so that a value within another can't spoil it. All rows and columns stay.
+    Longer values go first, so that a value within another can't spoil it. All rows and columns stay;
+    a null text or doc_id stays as it is, and rows that repeat a doc_id lose the values of all of them.
     """
-    values = found.groupBy(F.col("doc_id").alias("_doc")).agg(
-        F.reverse(F.array_sort(F.collect_set(F.struct(F.length("value").alias("n"), "value")))).alias("_values")
+    values = found.groupBy(F.col("doc_id").alias("doc")).agg(
+        F.reverse(F.array_sort(F.collect_set(F.struct(F.length("value").alias("n"), "value")))).alias("values")
     )
-    joined = docs.join(maybe_broadcast(values, 100_000), docs["doc_id"] == F.col("_doc"), "left")
-    clean = F.expr(f"if(_values is null, text, aggregate(_values, text, (t, v) -> replace(t, v.value, '{mark}')))")
-    out = joined.withColumn("text", clean).drop("_doc", "_values")
-    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
+    # the columns of docs travel in a struct, so that no name of theirs can clash
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("own"), F.col("text").cast("string").alias("text"))
+    joined = rows.join(maybe_broadcast(values, 100_000), F.col("own") == F.col("doc"), "left")
+    clean = F.expr(f"if(values is null, text, aggregate(values, text, (t, v) -> replace(t, v.value, '{mark}')))")
+    joined = joined.withColumn("text", clean)
+    own = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return joined.select(*(own.get(c, F.col("row")[c]).alias(c) for c in docs.columns))
