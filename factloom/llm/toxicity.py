@@ -29,8 +29,8 @@ SIGN, SIGN_GONE, KEEP_GAP, DROP_GAP, DROP_REPEAT, ANY = -1.0, -3.0, -0.2, -0.5,
 BEAM, BEST = 40, 6
 #: At most so many labelled rows of each label are learnt from, those with the least hash.
 ROWS_PER_LABEL = 10_000
-#: Features (words and their beginnings) need so many documents, and the model holds so many at most.
-LEAST_DOCUMENTS, MOST_FEATURES = 5, 50_000
+#: Features (words and their beginnings) need so many documents of the sample.
+LEAST_DOCUMENTS = 5
 STEMS = range(3, 8)
 HELD = 200_000
 #: Longer runs are decoded in pieces of this length, each of which starts in the middle of the one before.
@@ -230,7 +230,7 @@ def _count(shared):
         for batch in batches:
             names, labels = [], []
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = {f for w in set(restorer.words(text or "")) if len(w) <= 64 for f in features(w)}
+                found = {f for w in set(restorer.words(text or "")) for f in features(w)}
                 names += found
                 labels += [toxic] * len(found)
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(labels, pa.int32())], names=["f", "toxic"])
@@ -286,8 +286,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         share = sizes.get(1, 0) / max(1, sum(sizes.values()))
         return Model(letters, {}, prior=share)
     odds = F.log((F.col("k") + 0.5) / (sizes[1] + 1.0)) - F.log((F.col("n") - F.col("k") + 0.5) / (sizes[0] + 1.0))
-    kept = counted.where(f"n >= {LEAST_DOCUMENTS}").withColumn("z", odds).where("z > 1").orderBy(F.desc("z"), "f").limit(MOST_FEATURES)
-    table = kept.select("f", "z").toPandas()
+    kept = counted.where(f"n >= {LEAST_DOCUMENTS}").withColumn("z", odds).where("z > 1")
+    table = kept.select("f", "z").toPandas()  # of the bounded sample
     model = Model(letters, dict(zip(table["f"], table["z"], strict=True)))
 
     shared = spark.sparkContext.broadcast(model)
@@ -326,7 +326,11 @@ def score(docs: DataFrame, model: Model, row: Column | None = None) -> DataFrame
 
 
 def toxicity_of(spark: SparkSession, docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """doc_id, held_out, score, predicted. Labels of rows whose crc32 of doc_id modulo 4 is 2 are never read."""
+    """doc_id, held_out, score, predicted. Labels of rows whose crc32 of doc_id modulo 4 is 2 are never read.
+
+    Rows that repeat a doc_id are scored each by their own text; a null text counts as empty; a null
+    doc_id is not held out and not learnt from; an empty table gives no rows; other columns are ignored.
+    """
     docs = docs.select("doc_id", "text")
     remainder = "pmod(crc32(cast(cast({} as string) as binary)), 4)"
     model = fit(docs, labels.where(remainder.format("doc_id") + " <> 2"))

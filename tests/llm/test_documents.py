@@ -301,6 +301,11 @@ def test_secrets(spark):
     assert [out[i].text for i in range(len(real), df.count())] == clean
     assert out[1].n_chars == len(out[1].text)
     assert secrets.findings(table(spark, [])).count() == 0
+    odd = df.withColumnsRenamed({"lang_pred": "_values", "score": "values", "row": "_doc"})
+    assert secrets.redacted(odd, found.select("doc_id", "value")).columns == odd.columns
+    long = "Q" * 71 + "7" + "x" * 20
+    runs = secrets.candidates(table(spark, [f"see {long} there", "the " * 50_000 + f"token={h[:40]}", f"a {h} b {h} c"])).collect()
+    assert [(r.doc_id, r.value) for r in sorted(runs, key=lambda r: (r.doc_id, r.ordinal))] == [(0, long), (1, h[:40]), (2, h), (2, h)]
 
 
 def test_resharding(spark):
@@ -321,6 +326,26 @@ def test_resharding(spark):
     assert reshard.resharded(table(spark, []), 5, 8).count() == 0
 
 
+def test_rewritten_shards_hold_every_row_once(spark, tmp_path):
+    """Bytes that move are those of the plan, but for a row at each cut; affected shards are written whole, others stay."""
+    rng = random.Random(11)
+    texts = ["x" * rng.randrange(400) for _ in range(1500)] + [None, "", "y" * 50_000, "y" * 50_000]
+    docs = table(spark, texts, [*range(1500), None, 7, 1502, 1502]).select("doc_id", "text")
+    layout = reshard.laid_out(docs, 3)
+    move = reshard.Resharding(layout, 4)
+    back = reshard.rewrite(docs, move, 3, reshard.PIECES, f"{tmp_path}/shards").collect()
+    assert Counter((r.doc_id, r.text) for r in back) == Counter((r.doc_id, r.text) for r in docs.collect())
+    old = {(r.doc_id, r.size): r.old_shard for r in layout.collect()}
+    moved = sum(len(r.text or "") + 1 for r in back if old[r.doc_id, len(r.text or "") + 1] != r.shard)
+    assert abs(moved - move.transfers.moved) <= 50_001 * len(move.transfers.cuts)
+    files = {p.name: len(spark.read.parquet(str(p)).collect()) for p in (tmp_path / "shards" / "new").iterdir() if p.is_dir()}
+    assert files == {f"shard={s}": n for s, n in Counter(r.shard for r in back).items() if f"shard={s}" in files} and "shard=3" in files
+    # equal sizes in equal shards: nothing moves, and no shard is written again
+    even = spark.createDataFrame([(i, "z" * 10) for i in range(400)], "doc_id long, text string")
+    still = reshard.Resharding(reshard.laid_out(even, 1), 1)
+    assert still.transfers.moved == 0 and reshard.rewrite(even, still, 1, reshard.PIECES, f"{tmp_path}/still").count() == 400
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_flow_moves_the_fewest_bytes(seed):
     rng = random.Random(seed)
