@@ -257,10 +257,10 @@ def test_pipeline(spark):
     names = [name for name, _ in corpus_pipeline.STAGES]
     assert len(names) == 5
     stages_of = dict(corpus_pipeline.STAGES)
-    one = stages_of["language_id"](spark, docs, sf)
-    two = stages_of["minhash_neardup"](spark, one, sf)
-    three = stages_of["decontamination"](spark, two, sf)
-    four = stages_of["secret_scan"](spark, three, sf)
+    one = common.written(stages_of["language_id"](spark, docs, sf), "language_id")
+    two = common.written(stages_of["minhash_neardup"](spark, one, sf), "minhash_neardup")
+    three = common.written(stages_of["decontamination"](spark, two, sf), "decontamination")
+    four = common.written(stages_of["secret_scan"](spark, three, sf), "secret_scan")
     for step in (one, two, three, four):
         assert step.columns == docs.columns
     left = {r.doc_id: r.text for r in three.collect()}
@@ -275,7 +275,7 @@ def test_pipeline(spark):
     items = {r.item_id: r.text for r in common.table(spark, sf, "benchmark").collect()}
     leaks = {d for d, _ in passages(first, items)}
     assert set(left) == set(first) - leaks
-    out = corpus_pipeline.run(spark, sf)
+    out = common.written(corpus_pipeline.run(spark, sf), "tokens")
     assert {r.doc_id for r in out.select("doc_id").collect()} == set(left)
     assert four.count() == len(left)
     ids = {r.doc_id: r.ids for r in out.collect()}
