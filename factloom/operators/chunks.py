@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from factloom.functions.text import lines_of
 
+#: Lines that are joined together with the facts that cite them.
+PART = 64
+
 
 def chunk_lines(docs: DataFrame, size: int = 1000, overlap: int = 200) -> DataFrame:
     """doc_id, chunk_id, start_line, end_line, chunk_text: windows of `size` lines, stepping size - overlap.
@@ -40,9 +43,39 @@ def pending_chunks(chunks: DataFrame, done: DataFrame) -> DataFrame:
     return chunks.join(done.select("doc_id", "chunk_id").distinct(), ["doc_id", "chunk_id"], "left_anti")
 
 
-def join_fact_lines(facts: DataFrame, documents: DataFrame, reach: int = 0) -> DataFrame:
-    """facts with the cited lines, `reach` more on either side, within the document: an equi-join and a slice."""
+def line_parts(documents: DataFrame) -> DataFrame:
+    """doc_id, part, part_lines: the lines of each document, PART at a time."""
+    starts = F.expr(f"if(size(lines) > 0, sequence(0, cast((size(lines) - 1) div {PART} as int)), array())")
+    parts = F.transform(starts, lambda p: F.slice("lines", p * PART + 1, F.lit(PART)))
+    return documents.select("doc_id", F.posexplode(parts).alias("part", "part_lines"))
+
+
+def with_cited_lines(facts: DataFrame, documents: DataFrame, reach: int = 0) -> DataFrame:
+    """facts with cited_lines (the cited ones and `reach` more on either side) and first_cited, the number of the first.
+
+    Different ranges are joined once with the parts of a document that they touch, so neither a fact
+    nor a task ever holds a whole document. Both are null for a fact without a location or a
+    document; a range outside its document has no lines. Without an end, a range is one line.
+    """
+    ends = facts.withColumn("_end", F.coalesce("end_line", "start_line"))
+    sizes = documents.select("doc_id", F.size("lines").alias("_size")).where("_size >= 0")
+    ranges = ends.select("doc_id", "start_line", "_end").where("start_line is not null").distinct().join(sizes, "doc_id")
     low = F.greatest(F.lit(1), F.col("start_line") - reach)
-    high = F.least(F.size("lines"), F.col("end_line") + reach)
-    text = F.when(high >= low, F.array_join(F.slice("lines", low, F.greatest(F.lit(0), high - low + 1)), "\n")).otherwise("")
-    return facts.join(documents, "doc_id", "left").withColumn("cited_text", text).drop("lines")
+    high = F.least(F.col("_size"), F.col("_end") + reach)
+    ranges = ranges.withColumns({"first_cited": low, "_last": high})
+    touched = F.expr(f"if(_last >= first_cited, sequence(cast((first_cited - 1) div {PART} as int), cast((_last - 1) div {PART} as int)), array())")
+    ranges = ranges.withColumn("part", F.explode_outer(touched))
+    begin = F.greatest(F.lit(1), F.col("first_cited") - F.col("part") * PART)
+    length = F.least(F.lit(PART), F.col("_last") - F.col("part") * PART) - begin + 1
+    found = ranges.join(line_parts(documents), ["doc_id", "part"], "left")
+    found = found.withColumn("_piece", F.when(F.col("part_lines").isNotNull(), F.struct("part", F.slice("part_lines", begin, length).alias("l"))))
+    pieces = F.array_sort(F.collect_list("_piece"))
+    found = found.groupBy("doc_id", "start_line", "_end", "first_cited").agg(pieces.alias("_pieces"))
+    found = found.select("doc_id", "start_line", "_end", "first_cited", F.flatten(F.col("_pieces.l")).alias("cited_lines"))
+    return ends.join(found, ["doc_id", "start_line", "_end"], "left").drop("_end")
+
+
+def join_fact_lines(facts: DataFrame, documents: DataFrame, reach: int = 0) -> DataFrame:
+    """facts with cited_text: the cited lines and `reach` more on either side, within the document."""
+    rows = with_cited_lines(facts, documents, reach)
+    return rows.withColumn("cited_text", F.array_join("cited_lines", "\n")).drop("cited_lines", "first_cited")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions.text import is_match, match_ratio, quote_snippet
-from factloom.operators.chunks import join_fact_lines
+from factloom.operators.chunks import join_fact_lines, with_cited_lines
 
 LEAST = 0.7
 
@@ -32,12 +32,14 @@ def skip_auto_generated(generated: Column, valid: Column) -> Column:
 
 def validate_in_lines(facts: DataFrame, documents: DataFrame, reach: int = 5) -> DataFrame:
     """facts with is_valid and scope (`exact`, `expanded` or null): every quote is in the cited lines, or near them."""
-    near = join_fact_lines(facts, documents).withColumnRenamed("cited_text", "exact_text")
-    both = join_fact_lines(near, documents, reach)
+    near = with_cited_lines(facts, documents, reach)
+    begin = F.greatest(F.lit(1), F.col("start_line"))
+    exact = F.slice("cited_lines", begin - F.col("first_cited") + 1, F.greatest(F.lit(0), F.coalesce("end_line", "start_line") - begin + 1))
+    near = near.withColumns({"exact_text": F.array_join(exact, "\n"), "cited_text": F.array_join("cited_lines", "\n")})
     quotes = F.col("evidence_quotes")
     scope = F.when(all_match(quotes, F.col("exact_text")), "exact").when(all_match(quotes, F.col("cited_text")), "expanded")
-    out = both.withColumn("scope", F.when(F.col("start_line").isNotNull(), scope))
-    return out.withColumn("is_valid", F.col("scope").isNotNull()).drop("exact_text", "cited_text")
+    out = near.withColumn("scope", scope).withColumn("is_valid", F.col("scope").isNotNull())
+    return out.drop("exact_text", "cited_text", "cited_lines", "first_cited")
 
 
 def medium_confidence(facts: DataFrame, documents: DataFrame, reach: int = 20, low: float = 0.40, high: float = 0.70) -> DataFrame:

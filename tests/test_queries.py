@@ -79,3 +79,24 @@ def test_retro_tag_twice_adds_no_value(spark):
     twice = quota.retro_tag_qv(once)
     values = lambda df: {(r.doc_id, r.fact_no): set(r.quantitative_values or []) for r in df.select("doc_id", "fact_no", "quantitative_values").collect()}
     assert values(once) == values(twice)
+
+
+@pytest.mark.parametrize("reach", [0, 5, 70])
+def test_cited_lines_equal_slices(spark, reach):
+    """Ranges within, across and beyond parts of a document; without location, end or document; repeated facts."""
+    sizes = {1: 0, 2: 1, 3: chunks.PART, 4: chunks.PART + 1, 5: 3 * chunks.PART + 7}
+    docs = spark.createDataFrame(
+        [(d, [f"{d}:{i}" for i in range(1, n + 1)]) for d, n in sizes.items()] + [(6, None)], "doc_id int, lines array<string>"
+    )
+    spots = [(1, 1), (1, 500), (60, 70), (64, 64), (65, 65), (64, 129), (190, 260), (199, 199), (300, 310), (10, 5), (7, None), (None, None), (None, 3), (-4, 2)]
+    cited = [(d, no, a, b) for d in (*sizes, 6, 7) for no, (a, b) in enumerate(spots)]
+    facts = spark.createDataFrame(cited + cited[:20], "doc_id int, fact_no int, start_line int, end_line int")
+    got = chunks.join_fact_lines(facts, docs, reach).collect()
+    assert len(got) == len(cited) + 20
+    for r in got:
+        want = None
+        if r.doc_id in sizes and r.start_line is not None:
+            last = r.start_line if r.end_line is None else r.end_line
+            numbers = range(max(1, r.start_line - reach), min(sizes[r.doc_id], last + reach) + 1)
+            want = "\n".join(f"{r.doc_id}:{i}" for i in numbers)
+        assert r.cited_text == want, r
