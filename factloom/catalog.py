@@ -386,7 +386,7 @@ def rescore_specificity(spark, d):
 def _in_chunk(spark, d):
     text = F.col("chunk_text")
     specs = F.array_distinct(F.concat(*(P.hits(text, r) for r in (P.ENCRYPTION, P.AUTHENTICATION, P.NETWORK))))
-    found = fixtures.chunks(spark, d).select("doc_id", "chunk_id", specs.alias("specs"), P.distinct_hits(text, P.ROLES[1:]).alias("roles"), P.quantities(text).alias("chunk_values"))
+    found = fixtures.chunks(spark, d).select("doc_id", "chunk_id", specs.alias("specs"), P.distinct_hits(text, P.ROLES).alias("roles"), P.quantities(text).alias("chunk_values"))
     return fixtures.facts(spark, d).join(found, ["doc_id", "chunk_id"])
 
 
@@ -402,7 +402,7 @@ def enrich_entities(spark, d):
 
 
 @query(fx(
-    f"select f.doc_id, f.fact_no, coalesce(who, list_filter({O.first_seen(hits('chunk_text', P.ROLES[1:]))}, lambda x: contains(lower(claim), lower(x)))[1]) as who"
+    f"select f.doc_id, f.fact_no, coalesce(who, list_filter({O.first_seen(hits('chunk_text', P.ROLES))}, lambda x: contains(lower(claim), lower(x)))[1]) as who"
     " from fx_facts f join fx_chunks using (doc_id, chunk_id)"
 ))
 def enrich_role(spark, d):
@@ -656,12 +656,13 @@ def join_fact_lines(spark, d):
     return chunks.join_fact_lines(fixtures.facts(spark, d), fixtures.document_lines(spark, d)).select("doc_id", "fact_no", "cited_text")
 
 
-def _part_facts(spark, d):
-    """The facts that are sure enough, so that quantities are left over."""
+def _sure_facts(spark, d):
+    """An earlier, stricter run, to be compared with the whole one."""
     return fixtures.facts(spark, d).where("confidence >= 0.9")
 
 
-PART = "part as (select * from fx_facts where confidence >= 0.9)"
+SURE = "part as (select * from fx_facts where confidence >= 0.9)"
+PART = "part as (select * from fx_facts)"
 MISSING = (
     "missing as (select q.* from chunk_qv q where not exists (select 1 from part p where p.doc_id = q.doc_id and p.chunk_id = q.chunk_id and (p.qv = q.value or contains(lower(p.claim), lower(q.value)))))"
 )
@@ -669,7 +670,7 @@ MISSING = (
 
 @query(fx("select * from missing", O.CHUNK_QV, PART, MISSING))
 def missing_qv(spark, d):
-    rows = quota.missing_qv(quota.chunk_quantities(fixtures.chunks(spark, d)), _part_facts(spark, d))
+    rows = quota.missing_qv(quota.chunk_quantities(fixtures.chunks(spark, d)), fixtures.facts(spark, d))
     return rows.select("doc_id", "chunk_id", "qv_ord", "value", "type")
 
 
@@ -678,7 +679,7 @@ GLOBAL = "free as (select distinct doc_id, value, type from chunk_qv q where not
 
 @query(fx("select * from free", O.CHUNK_QV, PART, GLOBAL))
 def global_missing_qv(spark, d):
-    return quota.global_missing_qv(quota.chunk_quantities(fixtures.chunks(spark, d)), _part_facts(spark, d)).select("doc_id", "value", "type")
+    return quota.global_missing_qv(quota.chunk_quantities(fixtures.chunks(spark, d)), fixtures.facts(spark, d)).select("doc_id", "value", "type")
 
 
 @query(fx("select doc_id, value, min(chunk_id) as chunk_id from chunk_qv group by all", O.CHUNK_QV))
@@ -754,10 +755,10 @@ def fact_density(spark, d):
 @query(fx(
     f"select a.metric, round(b.v, 6) as before, round(a.v, 6) as after, round(a.v - b.v, 6) as delta, round((a.v - b.v) * 100 / b.v, 6) as change from"
     f" (unpivot (select total::double as total, qv_share::double as qv_share, entity_share::double as entity_share, process_share::double as process_share, mean_specificity::double as mean_specificity from (select {PROFILE.replace('round(', '(').replace(', 6)', ')')} from fx_facts)) on columns(*) into name metric value v) a join"
-    f" (unpivot (select total::double as total, qv_share::double as qv_share, entity_share::double as entity_share, process_share::double as process_share, mean_specificity::double as mean_specificity from (select {PROFILE.replace('round(', '(').replace(', 6)', ')')} from part)) on columns(*) into name metric value v) b using (metric)", PART
+    f" (unpivot (select total::double as total, qv_share::double as qv_share, entity_share::double as entity_share, process_share::double as process_share, mean_specificity::double as mean_specificity from (select {PROFILE.replace('round(', '(').replace(', 6)', ')')} from part)) on columns(*) into name metric value v) b using (metric)", SURE
 ))
 def compare_runs(spark, d):
-    return _rounded(stats.compare_runs(_part_facts(spark, d), fixtures.facts(spark, d)), "before", "after", "delta", "change")
+    return _rounded(stats.compare_runs(_sure_facts(spark, d), fixtures.facts(spark, d)), "before", "after", "delta", "change")
 
 
 @query(fx(
@@ -823,7 +824,7 @@ WANTED = (
 
 @query(fx("select * from wanted", O.CHUNK_QV, PART, WANTED))
 def chunk_quota(spark, d):
-    return quota.chunk_quota(_part_facts(spark, d), quota.chunk_quantities(fixtures.chunks(spark, d)))
+    return quota.chunk_quota(fixtures.facts(spark, d), quota.chunk_quantities(fixtures.chunks(spark, d)))
 
 
 @query(fx(
@@ -832,7 +833,7 @@ def chunk_quota(spark, d):
 ))
 def generate_missing_facts(spark, d):
     rows = fixtures.chunks(spark, d)
-    made = quota.generate_missing_facts(rows, quota.chunk_quantities(rows), _part_facts(spark, d))
+    made = quota.generate_missing_facts(rows, quota.chunk_quantities(rows), fixtures.facts(spark, d))
     return made.select("doc_id", "chunk_id", "qv_ord", "value", "type", "pass")
 
 
@@ -841,7 +842,7 @@ GLOBAL_WANTED = "whole as (select doc_id, count(*) as total, count(qv) as with_q
 
 @query(fx("select * from whole", PART, GLOBAL_WANTED))
 def global_quota(spark, d):
-    return quota.global_quota(_part_facts(spark, d))
+    return quota.global_quota(fixtures.facts(spark, d))
 
 
 @query(fx(
@@ -850,7 +851,7 @@ def global_quota(spark, d):
 ))
 def generate_global_facts(spark, d):
     rows = fixtures.chunks(spark, d)
-    made = quota.generate_global_facts(rows, quota.chunk_quantities(rows), _part_facts(spark, d))
+    made = quota.generate_global_facts(rows, quota.chunk_quantities(rows), fixtures.facts(spark, d))
     return made.select("doc_id", "chunk_id", "value", "type")
 
 
