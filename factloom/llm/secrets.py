@@ -30,6 +30,8 @@ CANDIDATE = (
 ASSIGNED = r"^" + KEYWORD + r"[\"']?\s{0,3}[:=]\s{0,3}[\"']?"
 #: Characters around a candidate whose words are its neighbours.
 AROUND = 60
+#: Pieces of a text whose lengths are summed together.
+STRIDE = 256
 #: The forest is fitted on at most so many labelled findings, those with the least hash.
 LABELLED = 20_000
 TREES, DEPTH = 20, 6
@@ -53,34 +55,33 @@ FEATURES = [
 def candidates(docs: DataFrame) -> DataFrame:
     """doc_id, ordinal, start (0-based character), value, and the text around every candidate.
 
-    Only texts with a candidate get past the first filter; offsets are found left to right.
+    Only texts with a candidate get past the first filter. The text is cut at its candidates into
+    pieces (others, candidate, others, ...), and offsets and neighbours come from the pieces' lengths
+    and ends, so the work is linear in the text however many candidates it has, and no row carries it.
     """
     text = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("text is not null")
-    found = text.withColumn("all", F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0))).where("size(all) > 0")
-    spots = F.expr(
-        "aggregate(all, cast(array() as array<struct<at:int, whole:string>>), (acc, m) -> array_append(acc,"
-        " named_struct('at', locate(m, text, if(size(acc) = 0, 1, acc[size(acc) - 1].at + length(acc[size(acc) - 1].whole))),"
-        " 'whole', m)))"
-    )
-    each = found.select("doc_id", "text", F.posexplode(spots).alias("ordinal", "spot"))
-    lead = F.length(F.regexp_extract("spot.whole", ASSIGNED, 0))
-    each = each.select(
-        "doc_id",
-        "ordinal",
-        "text",
-        (F.col("spot.at") + lead - 1).alias("start"),
-        (lead > 0).cast("int").alias("assigned"),
-        F.substring("spot.whole", lead + 1, F.length("spot.whole")).alias("value"),
-    )
-    return each.select(
-        "doc_id",
-        "ordinal",
-        "start",
-        "value",
-        "assigned",
-        F.expr(f"substring(text, greatest(1, start + 1 - {AROUND}), least(start, {AROUND}))").alias("before"),
-        F.expr(f"substring(text, start + 1 + length(value), {AROUND})").alias("after"),
+    found = text.withColumn("hits", F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0))).where("size(hits) > 0")
+    found = found.select("doc_id", "hits", F.split("text", CANDIDATE, -1).alias("gaps"))
+    # the length of a text up to each candidate: of whole runs of STRIDE before it, and of the rest one by one
+    found = found.withColumn("steps", F.expr("transform(gaps, (g, i) -> length(g) + if(i = 0, 0, length(hits[i - 1])))"))
+    run = f"aggregate(slice(steps, r * {STRIDE} + 1, {STRIDE}), 0, (t, n) -> t + n)"
+    found = found.withColumn("runs", F.expr(f"transform(sequence(0, (size(steps) - 1) div {STRIDE}), r -> {run})"))
+    found = found.withColumn("ahead", F.expr("transform(runs, (x, r) -> aggregate(slice(runs, 1, r), 0, (t, n) -> t + n))"))
+    rest = f"aggregate(slice(steps, (i div {STRIDE}) * {STRIDE} + 1, i % {STRIDE} + 1), 0, (t, n) -> t + n)"
+    found = found.withColumn("leads", F.transform("hits", lambda m: F.length(F.regexp_extract(m, ASSIGNED, 0))))
+    for end, cut in (("heads", f"left({{}}, {AROUND})"), ("tails", f"right({{}}, {AROUND})")):
+        pair = f"array({cut.format('g')}, {cut.format('coalesce(get(hits, i), \'\')')})"
+        found = found.withColumn(end, F.expr(f"flatten(transform(gaps, (g, i) -> {pair}))"))
+    # a candidate has 6 characters at least, so these pieces hold AROUND characters or reach the end of the text
+    near = 2 * (AROUND // 6 + 1) + 1
+    before = f"concat(array_join(slice(tails, greatest(1, 2 * i + 2 - {near}), least(2 * i + 1, {near})), ''), left(m, leads[i]))"
+    after = f"array_join(slice(heads, 2 * i + 3, {near}), '')"
+    spots = (
+        f"transform(hits, (m, i) -> named_struct('ordinal', i, 'start', ahead[i div {STRIDE}] + {rest} + leads[i],"
+        " 'value', substring(m, leads[i] + 1), 'assigned', if(leads[i] > 0, 1, 0),"
+        f" 'before', right({before}, {AROUND}), 'after', left({after}, {AROUND})))"
     )
+    return found.select("doc_id", F.explode(F.expr(spots)).alias("spot")).select("doc_id", "spot.*")
 
 
 def _letters(column: str) -> Column:

@@ -391,3 +391,19 @@ def test_toxicity_of_long_disguised_runs(spark):
     got = {r.row.doc_id: r.score for r in toxicity.score(table(spark, texts), model).collect()}
     assert all(got[i] >= 0.3 for i in range(len(texts) - 1)), got
     assert got[len(texts) - 1] < 0.3, got
+
+
+def test_candidates_stand_where_they_say(spark):
+    """Offsets and neighbours equal slices of the text: many candidates close together, at both ends, beside wide characters."""
+    rng = random.Random(3)
+    bits = ["token=abcdefg1", "é", "\U0001f600", " ", "  password: 'hunter2x' ", "deadbeef0123456789", "word ", "\n", "api_key=Zz9Zz9Zz9", "- ", "x" * 70]
+    texts = ["".join(rng.choice(bits) for _ in range(n)) for n in (1, 2, 3, 5, 40, 700)]
+    texts += ["token=abcdefg1", "token=abcdefg1 token=abcdefg1", "a1b2c3d4e5f6g7 " * 5_000, "", None]
+    rows = secrets.candidates(table(spark, texts)).collect()
+    seen = Counter()
+    for r in sorted(rows, key=lambda r: (r.doc_id, r.ordinal)):
+        text, end = texts[r.doc_id], r.start + len(r.value)
+        assert text[r.start : end] == r.value and r.ordinal == seen[r.doc_id]
+        assert r.before == text[max(0, r.start - secrets.AROUND) : r.start] and r.after == text[end : end + secrets.AROUND]
+        seen[r.doc_id] += 1
+    assert seen[texts.index("a1b2c3d4e5f6g7 " * 5_000)] == 5_000 and seen[6] == 1 and seen[7] == 2
