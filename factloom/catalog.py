@@ -980,7 +980,17 @@ def contradictions(spark, d):
     return consensus.contradictions(fixtures.facts(spark, d))
 
 
-@query(fx("select doc_id, min_by(fact_no, [-confidence, fact_no]) as fact_no from fx_facts group by doc_id, array_to_string(list_sort(list_distinct(regexp_split_to_array(lower(claim), '\\W+'))), ' ')"))
+CLAIM_SETS = (
+    "claims as (select *, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(claim), '\\W+'), lambda x: x <> ''))) as w from fx_facts),"
+    " sets as (select distinct doc_id, w from claims),"
+    " near as (select doc_id, a.w as wa, b.w as wb, len(list_intersect(a.w, b.w)) as k from sets a join sets b using (doc_id) where a.w <> b.w),"
+    " reach as (select doc_id, w, w as r from sets union select n.doc_id, n.wb, h.r from reach h join near n on n.doc_id = h.doc_id and n.wa = h.w"
+    " and 100 * k >= 80 * (len(n.wa) + len(n.wb) - k)),"
+    " merged as (select doc_id, w, min(r) as g from reach group by all)"
+)
+
+
+@query(fx("select doc_id, min_by(fact_no, [-confidence, fact_no]) as fact_no from claims join merged using (doc_id, w) group by doc_id, g", CLAIM_SETS).replace("with ", "with recursive ", 1))
 def semantic_dedup(spark, d):
     return consensus.semantic_dedup(fixtures.facts(spark, d)).select("doc_id", "fact_no")
 

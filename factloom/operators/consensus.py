@@ -87,11 +87,36 @@ def contradictions(facts: DataFrame) -> DataFrame:
     return found.where("values > 1")
 
 
-def semantic_dedup(facts: DataFrame) -> DataFrame:
-    """One fact of each document and set of claim words: the surest, then the first."""
-    key = F.array_join(F.array_sort(F.array_distinct(F.split(F.lower("claim"), r"\W+"))), " ")
-    best = Window.partitionBy("doc_id", "_key").orderBy(F.desc("confidence"), "fact_no")
-    return facts.withColumn("_key", key).withColumn("_turn", F.row_number().over(best)).where("_turn = 1").drop("_key", "_turn")
+def semantic_dedup(facts: DataFrame, percent: int = 80) -> DataFrame:
+    """One fact of each document and group of near-duplicate claims: the surest, then the first.
+
+    Claims are linked if 100 * |A and B| >= percent * |A or B| for their sets of lower-case words, and
+    a group is what links reach. A null claim counts as empty; claims without words are one group.
+    Equal sets are compared once, and only with sets of the document that share one of their rarest
+    words, without which two sets can't have enough in common (prefix filter).
+    """
+    words = F.split(F.lower(F.coalesce("claim", F.lit(""))), r"\W+")
+    words = F.array_remove(F.array_sort(F.array_distinct(words)), "")
+    doc = F.coalesce(F.concat(F.lit("+"), F.col("doc_id").cast("string")), F.lit("-"))
+    named = facts.withColumn("_node", F.concat_ws("\n", doc, F.array_join(words, " ")))
+    sets = stored(named.select(doc.alias("doc"), "_node", words.alias("words")).distinct(), "claims")
+
+    each = sets.select("doc", "_node", "words", F.size("words").alias("n"), F.explode("words").alias("word"))
+    common = each.groupBy("doc", "word").agg(F.count("*").alias("c"))
+    turn = F.row_number().over(Window.partitionBy("_node").orderBy("c", "word"))
+    rare = each.join(common, ["doc", "word"]).withColumn("turn", turn)
+    rare = stored(rare.where(f"c > 1 and turn <= n - ({percent} * n + 99) div 100 + 1").select("doc", "word", "_node", "words", "n"), "rare")
+    other = rare.select("doc", "word", F.col("_node").alias("b"), F.col("words").alias("words_b"), F.col("n").alias("n_b"))
+    pairs = rare.join(other, ["doc", "word"]).where(f"_node < b and 100 * least(n, n_b) >= {percent} * greatest(n, n_b)")
+    shared = F.size(F.array_intersect("words", "words_b"))
+    links = pairs.where(100 * shared >= percent * (F.col("n") + F.col("n_b") - shared))
+    links = stored(links.select(F.col("_node").alias("a"), "b").distinct(), "near")
+
+    linked = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
+    groups = fact_clusters(links, linked).select(F.col("node").alias("_node"), F.col("cluster").alias("_group"))
+    best = Window.partitionBy("_group").orderBy(F.desc("confidence"), "fact_no")
+    rows = named.join(groups, "_node", "left").withColumn("_group", F.coalesce("_group", "_node"))
+    return rows.withColumn("_turn", F.row_number().over(best)).where("_turn = 1").drop("_node", "_group", "_turn")
 
 
 def control_graph(facts: DataFrame) -> DataFrame:

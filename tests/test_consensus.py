@@ -1,5 +1,7 @@
 """Similar facts and their groups against brute-force cosine."""
 
+import re
+
 import numpy as np
 import pytest
 
@@ -69,3 +71,31 @@ def test_small_tiles_lose_no_pair(spark):
     distinct = [r for r in rows if r[0] in set(id_of.values())]
     got = [tuple(sorted((id_of[r.key_a], id_of[r.key_b]))) for r in cosine.close_vectors(known, 0.4, tile_rows=16).collect()]
     assert len(got) == len(set(got)) and set(got) == set(close(distinct, 0.4))
+
+
+def test_semantic_dedup_equals_brute_force(spark):
+    """Chains of near copies, equal claims, ties, null claims, confidences and documents, against all pairs by hand."""
+    rng = np.random.default_rng(4)
+    vocabulary = [f"w{i}" for i in range(30)]
+    rows = []
+    for _ in range(12):
+        claim = list(rng.choice(vocabulary, 12))
+        for _ in range(8):
+            claim = list(claim)
+            claim[rng.integers(12)] = str(rng.choice(vocabulary))
+            rows.append((int(rng.integers(3)), " ".join(claim).title() + ".", float(rng.integers(4)) / 4))
+    rows += [(1, None, 0.5), (1, "", 0.7), (1, "...", 0.6), (None, "one two", 0.5), (None, "Two, one", None), (2, "lone", None)]
+    rows = [(d, no, c, p) for no, (d, c, p) in enumerate(rows)]
+    facts = spark.createDataFrame(rows, "doc_id int, fact_no int, claim string, confidence double")
+
+    sets = {no: (d, frozenset(re.findall(r"\w+", (c or "").lower()))) for d, no, c, _ in rows}
+    linked = lambda x, y: x == y or (x[0] == y[0] and 100 * len(x[1] & y[1]) >= 80 * len(x[1] | y[1]))
+    root = groups(sets, [(a, b) for a in sets for b in sets if a < b and linked(sets[a], sets[b])])
+    best = {}
+    for _, no, _, p in rows:
+        rank = (-1.0 if p is None else p, -no)
+        best[root[no]] = max(best.get(root[no], rank), rank)
+    got = consensus.semantic_dedup(facts)
+    assert got.columns == facts.columns and len(best) < len(rows) - 20
+    assert sorted(r.fact_no for r in got.collect()) == sorted(-no for _, no in best.values())
+    assert consensus.semantic_dedup(facts.where("false")).count() == 0
