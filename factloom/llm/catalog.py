@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import bpe, decontaminate, html_text, language, neardup, nearest, reshard, secrets, toxicity, warc
+from factloom.llm import align, bpe, decontaminate, ego, html_text, language, neardup, nearest, repair, reshard, secrets, toxicity, warc
 from factloom.llm.common import table
 from factloom.llm.stages import tokenizer
 
@@ -53,6 +53,18 @@ def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extracted(table(spark, sf_dir, "pages"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.token_alignment(table(spark, sf_dir, "documents"))
+
+
+def op12_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ego.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.damaged_and_repaired(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict:
     return {f.__name__: f for f in (
         op1_minhash_neardup,
@@ -65,6 +77,9 @@ def queries() -> dict:
         op8_secret_scan,
         op9_warc,
         op10_nearest,
+        op11_token_alignment,
+        op12_near_vectors,
+        op13_conversation_repair,
     )}
 
 
