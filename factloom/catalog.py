@@ -250,24 +250,15 @@ def normalize_frequency(spark, d):
     return fixtures.lines(spark, d).select("doc_id", "line_no", P.normalize_frequency(F.col("line")).alias("normalized"))
 
 
-def _control_text(spark, d):
-    """Chunks as control tables: an id before every fifth line, a result after every fifth."""
-    rows = fixtures.lines(spark, d).withColumn("chunk_id", F.floor((F.col("line_no") - 1) / 40).cast("int"))
-    line = F.when(F.col("line_no") % 5 == 1, F.concat(F.lit("CC"), (F.col("line_no") % 9).cast("string"), F.lit(".1 "), F.col("line")))
-    line = line.when(F.col("line_no") % 5 == 3, F.concat(F.lit("Inspected that "), F.col("line"))).when(F.col("line_no") % 5 == 0, F.concat(F.col("line"), F.lit(" No Exceptions Noted"))).otherwise(F.col("line"))
-    ordered = F.array_sort(F.collect_list(F.struct("line_no", line.alias("line"))))
-    return rows.groupBy("doc_id", "chunk_id").agg(ordered.alias("l")).select("doc_id", "chunk_id", F.array_join(F.col("l.line"), "\n").alias("chunk_text"))
-
-
-@query()
+@query(fx("select * from ctl_rows", O.CONTROL))
 def control_rows(spark, d):
-    return extract.control_rows(_control_text(spark, d), "doc_id", "chunk_id")
+    return extract.control_rows(fixtures.control_chunks(spark, d), "doc_id", "chunk_id")
 
 
-@query()
+@query(fx(f"select doc_id, chunk_id, control_id, 'Lines ' || start_line || '-' || end_line as source_location, claim, fact_type, value, md5(evidence_quote) as quote from ({O.control_facts()})", O.CONTROL))
 def control_facts(spark, d):
-    rows = extract.control_facts(extract.control_rows(_control_text(spark, d), "doc_id", "chunk_id"))
-    return rows.select("doc_id", "chunk_id", "control_id", "start_line", "claim", "fact_type", "value")
+    rows = extract.control_facts(extract.control_rows(fixtures.control_chunks(spark, d), "doc_id", "chunk_id"))
+    return rows.select("doc_id", "chunk_id", "control_id", "source_location", "claim", "fact_type", "value", F.md5(F.col("evidence_quote").cast("binary")).alias("quote"))
 
 
 # --- text functions
@@ -278,14 +269,21 @@ def normalize_text(spark, d):
     return table(spark, d, "documents").select("doc_id", F.md5(T.normalize_text(F.col("text")).cast("binary")).alias("digest"))
 
 
-@query(fx("select doc_id, fact_no, start_line, start_line as end_line from fx_facts"))
+#: Places as facts give them: a range, a line, with other white space, of pages, in small letters, of three numbers.
+TOLD = (
+    "case fact_no % 6 when 0 then source_location when 1 then 'Line ' || cast(start_line as varchar(20)) when 2 then '  ' || replace(source_location, '-', ' - ')"
+    " when 3 then replace(source_location, 'Lines', 'Pages') when 4 then lower(source_location) else source_location || '-7' end"
+)
+
+
+@query(fx("select doc_id, fact_no, case when fact_no % 6 < 3 then start_line end as start_line, case fact_no % 6 when 0 then end_line when 1 then start_line when 2 then end_line end as end_line from fx_facts"))
 def parse_line_range(spark, d):
-    return fixtures.facts(spark, d).select("doc_id", "fact_no", T.parse_line_range(F.col("source_location")).alias("r")).select("doc_id", "fact_no", "r.*")
+    return fixtures.facts(spark, d).select("doc_id", "fact_no", T.parse_line_range(F.expr(TOLD)).alias("r")).select("doc_id", "fact_no", "r.*")
 
 
-@query(fx("select doc_id, fact_no, start_line, start_line as end_line from fx_facts"))
+@query(fx("select doc_id, fact_no, case when fact_no % 6 in (0, 1, 2, 5) then start_line end as start_line, case when fact_no % 6 in (0, 5) then end_line when fact_no % 6 in (1, 2) then start_line end as end_line from fx_facts"))
 def parse_line_range_loose(spark, d):
-    told = F.concat(F.lit("see "), F.col("source_location"), F.lit(" of the report"))
+    told = F.concat(F.lit("see "), F.expr(TOLD), F.lit(" of the report"))
     return fixtures.facts(spark, d).select("doc_id", "fact_no", T.parse_line_range_loose(told).alias("r")).select("doc_id", "fact_no", "r.*")
 
 
@@ -320,7 +318,7 @@ def question_citations(spark, d):
 
 @query(
     "select doc_id, array_to_string(list_slice(list_sort(list_distinct(list_filter(regexp_extract_all(regexp_replace(text, '[^\\x00-\\x7F]', '_', 'g'),"
-    " '\\b[A-Z][a-z]+(?: [A-Z][a-z]+)*\\b', 0), lambda x: length(x) > 2))), 1, 5), '|') as entities from documents"
+    " '\\b[A-Z][A-Za-z]+(?:\\s+[A-Z][A-Za-z]+)*\\b', 0), lambda x: length(x) > 2))), 1, 5), '|') as entities from documents"
 )
 def context_entities(spark, d):
     return table(spark, d, "documents").select("doc_id", bar(T.context_entities(F.col("text"))).alias("entities"))
@@ -332,7 +330,7 @@ def context_entities(spark, d):
 ))
 def qv_context(spark, d):
     rows = fixtures.facts(spark, d).where("qv is not null").join(fixtures.chunks(spark, d), ["doc_id", "chunk_id"])
-    return rows.select("doc_id", "fact_no", T.quantity_context(F.col("qv"), F.col("chunk_text")).alias("context"))
+    return rows.select("doc_id", "fact_no", F.substring(T.quantity_context(F.col("qv"), F.col("chunk_text")), 1, 250).alias("context"))
 
 
 # --- predicates, enrichment and scores
@@ -354,9 +352,9 @@ def contains_generic_terms(spark, d):
 
 
 @query(fx(
-    "select doc_id, fact_no, coalesce(nullif(concat_ws('; ', case when regexp_matches(lower(claim), '\\bit (staff|personnel)\\b') then '" + score.ADVICE[2][1].replace("'", "''") + "' end,"
-    " case when regexp_matches(lower(claim), '\\bmanagement\\b') then '" + score.ADVICE[3][1].replace("'", "''") + "' end,"
-    " case when regexp_matches(lower(claim), '\\b(periodic|periodically|regular|regularly|ongoing)\\b') then '" + score.ADVICE[4][1].replace("'", "''") + f"' end), ''), '{score.NO_ADVICE}') as advice from fx_facts"
+    "select doc_id, fact_no, coalesce(nullif(concat_ws('; ', case when regexp_matches(lower(claim), '\\bit (staff|personnel)\\b') then '''IT staff'' → specify team (Security team, Operations team, etc.)' end,"
+    " case when regexp_matches(lower(claim), '\\bmanagement\\b') then '''management'' → specify role (Security Manager, CISO, etc.)' end,"
+    " case when regexp_matches(lower(claim), '\\b(periodic|periodically|regular|regularly|ongoing)\\b') then '''periodic/regular/ongoing'' → specify frequency (daily, weekly, monthly, etc.)' end), ''), 'Unspecified generic terms') as advice from fx_facts"
 ))
 def generic_term_feedback(spark, d):
     return fixtures.facts(spark, d).select("doc_id", "fact_no", score.generic_term_feedback(F.col("claim")).alias("advice"))
@@ -479,25 +477,29 @@ def quality_score(spark, d):
     return rows.select("doc_id", "fact_no", F.round(score.quality_score(rows), 6).alias("quality"))
 
 
-FREQ = extract.CLAIMS["frequency"]
-CLAIM_SQL = "case type " + " ".join(
-    f"when '{kind}' then case " + " ".join("when " + " or ".join(f"contains(lower(line), '{w}')" for w in words) + f" then '{c[0]} '" for words, c in ways if words) + f" else '{ways[-1][1][0]} ' end"
-    for kind, ways in extract.CLAIMS.items()
-) + f" else '{extract.DEFAULT_CLAIM[0]} ' end || value"
+def _claims(table: str) -> str:
+    return f"select doc_id, line_no, '{table}' as claims, value, type, unnest({O.claim(table, 'lower(line)')}) from line_qv"
 
 
-@query(fx(
-    f"select doc_id, line_no, value, type, {CLAIM_SQL} as claim from (select doc_id, line_no, line, unnest({O.quantities('line')}, recursive := true) from fx_lines)"
-))
+LINE_QV = f"line_qv as (select doc_id, line_no, line, unnest({O.quantities('line')}, recursive := true) from fx_lines)"
+
+
+@query(fx(" union all ".join(map(_claims, ("missing", "again", "document"))), LINE_QV))
 def generate_fact_claim(spark, d):
+    """What each of the three tables claims of a line's quantities."""
     rows = extract.quantitative_values(fixtures.lines(spark, d), "line", "doc_id", "line_no", "line")
-    made = extract.generated_claim(F.col("type"), F.col("value"), F.col("line"))
-    return rows.select("doc_id", "line_no", "value", "type", made["claim"].alias("claim"))
+    made = lambda t: F.struct(F.lit(t).alias("claims"), extract.generated_claim(F.col("type"), F.col("value"), F.col("line"), t).alias("m"))
+    each = rows.select("doc_id", "line_no", "value", "type", F.explode(F.array(*map(made, ("missing", "again", "document")))).alias("c"))
+    return each.select("doc_id", "line_no", "c.claims", "value", "type", "c.m.*")
 
 
-@query(fx(f"select doc_id, chunk_id, qv_ord, value, type, {CLAIM_SQL.replace('lower(line)', 'lower(chunk_text)')} as claim from chunk_qv join fx_chunks using (doc_id, chunk_id)", O.CHUNK_QV))
+@query(fx(
+    f"select doc_id, chunk_id, cast(i - 1 as int) as qv_ord, value, type, ({O.claim('missing', 'lower(chunk_text)')}).claim as claim from (select doc_id, chunk_id, chunk_text, i, q[i].value as value, q[i].type as type from"
+    f" (select *, unnest(range(1, len(q) + 1)) as i from (select *, {O.quantities('chunk_text')} as q from ctl_chunks)))"
+    f" union all select doc_id, chunk_id, null, value, null, claim from ({O.control_facts()})", O.CONTROL
+))
 def extract_facts(spark, d):
-    return chains.extract_facts(fixtures.chunks(spark, d)).drop("fact_type")
+    return chains.extract_facts(fixtures.control_chunks(spark, d)).drop("fact_type")
 
 
 @query(fx(
@@ -515,8 +517,13 @@ def specialized_pass(spark, d):
 # --- validation
 
 
+def _single_quotes(spark, d):
+    """Facts of which a third have a single quote instead of a list."""
+    return fixtures.facts(spark, d).withColumn("evidence_quotes", F.when(F.col("fact_no") % 3 != 0, F.col("evidence_quotes")))
+
+
 def _validated(spark, d):
-    return validate.validate_in_lines(fixtures.facts(spark, d), fixtures.document_lines(spark, d))
+    return validate.validate_in_lines(_single_quotes(spark, d), fixtures.document_lines(spark, d))
 
 
 @query(fx("select doc_id, fact_no, scope, scope is not null as is_valid from validated", O.VALIDATED))
@@ -565,7 +572,7 @@ IN_CHUNK = f"in_chunk as (select f.*, auto_generated or {O.ratio('evidence_quote
 
 
 def _in_chunk_validated(spark, d):
-    return validate.validate_in_chunk(chunks.join_fact_chunk(fixtures.facts(spark, d), fixtures.chunks(spark, d)))
+    return validate.validate_in_chunk(chunks.join_fact_chunk(_single_quotes(spark, d), fixtures.chunks(spark, d)))
 
 
 @query(fx("select doc_id, fact_no, is_valid from in_chunk", IN_CHUNK))
@@ -583,9 +590,9 @@ def chunk_stats(spark, d):
     return stats.chunk_stats(_in_chunk_validated(spark, d)).withColumn("rate", F.round("rate", 6))
 
 
-@query(fx(f"select * from (select doc_id, fact_no, round({O.ratio('evidence_quote', O.cited(20))}, 2) as best_match from fx_facts f join fx_docs d using (doc_id)) where best_match >= 0.4 and best_match < 0.7"))
+@query(fx(f"select * from (select v.doc_id, v.fact_no, round({O.ratio('v.evidence_quote', O.cited(5))}, 2) as best_match from validated v join fx_facts f using (doc_id, fact_no) join fx_docs d using (doc_id) where v.scope is null) where best_match >= 0.4 and best_match < 0.7", O.VALIDATED))
 def medium_confidence(spark, d):
-    rows = validate.medium_confidence(fixtures.facts(spark, d), fixtures.document_lines(spark, d))
+    rows = validate.medium_confidence(_single_quotes(spark, d), fixtures.document_lines(spark, d))
     return rows.select("doc_id", "fact_no", "best_match")
 
 
@@ -664,11 +671,12 @@ def _sure_facts(spark, d):
 SURE = "part as (select * from fx_facts where confidence >= 0.9)"
 PART = "part as (select * from fx_facts)"
 MISSING = (
-    "missing as (select q.* from chunk_qv q where not exists (select 1 from part p where p.doc_id = q.doc_id and p.chunk_id = q.chunk_id and (p.qv = q.value or contains(lower(p.claim), lower(q.value)))))"
+    "missing as (select q.* from chunk_qv q where not exists (select 1 from part p where p.doc_id = q.doc_id and p.chunk_id = q.chunk_id and p.qv = q.value) and not contains(coalesce("
+    "(select string_agg(lower(claim), ' ' order by fact_no) from part p where p.doc_id = q.doc_id and p.chunk_id = q.chunk_id), ''), lower(q.value)))"
 )
 
 
-@query(fx("select * from missing", O.CHUNK_QV, PART, MISSING))
+@query(fx("select * exclude (has_context) from missing", O.CHUNK_QV, PART, MISSING))
 def missing_qv(spark, d):
     rows = quota.missing_qv(quota.chunk_quantities(fixtures.chunks(spark, d)), fixtures.facts(spark, d))
     return rows.select("doc_id", "chunk_id", "qv_ord", "value", "type")
@@ -682,9 +690,16 @@ def global_missing_qv(spark, d):
     return quota.global_missing_qv(quota.chunk_quantities(fixtures.chunks(spark, d)), fixtures.facts(spark, d)).select("doc_id", "value", "type")
 
 
-@query(fx("select doc_id, value, min(chunk_id) as chunk_id from chunk_qv group by all", O.CHUNK_QV))
+FIRST = (
+    "firsts as (select doc_id, value, min(c.chunk_id) as chunk_id from (select distinct doc_id, value from chunk_qv) join fx_chunks c using (doc_id)"
+    " where contains(lower(c.chunk_text), lower(value)) group by all)"
+)
+
+
+@query(fx("select * from firsts", O.CHUNK_QV, FIRST))
 def first_chunk_with_qv(spark, d):
-    return quota.first_chunk_with_qv(quota.chunk_quantities(fixtures.chunks(spark, d)))
+    rows = fixtures.chunks(spark, d)
+    return quota.first_chunk_with_qv(quota.chunk_quantities(rows), rows)
 
 
 @query(fx("select distinct value, type from chunk_qv", O.CHUNK_QV))
@@ -717,13 +732,28 @@ def qv_coverage(spark, d):
     return stats.qv_coverage(fixtures.facts(spark, d), "doc_id", "chunk_id").withColumn("coverage", F.round("coverage", 6))
 
 
+def _covered(name: str) -> str:
+    found = f"len(list_filter({name}, lambda x: contains(coalesce(c, ''), lower(x))))"
+    return f"len({name}) as {name}_total, {found} as {name}_extracted, round(case when len({name}) = 0 then 1.0 else {found} / cast(len({name}) as double) end, 6) as {name}_coverage"
+
+
+SPEC_LISTS = " || ".join(O.first_seen(hits("chunk_text", r)) for r in (P.ENCRYPTION, P.AUTHENTICATION, P.NETWORK))
+
+
 @query(fx(
-    f"select doc_id, chunk_id, round(case when len(v) = 0 then 1.0 else len(list_filter(v, lambda x: contains(coalesce(c, ''), lower(x)))) / cast(len(v) as double) end, 6) as coverage from (select doc_id, chunk_id, {hits('chunk_text', P.FREQUENCY)} as v from fx_chunks)"
+    f"select doc_id, chunk_id, {_covered('quantitative')}, {_covered('specs')}, {_covered('roles')} from (select doc_id, chunk_id, list_transform({O.quantities('chunk_text')}, lambda x: x.value) as quantitative,"
+    f" {SPEC_LISTS} as specs, {O.first_seen(hits('chunk_text', P.ROLES))} as roles from fx_chunks)"
     " left join (select doc_id, chunk_id, string_agg(lower(claim), ' ' order by fact_no) as c from fx_facts group by all) using (doc_id, chunk_id)"
 ))
 def extraction_coverage(spark, d):
-    rows = stats.extraction_coverage(fixtures.chunks(spark, d), fixtures.facts(spark, d), P.hits(F.col("chunk_text"), P.FREQUENCY))
-    return rows.withColumn("coverage", F.round("coverage", 6))
+    text = F.col("chunk_text")
+    values = {
+        "quantitative": F.transform(P.quantities(text), lambda q: q["value"]),
+        "specs": F.concat(*(P.distinct_hits(text, r) for r in (P.ENCRYPTION, P.AUTHENTICATION, P.NETWORK))),
+        "roles": P.distinct_hits(text, P.ROLES),
+    }
+    rows = stats.extraction_coverage(fixtures.chunks(spark, d), fixtures.facts(spark, d), values)
+    return _rounded(rows, *(f"{name}_coverage" for name in values))
 
 
 @query(fx(f"select doc_id, count(*) as total, count(qv) as with_qv, sum(({O.PURE})::int) as test_only, sum(({O.GENERIC})::int) as generic, sum(coalesce(specificity_score >= 0.7, false)::int) as specific, round(avg(specificity_score), 6) as mean_specificity from fx_facts group by doc_id"))
@@ -827,16 +857,34 @@ def chunk_quota(spark, d):
     return quota.chunk_quota(fixtures.facts(spark, d), quota.chunk_quantities(fixtures.chunks(spark, d)))
 
 
+def _generated(rows: str, table: str, *columns: str) -> str:
+    """The facts that a table makes of rows (doc_id, chunk_id, value, type, columns) in their chunks."""
+    wide = "" if table == "document" else f"nullif(array_to_string({O.entities('ctx')}, '|'), '') as entities, "
+    span = "'Lines ' || (chunk_id * 40 + 1) || '-' || (chunk_id * 40 + len(string_split(chunk_text, chr(10)))) as source_location"
+    return (
+        f"select doc_id, chunk_id, value, type, {''.join(c + ', ' for c in columns)}unnest(m), {wide}'supplier-' || doc_id as source_doc, {span}, md5(ctx[:250]) as quote from"
+        f" (select *, {O.claim(table, 'lower(ctx)')} as m from (select *, {O.context('value', 'chunk_text')} as ctx from ({rows}) join fx_chunks using (doc_id, chunk_id)))"
+    )
+
+
+PICKED = (
+    "picked as (select doc_id, chunk_id, qv_ord, value, type, pass from (select *, row_number() over (partition by doc_id, chunk_id order by pass, qv_ord) as turn from"
+    " (select *, 1 as pass from missing where has_context union all select *, 2 from chunk_qv where has_context)) join wanted using (doc_id, chunk_id) where turn <= wanted)"
+)
+
+
 @query(fx(
-    "select doc_id, chunk_id, qv_ord, value, type, pass from (select *, row_number() over (partition by doc_id, chunk_id order by pass, qv_ord) as turn from"
-    " (select *, 1 as pass from missing union all select *, 2 from chunk_qv)) join wanted using (doc_id, chunk_id) where turn <= wanted", O.CHUNK_QV, PART, WANTED, MISSING
+    f"{_generated('select * from picked where pass = 1', 'missing', 'qv_ord', 'pass')} union all {_generated('select * from picked where pass = 2', 'again', 'qv_ord', 'pass')}",
+    O.CHUNK_QV, PART, WANTED, MISSING, PICKED
 ))
 def generate_missing_facts(spark, d):
-    rows = fixtures.chunks(spark, d)
+    rows = fixtures.placed_chunks(spark, d)
     made = quota.generate_missing_facts(rows, quota.chunk_quantities(rows), fixtures.facts(spark, d))
-    return made.select("doc_id", "chunk_id", "qv_ord", "value", "type", "pass")
+    quote = F.md5(F.col("evidence_quote").cast("binary")).alias("quote")
+    return made.select("doc_id", "chunk_id", "qv_ord", "value", "type", "pass", *MADE, bar(F.col("entities")).alias("entities"), "source_doc", "source_location", quote)
 
 
+MADE = ["claim", "fact_type", "control_family", "specificity_score"]
 GLOBAL_WANTED = "whole as (select doc_id, count(*) as total, count(qv) as with_qv, cast(case when count(qv) / count(*)::double < 0.35::double then trunc((0.35::double * count(*) - count(qv)) / (1 - 0.35::double)) + 1 else 0 end as int) as wanted from part group by doc_id)"
 
 
@@ -845,14 +893,17 @@ def global_quota(spark, d):
     return quota.global_quota(fixtures.facts(spark, d))
 
 
-@query(fx(
-    "select doc_id, chunk_id, value, type from (select *, row_number() over (partition by doc_id order by value, type) as turn from free) join whole using (doc_id)"
-    " join (select doc_id, value, min(chunk_id) as chunk_id from chunk_qv group by all) using (doc_id, value) where turn <= wanted", O.CHUNK_QV, PART, GLOBAL, GLOBAL_WANTED
-))
+GLOBAL_PICKED = (
+    "chosen as (select doc_id, chunk_id, value, type from (select *, row_number() over (partition by doc_id order by value, type) as turn from free join firsts using (doc_id, value)"
+    " join fx_chunks using (doc_id, chunk_id) where regexp_matches(chunk_text, '(?i)' || value)) join whole using (doc_id) where turn <= wanted)"
+)
+
+
+@query(fx(_generated("select * from chosen", "document"), O.CHUNK_QV, PART, GLOBAL, GLOBAL_WANTED, FIRST, GLOBAL_PICKED))
 def generate_global_facts(spark, d):
-    rows = fixtures.chunks(spark, d)
+    rows = fixtures.placed_chunks(spark, d)
     made = quota.generate_global_facts(rows, quota.chunk_quantities(rows), fixtures.facts(spark, d))
-    return made.select("doc_id", "chunk_id", "value", "type")
+    return made.select("doc_id", "chunk_id", "value", "type", *MADE, "source_doc", "source_location", F.md5(F.col("evidence_quote").cast("binary")).alias("quote"))
 
 
 KEPT = (
@@ -927,8 +978,8 @@ def answer_question(spark, d):
 @query(fx(
     "select doc_id, cast((fact_no - 1) // 200 as int) as part_no, md5(string_agg('[Fact ' || fact_no || '] ' || claim || chr(10) || 'Location: ' || source_location || chr(10) || 'Evidence: ' || evidence_quote[:150], chr(10) || chr(10) order by fact_no)) as digest from fx_facts group by all"
 ))
-def facts_prompt_block(spark, d):
-    rows = qa.facts_prompt_block(fixtures.facts(spark, d))
+def facts_prompt_text(spark, d):
+    rows = qa.facts_prompt_text(fixtures.facts(spark, d))
     return rows.select("doc_id", "part_no", F.md5(F.col("part").cast("binary")).alias("digest"))
 
 
@@ -952,7 +1003,7 @@ def stream_quantities(spark, d):
 
 
 def _runs(spark, d):
-    rows = fixtures.facts(spark, d).crossJoin(F.broadcast(spark.range(5).select(F.col("id").cast("int").alias("instance_id"))))
+    rows = fixtures.facts(spark, d).withColumn("instance_id", F.explode(F.sequence(F.lit(0), F.lit(4))))
     return rows.where("fact_no % 7 >= instance_id")
 
 

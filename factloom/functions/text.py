@@ -18,7 +18,7 @@ def normalize_text(text: Column) -> Column:
 
 def parse_line_range(location: Column) -> Column:
     """struct(start_line, end_line) of "Lines A-B" or "Line A"; null for anything else."""
-    bare = F.trim(F.regexp_replace(location, r"(?i)lines?", ""))
+    bare = F.trim(F.replace(F.replace(location, F.lit("Lines")), F.lit("Line")))
     parts = F.split(bare, "-")
     start = F.trim(parts[0]).try_cast("int")
     end = F.when(F.size(parts) > 1, F.trim(F.get(parts, F.lit(1))).try_cast("int")).otherwise(start)
@@ -71,17 +71,17 @@ def question_citations(answer: Column) -> Column:
 
 
 def context_entities(text: Column, most: int = 5) -> Column:
-    """Capitalised phrases longer than two characters, distinct, the first few by name."""
-    found = F.regexp_extract_all(text, F.lit(r"\b[A-Z][a-z]+(?: [A-Z][a-z]+)*\b"), F.lit(0))
+    """Capitalised phrases longer than two characters, distinct, the first few by name; any white space joins their words."""
+    found = F.regexp_extract_all(text, F.lit(r"(?U)\b[A-Z][A-Za-z]+(?:\s+[A-Z][A-Za-z]+)*\b"), F.lit(0))
     return F.slice(F.array_sort(F.array_distinct(F.filter(found, lambda x: F.length(x) > 2))), 1, most)
 
 
-def quantity_context(value: Column, text: Column, reach: int = 200, most: int = 250) -> Column:
-    """The text around the last hit of a quantity within reach, on one line, cut to a quote's length."""
+def quantity_context(value: Column, text: Column, reach: int = 200) -> Column:
+    """The text around the last hit of a quantity within reach, on one line; null if there is none."""
     escaped = F.regexp_replace(value, r"([()\[\]])", r"\\$1")
     pattern = F.concat(F.lit(f"(?is).{{0,{reach}}}"), escaped, F.lit(f".{{0,{reach}}}"))
     found = F.get(F.regexp_extract_all(text, pattern, F.lit(0)), F.lit(0))
-    return F.substring(F.trim(F.regexp_replace(found, r"\s+", " ")), 1, most)
+    return F.nullif(F.trim(F.regexp_replace(found, r"\s+", " ")), F.lit(""))
 
 
 def quote_snippet(quotes: Column, most: int = 60) -> Column:

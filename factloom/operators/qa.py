@@ -82,7 +82,7 @@ def fact_entry(context: Column | None = None) -> Column:
     return F.concat_ws("\n", *parts)
 
 
-def facts_prompt_block(facts: DataFrame, context: str | None = None, per_part: int = 200) -> DataFrame:
+def facts_prompt_text(facts: DataFrame, context: str | None = None, per_part: int = 200) -> DataFrame:
     """doc_id, part_no, part: the facts of a document as ordered text, per_part facts to a part."""
     text = fact_entry(None if context is None else F.col(context))
     rows = facts.select("doc_id", F.floor((F.col("fact_no") - 1) / per_part).cast("int").alias("part_no"), "fact_no", text.alias("text"))

@@ -6,11 +6,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions.patterns import quantities
-from factloom.functions.text import quantity_context
+from factloom.functions.text import context_entities, quantity_context
 from factloom.operators.extract import generated_claim
 from factloom.operators.score import count_of, quality_score
 
 
+#: Characters of a context that are quoted.
+QUOTE = 250
+
+
 def quota(total: Column, with_qv: Column, target: float, available: Column | None = None) -> Column:
     """Facts to add so that the share with quantities reaches the target; 0 if it has, or none can be made."""
     need = ((target * total - with_qv) / (1 - target)).cast("int") + 1
@@ -30,29 +34,51 @@ def chunk_quota(facts: DataFrame, chunk_values: DataFrame, target: float = 0.5)
 
 
 def missing_qv(chunk_values: DataFrame, facts: DataFrame) -> DataFrame:
-    """Quantities of a chunk that are in no claim of it and in no fact's list."""
-    claims = facts.groupBy("doc_id", "chunk_id").agg(F.concat_ws("\n", F.collect_list(F.lower("claim"))).alias("claims"))
+    """Quantities of a chunk that are in no claim of it, these joined by a blank, and in no fact's list."""
+    ordered = F.array_sort(F.collect_list(F.struct("fact_no", F.lower("claim").alias("c"))))
+    claims = facts.groupBy("doc_id", "chunk_id").agg(ordered.alias("l")).select("doc_id", "chunk_id", F.array_join("l.c", " ").alias("claims"))
     used = facts.select("doc_id", "chunk_id", F.explode("quantitative_values").alias("value")).distinct()
     left = chunk_values.join(used, ["doc_id", "chunk_id", "value"], "left_anti")
     left = left.join(claims, ["doc_id", "chunk_id"], "left")
     return left.where(~F.contains(F.coalesce("claims", F.lit("")), F.lower("value"))).drop("claims")
 
 
+def _made(rows: DataFrame, chunks: DataFrame, table: str) -> DataFrame:
+    """rows (doc_id, chunk_id, value, type) with the facts that a table of claims makes of them in their chunk's text.
+
+    The place is that of the chunk, if chunks have start_line and end_line; the source is their source_doc, if they have one.
+    """
+    none = F.lit(None).cast("string")
+    place = F.concat(F.lit("Lines "), F.col("start_line").cast("string"), F.lit("-"), F.col("end_line").cast("string"))
+    parts = chunks.select(
+        "doc_id", "chunk_id", "chunk_text",
+        (place if {"start_line", "end_line"} <= set(chunks.columns) else none).alias("source_location"),
+        (F.col("source_doc") if "source_doc" in chunks.columns else none).alias("source_doc"),
+    )
+    found = rows.join(parts, ["doc_id", "chunk_id"]).withColumn("_context", quantity_context(F.col("value"), F.col("chunk_text"))).drop("chunk_text")
+    made = found.withColumn("_made", generated_claim(F.col("type"), F.col("value"), F.col("_context"), table))
+    entities = F.nullif(context_entities(F.col("_context")), F.array().cast("array<string>"))
+    return made.select(
+        *rows.columns, "_made.*", "source_doc", "source_location", F.substring("_context", 1, QUOTE).alias("evidence_quote"),
+        F.array("value").alias("quantitative_values"), (F.lit(None).cast("array<string>") if table == "document" else entities).alias("entities"),
+        F.lit(True).alias("auto_generated"),
+    )
+
+
 def generate_missing_facts(chunks: DataFrame, chunk_values: DataFrame, facts: DataFrame, target: float = 0.5) -> DataFrame:
-    """Facts for quantities: first those that are missing, then all again in order, until each chunk's quota is filled."""
+    """Facts for quantities: first those that are missing, then all again in order, until each chunk's quota is filled.
+
+    A quantity without context takes no place. chunk_values: see chunk_quantities.
+    """
     wanted = chunk_quota(facts, chunk_values, target).where("wanted > 0").select("doc_id", "chunk_id", "wanted")
     columns = ["doc_id", "chunk_id", "qv_ord", "value", "type"]
-    first = missing_qv(chunk_values, facts).select(*columns, F.lit(1).alias("pass"))
-    again = chunk_values.select(*columns, F.lit(2).alias("pass"))
+    held = chunk_values.where("has_context")
+    first = missing_qv(held, facts).select(*columns, F.lit(1).alias("pass"))
+    again = held.select(*columns, F.lit(2).alias("pass"))
     turn = F.row_number().over(Window.partitionBy("doc_id", "chunk_id").orderBy("pass", "qv_ord"))
-    picked = first.unionByName(again).join(wanted, ["doc_id", "chunk_id"]).withColumn("turn", turn).where("turn <= wanted")
-    rows = picked.join(chunks, ["doc_id", "chunk_id"]).withColumn("context", quantity_context(F.col("value"), F.col("chunk_text")))
-    made = generated_claim(F.col("type"), F.col("value"), F.col("context"))
-    return rows.select(
-        *columns, "pass", made["claim"].alias("claim"), made["fact_type"].alias("fact_type"), made["control_family"].alias("control_family"),
-        made["specificity_score"].alias("specificity_score"), F.col("context").alias("evidence_quote"),
-        F.when(F.col("pass") == 1, 0.8).otherwise(0.75).alias("confidence"), F.lit(True).alias("auto_generated"),
-    )
+    picked = first.unionByName(again).join(wanted, ["doc_id", "chunk_id"]).withColumn("_turn", turn).where("_turn <= wanted").drop("_turn", "wanted")
+    made = _made(picked.where("pass = 1"), chunks, "missing").union(_made(picked.where("pass = 2"), chunks, "again"))
+    return made.withColumn("confidence", F.when(F.col("pass") == 1, 0.8).otherwise(0.75))
 
 
 def global_missing_qv(chunk_values: DataFrame, facts: DataFrame) -> DataFrame:
@@ -61,8 +87,16 @@ def global_missing_qv(chunk_values: DataFrame, facts: DataFrame) -> DataFrame:
     return chunk_values.select("doc_id", "value", "type").distinct().join(used, ["doc_id", "value"], "left_anti")
 
 
-def first_chunk_with_qv(chunk_values: DataFrame) -> DataFrame:
-    return chunk_values.groupBy("doc_id", "value").agg(F.min("chunk_id").alias("chunk_id"))
+def first_chunk_with_qv(chunk_values: DataFrame, chunks: DataFrame) -> DataFrame:
+    """doc_id, value, chunk_id: the first chunk of a document whose lower-case text holds a quantity's.
+
+    Found as a quantity it may stand in an earlier chunk as a part of something else, so the chunks before are searched.
+    """
+    first = chunk_values.groupBy("doc_id", "value").agg(F.min("chunk_id").alias("known"))
+    before = first.join(chunks.select("doc_id", "chunk_id", "chunk_text"), "doc_id")
+    before = before.where((F.col("chunk_id") < F.col("known")) & F.contains(F.lower("chunk_text"), F.lower("value")))
+    before = before.groupBy("doc_id", "value").agg(F.min("chunk_id").alias("earlier"))
+    return first.join(before, ["doc_id", "value"], "left").select("doc_id", "value", F.coalesce("earlier", "known").alias("chunk_id"))
 
 
 def global_quota(facts: DataFrame, target: float = 0.35) -> DataFrame:
@@ -73,23 +107,30 @@ def global_quota(facts: DataFrame, target: float = 0.35) -> DataFrame:
 
 
 def generate_global_facts(chunks: DataFrame, chunk_values: DataFrame, facts: DataFrame, target: float = 0.35) -> DataFrame:
-    """Unused quantities of a document by value and type, until its quota is filled, with the first chunk's context."""
+    """Unused quantities of a document by value and type, until its quota is filled, with the context of the first chunk
+    that holds them. A quantity without context there takes no place."""
+    free = global_missing_qv(chunk_values, facts).join(first_chunk_with_qv(chunk_values, chunks), ["doc_id", "value"])
+    odd = free.where(_odd(F.col("value"))).join(chunks.select("doc_id", "chunk_id", "chunk_text"), ["doc_id", "chunk_id"])
+    odd = odd.where(quantity_context(F.col("value"), F.col("chunk_text")).isNotNull()).select(free.columns)
+    free = free.where(~_odd(F.col("value"))).union(odd)
     turn = F.row_number().over(Window.partitionBy("doc_id").orderBy("value", "type"))
-    free = global_missing_qv(chunk_values, facts).withColumn("turn", turn)
     wanted = global_quota(facts, target).select("doc_id", "wanted")
-    picked = free.join(wanted, "doc_id").where("turn <= wanted").join(first_chunk_with_qv(chunk_values), ["doc_id", "value"])
-    rows = picked.join(chunks, ["doc_id", "chunk_id"]).withColumn("context", quantity_context(F.col("value"), F.col("chunk_text")))
-    made = generated_claim(F.col("type"), F.col("value"), F.col("context"))
-    return rows.select(
-        "doc_id", "chunk_id", "value", "type", made["claim"].alias("claim"), made["fact_type"].alias("fact_type"),
-        F.col("context").alias("evidence_quote"), F.lit(0.75).alias("confidence"), F.lit(0.65).alias("specificity_score"),
-    )
+    picked = free.withColumn("_turn", turn).join(wanted, "doc_id").where("_turn <= wanted").select("doc_id", "chunk_id", "value", "type")
+    return _made(picked, chunks, "document").withColumn("confidence", F.lit(0.75))
+
+
+def _odd(value: Column) -> Column:
+    """Quantities that the search for their context may not find: a plus sign isn't taken literally there."""
+    return F.contains(value, F.lit("+"))
 
 
 def chunk_quantities(chunks: DataFrame) -> DataFrame:
-    """doc_id, chunk_id, qv_ord, value, type of every chunk."""
-    found = chunks.select("doc_id", "chunk_id", F.posexplode(quantities(F.col("chunk_text"))).alias("qv_ord", "qv"))
-    return found.select("doc_id", "chunk_id", "qv_ord", "qv.value", "qv.type")
+    """doc_id, chunk_id, qv_ord, value, type, has_context of every chunk."""
+    held = quantities(F.col("chunk_text"))
+    there = lambda v: F.when(_odd(v), quantity_context(v, F.col("chunk_text")).isNotNull()).otherwise(True)
+    rows = F.transform(held, lambda q: F.struct(q["value"].alias("value"), q["type"].alias("type"), there(q["value"]).alias("has_context")))
+    found = chunks.select("doc_id", "chunk_id", F.posexplode(rows).alias("qv_ord", "qv"))
+    return found.select("doc_id", "chunk_id", "qv_ord", "qv.*")
 
 
 def quota_filter(facts: DataFrame, target: float = 0.35) -> DataFrame:

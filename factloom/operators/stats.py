@@ -31,13 +31,18 @@ def qv_coverage(facts: DataFrame, *by: str) -> DataFrame:
     return facts.groupBy(*by).agg(_share(count_of(F.col("quantitative_values")) > 0).alias("coverage"))
 
 
-def extraction_coverage(chunks: DataFrame, facts: DataFrame, values: Column, by=("doc_id", "chunk_id")) -> DataFrame:
-    """The share of a chunk's values that occur in its claims, run together; 1 if there are none."""
+def extraction_coverage(chunks: DataFrame, facts: DataFrame, values: dict[str, Column], by=("doc_id", "chunk_id")) -> DataFrame:
+    """by, and for each name of `values` (arrays over chunks) name_total, name_extracted and name_coverage: how many of a
+    chunk's values occur in its claims, run together; 1 if there are none. Repeats count."""
     ordered = F.array_sort(F.collect_list(F.struct("fact_no", F.lower("claim").alias("c"))))
     claims = facts.groupBy(*by).agg(ordered.alias("l")).select(*by, F.array_join(F.col("l.c"), " ").alias("claims"))
-    rows = chunks.select(*by, values.alias("values")).join(claims, list(by), "left")
-    found = F.size(F.filter("values", lambda v: F.contains(F.coalesce("claims", F.lit("")), F.lower(v))))
-    return rows.select(*by, F.when(F.size("values") > 0, found / F.size("values")).otherwise(1.0).alias("coverage"))
+    rows = chunks.select(*by, *(v.alias(f"_{name}") for name, v in values.items())).join(claims, list(by), "left")
+    text = F.coalesce("claims", F.lit(""))
+    for name in values:
+        total, found = F.size(f"_{name}"), F.size(F.filter(f"_{name}", lambda v: F.contains(text, F.lower(v))))
+        share = F.when(total > 0, found / total).otherwise(1.0)
+        rows = rows.withColumns({f"{name}_total": total, f"{name}_extracted": found, f"{name}_coverage": share})
+    return rows.drop("claims", *(f"_{name}" for name in values))
 
 
 def enhancement_stats(facts: DataFrame, *by: str) -> DataFrame:

@@ -9,6 +9,16 @@ from factloom.functions.text import is_match, match_ratio, quote_snippet
 from factloom.operators.chunks import join_fact_lines, with_cited_lines
 
 LEAST = 0.7
+QUOTES = "array<struct<quote: string, source_location: string, relevance: string>>"
+
+
+def quotes_of(facts: DataFrame) -> Column:
+    """A fact's quotes, or its single one; facts may lack either column."""
+    listed = F.col("evidence_quotes") if "evidence_quotes" in facts.columns else F.lit(None).cast(QUOTES)
+    if "evidence_quote" not in facts.columns:
+        return listed
+    single = F.struct(F.col("evidence_quote").alias("quote"), F.lit(None).cast("string").alias("source_location"), F.lit(None).cast("string").alias("relevance"))
+    return F.when(F.size(listed) > 0, listed).when(F.col("evidence_quote") != "", F.array(single))
 
 
 def ratios(quotes: Column, text: Column) -> Column:
@@ -21,8 +31,8 @@ def all_match(quotes: Column, text: Column) -> Column:
 
 
 def validate_in_chunk(facts: DataFrame, text: str = "chunk_text") -> DataFrame:
-    """facts with is_valid: every quote is in the chunk; generated facts are taken unseen."""
-    seen = F.coalesce(all_match(F.col("evidence_quotes"), F.col(text)), F.lit(False))
+    """facts with is_valid: every quote (a single one if there is no list) is in the chunk; generated facts are taken unseen."""
+    seen = F.coalesce(all_match(quotes_of(facts), F.col(text)), F.lit(False))
     return facts.withColumn("is_valid", skip_auto_generated(F.col("auto_generated"), seen))
 
 
@@ -30,23 +40,31 @@ def skip_auto_generated(generated: Column, valid: Column) -> Column:
     return F.coalesce(generated, F.lit(False)) | valid
 
 
-def validate_in_lines(facts: DataFrame, documents: DataFrame, reach: int = 5) -> DataFrame:
-    """facts with is_valid and scope (`exact`, `expanded` or null): every quote is in the cited lines, or near them."""
+def _near(facts: DataFrame, documents: DataFrame, reach: int) -> tuple[DataFrame, Column]:
+    """facts with the cited lines (exact_text) and those around (cited_text), and their scope."""
     near = with_cited_lines(facts, documents, reach)
     begin = F.greatest(F.lit(1), F.col("start_line"))
     exact = F.slice("cited_lines", begin - F.col("first_cited") + 1, F.greatest(F.lit(0), F.coalesce("end_line", "start_line") - begin + 1))
     near = near.withColumns({"exact_text": F.array_join(exact, "\n"), "cited_text": F.array_join("cited_lines", "\n")})
-    quotes = F.col("evidence_quotes")
-    scope = F.when(all_match(quotes, F.col("exact_text")), "exact").when(all_match(quotes, F.col("cited_text")), "expanded")
+    quotes = quotes_of(facts)
+    return near, F.when(all_match(quotes, F.col("exact_text")), "exact").when(all_match(quotes, F.col("cited_text")), "expanded")
+
+
+def validate_in_lines(facts: DataFrame, documents: DataFrame, reach: int = 5) -> DataFrame:
+    """facts with is_valid and scope (`exact`, `expanded` or null): every quote (a single one if there is no list) is in the
+    cited lines, or near them. Facts without quotes or place have no scope."""
+    near, scope = _near(facts, documents, reach)
     out = near.withColumn("scope", scope).withColumn("is_valid", F.col("scope").isNotNull())
     return out.drop("exact_text", "cited_text", "cited_lines", "first_cited")
 
 
-def medium_confidence(facts: DataFrame, documents: DataFrame, reach: int = 20, low: float = 0.40, high: float = 0.70) -> DataFrame:
-    """Facts whose best rounded match is in [low, high): candidates for recovery."""
-    near = join_fact_lines(facts, documents, reach)
-    best = F.round(F.array_max(ratios(F.col("evidence_quotes"), F.col("cited_text"))), 2)
-    return near.withColumn("best_match", best).where(F.col("best_match").between(low, high) & (F.col("best_match") < high)).drop("cited_text")
+def medium_confidence(facts: DataFrame, documents: DataFrame, reach: int = 5, low: float = 0.40, high: float = 0.70) -> DataFrame:
+    """Facts that aren't found in the cited lines or near them, and whose best rounded match there is in [low, high):
+    candidates for recovery, which looks further around."""
+    near, scope = _near(facts, documents, reach)
+    best = F.round(F.array_max(ratios(quotes_of(facts), F.col("cited_text"))), 2)
+    failed = near.withColumn("best_match", best).where(scope.isNull())
+    return failed.where((F.col("best_match") >= low) & (F.col("best_match") < high)).drop("exact_text", "cited_text", "cited_lines", "first_cited")
 
 
 def recover_quotes(facts: DataFrame, documents: DataFrame, proposals: DataFrame, reach: int = 20, least: float = 0.8) -> DataFrame:

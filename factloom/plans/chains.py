@@ -22,8 +22,8 @@ def post_process_chain(facts: DataFrame, chunks: DataFrame, target: float = 0.5)
     held = stored(kept, "refined")  # read by the quota, the search for what is missing, and the result
     made = generate_missing_facts(chunks, stored(chunk_quantities(chunks), "quantities"), held, target)
     made = made.select(
-        "doc_id", "chunk_id", "qv_ord", "claim", "fact_type", "specificity_score", "evidence_quote", "confidence", "auto_generated",
-        F.array("value").alias("quantitative_values"),
+        "doc_id", "chunk_id", "qv_ord", "claim", "fact_type", "control_family", "specificity_score", "source_doc", "source_location", "evidence_quote",
+        "confidence", "auto_generated", "quantitative_values", "entities",
     )
     return held.unionByName(made, allowMissingColumns=True)
 

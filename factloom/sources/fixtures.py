@@ -15,7 +15,10 @@ select cast(l_suppkey as int) as doc_id,
   case l_orderkey % 7 when 0 then 'daily' when 1 then 'quarterly'
     when 2 then 'every ' || cast(30 + l_linenumber as varchar(20)) || ' days' when 3 then 'periodically'
     when 4 then 'within 24 hours' when 5 then 'and sampled ' || cast(l_partkey % 50 as varchar(20)) || ' items'
-    else 'as needed' end as line,
+    else 'as needed' end ||
+  case l_partkey % 13 when 0 then ' above 95%SLA' when 1 then ' for over 1,200 users' when 2 then ' using MFA and SSO'
+    when 3 then ' with real-time alerts' when 4 then ' every day' when 5 then ' with 90-day retention'
+    when 6 then ' exceeds 85 percent' when 7 then ' for 100+ users' when 8 then ' at 99.5 percent uptime' else '' end as line,
   l_orderkey, l_partkey, l_linenumber
 from {lineitem}
 """
@@ -24,8 +27,9 @@ FACTS = """
 select doc_id, cast(row_number() over (partition by doc_id order by line_no) as int) as fact_no, line as claim,
   'supplier-' || cast(doc_id as varchar(20)) as source_doc, line_no,
   cast(line_no + case l_partkey % 3 when 0 then 0 when 1 then 3 else 40 end as int) as start_line,
+  cast(line_no + case l_partkey % 3 when 0 then 0 when 1 then 3 else 40 end + case l_partkey % 4 when 1 then 2 else 0 end as int) as end_line,
   'Lines ' || cast(line_no + case l_partkey % 3 when 0 then 0 when 1 then 3 else 40 end as varchar(20)) || '-' ||
-    cast(line_no + case l_partkey % 3 when 0 then 0 when 1 then 3 else 40 end as varchar(20)) as source_location,
+    cast(line_no + case l_partkey % 3 when 0 then 0 when 1 then 3 else 40 end + case l_partkey % 4 when 1 then 2 else 0 end as varchar(20)) as source_location,
   case when l_linenumber % 7 = 0 then 'This sentence is nowhere in the source'
     when l_linenumber % 4 = 0 then regexp_replace(line, ' [^ ]+$', '') else line end as evidence_quote,
   case when l_partkey % 2 = 0 then case l_orderkey % 7 when 0 then 'daily' when 1 then 'quarterly'
@@ -54,7 +58,6 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = F.lit(None).cast("string")
     return flat.withColumns(
         {
-            "end_line": F.col("start_line"),
             "evidence_quotes": F.array(quote),
             "entities": F.when(F.col("entity").isNotNull(), F.array("entity")),
             "quantitative_values": F.when(F.col("qv").isNotNull(), F.array("qv")),
@@ -76,3 +79,25 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     ordered = F.array_sort(F.collect_list(F.struct("line_no", "line")))
     joined = F.array_join(F.col("l.line"), "\n").alias("chunk_text")
     return rows.groupBy("doc_id", "chunk_id").agg(ordered.alias("l")).select("doc_id", "chunk_id", joined)
+
+
+def placed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """chunks with their source and the lines they span."""
+    rows = chunks(spark, sf_dir)
+    first = F.col("chunk_id") * 40 + 1
+    last = first + F.size(F.split("chunk_text", "\n")) - 1
+    return rows.select("*", first.alias("start_line"), last.alias("end_line"), F.concat(F.lit("supplier-"), F.col("doc_id").cast("string")).alias("source_doc"))
+
+
+#: A line of a control table: ids, tests (some without an id), results and blank lines come at different distances.
+CONTROL_LINE = """
+case when line_no % 11 = 0 then '' when line_no % 5 = 1 and line_no % 3 <> 0 then 'CC' || cast(line_no % 9 as varchar(20)) || '.1 ' || line
+  when line_no % 5 = 3 then '  Inspected that ' || line when line_no % 5 = 0 and line_no % 4 <> 0 then line || ' No Exceptions Noted ' else line end
+"""
+
+
+def control_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, chunk_id, chunk_text: chunks of control tables."""
+    rows = lines(spark, sf_dir).withColumn("chunk_id", F.floor((F.col("line_no") - 1) / 40).cast("int"))
+    ordered = F.array_sort(F.collect_list(F.struct("line_no", F.expr(CONTROL_LINE).alias("line"))))
+    return rows.groupBy("doc_id", "chunk_id").agg(ordered.alias("l")).select("doc_id", "chunk_id", F.array_join(F.col("l.line"), "\n").alias("chunk_text"))

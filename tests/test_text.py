@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import patterns as P
 from factloom.functions import text as T
-from factloom.operators import score
-from factloom.operators.extract import parse_control_rows
+from factloom.operators import extract, score
 
 
 def column(spark, rows, expr, name="text"):
@@ -59,8 +58,8 @@ def test_match_ratio(spark):
 
 
 def test_line_ranges(spark):
-    got = column(spark, ["Lines 3-9", "Line 4", "Page 3", "Lines 9-4", "Lines 10-12-15", None, ""], T.parse_line_range)
-    assert [g and tuple(g) for g in got] == [(3, 9), (4, 4), None, (9, 4), None, None, None]
+    got = column(spark, ["Lines 3-9", "Line 4", "Page 3", "Lines 9-4", "Lines 10-12-15", None, "", "lines 3", "LINES 3-4", " 7 - 8 "], T.parse_line_range)
+    assert [g and tuple(g) for g in got] == [(3, 9), (4, 4), None, (9, 4), None, None, None, None, None, (7, 8)]
 
 
 def test_specificity(spark):
@@ -79,12 +78,102 @@ def test_claims(spark):
     assert column(spark, texts, score.contains_generic_terms) == [False, True, False, False, True]
 
 
-def test_control_rows():
+def read_table(lines):
+    """Control rows by one reading from the top, a line at a time."""
+    lines = [x.strip() for x in lines]
+    opens = lambda x: re.match(r"[A-Z]{2,3}\d+\.\d+\s", x)
+    tests = lambda x: re.search(r"(?:inspected|observed|performed|conducted|reviewed|examined|validated|tested)\s", x, re.I)
+    ends = lambda x: re.search(r"\bno\s+exceptions?\s+noted\b", x, re.I)
+    at, found, n = 0, [], len(lines)
+    while at < n:
+        control = opens(lines[at])
+        if not control and not tests(lines[at]):
+            at += 1
+            continue
+        test = at
+        if control:
+            test = at + 1
+            while test < n and not tests(lines[test]):
+                test += 1
+        stop = test
+        while stop < n and not ends(lines[stop]):
+            stop += 1
+        stop = min(n, stop + 1)
+        begin, described = at, lines[at:test]
+        if not control:
+            described = []
+            while begin > 0 and len(described) < 6 and not ends(lines[begin - 1]):
+                begin -= 1
+                described = [lines[begin], *described] if lines[begin] else described
+        tested = " ".join(lines[test:stop])
+        if described and tested:
+            verdict = "No Exceptions Noted" if "No Exception" in tested else "Unknown"
+            found.append((lines[at].split()[0] if control else None, " ".join(described), tested, verdict, begin, stop))
+        at = stop
+    return found
+
+
+def control_rows(spark, tables, **more):
+    df = spark.createDataFrame([(i, None if t is None else "\n".join(t)) for i, t in enumerate(tables)], "at int, chunk_text string")
+    got = [[] for _ in tables]
+    for r in extract.control_rows(df, "at", **more).orderBy("at", "start_line").collect():
+        got[r.at].append(tuple(r)[1:])
+    return got
+
+
+def test_control_rows(spark):
     table = ["CC1.2 Access is reviewed", "quarterly by the CISO.", "Inspected the reviews", "for 25 users", "No Exceptions Noted", "", "Backups run", "Observed the backups", "No Exception Noted"]
-    rows = parse_control_rows(table)
-    assert rows[0] == ("CC1.2", "CC1.2 Access is reviewed quarterly by the CISO.", "Inspected the reviews for 25 users No Exceptions Noted", "No Exceptions Noted", 0, 4)
-    assert rows[1][0] is None and rows[1][1] == "Backups run" and rows[1][4:] == (6, 8)
-    assert parse_control_rows([]) == [] and parse_control_rows([""]) == []
+    gap = ["Desc of the control.", "", "Inspected the thing", "No Exceptions Noted"]
+    rows, other, *none = control_rows(spark, [table, gap, [], [""], None, ["Inspected at once"], ["CC1.1 without test"]])
+    assert rows[0] == ("CC1.2", "CC1.2 Access is reviewed quarterly by the CISO.", "Inspected the reviews for 25 users No Exceptions Noted", "No Exceptions Noted", 0, 5)
+    assert rows[1] == (None, "Backups run", "Observed the backups No Exception Noted", "No Exceptions Noted", 5, 9)
+    assert other == [(None, "Desc of the control.", "Inspected the thing No Exceptions Noted", "No Exceptions Noted", 0, 4)]
+    assert none == [[]] * 5
+    assert control_rows(spark, [gap], first_line=11)[0][0][4:] == (11, 15)
+
+
+def test_control_rows_equal_a_reading(spark):
+    rng = random.Random(8)
+    kinds = ["CC6.1 control", "CC6.1 Inspected twice", "plain text", "", "  ", "was Inspected by", "tested it No Exceptions Noted", "no exception noted", "more words", "PI1.2", "\tReviewed the list "]
+    tables = [[rng.choice(kinds) + (f" {i}" if rng.random() < 0.4 else "") for i in range(rng.randrange(0, 30))] for _ in range(300)]
+    assert control_rows(spark, tables) == [read_table(t) for t in tables]
+
+
+def test_control_facts(spark):
+    table = ["CC1.2 The Security Team and CISO review TLS 1.3 daily", "Inspected that sampled 5 items hold", "No Exceptions Noted"]
+    df = spark.createDataFrame([("\n".join(table),)], "chunk_text string")
+    got = extract.control_facts(extract.control_rows(df, first_line=7)).collect()
+    assert [(r.claim, r.fact_type, r.quantitative_values, r.entities, r.process_details and r.process_details.who) for r in got] == [
+        (table[0], "technical_control", None, None, None), ("Control performed daily", "process", ["daily"], None, None),
+        ("Security Team is responsible for control execution", "organizational", None, None, "Security Team"), ("CISO is responsible for control execution", "organizational", None, None, "CISO"),
+        ("System uses TLS 1.3", "technical_control", None, ["TLS 1.3"], None), ("Auditor tested sampled 5 items", "test_result", ["sampled 5 items"], None, None),
+    ]
+    assert {r.source_location for r in got} == {"Lines 7-10"} and got[-1].evidence_quote == " ".join(table[1:])
+
+
+def test_frequency_names(spark):
+    said = ["Every Day", "real-time", "continuously", "every 30 days", "on a yearly basis", "semi-annually", "every quarter", None]
+    assert column(spark, said, P.normalize_frequency) == ["daily", "continuous", "continuous", "every 30 days", "annually", "annually", "quarterly", None]
+
+
+def test_entities_of_a_context(spark):
+    got = column(spark, ["The TLS Gateway and OpenSSL run on Big  Iron", "no names", None], T.context_entities)
+    assert got == [["Big  Iron", "OpenSSL", "The TLS Gateway"], [], None]
+
+
+@pytest.mark.parametrize(
+    ("value", "kind", "claim", "same"),
+    [
+        ("99.95%", "percentage", "uptime of 99% is met", False), ("99.95%", "percentage", "99.95 percent uptime", True), ("90%", "percentage", "above 90.0% of", True),
+        ("90-day period", "duration", "a three month window", False), ("90 days", "duration", "a three month window", True), ("90 days", "duration", "a ninety-day window", True),
+        ("90 days", "duration", "kept ninety days", True), ("5 hours", "duration", "a 5-hour limit", True), ("5+ users", "count", "has 5 percent", True),
+        ("quarterly", "frequency", "reviewed every 3 months", True), ("quarterly", "frequency", "reviewed every month", False), ("daily", "frequency", "Runs DAILY", True),
+        ("sampled 5 items", "sample_size", "5 items sampled", False),
+    ],
+)
+def test_quantities_in_claims(spark, value, kind, claim, same):
+    row = spark.createDataFrame([(value, kind, claim)], "v string, k string, c string")
+    assert row.select(score.qv_matches_claim(F.col("v"), F.col("k"), F.col("c"))).first()[0] is same
 
 
 def test_cleaning_and_citations(spark):
