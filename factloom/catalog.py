@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from factloom import oracles as O
 from factloom.functions import patterns as P
 from factloom.functions import text as T
-from factloom.operators import chunks, consensus, extract, qa, quota, score, stats, validate
+from factloom.operators import chunks, consensus, extract, propose, qa, quota, score, stats, validate
 from factloom.oracles import fx, hits, joined
 from factloom.plans import chains
 from factloom.sources import facts_io, fixtures
@@ -596,44 +596,38 @@ def medium_confidence(spark, d):
     return rows.select("doc_id", "fact_no", "best_match")
 
 
-PROPOSALS = "proposals as (select doc_id, fact_no, line_no % 3 <> 0 as found, case when fact_no % 2 = 0 then claim else 'a text from elsewhere' end as quote, cast(0.7 as double) + (fact_no % 3) * cast(0.1 as double) as confidence from fx_facts)"
-
-
-def _proposals(spark, d):
-    quote = F.when(F.col("fact_no") % 2 == 0, F.col("claim")).otherwise("a text from elsewhere")
-    return fixtures.facts(spark, d).select("doc_id", "fact_no", (F.col("line_no") % 3 != 0).alias("found"), quote.alias("quote"), (0.7 + (F.col("fact_no") % 3) * 0.1).alias("confidence"))
+@query()
+def propose_quotes(spark, d):
+    """Verbatim texts for the quotes of all facts, from the 20 lines around their places."""
+    rows = propose.propose_quotes(fixtures.facts(spark, d), fixtures.document_lines(spark, d), 20)
+    return rows.withColumn("confidence", F.round("confidence", 6))
 
 
-@query(fx(f"select f.doc_id, f.fact_no, p.found and p.confidence >= 0.8 and {O.ratio('p.quote', O.cited(20))} >= 0.7 as was_recovered from fx_facts f join fx_docs d using (doc_id) join proposals p using (doc_id, fact_no)", PROPOSALS))
+@query()
 def recover_quote(spark, d):
-    rows = validate.recover_quotes(fixtures.facts(spark, d), fixtures.document_lines(spark, d), _proposals(spark, d))
-    return rows.select("doc_id", "fact_no", "was_recovered")
+    """Facts of medium confidence and the quotes that could be recovered for them."""
+    docs = fixtures.document_lines(spark, d)
+    return validate.recover_quotes(validate.medium_confidence(_single_quotes(spark, d), docs), docs)
 
 
-#: The last two words of a claim are mistyped in its quote, so that some of it still stands in the source.
-MISTYPED = r"regexp_replace(claim, ' [^ ]+ [^ ]+$', ' mistyped words')"
-CORRECTED = (
-    "corrected as (select f.doc_id, f.fact_no, m, case when p.quote is null then 0.0 else case when r >= 1 then 1.0 when r >= 0.7 then 0.8 else 0.0 end end as score, p.quote from"
-    f" (select f.*, {O.ratio(MISTYPED, 'claim')} as m from fx_facts f) f join fx_docs d using (doc_id) left join (select * from proposals where found) p using (doc_id, fact_no)"
-    f", lateral (select {O.ratio('p.quote', O.cited(30))} as r) where m >= 0.3 and m < 1)"
-)
+def _rated(spark, d):
+    """Facts with the share of their quote that their own place holds."""
+    docs = fixtures.document_lines(spark, d)
+    near = chunks.join_fact_lines(fixtures.facts(spark, d), docs, 5)
+    return near.withColumn("match_percentage", T.match_ratio(F.col("evidence_quote"), F.col("cited_text"))).drop("cited_text"), docs
 
 
-def _corrected(spark, d):
-    rows = fixtures.facts(spark, d).withColumn("match_percentage", T.match_ratio(F.expr(MISTYPED), F.col("claim"))).where("match_percentage < 1")
-    return validate.correct_quotes(rows, fixtures.document_lines(spark, d), _proposals(spark, d))
-
-
-@query(fx("select doc_id, fact_no, cast(score as double) as score, case when score > 0 then quote end as corrected_quote from corrected", PROPOSALS, CORRECTED))
+@query()
 def correct_quotes(spark, d):
-    return _corrected(spark, d).select("doc_id", "fact_no", "score", "corrected_quote")
+    """Quotes in place of those of rejected facts."""
+    rows = validate.correct_facts(*_rated(spark, d))[0]
+    return _rounded(rows, "match_percentage", "correction_confidence")
 
 
-@query(fx("select doc_id, count(*) as tried, sum(case when score >= 0.8 then 1 else 0 end) as corrected, round(avg(case when score >= 0.8 then 1.0 else 0.0 end), 6) as rate from corrected group by doc_id", PROPOSALS, CORRECTED))
+@query()
 def correct_facts_from_file(spark, d):
-    """Counts and rate of the facts that could be corrected, by document."""
-    good = (F.col("score") >= 0.8).cast("int")
-    return _corrected(spark, d).groupBy("doc_id").agg(F.count("*").alias("tried"), F.sum(good).alias("corrected"), F.round(F.avg(good), 6).alias("rate"))
+    """Counts and rate of the rejected facts that could be corrected, by document."""
+    return _rounded(validate.correct_facts(*_rated(spark, d))[1], "correction_rate")
 
 
 @query(fx(f"select f.doc_id, f.fact_no, md5({O.cited(30)}) as digest from fx_facts f join fx_docs d using (doc_id)"))

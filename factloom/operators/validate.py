@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions.text import is_match, match_ratio, quote_snippet
-from factloom.operators.chunks import join_fact_lines, with_cited_lines
+from factloom.operators.chunks import with_cited_lines
+from factloom.operators.propose import propose_quotes
 
 LEAST = 0.7
 QUOTES = "array<struct<quote: string, source_location: string, relevance: string>>"
@@ -59,31 +60,68 @@ def validate_in_lines(facts: DataFrame, documents: DataFrame, reach: int = 5) ->
 
 
 def medium_confidence(facts: DataFrame, documents: DataFrame, reach: int = 5, low: float = 0.40, high: float = 0.70) -> DataFrame:
-    """Facts that aren't found in the cited lines or near them, and whose best rounded match there is in [low, high):
-    candidates for recovery, which looks further around."""
+    """Facts that aren't found in the cited lines or near them, and whose best rounded match there is in [low, high), with
+    best_match and best_quote: candidates for recovery, which looks further around."""
     near, scope = _near(facts, documents, reach)
-    best = F.round(F.array_max(ratios(quotes_of(facts), F.col("cited_text"))), 2)
-    failed = near.withColumn("best_match", best).where(scope.isNull())
+    rated = F.zip_with(quotes_of(facts), ratios(quotes_of(facts), F.col("cited_text")), lambda q, r: F.struct(F.round(r, 2).alias("r"), q["quote"].alias("q")))
+    # the first of the quotes that match best
+    best = F.array_max(F.transform(rated, lambda x, i: F.struct(x["r"].alias("r"), (-i).alias("i"), x["q"].alias("q"))))
+    failed = near.withColumn("_best", best).withColumns({"best_match": F.col("_best.r"), "best_quote": F.col("_best.q")}).drop("_best").where(scope.isNull())
     return failed.where((F.col("best_match") >= low) & (F.col("best_match") < high)).drop("exact_text", "cited_text", "cited_lines", "first_cited")
 
 
-def recover_quotes(facts: DataFrame, documents: DataFrame, proposals: DataFrame, reach: int = 20, least: float = 0.8) -> DataFrame:
-    """Proposals (doc_id, fact_no, found, quote, confidence) that are sure enough and stand in the lines around."""
-    rows = join_fact_lines(facts.select("doc_id", "fact_no", "start_line", "end_line"), documents, reach)
-    rows = rows.join(proposals, ["doc_id", "fact_no"])
-    ok = F.col("found") & (F.col("confidence") >= least) & is_match(match_ratio(F.col("quote"), F.col("cited_text")), LEAST)
-    return rows.withColumn("was_recovered", F.coalesce(ok, F.lit(False))).drop("cited_text")
-
-
-def correct_quotes(rejected: DataFrame, documents: DataFrame, proposals: DataFrame, least: float = 0.3, reach: int = 30) -> DataFrame:
-    """Rejected facts (with match_percentage) worth a try, and their corrected quote and its score (1 exact, 0.8 partial)."""
-    rows = rejected.where(F.col("match_percentage") >= least)
-    rows = join_fact_lines(rows.select("doc_id", "fact_no", "start_line", "end_line", "match_percentage"), documents, reach)
-    rows = rows.join(proposals.where("found").select("doc_id", "fact_no", "quote"), ["doc_id", "fact_no"], "left")
-    ratio = match_ratio(F.col("quote"), F.col("cited_text"))
-    score = F.when(ratio >= 1.0, 1.0).when(is_match(ratio, LEAST), 0.8).otherwise(0.0)
-    rows = rows.withColumn("score", F.coalesce(score, F.lit(0.0)))
-    return rows.withColumn("corrected_quote", F.when(F.col("score") > 0, F.col("quote"))).drop("cited_text")
+def recover_quotes(facts: DataFrame, documents: DataFrame, proposals: DataFrame | None = None, reach: int = 20, least: float = 0.8) -> DataFrame:
+    """doc_id, fact_no, corrected_quote, corrected_location, was_recovered of facts that medium_confidence names, with best_quote.
+
+    proposals (doc_id, fact_no, found, quote, confidence): those of a model; without, of propose_quotes. One is taken if it
+    is sure enough and stands in the lines around. The location is all of these lines.
+    """
+    if proposals is None:
+        proposals = propose_quotes(facts, documents, reach, "best_quote")
+    rows = with_cited_lines(facts.select("doc_id", "fact_no", "start_line", "end_line"), documents, reach)
+    rows = rows.join(proposals.select("doc_id", "fact_no", "found", "quote", "confidence"), ["doc_id", "fact_no"])
+    stands = is_match(match_ratio(F.col("quote"), F.array_join("cited_lines", "\n")), LEAST)
+    rows = rows.withColumn("was_recovered", F.coalesce(F.col("found") & (F.col("confidence") >= least) & stands, F.lit(False)))
+    taken = lambda c: F.when(F.col("was_recovered"), c)
+    return rows.select("doc_id", "fact_no", taken(F.col("quote")).alias("corrected_quote"), taken(_around()).alias("corrected_location"), "was_recovered")
+
+
+def _around() -> Column:
+    """The place of the lines in cited_lines."""
+    last = F.col("first_cited") + F.size("cited_lines") - 1
+    return F.concat(F.lit("Lines "), F.col("first_cited").cast("string"), F.lit("-"), last.cast("string"))
+
+
+def correct_quotes(rejected: DataFrame, documents: DataFrame, proposals: DataFrame | None = None, least: float = 0.3, reach: int = 30) -> DataFrame:
+    """Rejected facts (with match_percentage) worth a try, with was_corrected, corrected_quote, corrected_location,
+    correction_confidence and validation_score (1 exact, 0.8 partial, null if not corrected); proposals as for recover_quotes."""
+    tried = rejected.where(F.coalesce("match_percentage", F.lit(0.0)) >= least)
+    if proposals is None:
+        proposals = propose_quotes(tried, documents, reach)
+    rows = with_cited_lines(tried.select("doc_id", "fact_no", "start_line", "end_line", "match_percentage"), documents, reach)
+    rows = rows.join(proposals.select("doc_id", "fact_no", "found", "quote", "confidence"), ["doc_id", "fact_no"], "left")
+    ratio = match_ratio(F.col("quote"), F.array_join("cited_lines", "\n"))
+    score = F.when(F.col("found"), F.when(ratio >= 1.0, 1.0).when(is_match(ratio, LEAST), 0.8))
+    rows = rows.withColumn("validation_score", score).withColumn("was_corrected", F.col("validation_score").isNotNull())
+    taken = lambda c: F.when(F.col("was_corrected"), c)
+    return rows.select(
+        "doc_id", "fact_no", "match_percentage", "was_corrected", taken(F.col("quote")).alias("corrected_quote"), taken(_around()).alias("corrected_location"),
+        F.when(F.col("found"), F.col("confidence")).otherwise(0.0).alias("correction_confidence"), "validation_score",
+    )
+
+
+def correct_facts(facts: DataFrame, documents: DataFrame, by: str = "doc_id", high: float = 0.8, least: float = 0.3) -> tuple[DataFrame, DataFrame]:
+    """(corrections, summary) of all facts whose match_percentage is below `high`; a fact without one isn't rejected.
+
+    summary: by, total_facts (rejected ones), corrected, failed (those not tried included) and correction_rate.
+    """
+    rejected = facts.where(F.coalesce("match_percentage", F.lit(1.0)) < high)
+    corrections = correct_quotes(rejected, documents, least=least)
+    good = corrections.where("was_corrected").groupBy(by).agg(F.count("*").alias("corrected"))
+    total = rejected.groupBy(by).agg(F.count("*").alias("total_facts")).join(good, by, "left")
+    total = total.withColumn("corrected", F.coalesce("corrected", F.lit(0)))
+    failed = F.col("total_facts") - F.col("corrected")
+    return corrections, total.select(by, "total_facts", "corrected", failed.alias("failed"), (F.col("corrected") / F.col("total_facts")).alias("correction_rate"))
 
 
 def error_text(quotes: Column, failed: Column) -> Column:
