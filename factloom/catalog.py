@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from factloom import oracles as O
 from factloom.functions import patterns as P
 from factloom.functions import text as T
-from factloom.operators import chunks, consensus, extract, propose, qa, quota, score, stats, validate
+from factloom.operators import chunks, consensus, extract, index, propose, qa, quota, score, stats, validate
 from factloom.oracles import fx, hits, joined
 from factloom.plans import chains
 from factloom.sources import facts_io, fixtures
@@ -965,10 +965,57 @@ QUESTION = "Who reviews firewall rules daily?"
 @query(fx(
     "select doc_id, md5(string_agg(case when rank <= 5 then claim || ' [Fact ' || fact_no || ']' end, ' ' order by rank)) as answer, case when count(*) >= 3 then 'High' else 'Medium' end as confidence, count(*) as hits from (select *, row_number() over (partition by doc_id order by overlap desc, confidence desc, fact_no) as rank from (select *, len(list_intersect(list_distinct(regexp_split_to_array(lower(claim), '[^a-z0-9]+')), ['who', 'reviews', 'firewall', 'rules', 'daily'])) as overlap from fx_facts) where overlap > 0) group by doc_id"
 ))
-def answer_question(spark, d):
+def answer_by_document(spark, d):
     return qa.answer_question(fixtures.facts(spark, d), QUESTION).withColumn("answer", F.md5(F.col("answer").cast("binary")))
 
 
+QUESTIONS = ["Who reviews firewall rules daily?", "What is sampled above 95 percent, and by the CISO?", "Real-time alerts on TLS 1.3 sessions", "zebra"]
+
+BM25 = (
+    "words as (select doc_id, fact_no, claim, list_filter(regexp_split_to_array(lower(claim), '[^a-z0-9]+'), lambda x: x <> '') as l from fx_facts),"
+    " norm as (select count(*) as n, avg(len(l)) as mean from words),"
+    " tf as (select doc_id, fact_no, len(l) as size, term, count(*) as tf from (select doc_id, fact_no, l, unnest(l) as term from words) group by all),"
+    " df as (select term, count(*) as df from tf group by term),"
+    " asked as (select q, question, unnest(list_distinct(list_filter(regexp_split_to_array(lower(question), '[^a-z0-9]+'), lambda x: x <> ''))) as term from (values "
+    + ", ".join(f"({i}, '{q}')" for i, q in enumerate(QUESTIONS))
+    + ") v(q, question)),"
+    " scored as (select question, doc_id, fact_no, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2::double / (tf + 1.2::double * (0.25::double + 0.75::double * size / mean))), 9) as score"
+    " from asked join tf using (term) join df using (term), norm group by all),"
+    " best as (select *, row_number() over (partition by question order by score desc, doc_id, fact_no) as rank from scored)"
+)
+
+
+def _index(spark, d):
+    return index.write_index(fixtures.facts(spark, d), facts_io.scratch(spark, "index"))
+
+
+def _each_question(run):
+    rows = [run(q) for q in QUESTIONS]
+    out = rows[0]
+    for other in rows[1:]:
+        out = out.union(other)
+    return out
+
+
+@query(fx("select question, doc_id, fact_no, cast(rank as int) as rank, round(score, 6) as score from best where rank <= 20", BM25))
+def retrieve_facts(spark, d):
+    """The 20 best facts of all documents for each question."""
+    held = _index(spark, d)
+    found = _each_question(lambda q: index.search(held, q, 20).select(F.lit(q).alias("question"), "doc_id", "fact_no", "rank", "score"))
+    return _rounded(found, "score")
+
+
+@query(fx(
+    "select question, coalesce(string_agg(claim || ' [Fact ' || doc_id || ':' || fact_no || ']', ' ' order by rank), '') as answer, count(doc_id) as hits,"
+    " case when count(doc_id) >= 3 then 'High' when count(doc_id) > 0 then 'Medium' else 'Low' end as confidence"
+    " from (select distinct question from asked) left join (select * from best join fx_facts using (doc_id, fact_no) where rank <= 5) using (question) group by question", BM25
+))
+def answer_question(spark, d):
+    """An answer to each question from the facts of all documents."""
+    held, rows = _index(spark, d), fixtures.facts(spark, d)
+    return _each_question(lambda q: index.answer(held, rows, q))
+
+
 @query(fx(
     "select doc_id, cast((fact_no - 1) // 200 as int) as part_no, md5(string_agg('[Fact ' || fact_no || '] ' || claim || chr(10) || 'Location: ' || source_location || chr(10) || 'Evidence: ' || evidence_quote[:150], chr(10) || chr(10) order by fact_no)) as digest from fx_facts group by all"
 ))
@@ -1003,13 +1050,14 @@ def _runs(spark, d):
 
 RUNS = (
     "runs as (select f.*, i as instance_id from fx_facts f, (select unnest(range(0, 5)) as i) where fact_no % 7 >= i),"
-    " agreed as (select doc_id, claim, count(distinct instance_id) as support_count, count(distinct instance_id) / 5.0::double as support from runs group by all)"
+    " agreed as (select doc_id, claim, count(distinct instance_id) as support_count, count(distinct instance_id) / 5.0::double as support,"
+    " min({'c': -confidence, 'f': fact_no, 'q': evidence_quote}) as r from runs group by all)"
 )
 
 
-@query(fx("select doc_id, claim, support_count, round(support, 6) as support, support >= 0.8 as is_consensus from agreed", RUNS))
+@query(fx("select doc_id, claim, support_count, round(support, 6) as support, support >= 0.8 as is_consensus, r.f as fact_no, r.q as evidence_quote from agreed", RUNS))
 def consensus_facts(spark, d):
-    return _rounded(consensus.consensus_facts(_runs(spark, d), 5).drop("confidence"), "support")
+    return _rounded(consensus.consensus_facts(_runs(spark, d), 5).drop("confidence", "source_location"), "support")
 
 
 @query(fx("select doc_id, claim, support_count from agreed where support < 0.8", RUNS))
@@ -1017,10 +1065,56 @@ def outlier_facts(spark, d):
     return consensus.outlier_facts(consensus.consensus_facts(_runs(spark, d), 5)).select("doc_id", "claim", "support_count")
 
 
-AGAINST = "against as (select doc_id, trim(replace(claim, qv, '')) as subject, min(qv) as low, max(qv) as high, count(distinct qv) as \"values\" from fx_facts where qv is not null group by all having count(distinct qv) > 1)"
+def _hours(unit: str, last: bool) -> str:
+    """Hours of a unit, the most or the least."""
+    return f"case {unit} when 'second' then 1 / 3600.0::double when 'minute' then 1 / 60.0::double when 'hour' then 1 when 'day' then 24 when 'week' then 168 when 'month' then {744 if last else 672} when 'quarter' then {2208 if last else 2160} when 'year' then {8784 if last else 8760} end"
+
+
+UNITS = "(second|minute|hour|day|week|month|quarter|year)"
+SPAN = f"'(\\d+(?:,\\d{{3}})*(?:\\.\\d+)?)[\\s-]+(?:business\\s+)?{UNITS}'"
+OFTEN = f"'(\\d+(?:,\\d{{3}})*(?:\\.\\d+)?)\\s+times?\\s+(?:per|each)\\s+{UNITS}'"
+#: Quantities of claims on their scales, read once more in SQL: n units, n times a unit, names, and amounts that may be open.
+MEASURED = (
+    f"stated as (select distinct doc_id, fact_no, claim, value, type, lower(value) as v from (select doc_id, fact_no, claim, unnest({O.quantities('claim')}, recursive := true) from fx_facts)),"
+    f" parts as (select *, try_cast(replace(regexp_extract(v, {SPAN}, 1), ',', '') as double) as n, regexp_extract(v, {SPAN}, 2) as u, try_cast(replace(regexp_extract(v, {OFTEN}, 1), ',', '') as double) as k,"
+    f" regexp_extract(v, {OFTEN}, 2) as p, try_cast(replace(regexp_extract(v, '(\\d+(?:,\\d{{3}})*(?:\\.\\d+)?)', 1), ',', '') as double) as x from stated),"
+    f" bounds as (select *, n * ({_hours('u', False)}) as n_low, n * ({_hours('u', True)}) as n_high, ({_hours('p', False)}) / k as k_low, ({_hours('p', True)}) / k as k_high from parts),"
+    " spans as (select *, case type when 'frequency' then case when k > 0 and regexp_matches(v, 'at least|no less than|minimum of') then [0, k_high] when k > 0 then [k_low, k_high]"
+    " when contains(v, 'within') and n is not null then [0, n_high] when n is not null then [n_low, n_high] when regexp_matches(v, 'real-time|continuous|ongoing') then [0, 0]"
+    " when contains(v, 'semi-annual') then [4032, 4464] when contains(v, 'dail') then [24, 24] when contains(v, 'week') then [168, 168] when contains(v, 'month') then [672, 744]"
+    " when contains(v, 'quarter') then [2160, 2208] when contains(v, 'annual') or contains(v, 'year') then [8760, 8784] end"
+    " when 'duration' then case when n is not null then [n_low, n_high] end"
+    " else case when x is null then null when regexp_matches(v, 'greater|more|above|exceeds|over|at\\s+least|\\d\\+') then [x, 'infinity'::double] when regexp_matches(v, 'less|fewer|below') then [0, x] else [x, x] end end as s from bounds),"
+    " measured as (select distinct doc_id, fact_no, claim, value, case type when 'frequency' then 'repeat' when 'duration' then 'lasting' when 'percentage' then 'share' else 'count' end as scale, s[1]::double as low, s[2]::double as high"
+    " from spans where s is not null)"
+)
+
+
+@query(fx("select doc_id, fact_no, value, scale, round(low, 6) as low, case when high < 'infinity' then round(high, 6) end as high from measured", MEASURED))
+def measured_quantities(spark, d):
+    """The quantities of claims as intervals; an open one has no upper end."""
+    rows = consensus.measured(fixtures.facts(spark, d))
+    return rows.select("doc_id", "fact_no", "value", "scale", F.round("low", 6).alias("low"), F.when(F.col("high") < float("inf"), F.round("high", 6)).alias("high"))
 
 
-@query(fx("select * from against", AGAINST))
+STOP = "'daily','weekly','monthly','quarterly','annually','yearly','continuous','continuously','ongoing','real','time','every','each','per','times','at','least','within','than','more','less','greater','fewer','over','above','below','approximately','exceeds','percent','second','seconds','minute','minutes','hour','hours','day','days','week','weeks','month','months','quarter','quarters','year','years','business','and','for','with'"
+SUBJECTS = (
+    f"subjects as (select distinct doc_id, claim, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(claim), '[^a-z]+'), lambda x: x <> '' and x not in ({STOP})))) as w from measured),"
+    " about as (select distinct doc_id, w from subjects),"
+    " alike as (select a.doc_id, a.w as wa, b.w as wb from about a join about b using (doc_id) where a.w <> b.w and 100 * len(list_intersect(a.w, b.w)) >= 80 * (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w)))),"
+    " gone as (select doc_id, w, w as r from about union select n.doc_id, n.wb, h.r from gone h join alike n on n.doc_id = h.doc_id and n.wa = h.w),"
+    " same as (select doc_id, w, min(r) as g from gone group by all),"
+    " against as (select doc_id, scale, min(claim) as group_claim, count(distinct fact_no) as facts, count(distinct value) as statements, min(high) as low, max(low) as high,"
+    " min({'e': high, 'v': value}).v as low_value, min({'e': -low, 'v': value}).v as high_value"
+    " from measured m join subjects using (doc_id, claim) join same using (doc_id, w) group by doc_id, g, scale having min(high) < max(low))"
+)
+
+
+def recursive(sql: str) -> str:
+    return sql.replace("with ", "with recursive ", 1)
+
+
+@query(recursive(fx("select * from against", MEASURED, SUBJECTS)))
 def contradictions(spark, d):
     return consensus.contradictions(fixtures.facts(spark, d))
 
@@ -1045,12 +1139,51 @@ def control_graph(spark, d):
     return consensus.control_graph(fixtures.facts(spark, d))
 
 
-@query(fx(
-    "select doc_id, count(*) as claims, sum((support >= 0.8)::int) as agreed, round(avg(support), 6) as mean_support, coalesce(any_value(n), 0) as contradictions from agreed left join (select doc_id, count(*) n from against group by 1) using (doc_id) group by doc_id", RUNS, AGAINST
-))
+#: Facts name two controls here, so that controls lead to each other.
+TWO = "two as (select distinct doc_id, fact_no, unnest(['CC' || (line_no % 9), 'PI' || (line_no % 7 + line_no % 5)]) as control_id from fx_facts)"
+
+
+@query(recursive(fx(
+    "select doc_id, start_fact, fact_no, min(h) as hops from walk group by all", TWO,
+    "walk as (select doc_id, fact_no as start_fact, fact_no, 0 as h from (select doc_id, min(fact_no) as fact_no from fx_facts group by 1) union"
+    " select w.doc_id, w.start_fact, b.fact_no, w.h + 1 from walk w join two a on a.doc_id = w.doc_id and a.fact_no = w.fact_no join two b on b.doc_id = a.doc_id and b.control_id = a.control_id where w.h < 2)",
+)))
+def related_facts(spark, d):
+    """What the first fact of each document reaches within two hops."""
+    second = F.concat(F.lit("PI"), (F.col("line_no") % 7 + F.col("line_no") % 5).cast("string"))
+    rows = fixtures.facts(spark, d).withColumn("related_control_ids", F.array_union("related_control_ids", F.array(second)))
+    links = facts_io.stored(consensus.control_links(rows), "links")
+    return consensus.related_facts(rows.groupBy("doc_id").agg(F.min("fact_no").alias("fact_no")), links, 2)
+
+
+@query(recursive(fx(
+    "select doc_id, count(*) as claims, sum((support >= 0.8)::int) as agreed, cast(floor(avg(support) * 1000 + 0.0001) as int) as permille, coalesce(any_value(n), 0) as contradictions from agreed left join (select doc_id, count(*) n from against group by 1) using (doc_id) group by doc_id", RUNS, MEASURED, SUBJECTS
+)))
 def answer_report(spark, d):
     rows = consensus.answer_report(consensus.consensus_facts(_runs(spark, d), 5), consensus.contradictions(fixtures.facts(spark, d)))
-    return _rounded(rows, "mean_support")
+    # whole thousandths, so that sums in another order round alike
+    return rows.withColumn("permille", F.floor(F.col("mean_support") * 1000 + 0.0001).cast("int")).drop("mean_support")
+
+
+def _labelled(spark, d):
+    """Vectors grouped by label and the last digit of their id."""
+    vectors = table(spark, d, "embeddings")
+    return vectors.select(F.col("vec_id").alias("node"), (F.col("label") * 10 + F.col("vec_id") % 10).cast("long").alias("cluster")), vectors
+
+
+CENTRES = (
+    "with v as (select vec_id, label * 10 + vec_id % 10 as cluster, embedding from embeddings), c as (select cluster, i, avg(embedding[i]::double) as m from (select cluster, embedding, unnest(range(1, len(embedding) + 1)) as i from v) group by all),"
+    " l as (select cluster, list(m order by i) as centroid from c group by cluster),"
+    " dist as (select cluster, vec_id, centroid, round(sqrt(list_sum(list_transform(range(1, len(centroid) + 1), lambda i: (embedding[i]::double - centroid[i]) ** 2))), 9) as distance from v join l using (cluster))"
+)
+
+
+@query(f"{CENTRES} select cluster, count(*) as size, round(list_sum(any_value(centroid)), 6) as total, round(any_value(centroid)[7], 6) as seventh, min({{'d': distance, 'v': vec_id}}).v as medoid, round(min(distance), 6) as distance from dist group by cluster")
+def cluster_centres(spark, d):
+    """Centroid and medoid of each group of vectors."""
+    rows = consensus.medoids(*_labelled(spark, d))
+    total = F.aggregate("centroid", F.lit(0.0), lambda s, x: s + x)
+    return _rounded(rows.select("cluster", "size", total.alias("total"), F.col("centroid")[6].alias("seventh"), "medoid", "distance"), "total", "seventh", "distance")
 
 
 @query()

@@ -4,7 +4,9 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from factloom.functions.measures import measure
 from factloom.operators import consensus, cosine
 
 SCHEMA = "vec_id long, embedding array<float>, label int"
@@ -99,3 +101,65 @@ def test_semantic_dedup_equals_brute_force(spark):
     assert got.columns == facts.columns and len(best) < len(rows) - 20
     assert sorted(r.fact_no for r in got.collect()) == sorted(-no for _, no in best.values())
     assert consensus.semantic_dedup(facts.where("false")).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("value", "kind", "want"),
+    [
+        ("every 30 days", "frequency", ("repeat", 720, 720)), ("Monthly", "frequency", ("repeat", 672, 744)), ("quarterly", "frequency", ("repeat", 2160, 2208)),
+        ("semi-annually", "frequency", ("repeat", 4032, 4464)), ("2 times per day", "frequency", ("repeat", 12, 12)), ("at least 2 times per week", "frequency", ("repeat", 0, 84)),
+        ("within 2 business days", "frequency", ("repeat", 0, 48)), ("real-time", "frequency", ("repeat", 0, 0)), ("upon request", "frequency", None),
+        ("90-day retention", "duration", ("lasting", 2160, 2160)), ("1 month", "duration", ("lasting", 672, 744)), ("99.95%", "percentage", ("share", 99.95, 99.95)),
+        ("less than 5%", "percentage", ("share", 0, 5)), ("over 1,200 users", "count", ("count", 1200, float("inf"))), ("100+ users", "count", ("count", 100, float("inf"))),
+        ("sampled 25 items", "sample_size", ("count", 25, 25)), ("some", "other", None), (None, "count", None),
+    ],
+)
+def test_quantities_have_a_scale(spark, value, kind, want):
+    got = spark.createDataFrame([(value, kind)], "v string, k string").select(measure(F.col("v"), F.col("k")).alias("m")).first().m
+    assert (got and tuple(got)) == want
+
+
+def said(spark, claims):
+    return spark.createDataFrame([(d, n, c) for n, (d, c) in enumerate(claims)], "doc_id int, fact_no int, claim string")
+
+
+def test_contradictions(spark):
+    claims = [
+        (1, "The CISO reviews the firewall rules every 30 days"), (1, "The CISO reviews the firewall rules quarterly"), (1, "CISO reviews the firewall rules monthly"),
+        (2, "Backups of all user data run monthly"), (2, "Backups of all user data run every 30 days"), (2, "Logs are kept for 90 days"), (2, "Logs are kept for 1 year"),
+        (3, "Backups of all user data run daily"), (3, None), (3, ""), (4, "Uptime of 99 percent"), (4, "Uptime of 99.5 percent"), (4, "Uptime of 98 percent"),
+    ]
+    got = {(r.doc_id, r.scale): (r.facts, r.statements, r.low_value, r.high_value) for r in consensus.contradictions(said(spark, claims)).collect()}
+    assert got == {
+        (1, "repeat"): (3, 3, "every 30 days", "quarterly"), (2, "lasting"): (2, 2, "90 days", "1 year"), (4, "share"): (3, 3, "5 percent", "99 percent"),
+    }
+
+
+def test_related_facts_equal_a_search(spark):
+    import random
+
+    pick = random.Random(2)
+    links = sorted({(d, pick.randrange(30), f"C{pick.randrange(25)}") for d in range(3) for _ in range(45)}) + [(9, k, "HOT") for k in range(200)]
+    starts = [(d, n) for d in range(3) for n in (0, 1, 29)] + [(9, 5), (77, 1), (0, 0)]
+
+    def reached(doc, start, hops):
+        found, frontier = {start: 0}, {start}
+        for hop in range(1, hops + 1):
+            controls = {c for d, f, c in links if d == doc and f in frontier}
+            frontier = {f for d, f, c in links if d == doc and c in controls} - set(found)
+            found |= dict.fromkeys(frontier, hop)
+        return found
+
+    table = spark.createDataFrame(links, "doc_id int, fact_no int, control_id string")
+    for hops in (0, 1, 3):
+        got = consensus.related_facts(spark.createDataFrame(starts, "doc_id int, fact_no int"), table, hops).collect()
+        want = {(d, s, f, h) for d, s in starts for f, h in reached(d, s, hops).items()}
+        assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+
+def test_medoids(spark):
+    rows = [(1, [0.0, 1.0], 1), (2, [4.0, 1.0], 1), (3, [1.0, 1.0], 1), (4, [1.0, 1.0], 1), (5, [7.0, 7.0], 1), (6, None, 1), (7, [1.0, 2.0, 3.0], 1)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    clusters = spark.createDataFrame([(1, 10), (2, 10), (3, 10), (4, 10), (5, 20), (6, 20), (7, 10), (8, 30)], "node long, cluster long")
+    got = {r.cluster: (r["size"], r.centroid, r.medoid, r.distance) for r in consensus.medoids(clusters, vectors).collect()}
+    assert got == {10: (4, [1.5, 1.0], 3, 0.5), 20: (1, [7.0, 7.0], 5, 0.0)}
