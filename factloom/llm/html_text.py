@@ -43,15 +43,20 @@ LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 hgroup pre blockquote ul ol dl li dt dd
 TABLES, CELLS = frozenset("table thead tbody tfoot tr".split()), frozenset(["td", "th"])
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements that hold no part of an article.
-OUTSIDE = frozenset("nav header footer aside form menu button select dialog head label fieldset".split())
-#: Words of class, id and role that mark the same, wherever they stand.
-MARKED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adbox|adsense|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|popup|modal|overlay"
-    r"|nav|navbar|navigation|menu|breadcrumbs?|toolbar|sidebar|widget|footer"
-    r"|comments?|commentlist|disqus|respond|replies|share|sharing|social|related|recommend\w*|newsletter|subscribe|subscription"
-    r"|signup|login|pagination|pager|complementary|contentinfo)(?=$|[\s_-])",
+OUTSIDE = frozenset("nav header footer aside form menu button select option optgroup datalist dialog head label fieldset".split())
+#: Words of class, id and role that mark the same, wherever they stand and whatever other words they are joined to.
+STRONG = re.compile(
+    r"(?:^|[\s_-])(?:ads?|advert\w*|adbox|adsense|sponsor\w*|comments?|commentlist|disqus|respond|cookies?|consent|gdpr|newsletter|sidebar)(?=$|[\s_-])", re.I
+)
+#: Words that do so outside articles. Within one they do if they stand alone or among their like, as in `related` or `menu-bar`; joined
+#: to others, as in `related-work` or `menu-list`, they may name a part of the article, and mark it only if most of it is links.
+WEAK = re.compile(
+    r"promo\w*|notices?|popup|modal|overlay|nav|navbar|navigation|menu|breadcrumbs?|toolbar|widget|footer|replies|share|sharing|social|related"
+    r"|recommend\w*|subscribe|subscription|signup|login|pagination|pager|complementary|contentinfo",
     re.I,
 )
+LIKE = re.compile(r"bar|box|banner|wrap|wrapper|container|inner|outer|area|section|buttons?|icons?|posts|\d*", re.I)
+JOINED = re.compile("[_-]+")
 #: Words that mark the surroundings of an article, and may also name a part of one: they count outside articles and for no element of text.
 AROUND = re.compile(r"(?:^|[\s_-])(?:banner|alert|side|aside|foot|header|masthead|topbar|search|skip|copyright|legal)(?=$|[\s_-])", re.I)
 MAIN = re.compile(r"(?:^|[\s_-])(?:article|articlebody|main|content|post|entry|story|body|text)(?=$|[\s_-])", re.I)
@@ -75,12 +80,25 @@ class Node:
 
 @dataclass
 class Run:
-    """Text between such elements: its node, its characters in links, whether it is outside of any article."""
+    """Text of articles between such elements: its node, its characters in links."""
 
     node: int
     text: str
     links: int
-    outside: bool
+
+
+@dataclass
+class Mark:
+    """An element that may hold no part of an article, which is known when it has ended: an inline one if its end tag comes,
+    another if most of its text is links."""
+
+    parent: int
+    inline: bool
+    run: int  # the number of the run that it begins in
+    ended: bool = False
+    chars: int = 0
+    links: int = 0
+    outside: bool = False
 
 
 @dataclass
@@ -91,6 +109,21 @@ class Page:
     runs: list[Run] = field(default_factory=list)
 
 
+def weight_of(marks: str) -> int:
+    """What class, id and role say of an element: 2 outside, 1 perhaps outside, 0 nothing."""
+    if STRONG.search(marks):
+        return 2
+    found = 0
+    for name in marks.split():
+        parts = [p for p in JOINED.split(name) if p]
+        weak = [WEAK.fullmatch(p) is not None for p in parts]
+        if any(weak):
+            found = 2 if all(w or LIKE.fullmatch(p) for w, p in zip(weak, parts, strict=True)) else max(found, 1)
+            if found == 2:
+                break
+    return found
+
+
 def _likely(tag: str, classes: str) -> bool:
     return tag in ("article", "main") or MAIN.search(classes) is not None
 
@@ -152,21 +185,30 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
 
 
 def read(page: str | None) -> Page:
-    """The nodes and runs of a page. Tags left open are closed as browsers do, in the common cases."""
+    """The nodes and runs of a page. Tags left open are closed as browsers do, in the common cases.
+
+    Each piece of text is in or out by the elements that it stands in itself. An inline element that is never closed
+    reaches no further than to the next element on lines of its own.
+    """
     out = Page()
-    # tag, node, outside, in an article, elements with lines of their own so far, where the nearest p or keeper is
-    stack: list[tuple[str, int, bool, bool, int, int]] = []
+    # tag, node, outside, in an article, elements with lines of their own so far, where the nearest p or keeper is, innermost mark
+    stack: list[tuple[str, int, bool, bool, int, int, int]] = []
     where: dict[str, list[int]] = defaultdict(list)
-    parts: list[str] = []
-    linked = 0
+    marks: list[Mark] = []
+    parts: list[tuple[str, bool, int]] = []  # text, whether it is in a link, its mark
+    runs: list[tuple[int, int, list[tuple[str, bool, int]]]] = []  # its number, its node, its pieces
+    number = 0
 
     def flush() -> None:
-        nonlocal linked
-        text = " ".join(html.unescape("".join(parts)).split())
-        if text:
-            out.runs.append(Run(stack[-1][1] if stack else -1, text, linked, bool(stack) and stack[-1][2]))
-        parts.clear()
-        linked = 0
+        nonlocal parts, number
+        if parts:
+            runs.append((number, stack[-1][1] if stack else -1, parts))
+            parts = []
+        number += 1
+
+    def add(text: str) -> None:
+        if not (stack and stack[-1][2]):
+            parts.append((text, bool(where["a"]), stack[-1][6] if stack else -1))
 
     def cut(at: int) -> None:
         while len(stack) > at:
@@ -174,12 +216,10 @@ def read(page: str | None) -> Page:
 
     for kind, tag, rest in tokens(page or ""):
         if kind == "text":
-            parts.append(tag)
-            if where["a"]:
-                linked += len(tag)
+            add(tag)
             continue
         if tag == "br":
-            parts.append(" ")
+            add(" ")
             continue
         lines = tag in LINES
         if lines:
@@ -188,6 +228,9 @@ def read(page: str | None) -> Page:
             if where[tag]:
                 at = where[tag][-1]
                 if lines or stack[-1][4] == (stack[at - 1][4] if at else 0):
+                    mark = stack[at][6]
+                    if mark >= 0 and mark != (stack[at - 1][6] if at else -1):
+                        marks[mark].ended = True
                     cut(at)
             continue
         if lines:
@@ -202,15 +245,20 @@ def read(page: str | None) -> Page:
             continue
         attributes = {a[0].lower(): a[1] or a[2] or a[3] for a in ATTRIBUTE.findall(rest)}
         classes = attributes.get("class", "")
-        marks = " ".join(attributes.get(k, "") for k in ("class", "id", "role"))
+        named = " ".join(attributes.get(k, "") for k in ("class", "id", "role"))
         hidden = "hidden" in attributes or attributes.get("aria-hidden") == "true" or HIDDEN.search(attributes.get("style", ""))
-        above = stack[-1] if stack else ("", -1, False, False, 0, -1)
+        above = stack[-1] if stack else ("", -1, False, False, 0, -1, -1)
         likely = _likely(tag, classes)
         # The heading of an article may stand in a header of its own
-        outside = above[2] or (tag in OUTSIDE and not (tag == "header" and (where["article"] or where["main"]))) or bool(hidden)
-        if tag not in ("html", "body", "article", "main"):
-            around = lines and tag not in LEAVES and not above[3] and AROUND.search(marks)
-            outside = outside or bool(tag not in HEADINGS and MARKED.search(marks)) or bool(around)
+        gone = (tag in OUTSIDE and not (tag == "header" and (where["article"] or where["main"]))) or bool(hidden)
+        weight = weight_of(named) if named.strip() and tag not in ("html", "body", "article", "main") and tag not in HEADINGS else 0
+        outside, mark = above[2], above[6]
+        if lines:
+            around = tag not in ("html", "body", "article", "main") and tag not in LEAVES and not above[3] and AROUND.search(named)
+            outside = outside or gone or bool(around) or weight == 2 or (weight == 1 and not above[3])
+        if not outside and ((lines and weight == 1) or (not lines and (gone or weight == 2))):
+            marks.append(Mark(mark, not lines, number))
+            mark = len(marks) - 1
         node = above[1]
         if lines:
             names = sorted({re.sub(r"\d+", "", c).strip("-_") for c in classes.lower().split()} - {""})
@@ -220,11 +268,29 @@ def read(page: str | None) -> Page:
             node = len(out.nodes) - 1
         here = len(stack) if tag == "p" or tag in KEEPERS else above[5]
         where[tag].append(len(stack))
-        stack.append((tag, node, outside, above[3] or (likely and tag not in ("html", "body")), above[4] + lines, here))
+        stack.append((tag, node, outside, above[3] or (likely and tag not in ("html", "body")), above[4] + lines, here, mark))
     flush()
+    # What marks hold in all, the inner ones first; then which hold no part of an article, the outer ones first
+    for _, _, pieces in runs:
+        for text, link, mark in pieces:
+            if mark >= 0:
+                marks[mark].chars += len(text)
+                marks[mark].links += len(text) * link
+    for m in reversed(marks):
+        if m.parent >= 0:
+            marks[m.parent].chars += m.chars
+            marks[m.parent].links += m.links
+    for m in marks:
+        own = m.ended if m.inline else 2 * m.links >= m.chars > 0
+        m.outside = own or (m.parent >= 0 and marks[m.parent].outside)
+    for at, place, pieces in runs:
+        kept = [p for p in pieces if p[2] < 0 or not (marks[p[2]].outside or (marks[p[2]].inline and marks[p[2]].run == at))]
+        text = " ".join(html.unescape("".join([p[0] for p in kept])).split())
+        if text:
+            out.runs.append(Run(place, text, sum(len(p[0]) for p in kept if p[1])))
     # what a node holds goes up to its parent once
     for run in out.runs:
-        if run.node >= 0 and not run.outside:
+        if run.node >= 0:
             node = out.nodes[run.node]
             node.good += max(0, len(run.text) - 2 * run.links)  # little where most is links
             node.whole += len(run.text)
@@ -257,7 +323,7 @@ def scores(page: Page) -> dict[int, tuple[float, int]]:
 
     Text outside an article is left out wherever it stands, so no container is charged for it.
     """
-    total = sum(max(0, len(r.text) - 2 * r.links) for r in page.runs if not r.outside)
+    total = sum(max(0, len(r.text) - 2 * r.links) for r in page.runs)
     return {
         path: (good / total * good / max(1, whole) * (1.2 if likely else 1.0), depth)
         for path, (good, whole, depth, likely) in held(page).items()
@@ -275,7 +341,7 @@ def text_at(page: Page, path: int | None) -> str:
     inside: list[bool] = []
     for n in page.nodes:
         inside.append((n.parent >= 0 and inside[n.parent]) or n.path == path)
-    return "\n".join(r.text for r in page.runs if not r.outside and (path is None or (r.node >= 0 and inside[r.node])))
+    return "\n".join(r.text for r in page.runs if path is None or (r.node >= 0 and inside[r.node]))
 
 
 def extract(page: Page, path: int | None) -> str:

@@ -15,7 +15,7 @@ from factloom.llm import common, graph, html_text, nearest, stages, warc
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p>";</script></head><body>
 <nav class="menu"><ul><li><a href="/a">Home</a></li></ul></nav><!-- ad --><div class="ad">Buy <b>now</b></div>
 <div class="cookie-notice">We use cookies</div>
-<article><h1>Big &amp; title</h1><p><b>First &eacute;&#x20AC;&nbsp;block<br>goes on.<p>Second   one</p>
+<article><h1>Big &amp; title</h1><p><b>First &eacute;&#x20AC;&nbsp;part<br>goes on.<p>Second   one</p>
 <aside>Read more</aside><form><input name=q>Search</form><section class="comments"><p>Nice post</p></section></article>
 <div class="sidebar"><p>Links of the week, many of them, and text that goes on for long</p></div><footer>&copy; me</footer></body></html>"""
 
@@ -25,7 +25,7 @@ def own_text(page):
 
 
 def test_main_text():
-    assert own_text(PAGE) == "Big & title\nFirst é€ block goes on.\nSecond one"
+    assert own_text(PAGE) == "Big & title\nFirst é€ part goes on.\nSecond one"
     assert own_text(None) == own_text("") == own_text("<p> <br>") == ""
     assert own_text("just text") == "just text" and own_text("1 < 2 and <b>3") == "1 < 2 and 3"
     assert html_text.extract(html_text.read("<p>a<p>b <!-- open"), 123) == "a\nb"
@@ -39,6 +39,32 @@ def test_class_words_inside_articles():
     assert own_text(page) == "Title\nThe legal part of the story.\nA storm was near.\nSharing\nThe end of it all."
 
 
+@pytest.mark.parametrize(
+    ("inner", "want"),
+    [
+        ('<p>A long paragraph <span class="share">x</p><p>next</p>', "A long paragraph\nnext"),
+        ('<span class="share">x<p>A long paragraph</p><p>next</p>', "A long paragraph\nnext"),
+        ('<p>Text <span class="advert">BUY NOW</span> goes on</p>', "Text goes on"),
+        ('<p>Text<span style="display:none">hidden</span>s <i hidden>too</i>.</p>', "Texts ."),
+        ('<p>Text <a class="social" href=x>Follow us</a></p>', "Text"),
+        ("<p>Text</p><button>Subscribe now</button><p>next</p>", "Text\nnext"),
+        ("<p>Text</p><label>Your name</label><select><option>one<option>two</select><p>next</p>", "Text\nnext"),
+        ('<button class="big"><div>Subscribe <b>now</b></div></button><p>Text</p>', "Text"),
+        ('<span class="advert"><p>BUY</p><span>NOW</span></span><p>Text</p>', "Text"),
+        ('<div class="related-work"><p>Earlier studies.</p></div><p>Text</p>', "Earlier studies.\nText"),
+        ('<ul class="menu-list"><li>Soup</li><li>Fish</li></ul><p>Text</p>', "Soup\nFish\nText"),
+        ('<ul class="menu-list"><li><a href=a>Home</a></li><li><a href=b>About</a></li></ul><p>Text</p>', "Text"),
+        ('<div class="related">More here</div><div class="share-buttons">Post</div><div class="cookie-wall">We use them</div><p>Text</p>', "Text"),
+        ('<p class="social-history">Long ago.</p><p>See <a class="related-link" href=x>that one</a>.</p>', "Long ago.\nSee that one."),
+        ('<p>One<b>two<span class="ad">BUY<i>NOW</i></span>three</p><p>four', "Onetwothree\nfour"),
+        ('<p>Text <span class="ad">BUY', "Text"),
+        ("<p>a &amp;<span hidden>x</span>amp; b</p>", "a &amp; b"),
+    ],
+)
+def test_inclusion_is_decided_for_each_piece(inner, want):
+    assert own_text(f"<html><body><nav>Home</nav><article>{inner}</article><footer>end</footer></body></html>") == want
+
+
 def test_article_beside_the_hosts_path(spark):
     """A host's path is left where the article of a page stands in another container."""
     page = lambda name, body: f"<html><body><div class='{name}'><p>{body}</p></div><div class='tail'><p>teaser</p></div></body></html>"
@@ -68,6 +94,9 @@ def test_article_beside_the_hosts_path(spark):
         "<script>" * 30_000,
         "</div>" * 30_000 + "deep",
         "<a " + " " * 200_000 + "class" * 1000 + ">deep",
+        "<article>" + "<span class=ad>" * 30_000 + "<p>deep",
+        "<article>" + "<div class=menu-list>" * 20_000 + "deep",
+        "<article><p>deep" + "<span class=ad>x</span>" * 30_000,
     ],
 )
 def test_broken_and_deep_pages_take_linear_time(page):
