@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from factloom import oracles as O
 from factloom.functions import patterns as P
 from factloom.functions import text as T
-from factloom.operators import chunks, consensus, extract, index, propose, qa, quota, score, stats, validate
+from factloom.operators import chunks, consensus, extract, index, propose, qa, quota, score, stats, summary, validate
 from factloom.oracles import fx, hits, joined
 from factloom.plans import chains
-from factloom.sources import facts_io, fixtures
+from factloom.sources import facts_io, fixtures, versions
 from factloom.streaming import ingest
 
 _QUERIES: dict = {}
@@ -131,10 +131,26 @@ def _damaged(spark, d):
     return fixtures.facts(spark, d).withColumns({"claim": claim, "confidence": confidence})
 
 
-@query(fx("select doc_id, fact_no, fact_no % 10 <> 0 and fact_no % 7 <> 0 as is_valid from fx_facts"))
+@query(fx("select doc_id, fact_no, case when fact_no % 10 = 0 then 'no claim' when fact_no % 7 = 0 then 'confidence not within 0 and 1' end as reason from fx_facts"))
 def fact_schema_check(spark, d):
     valid, rejects = facts_io.fact_schema_check(_damaged(spark, d))
-    return valid.select("doc_id", "fact_no", F.lit(True).alias("is_valid")).union(rejects.select("doc_id", "fact_no", F.lit(False)))
+    return valid.select("doc_id", "fact_no", F.lit(None).cast("string").alias("reason")).union(rejects.select("doc_id", "fact_no", "reason"))
+
+
+@query(fx(
+    "select doc_id % 4 as kind, case doc_id % 4 when 1 then 'not JSON' when 2 then 'neither documents nor facts' end as reason, count(distinct doc_id) as texts, sum((doc_id % 4 in (0, 3))::int) as facts from fx_facts group by all"
+))
+def rejected_records(spark, d):
+    """Fact texts of which some are cut off and some lack both forms: how many of each were read or rejected."""
+    rows = facts_io.consolidate_facts(fixtures.facts(spark, d)).withColumn("doc_id", F.regexp_extract("source_doc", r"(\d+)", 1).cast("int"))
+    flat = F.to_json(F.struct(F.map_values(F.from_json("json", facts_io.CONSOLIDATED)["documents"])[0]["facts"].alias("facts")))
+    kind = F.col("doc_id") % 4
+    told = F.when(kind == 1, F.expr("substr(json, 1, length(json) - 9)")).when(kind == 2, F.lit('{"session_id": "x"}')).when(kind == 3, flat).otherwise(F.col("json"))
+    facts, rejects = facts_io.checked_facts_json(rows.select("doc_id", told.alias("json")))
+    bad = rejects.select((F.col("doc_id") % 4).alias("kind"), "reason", F.lit(1).alias("texts"), F.lit(0).alias("facts"))
+    number = F.regexp_extract("source_doc", r"(\d+)", 1).cast("int")
+    good = facts.groupBy(number.alias("doc_id")).agg(F.count("*").alias("facts")).select((F.col("doc_id") % 4).alias("kind"), F.lit(None).cast("string").alias("reason"), F.lit(1).alias("texts"), "facts")
+    return bad.union(good).groupBy("kind", "reason").agg(F.sum("texts").alias("texts"), F.sum("facts").alias("facts"))
 
 
 def _stored(spark, d, twice=False):
@@ -171,18 +187,80 @@ def sink_chunk_text(spark, d):
 SUMMARY = "select doc_id, cast(len(string_split(text, chr(10))) as int) as lines, cast(length(text) as int) as chars, string_split(text, chr(10))[1][:80] as title from documents"
 
 
-@query(SUMMARY)
+@query(f"select doc_id, lines, chars, case when doc_id % 2 = 0 then 'new ' else '' end || title as title, case when doc_id % 2 = 0 then 2 else 1 end as version from ({SUMMARY})")
 def sink_summary(spark, d):
+    """Summaries of all documents; then those of every second one are replaced, and a later writer dies before it registers its own."""
     path = facts_io.scratch(spark, "summaries")
-    chains.summarize_documents(table(spark, d, "documents")).write.parquet(path)
-    return spark.read.parquet(path)
+    rows = chains.summarize_documents(table(spark, d, "documents"))
+    versions.replace_by_key(rows, path, "doc_id")
+    versions.replace_by_key(rows.where("doc_id % 2 = 0").withColumn("title", F.concat(F.lit("new "), "title")), path, "doc_id")
+    versions.stage(rows.where("doc_id % 3 = 0").withColumn("title", F.lit("lost")), path, "doc_id")
+    read = versions.current(spark, path, "doc_id", "doc_id long, lines int, chars int, title string")
+    return read.join(versions.registered(spark, path, "doc_id").select("doc_id", "version"), "doc_id")
 
 
 @query(SUMMARY)
-def summarize_documents(spark, d):
+def outline_documents(spark, d):
     return chains.summarize_documents(table(spark, d, "documents"))
 
 
+GAP = "' *\\| *|\\t+| {2,}'"
+KIND_SQL = (
+    r"regexp_matches(line, '(?i)[A-Z]{2,3}[0-9]+[.][0-9]+ |exceptions? noted|trust services')", r"regexp_matches(line, '(?i)vulnerabilit|severity|exploit|finding')",
+    r"regexp_matches(line, '(?i)\b(must|shall|policy|policies)\b')", r"regexp_matches(line, '(?i)architecture|component|data flow|diagram')",
+)
+SHAPE_SQL = (r"regexp_matches(trim(line), '^\|? *[A-Z]{2,3}[0-9]+[.][0-9]+ ')", r"regexp_matches(line, '(?i)vulnerabilit|severity|exploit|finding')", r"regexp_matches(trim(line), '^([Ss]tep +)?[0-9]+[.)] ')")
+REPORTS = (
+    f"rep as (select doc_id, line_no, {fixtures.REPORT_LINE} as line from fx_lines),"
+    " kinds as (select doc_id, count(*) as lines, sum(length(line)) as chars, " + ", ".join(f"sum(({x})::int) as k{i}" for i, x in enumerate(KIND_SQL)) + ", "
+    + ", ".join(f"sum(({x})::int) as s{i}" for i, x in enumerate(SHAPE_SQL)) + ", "
+    + ", ".join(f"sum(len({hits('line', rules)})) as q{i}" for i, rules in enumerate(P.QUANTITIES.values()))
+    + r", min(list_min(y)) as y0, max(list_max(y)) as y1 from (select *, list_transform(regexp_extract_all(line, '\b((?:19|20)[0-9]{2})\b', 1), lambda v: v::int) as y from rep) group by doc_id),"
+    " heads as (select doc_id, line_no, trim(line) as h from rep where length(trim(line)) between 3 and 80 and not regexp_matches(trim(line), '[.!?;,]$')"
+    " and (regexp_matches(trim(line), '^[0-9]+([.][0-9]+)*[.]? +[A-Z]') or regexp_matches(trim(line), '^[^a-z]*[A-Z]{2}[^a-z]*$') or regexp_matches(trim(line), '^[A-Z][A-Za-z]*( ([A-Z][A-Za-z]*|and|of|the|for|in|to))+$'))),"
+    " listed as (select doc_id, list(h order by line_no)[1:12] as l, sum(regexp_matches(h, '(?i)system|overview|description|background')::int) as a, sum(regexp_matches(h, '(?i)control test|test|control activit')::int) as b,"
+    " sum(regexp_matches(h, '(?i)user entity|complementary|customer responsib')::int) as c, sum(regexp_matches(h, '(?i)privacy|confidential')::int) as d, sum(regexp_matches(h, '(?i)finding|result|exception')::int) as e from heads group by doc_id),"
+    rf" cell as (select doc_id, line_no, string_split_regex(regexp_replace(trim(line), '^\| *| *\|$', '', 'g'), {GAP}) as c from rep),"
+    " paired as (select x.doc_id, x.line_no, x.c from cell x where len(x.c) > 1 and exists (select 1 from cell y where y.doc_id = x.doc_id and len(y.c) = len(x.c) and abs(y.line_no - x.line_no) = 1)),"
+    " shaped as (select doc_id, len(c) as n, count(*) as k, min_by(c, line_no) as header from paired group by all), tabled as (select doc_id, max_by(header, [k, n]) as header, max(k) as k from shaped group by doc_id),"
+    " word as (select doc_id, w, count(*) as tf from (select doc_id, unnest(regexp_split_to_array(lower(line), '[^a-z]+')) as w from rep) where length(w) >= 4 group by all),"
+    " weighed as (select doc_id, w, round(tf * ln((select count(distinct doc_id) from rep) / df::double), 6) as s from word join (select w, count(*) as df from word group by w) using (w)),"
+    " topic as (select doc_id, array_to_string(list(w order by s desc, w)[1:5], '|') as topics from weighed group by doc_id),"
+    r" phrase as (select doc_id, p, count(*) as n from (select doc_id, unnest(list_distinct(regexp_extract_all(line, '\b[A-Z][A-Za-z]+(?: [A-Z][A-Za-z]+)*\b', 0))) as p from rep) where length(p) > 2 group by all),"
+    " named as (select doc_id, array_to_string(list(p order by n desc, p)[1:8], '|') as entities from phrase group by doc_id)"
+)
+SUMMARIZED = (
+    "select doc_id, case when greatest(k0, k1, k2, k3) = 0 then 'technical document' when k0 = greatest(k0, k1, k2, k3) then 'SOC 2 report' when k1 = greatest(k1, k2, k3) then 'penetration test report'"
+    " when k2 >= k3 then 'security policy' else 'architecture document' end as document_type,"
+    " case when greatest(s0, s1, s2) = 0 then 'descriptive' when s0 = greatest(s0, s1, s2) then 'claim-based' when s1 >= s2 then 'findings-based' else 'procedural' end as structural_pattern,"
+    " concat_ws('|', case when a > 0 then 'System Description:' || a end, case when b > 0 then 'Control Testing:' || b end, case when c > 0 then 'CUEC:' || c end, case when d > 0 then 'Privacy:' || d end, case when e > 0 then 'Findings:' || e end) as section_types,"
+    " array_to_string(l, '|') as section_headings, case when header is not null then len(header) || ':' || k || ':' || array_to_string(header, '|') end as table_structure,"
+    " floor((q0 + q1 + q2 + q3 + q4) * 100 / lines)::int || ' quantities per 100 lines, most of them ' || case greatest(q0, q1, q2, q3, q4) when 0 then 'none' when q0 then 'frequency' when q1 then 'duration' when q2 then 'sample_size' when q3 then 'percentage' else 'count' end as fact_density_pattern,"
+    " lines || ' lines, ' || chars || ' characters' || case when y0 is null then '' else ', years ' || y0 || ' to ' || y1 end as scope, topics, entities"
+    " from kinds join listed using (doc_id) left join tabled using (doc_id) left join topic using (doc_id) left join named using (doc_id)"
+)
+GUIDED = (
+    f"select *, case document_type when 'SOC 2 report' then 'controls, technologies, procedures, and who performs them, when and how' when 'penetration test report' then 'vulnerabilities, their severity, affected systems'"
+    f" when 'security policy' then 'requirements, responsibilities, enforcement' when 'architecture document' then 'components, data flows, security measures' else 'quantities, technologies, roles' end as extraction_guidance from ({SUMMARIZED})"
+)
+
+
+def _flat_summary(rows):
+    """A summary's lists as text."""
+    table_text = F.concat_ws(":", F.col("table_structure.columns").cast("string"), F.col("table_structure.lines").cast("string"), bar(F.col("table_structure.header")))
+    return rows.select(
+        "doc_id", "document_type", "structural_pattern", bar(F.transform("section_types", lambda s: F.concat(s["section_type"], F.lit(":"), s["headings"].cast("string")))).alias("section_types"),
+        bar(F.col("section_headings")).alias("section_headings"), F.when(F.col("table_structure").isNotNull(), table_text).alias("table_structure"), "fact_density_pattern", "scope",
+        bar(F.col("primary_topics")).alias("topics"), bar(F.col("key_entities")).alias("entities"), "extraction_guidance",
+    )
+
+
+@query(fx(GUIDED, REPORTS))
+def summarize_documents(spark, d):
+    """All ten parts of a summary of every report."""
+    return _flat_summary(summary.summarize(fixtures.report_lines(spark, d)))
+
+
 # --- chunks and generators
 
 CHUNKED = (
@@ -1040,6 +1118,30 @@ def stream_quantities(spark, d):
     return rows.select("doc_id", "chunk_id", "qv_ord", "value", "type", "normalized")
 
 
+@query(fx("select * from whole", PART, GLOBAL_WANTED))
+def stream_quotas(spark, d):
+    """Running quotas over a stream of fact files, read in batches of one file."""
+    base = facts_io.scratch(spark, "stream")
+    fixtures.facts(spark, d).select("doc_id", "fact_no", "quantitative_values").repartition(3, "fact_no").write.parquet(f"{base}/facts")
+    ingest.stream_quotas(spark, f"{base}/facts", f"{base}/quotas", f"{base}/checkpoint", files_per_batch=1).awaitTermination()
+    return versions.current(spark, f"{base}/quotas", "doc_id", ingest.QUOTAS)
+
+
+@query(fx(f"select doc_id, chunk_id, value, type, 2 as runs from chunk_qv", O.CHUNK_QV))
+def producer_store(spark, d):
+    """What a producer makes of the chunks, stored by content: two runs over growing input, each text produced once."""
+    path = facts_io.scratch(spark, "store")
+    rows = fixtures.chunks(spark, d)
+
+    def produce(asked):
+        return asked.select("content", F.explode(P.quantities(F.col("chunk_text"))).alias("q")).select("content", "q.value", "q.type")
+
+    versions.produced_once(rows.where("chunk_id < 5"), produce, "value string, type string", path)
+    found = versions.produced_once(rows, produce, "value string, type string", path)
+    runs = spark.read.parquet(f"{path}/asked").groupBy("content").agg(F.count("*").alias("n")).agg(F.max("n").alias("most"))
+    return found.join(F.broadcast(runs)).where("most = 1").select("doc_id", "chunk_id", "value", "type", F.lit(2).alias("runs"))
+
+
 # --- consensus
 
 

@@ -53,21 +53,40 @@ def consolidate_facts(facts: DataFrame, session_id: str = "session") -> DataFram
     return rows.select("source_doc", "fact_count", doc.alias("json"))
 
 
-def scan_facts_json(rows: DataFrame, column: str = "json") -> DataFrame:
-    """Facts of consolidated JSON texts, in either form: documents{} or top-level facts[]."""
-    parsed = rows.select(F.from_json(column, CONSOLIDATED).alias("j"))
-    nested = parsed.select(F.explode("j.documents").alias("document", "d")).select("document", F.inline("d.facts"))
-    flat = parsed.where("j.documents is null").select(F.lit(None).cast("string").alias("document"), F.inline("j.facts"))
-    return nested.unionByName(flat)
+def checked_facts_json(rows: DataFrame, column: str = "json") -> tuple[DataFrame, DataFrame]:
+    """(facts, rejects) of consolidated JSON texts, in either form: documents{} or top-level facts[].
+
+    rejects: the rows with a reason, `not JSON` or `neither documents nor facts`. A text with an empty form has no facts and is none.
+    """
+    parsed = rows.withColumn("_j", F.from_json(column, CONSOLIDATED + ", _bad string", {"columnNameOfCorruptRecord": "_bad"}))
+    bare = F.trim(F.coalesce(F.col(column), F.lit("")))
+    broken = ~bare.startswith("{") | F.col("_j._bad").isNotNull() | F.col("_j").isNull()
+    reason = F.when(broken, "not JSON").when(F.col("_j.documents").isNull() & F.col("_j.facts").isNull(), "neither documents nor facts")
+    told = parsed.withColumn("reason", reason)
+    good = told.where("reason is null")
+    nested = good.select(F.explode("_j.documents").alias("document", "d")).select("document", F.inline("d.facts"))
+    flat = good.where("_j.documents is null").select(F.lit(None).cast("string").alias("document"), F.inline("_j.facts"))
+    return nested.unionByName(flat), told.where("reason is not null").drop("_j")
+
+
+def scan_facts_json(rows: DataFrame, column: str = "json", strict: bool = True) -> DataFrame:
+    """The facts of checked_facts_json; an error names a text that has none of the two forms, unless strict is off."""
+    facts, rejects = checked_facts_json(rows, column)
+    if strict and (bad := rejects.select("reason", F.substring(column, 1, 80)).first()) is not None:
+        raise ValueError(f"facts can't be read, {bad[0]}: {bad[1]}")
+    return facts
 
 
 def fact_schema_check(facts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(valid, rejects): a claim, a source and evidence must be there, and confidence within [0, 1]."""
+    """(valid, rejects): a claim, a source and evidence must be there, and confidence within [0, 1]; rejects say the first reason."""
     some = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
     evidence = some("evidence_quote") | (F.coalesce(F.size("evidence_quotes"), F.lit(0)) > 0)
-    located = F.col("source_doc").isNotNull() & F.col("source_location").isNotNull()
-    ok = F.coalesce(F.col("claim").isNotNull() & located & evidence & F.col("confidence").between(0, 1), F.lit(False))
-    return facts.where(ok), facts.where(~ok)
+    reason = (
+        F.when(F.col("claim").isNull(), "no claim").when(F.col("source_doc").isNull(), "no source").when(F.col("source_location").isNull(), "no place")
+        .when(~evidence, "no evidence").when(~F.coalesce(F.col("confidence").between(0, 1), F.lit(False)), "confidence not within 0 and 1")
+    )
+    told = facts.withColumn("reason", reason)
+    return told.where("reason is null").drop("reason"), told.where("reason is not null")
 
 
 def assemble_pages(pages: DataFrame, mark: str = "\n\n=== PAGE BREAK ===\n\n") -> DataFrame:
@@ -81,8 +100,15 @@ def page_low_text_flag(pages: DataFrame, least: int = 50) -> DataFrame:
     return pages.withColumn("low_text", F.length(F.trim(F.coalesce("text", F.lit("")))) < least)
 
 
-def page_select(pages: DataFrame, number: int) -> DataFrame:
-    """The pages with a 0-based number, one for each document that has it."""
+def page_select(pages: DataFrame, number: int, strict: bool = False) -> DataFrame:
+    """The pages with a 0-based number, one for each document that has it.
+
+    With strict, a number below 0 or beyond the last page of any document is an error, which names one.
+    """
+    if strict:
+        short = pages.groupBy("doc_id").agg(F.max("page_no").alias("last")).where((F.col("last") < number) | F.lit(number < 0))
+        if (bad := short.first()) is not None:
+            raise IndexError(f"page {number} of document {bad[0]}, whose last page is {bad[1]}")
     return pages.where(F.col("page_no") == number)
 
 

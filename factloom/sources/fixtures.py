@@ -101,3 +101,21 @@ def control_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = lines(spark, sf_dir).withColumn("chunk_id", F.floor((F.col("line_no") - 1) / 40).cast("int"))
     ordered = F.array_sort(F.collect_list(F.struct("line_no", F.expr(CONTROL_LINE).alias("line"))))
     return rows.groupBy("doc_id", "chunk_id").agg(ordered.alias("l")).select("doc_id", "chunk_id", F.array_join(F.col("l.line"), "\n").alias("chunk_text"))
+
+
+#: A line of a report: headings, tables of two kinds, findings and steps among the others.
+REPORT_LINE = """
+case when line_no % 25 = 1 then case line_no % 4 when 0 then 'SYSTEM DESCRIPTION' when 1 then 'Control Testing and Results' when 2 then '3.1 Privacy of Data'
+    else 'Complementary User Entity Controls' end
+  when line_no % 25 in (8, 9, 10) then '| CC' || cast(line_no % 9 as varchar(20)) || '.1 ' || substr(line, 1, 20) || ' | Tested | No Exceptions Noted |'
+  when line_no % 25 in (15, 16) then 'host' || cast(line_no as varchar(20)) || '   443   owner'
+  when line_no % 25 between 17 and 20 and doc_id % 3 = 0 then 'Severity of a finding of ' || cast(2015 + line_no % 10 as varchar(20)) || '.'
+  when line_no % 25 in (21, 22, 23, 24) and doc_id % 5 = 1 then cast(line_no as varchar(20)) || '. You must follow the policy'
+  when line_no % 31 = 0 then 'unit' || cast(doc_id % 7 as varchar(20)) || ' keepsake ' || case doc_id % 7 when 0 then 'alpha' when 1 then 'bravo' when 2 then 'charlie' else 'delta' end
+  else line end
+"""
+
+
+def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, line_no, line of reports."""
+    return lines(spark, sf_dir).select("doc_id", "line_no", F.expr(REPORT_LINE).alias("line"))
