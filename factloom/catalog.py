@@ -39,12 +39,12 @@ def bar(column) -> F.Column:
 
 
 def pages_of(spark: SparkSession, d: str) -> DataFrame:
-    """Web pages as the pages of fifty documents."""
-    p = table(spark, d, "pages")
-    return p.select((F.col("page_id") % 50).alias("doc_id"), F.expr("page_id div 50").alias("page_no"), F.col("html").alias("text"))
+    """Web pages as the pages of documents of up to fifty; every seventh page is the last of its document."""
+    p = table(spark, d, "pages").where("page_id % 50 < 50 - page_id div 50 % 7")
+    return p.select(F.expr("page_id div 50").alias("doc_id"), (F.col("page_id") % 50).alias("page_no"), F.col("html").alias("text"))
 
 
-PAGES = "select page_id % 50 as doc_id, page_id // 50 as page_no, html as text from pages"
+PAGES = "select page_id // 50 as doc_id, page_id % 50 as page_no, html as text from pages where page_id % 50 < 50 - page_id // 50 % 7"
 
 
 # --- sources and sinks
@@ -592,6 +592,38 @@ def specialized_pass(spark, d):
     return out.select("doc_id", "line_no", "pass_type")
 
 
+#: Lines of which some speak of customers' duties or of tests.
+SPECIAL = "case when line_no % 19 = 0 then '  By inspection and inquiry, sampled 5 items of ' || line when line_no % 23 = 0 then 'The user entity is responsible for ' || line else line end"
+
+
+def _made_of(pass_type: str, where: str, claim: str, kind: str, items: str = "['']") -> str:
+    return (
+        f"select doc_id, line_no, '{pass_type}' as pass_type, {claim} as claim, {kind} as fact_type, 'Lines ' || line_no || '-' || line_no as source_location, trim(line) as evidence_quote"
+        f" from (select *, unnest({items}) as x from special where {where})"
+    )
+
+
+QUANTITIES_OF = O.first_seen(O.quantities("line"))
+
+
+@query(fx(
+    f"select doc_id, line_no, 'quantitative' as pass_type, m.claim as claim, m.fact_type as fact_type, 'Lines ' || line_no || '-' || line_no as source_location, trim(line) as evidence_quote, value as held"
+    f" from (select *, {O.claim('missing', 'lower(line)')} as m from (select doc_id, line_no, line, unnest({QUANTITIES_OF}, recursive := true) from special))"
+    f" union all select *, claim[13:] from ({' union all '.join(_made_of('technical_specs', 'true', chr(39) + 'System uses ' + chr(39) + ' || x', chr(39) + 'technical_control' + chr(39), O.first_seen(hits('line', r))) for r in (P.ENCRYPTION, P.AUTHENTICATION, P.NETWORK))})"
+    f" union all select *, '' from ({_made_of('cuec', O.any_of('lower(line)', 'user entity', 'customer responsibility', 'complementary controls'), 'trim(line)', chr(39) + 'process' + chr(39))})"
+    f" union all select *, array_to_string({O.first_seen(hits('evidence_quote', P.SAMPLE))}, '|') from ({_made_of('test_procedures', O.any_of('lower(line)', 'inspection', 'observation', 'inquiry', 're-performance'), 'trim(line)', chr(39) + 'test_result' + chr(39))})",
+    f"special as (select doc_id, line_no, {SPECIAL} as line from fx_lines)",
+))
+def specialized_facts(spark, d):
+    """The facts of all four passes."""
+    rows = fixtures.lines(spark, d).select("doc_id", "line_no", F.expr(SPECIAL).alias("line"))
+    out = chains.specialized_facts(rows, "quantitative")
+    for name in ("technical_specs", "cuec", "test_procedures", "other"):
+        out = out.unionByName(chains.specialized_facts(rows, name))
+    held = F.coalesce(bar(F.col("quantitative_values")), bar(F.col("entities")), F.lit(""))
+    return out.select("doc_id", "line_no", "pass_type", "claim", "fact_type", "source_location", "evidence_quote", held.alias("held"))
+
+
 # --- validation
 
 

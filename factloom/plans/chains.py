@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions import patterns as P
@@ -87,3 +87,34 @@ def specialized_pass(rows: DataFrame, pass_type: str, text: str = "line") -> Dat
     else:
         test = F.lit(False)
     return rows.where(test).withColumn("pass_type", F.lit(pass_type))
+
+
+def specialized_facts(rows: DataFrame, pass_type: str, text: str = "line") -> DataFrame:
+    """rows (with line_no) that a pass is about, with the facts that it makes of them: pass_type, claim, fact_type, quantitative_values,
+    entities, source_location and evidence_quote.
+
+    quantitative: one fact for each different quantity, claimed by the line; technical_specs: one for each specification;
+    cuec and test_procedures: the line itself, the latter with the sample sizes in it. None for an unknown pass.
+    """
+    column, none = F.col(text), F.lit(None).cast("array<string>")
+    whole = F.trim(column)
+    place = F.concat(F.lit("Lines "), F.col("line_no").cast("string"), F.lit("-"), F.col("line_no").cast("string"))
+    kept = [*rows.columns, F.lit(pass_type).alias("pass_type"), place.alias("source_location"), whole.alias("evidence_quote")]
+
+    def facts(found: DataFrame, claim: Column, kind: Column, quantities: Column, entities: Column) -> DataFrame:
+        made = [claim.alias("claim"), kind.alias("fact_type"), quantities.alias("quantitative_values"), entities.alias("entities")]
+        return found.select(*kept, *made)
+
+    if pass_type == "quantitative":  # rows without any go with explode, so the rules are matched once
+        found = rows.withColumn("_q", F.explode(F.array_distinct(P.quantities(column))))
+        found = found.withColumn("_made", generated_claim(F.col("_q.type"), F.col("_q.value"), column))
+        return facts(found, F.col("_made.claim"), F.col("_made.fact_type"), F.array("_q.value"), none)
+    if pass_type == "technical_specs":
+        specs = F.concat(*(P.distinct_hits(column, r) for r in (P.ENCRYPTION, P.AUTHENTICATION, P.NETWORK)))
+        found = rows.withColumn("_spec", F.explode(specs))
+        return facts(found, F.concat(F.lit("System uses "), "_spec"), F.lit("technical_control"), none, F.array("_spec"))
+    found = specialized_pass(rows, pass_type, text)  # none for an unknown pass
+    if pass_type == "test_procedures":
+        samples = P.distinct_hits(column, P.SAMPLE)
+        return facts(found, whole, F.lit("test_result"), F.when(F.size(samples) > 0, samples), none)
+    return facts(found, whole, F.lit("process"), none, none)
