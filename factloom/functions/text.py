@@ -76,10 +76,18 @@ def context_entities(text: Column, most: int = 5) -> Column:
     return F.slice(F.array_sort(F.array_distinct(F.filter(found, lambda x: F.length(x) > 2))), 1, most)
 
 
+def _searched(value: Column) -> Column:
+    return F.regexp_replace(value, r"([()\[\]])", r"\\$1")
+
+
+def has_context(value: Column, text: Column) -> Column:
+    """Whether quantity_context finds anything, without looking around a hit."""
+    return F.regexp_like(text, F.concat(F.lit("(?is)"), _searched(value)))
+
+
 def quantity_context(value: Column, text: Column, reach: int = 200) -> Column:
     """The text around the last hit of a quantity within reach, on one line; null if there is none."""
-    escaped = F.regexp_replace(value, r"([()\[\]])", r"\\$1")
-    pattern = F.concat(F.lit(f"(?is).{{0,{reach}}}"), escaped, F.lit(f".{{0,{reach}}}"))
+    pattern = F.concat(F.lit(f"(?is).{{0,{reach}}}"), _searched(value), F.lit(f".{{0,{reach}}}"))
     found = F.get(F.regexp_extract_all(text, pattern, F.lit(0)), F.lit(0))
     return F.nullif(F.trim(F.regexp_replace(found, r"\s+", " ")), F.lit(""))
 

@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions.patterns import quantities
-from factloom.functions.text import context_entities, quantity_context
+from factloom.functions.text import context_entities, has_context, quantity_context
 from factloom.operators.extract import generated_claim
 from factloom.operators.score import count_of, quality_score
+from factloom.sources.facts_io import stored
 
 
 #: Characters of a context that are quoted.
@@ -56,6 +57,7 @@ def _made(rows: DataFrame, chunks: DataFrame, table: str) -> DataFrame:
         (F.col("source_doc") if "source_doc" in chunks.columns else none).alias("source_doc"),
     )
     found = rows.join(parts, ["doc_id", "chunk_id"]).withColumn("_context", quantity_context(F.col("value"), F.col("chunk_text"))).drop("chunk_text")
+    found = stored(found, "contexts")  # else each of the many tests of a context would search the chunk for it
     made = found.withColumn("_made", generated_claim(F.col("type"), F.col("value"), F.col("_context"), table))
     entities = F.nullif(context_entities(F.col("_context")), F.array().cast("array<string>"))
     return made.select(
@@ -70,6 +72,7 @@ def generate_missing_facts(chunks: DataFrame, chunk_values: DataFrame, facts: Da
 
     A quantity without context takes no place. chunk_values: see chunk_quantities.
     """
+    chunk_values = stored(chunk_values, "quantities")  # read four times below
     wanted = chunk_quota(facts, chunk_values, target).where("wanted > 0").select("doc_id", "chunk_id", "wanted")
     columns = ["doc_id", "chunk_id", "qv_ord", "value", "type"]
     held = chunk_values.where("has_context")
@@ -92,7 +95,7 @@ def first_chunk_with_qv(chunk_values: DataFrame, chunks: DataFrame) -> DataFrame
 
     Found as a quantity it may stand in an earlier chunk as a part of something else, so the chunks before are searched.
     """
-    first = chunk_values.groupBy("doc_id", "value").agg(F.min("chunk_id").alias("known"))
+    first = stored(chunk_values.groupBy("doc_id", "value").agg(F.min("chunk_id").alias("known")), "known")
     before = first.join(chunks.select("doc_id", "chunk_id", "chunk_text"), "doc_id")
     before = before.where((F.col("chunk_id") < F.col("known")) & F.contains(F.lower("chunk_text"), F.lower("value")))
     before = before.groupBy("doc_id", "value").agg(F.min("chunk_id").alias("earlier"))
@@ -109,9 +112,12 @@ def global_quota(facts: DataFrame, target: float = 0.35) -> DataFrame:
 def generate_global_facts(chunks: DataFrame, chunk_values: DataFrame, facts: DataFrame, target: float = 0.35) -> DataFrame:
     """Unused quantities of a document by value and type, until its quota is filled, with the context of the first chunk
     that holds them. A quantity without context there takes no place."""
+    chunk_values = stored(chunk_values, "quantities")
+    chunks = stored(chunks, "chunks")
     free = global_missing_qv(chunk_values, facts).join(first_chunk_with_qv(chunk_values, chunks), ["doc_id", "value"])
+    free = stored(free, "free")
     odd = free.where(_odd(F.col("value"))).join(chunks.select("doc_id", "chunk_id", "chunk_text"), ["doc_id", "chunk_id"])
-    odd = odd.where(quantity_context(F.col("value"), F.col("chunk_text")).isNotNull()).select(free.columns)
+    odd = odd.where(has_context(F.col("value"), F.col("chunk_text"))).select(free.columns)
     free = free.where(~_odd(F.col("value"))).union(odd)
     turn = F.row_number().over(Window.partitionBy("doc_id").orderBy("value", "type"))
     wanted = global_quota(facts, target).select("doc_id", "wanted")
@@ -127,7 +133,7 @@ def _odd(value: Column) -> Column:
 def chunk_quantities(chunks: DataFrame) -> DataFrame:
     """doc_id, chunk_id, qv_ord, value, type, has_context of every chunk."""
     held = quantities(F.col("chunk_text"))
-    there = lambda v: F.when(_odd(v), quantity_context(v, F.col("chunk_text")).isNotNull()).otherwise(True)
+    there = lambda v: F.when(_odd(v), has_context(v, F.col("chunk_text"))).otherwise(True)
     rows = F.transform(held, lambda q: F.struct(q["value"].alias("value"), q["type"].alias("type"), there(q["value"]).alias("has_context")))
     found = chunks.select("doc_id", "chunk_id", F.posexplode(rows).alias("qv_ord", "qv"))
     return found.select("doc_id", "chunk_id", "qv_ord", "qv.*")
