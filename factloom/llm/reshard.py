@@ -6,7 +6,7 @@ import heapq
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.llm.common import shared_dir, written
@@ -14,6 +14,8 @@ from factloom.llm.common import shared_dir, written
 #: Pieces of an old shard at least, and rows of one where a table has more: rows are dealt into pieces by hash, and all
 #: but the pieces at a cut move whole.
 PIECES, ROWS_PER_PIECE = 256, 50_000
+#: Pieces of all old shards together, at most; larger tables have larger pieces, whose windows spill.
+MOST_PIECES = 400_000
 
 
 def min_cost_flow(supply: list[int], capacity: list[int], cost) -> dict[tuple[int, int], int]:
@@ -102,18 +104,25 @@ def laid_out(docs: DataFrame, old_shards: int, pieces: int = PIECES) -> DataFram
     """docs with size, text_crc32, old_shard and piece; columns of these names are replaced.
 
     size: UTF-8 bytes of the text, plus 1; a null text has none and its checksum is that of no bytes.
-    The old shard is the checksum of doc_id modulo old_shards; a null doc_id is in shard 0.
+    The old shard is the checksum of doc_id modulo old_shards; a null doc_id is in shard 0. The piece is
+    a hash of doc_id and text, so rows that share only one of them, null or not, are dealt over all pieces.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
     home = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(old_shards)), F.lit(0))
-    return docs.withColumns(
-        {
-            "size": (F.octet_length(text) + 1).cast("long"),
-            "text_crc32": F.crc32(text),
-            "old_shard": home.cast("int"),
-            "piece": F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(pieces)).cast("int"),
-        }
-    )
+    size, checksum = (F.octet_length(text) + 1).cast("long"), F.crc32(text)
+    piece = F.pmod(F.xxhash64("doc_id", checksum, size, F.lit(3)), F.lit(pieces)).cast("int")
+    return docs.withColumns({"size": size, "text_crc32": checksum, "old_shard": home.cast("int"), "piece": piece})
+
+
+def pieces_for(rows: int, old_shards: int) -> int:
+    """Pieces of an old shard: more for more rows, but never over MOST_PIECES of all (or one for each old shard)."""
+    return max(1, min(max(PIECES, rows // (old_shards * ROWS_PER_PIECE)), MOST_PIECES // old_shards))
+
+
+def running(value: str, part: str, *order: str) -> Column:
+    """The sum of value over the rows before this one, within part."""
+    before = Window.partitionBy(part).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return F.coalesce(F.sum(value).over(before), F.lit(0))
 
 
 class Resharding:
@@ -121,29 +130,25 @@ class Resharding:
 
     Rows follow one another in their old shard by piece and by order within it; a row goes where its
     middle byte falls, so a new shard is off its capacity by less than a row at each cut. Only the
-    totals of pieces come to the driver: old shards times PIECES rows, whatever the table.
+    totals of old shards come to the driver. Where each piece begins is summed by Spark over the
+    totals of pieces, of which there are at most MOST_PIECES.
     """
 
     def __init__(self, layout: DataFrame, shards: int):
-        totals = layout.groupBy("old_shard", "piece").agg(F.sum("size").alias("bytes")).collect()
-        pieces = sorted((r["old_shard"], r["piece"], r["bytes"]) for r in totals)
-        count = 1 + max([b[0] for b in pieces], default=0)
-        self.transfers = plan([sum(b[2] for b in pieces if b[0] == i) for i in range(count)], shards)
-        rows, at = [], dict.fromkeys(range(count), 0)
-        for old, piece, size in pieces:
-            lo, hi = at[old], at[old] + size
-            at[old] = hi
-            whole = next((j for i, j, a, b in self.transfers.cuts if i == old and a <= lo and hi <= b), None)
-            rows.append((old, piece, lo, whole))
         spark = layout.sparkSession
-        self.places = spark.createDataFrame(rows, "old_shard int, piece int, lo long, whole int")
+        pieces = written(layout.groupBy("old_shard", "piece").agg(F.sum("size").alias("bytes")), "pieces")
+        totals = {r[0]: r[1] for r in pieces.groupBy("old_shard").agg(F.sum("bytes")).collect()}  # a row for each old shard
+        self.transfers = plan([totals.get(i, 0) for i in range(1 + max(totals, default=0))], shards)
         cuts = spark.createDataFrame(self.transfers.cuts, "old_shard int, new int, a long, b long")
         self.cuts = cuts.groupBy("old_shard").agg(F.array_sort(F.collect_list(F.struct("a", "b", "new"))).alias("cuts"))
+        begun = pieces.withColumn("lo", running("bytes", "old_shard", "piece")).join(F.broadcast(self.cuts), "old_shard")
+        whole = F.expr("get(filter(cuts, c -> c.a <= lo and lo + bytes <= c.b), 0).new")
+        self.places = written(begun.select("old_shard", "piece", "lo", whole.alias("whole")), "places")
 
     def place(self, layout: DataFrame) -> DataFrame:
         """layout with the new shard. Pieces that no cut divides are placed where they are read, without a shuffle."""
         columns = layout.columns
-        placed = layout.join(F.broadcast(self.places), ["old_shard", "piece"])  # bounded by shards and pieces
+        placed = layout.join(F.broadcast(self.places), ["old_shard", "piece"])  # at most MOST_PIECES rows
         whole = placed.where("whole is not null").withColumn("shard", F.col("whole"))
         before = Window.partitionBy("old_shard", "piece").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, -1)
         middle = F.col("lo") + F.coalesce(F.sum("size").over(before), F.lit(0)) + F.expr("size div 2")
@@ -155,12 +160,9 @@ class Resharding:
 def slotted(rows: DataFrame) -> DataFrame:
     """rows (shard, old_shard, piece, ...) with a gapless slot in each shard: rows of earlier pieces, plus the turn."""
     piece = ["shard", "old_shard", "piece"]
-    counts = rows.groupBy(*piece).agg(F.count("*").alias("n")).collect()  # bounded by shards and pieces
-    first, start = [], {}
-    for r in sorted((*(r[c] for c in piece), r["n"]) for r in counts):
-        first.append((*r[:3], start.get(r[0], 0)))
-        start[r[0]] = start.get(r[0], 0) + r[3]
-    first = rows.sparkSession.createDataFrame(first, "shard int, old_shard int, piece int, first long")
+    counts = rows.groupBy(*piece).agg(F.count("*").alias("n"))
+    # at most MOST_PIECES rows, and one more for each cut
+    first = counts.select(*piece, running("n", "shard", "old_shard", "piece").alias("first"))
     turn = F.row_number().over(Window.partitionBy(*piece).orderBy(*ORDER))
     return rows.join(F.broadcast(first), piece).withColumn("slot", F.col("first") + turn - 1).drop("first")
 
@@ -191,7 +193,7 @@ def resharded(docs: DataFrame, old_shards: int = 6, shards: int = 8) -> DataFram
     any size are never cut; an empty table gives no rows.
     """
     docs = docs.select("doc_id", "text")
-    pieces = max(PIECES, docs.count() // (old_shards * ROWS_PER_PIECE))
+    pieces = pieces_for(docs.count(), old_shards)
     layout = written(laid_out(docs, old_shards, pieces).drop("text"), "layout")
     move = Resharding(layout, shards)
     back = rewrite(docs, move, old_shards, pieces, f"{shared_dir(docs.sparkSession)}/shards-{uuid.uuid4().hex}")

@@ -346,6 +346,26 @@ def test_rewritten_shards_hold_every_row_once(spark, tmp_path):
     assert still.transfers.moved == 0 and reshard.rewrite(even, still, 1, reshard.PIECES, f"{tmp_path}/still").count() == 400
 
 
+def test_pieces_that_grow_with_the_rows(spark, monkeypatch):
+    """Small pieces: many of them, none hot though half of the rows have no doc_id, others one doc_id or one text; the results stay whole."""
+    monkeypatch.setattr(reshard, "ROWS_PER_PIECE", 2)
+    monkeypatch.setattr(reshard, "PIECES", 1)
+    monkeypatch.setattr(reshard, "MOST_PIECES", 1000)
+    assert [reshard.pieces_for(n, 6) for n in (0, 1200, 10**12)] == [1, 100, 166] and reshard.pieces_for(10**12, 5000) == 1
+    texts = [f"text {i} " * (i % 9 + 1) for i in range(600)] + [f"other {i}" for i in range(300)] + ["same"] * 300
+    ids = [None] * 600 + [5] * 300 + list(range(1000, 1300))
+    docs = table(spark, texts, ids)
+    held = reshard.laid_out(docs, 6, reshard.pieces_for(1200, 6)).groupBy("old_shard", "piece").count()
+    assert held.agg({"count": "max"}).first()[0] < 25 and held.count() > 200
+    rows = reshard.resharded(docs, 6, 8).collect()
+    assert Counter((r.doc_id, r.size, r.text_crc32) for r in rows) == Counter((d, len(t) + 1, zlib.crc32(t.encode())) for d, t in zip(ids, texts))
+    sizes, slots = Counter(), {}
+    for r in rows:
+        sizes[r.shard] += r.size
+        slots.setdefault(r.shard, []).append(r.slot)
+    assert max(sizes.values()) - min(sizes.values()) <= 2 * 91 and all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_flow_moves_the_fewest_bytes(seed):
     rng = random.Random(seed)
