@@ -1,8 +1,8 @@
 """WARC archives in seekable Zstandard bundles, and their reader.
 
 A bundle is a file of independent Zstandard frames, each of which holds some whole records, and a
-footer in a skippable frame: the seek table, with the sizes of every frame. An index row names a
-record's bundle, frame and offset within the frame, so one record is read by one ranged read.
+footer in a skippable frame: the seek table, with the sizes of every frame. The index maps a record's
+identifier to its bundle, frame and offset within the frame, so one record is read by one ranged read.
 """
 
 from __future__ import annotations
@@ -32,9 +32,9 @@ SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
-INDEX = "page_id long, bundle string, frame int, frame_start long, frame_bytes long, offset long, length long"
+INDEX = "record_id string, page_id long, bundle string, frame int, frame_start long, frame_bytes long, offset long, length long"
 RECORD = (
-    "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary"
+    "record_id string, page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary"
 )
 
 
@@ -131,6 +131,7 @@ def parse(data: bytes) -> Iterator[dict]:
         yield {
             "offset": at,
             "length": end - at,
+            "record_id": head["WARC-Record-ID"],
             "page_id": number("X-Page-ID"),
             "url": head.get("WARC-Target-URI"),
             "record_type": head["WARC-Type"],
@@ -150,12 +151,12 @@ def _writer(folder: str):
 
         def end_frame() -> None:
             start, size = bundle.flush()
-            index.extend((page, name, frame, start, size, offset, length) for page, frame, offset, length in waiting)
+            index.extend((_id(page, row), page, name, frame, start, size, offset, length) for row, page, frame, offset, length in waiting)
             waiting.clear()
 
         def rows() -> pa.RecordBatch:
             schema = pa.schema(
-                [("page_id", pa.int64()), ("bundle", pa.string()), ("frame", pa.int32()), ("frame_start", pa.int64())]
+                [("record_id", pa.string()), ("page_id", pa.int64()), ("bundle", pa.string()), ("frame", pa.int32()), ("frame_start", pa.int64())]
                 + [(c, pa.int64()) for c in ("frame_bytes", "offset", "length")]
             )
             out = pa.RecordBatch.from_arrays(
@@ -172,7 +173,7 @@ def _writer(folder: str):
                     bundle = BundleWriter(fs.open_output_stream(f"{root}/{name}", compression=None))
                 data = record(row, page, *rest)
                 frame, offset = bundle.add(data)
-                waiting.append((page, frame, offset, len(data)))
+                waiting.append((row, page, frame, offset, len(data)))
                 if bundle.plain >= FRAME_BYTES:
                     end_frame()
                 if bundle.total >= BUNDLE_BYTES:
@@ -192,7 +193,7 @@ def _writer(folder: str):
 
 def _reader(folder: str):
     names = [c.split(" ")[0] for c in RECORD.split(", ")]
-    kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
+    kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pafs.FileSystem.from_uri(folder)
@@ -245,7 +246,7 @@ def prepared(pages: DataFrame) -> DataFrame:
 def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     """Write pages as bundles into folder (a URI that all executors reach) and return the index rows.
 
-    A null html is an empty payload; a null url gives no target, a null page_id no number. Rows that
+    Columns but page_id, url and html are ignored. A null html is an empty payload; a null url gives no target, a null page_id no number. Rows that
     repeat a page_id become records of their own, and an empty table gives none. A task that is run again writes
     bundles of new names; those of the attempt that failed are in no index.
     """
@@ -275,6 +276,12 @@ def read_record(index_row, folder: str) -> dict:
     return next(parse(data[at : at + index_row["length"]]))
 
 
+def find_record(index: DataFrame, record_id: str, folder: str) -> dict | None:
+    """The record with this identifier, or None; identifiers are unique, so one index row comes to the driver."""
+    found = index.where(F.col("record_id") == record_id).take(1)
+    return read_record(found[0], folder) if found else None
+
+
 def archived(pages: DataFrame) -> DataFrame:
     """Write, read back, and return what the archives say of every page."""
     base = shared_dir(pages.sparkSession)

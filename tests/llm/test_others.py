@@ -172,6 +172,10 @@ def test_archives(spark, tmp_path):
             assert bytes(r.payload) == data
     for row in index.where("page_id in (6, 7, 9, 399)").collect():
         assert warc.read_record(row, folder)["page_id"] == row.page_id
+    ids = {r.record_id: r.page_id for r in index.collect()}
+    assert len(ids) == len(rows) and ids == {r.record_id: r.page_id for r in back.values()}
+    one = next(i for i, page in ids.items() if page == 6)
+    assert warc.find_record(index, one, folder)["payload"] == ("é" * 600).encode() and warc.find_record(index, "<urn:uuid:none>", folder) is None
     assert warc.archived(df.limit(0)).count() == 0
 
 
