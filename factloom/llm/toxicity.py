@@ -26,15 +26,22 @@ LEET = {
 SEPARATORS, WILD = " .-_~/\\,:'", "*#%"
 #: Log probabilities of the channel.
 SIGN, SIGN_GONE, KEEP_GAP, DROP_GAP, DROP_REPEAT, ANY = -1.0, -3.0, -0.2, -0.5, -0.7, -4.0
-BEAM, BEST = 40, 6
+#: Texts held for each state. With so many, the decoder's first BEST texts are exact.
+BEST = 6
+#: So many wild signs in a row stand for letters; what follows them is a ruled line and only one gap.
+HIDDEN = 4
+NOTHING = [("", 0.0)]
 #: At most so many labelled rows of each label are learnt from, those with the least hash.
 ROWS_PER_LABEL = 10_000
-#: Features (words and their beginnings) need so many documents of the sample.
+#: Features (words and their beginnings) need so many documents of the sample: rarer ones only tell of chance.
 LEAST_DOCUMENTS = 5
 STEMS = range(3, 8)
 HELD = 200_000
-#: Longer runs are decoded in pieces of this length, each of which starts in the middle of the one before.
-LONGEST_TOKEN = 256
+#: From more texts than this a wild sign is stepped over in arrays, and the AHEAD characters after it tell which of them
+#: can't be among the best any more. Neither number changes a result.
+MANY, AHEAD = 1000, 64
+#: Texts under decoding are lists of pieces of this length, so that a step costs the same in a run of any length.
+PIECE = 64
 EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "“”«»„…¿¡"
 
 
@@ -72,57 +79,135 @@ def character_model(docs: DataFrame) -> np.ndarray:
 # --- the decoder
 
 
-def _options(text: str) -> list[list[tuple[str, float]]]:
-    """The lattice: what each character may stand for, with the channel's log probability."""
-    out = []
-    for i, c in enumerate(text):
+def _options(text: str, before: str = "") -> Iterator[list[tuple[str, float]]]:
+    """The lattice: what each character may stand for after `before`, with the channel's log probability."""
+    wild = len(before) - len(before.rstrip(WILD))
+    before = before[-1:]
+    for c in text:
+        wild = wild + 1 if c in WILD else 0
         ways: list[tuple[str, float]]
         if c in CODE:
             ways = [(c, 0.0)]
-            if i and text[i - 1] == c:
-                ways.append(("", DROP_REPEAT))
         elif c in LEET:
             ways = [(x, SIGN) for x in LEET[c]] + [(" ", SIGN_GONE)]
-            if i and text[i - 1] == c:
-                ways.append(("", DROP_REPEAT))
-        elif c in SEPARATORS:
+        elif wild > HIDDEN + 1:
+            ways = NOTHING
+        elif c in SEPARATORS or wild > HIDDEN:
             ways = [("", DROP_GAP), (" ", KEEP_GAP)]
-        elif c in WILD:
+        elif wild:
             ways = [(x, ANY) for x in LETTERS] + [(" ", KEEP_GAP), ("", DROP_GAP)]
         else:
             ways = [(" ", 0.0)]
-        out.append(ways)
-    return out
+        if c == before and (c in CODE or c in LEET):
+            ways.append(("", DROP_REPEAT))
+        before = c
+        yield ways
+
+
+#: A text under decoding: log probability, the number of its pieces so far, and what follows them.
+Held = tuple[float, int, str]
+
+
+def _best(held: list[Held]) -> list[Held]:
+    """The BEST different texts, each with its likeliest path."""
+    paths = {(n, s): p for p, n, s in sorted(held)}
+    return sorted(((p, n, s) for (n, s), p in paths.items()), reverse=True)[:BEST]
+
 
+def _ahead(text: str, start: int, cube: np.ndarray) -> tuple[list[np.ndarray], float]:
+    """The greatest log probabilities of what follows, by the two letters before it, at `start` and the AHEAD places after.
+
+    Also how far two of them may be out: twice AHEAD characters are looked at, and what comes later
+    tells two states apart by two letters at most.
+    """
+    stop = start + 2 * AHEAD
+    to_end = stop >= len(text)
+    u = cube[:, :, 0] if to_end else np.zeros((A, A))
+    found = [u]
+    for ways in reversed(list(_options(text[start:stop], text[max(0, start - HIDDEN) : start]))):
+        u = np.max([cube[:, :, CODE.get(x, 0)] + cost + u[:, CODE.get(x, 0)] if x else u + cost for x, cost in ways], axis=0)
+        found.append(u)
+    return found[::-1][: AHEAD + 1], 0.0 if to_end else 2 * float(cube.max() - cube.min())
 
-def decode(text: str, model: list) -> list[str]:
-    """The likeliest plain texts behind `text`, best first (list Viterbi over pairs of letters, within a beam).
 
-    A state holds its BEST texts, since signs such as 1 stand for letters that a trigram model alone
-    can't always tell apart; the scorer then knows which of them is a word.
+def _hidden(states: dict, cube: np.ndarray, ahead: np.ndarray, slack: float) -> dict:
+    """The step over a wild sign from many states: for each pair of letters after it, the BEST of all ways there.
+
+    A text goes if even its best continuation is worse than that of BEST texts of one state.
+    """
+    p = np.full((A, A, BEST), -np.inf)
+    for (a, b), held in states.items():
+        p[a, b, : len(held)] = [h[0] for h in held]
+    cost = np.r_[KEEP_GAP, np.full(A - 1, ANY)]
+    ways = (p.transpose(1, 0, 2)[:, None, :, :] + (cube + cost).transpose(1, 2, 0)[:, :, :, None]).reshape(A, A, A * BEST)
+    top = np.argpartition(ways, -BEST, axis=2)[:, :, -BEST:]
+    score = np.take_along_axis(ways, top, axis=2)
+    least = (score.min(axis=2) + ahead).max() - slack - 1e-6
+    after: dict[tuple[int, int], list[Held]] = {}
+    for b, o, k in np.argwhere((score > -np.inf) & (score + ahead[:, :, None] >= least)).tolist():
+        _, n, s = states[int(top[b, o, k]) // BEST, b][int(top[b, o, k]) % BEST]
+        after.setdefault((b, o), []).append((float(score[b, o, k]), n, s + (LETTERS[o - 1] if o else " ")))
+    for key, held in states.items():
+        kept = [(p + DROP_GAP, n, s) for p, n, s in held if p + DROP_GAP + ahead[key] >= least]
+        if kept:
+            after.setdefault(key, []).extend(kept)
+    return after
+
+
+def decode(text: str, model: list, cube: np.ndarray) -> list[str]:
+    """The BEST likeliest plain texts behind `text`, best first: exact list Viterbi over pairs of letters.
+
+    model and cube hold the same log probabilities. A state holds its BEST texts, since signs such
+    as 1 stand for letters that a trigram model alone can't always tell apart; the scorer then knows
+    which of them is a word. Whatever follows, no other text of a state can be among the BEST.
     """
-    states: dict[tuple[int, int], list[tuple[float, str]]] = {(0, 0): [(0.0, "")]}
-    for ways in _options(text):
-        after: dict[tuple[int, int], list[tuple[float, str]]] = {}
-        for (a, b), held in states.items():
-            row = model[a][b]
-            for letter, cost in ways:
-                if letter:
-                    o = CODE.get(letter, 0)
-                    after.setdefault((b, o), []).extend((p + cost + row[o], s + letter) for p, s in held)
-                else:
-                    after.setdefault((a, b), []).extend((p + cost, s) for p, s in held)
+    states: dict[tuple[int, int], list[Held]] = {(0, 0): [(0.0, 0, "")]}
+    pieces: list[tuple[int, str]] = [(0, "")]
+    number: dict[tuple[int, str], int] = {}
+    seen, ahead, slack = 0, [], 0.0
+    for i, ways in enumerate(_options(text)):
+        if ways is NOTHING:
+            continue
+        if len(ways) > A and sum(map(len, states.values())) > MANY:
+            if i + 1 - seen >= len(ahead):
+                seen = i + 1
+                ahead, slack = _ahead(text, seen, cube)
+            after = _hidden(states, cube, ahead[i + 1 - seen], slack)
+        else:
+            after = {}
+            for (a, b), held in states.items():
+                row = model[a][b]
+                for letter, cost in ways:
+                    if letter:
+                        o = CODE.get(letter, 0)
+                        cost += row[o]
+                        after.setdefault((b, o), []).extend([(p + cost, n, s + letter) for p, n, s in held])
+                    else:
+                        after.setdefault((a, b), []).extend([(p + cost, n, s) for p, n, s in held])
+        if i + 1 >= PIECE:  # every text is cut at the same lengths, so equal texts have equal numbers
+            for key, held in after.items():
+                for j, (p, n, s) in enumerate(held):
+                    if len(s) == PIECE:
+                        at = number.setdefault((n, s), len(pieces))
+                        if at == len(pieces):
+                            pieces.append((n, s))
+                        held[j] = (p, at, "")
         for key, held in after.items():
             if len(held) > BEST:
-                after[key] = sorted(set(held), reverse=True)[:BEST]
-        if len(after) > BEAM:
-            after = dict(sorted(after.items(), key=lambda x: -x[1][0][0])[:BEAM])
+                after[key] = _best(held)
         states = after
-    ended = [(p + model[a][b][0], s) for (a, b), held in states.items() for p, s in held]
-    return [s for _, s in sorted(set(ended), reverse=True)[:BEST]]
+    out = []
+    for _, n, s in _best([(p + model[a][b][0], n, s) for (a, b), held in states.items() for p, n, s in held]):
+        parts = [s]
+        while n:
+            n, s = pieces[n]
+            parts.append(s)
+        out.append("".join(reversed(parts)))
+    return out
 
 
-SPACED = re.compile(r"(?<!\S)(?:\S[ .\-_*]{1,2}){2,}\S(?!\S)")
+#: Signs and gaps share no character, so that a ruled line is read once.
+SPACED = re.compile(r"(?<!\S)(?:[^\s.\-_][ .\-_]{1,2}){2,}[^\s.\-_](?!\S)")
 REPEATED = re.compile(r"([^\W\d_])\1\1")
 SIGNS = re.compile(r"[$@!|(€£¡]")
 PIECES = re.compile(r"[^\W\d_]+")
@@ -132,7 +217,7 @@ class Restorer:
     """Words of texts, with disguised ones restored. A word whose lattice has one path stands for itself."""
 
     def __init__(self, model: np.ndarray):
-        self.model, self.held = model.tolist(), {}
+        self.model, self.cube, self.held = model.tolist(), model, {}
 
     def restore(self, token: str) -> list[str]:
         found = self.held.get(token)
@@ -156,21 +241,8 @@ class Restorer:
         return list(dict.fromkeys(self._decoded(token) + [p for p in pieces if len(p) > 2]))
 
     def _decoded(self, token: str) -> list[str]:
-        """Words of the likeliest plain texts of a run of any length.
-
-        A word at a cut may be a part of one; it stands whole inside the piece before or after, if it
-        covers less than a quarter of a piece.
-        """
-        if len(token) <= LONGEST_TOKEN:
-            return [w for s in decode(token, self.model) for w in s.split()]
-        out: dict[str, None] = {}
-        step = LONGEST_TOKEN // 2
-        for at in range(0, len(token) - step, step):
-            for s in decode(token[at : at + LONGEST_TOKEN], self.model):
-                words = s.split()
-                last = at + LONGEST_TOKEN >= len(token)
-                out |= dict.fromkeys(words[at > 0 : len(words) - (not last)] or words)
-        return list(out)
+        """Words of the likeliest plain texts of a run."""
+        return list(dict.fromkeys(w for s in decode(token, self.model, self.cube) for w in s.split()))
 
     def words(self, text: str) -> list[str]:
         text = text.lower()

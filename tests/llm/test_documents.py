@@ -6,6 +6,7 @@ import random
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 import public_tokenizers
 import tiktoken
@@ -398,6 +399,53 @@ def test_toxicity_of_disguised_words(spark):
     assert toxicity.fit(docs.limit(5), labels.limit(0)).prior == 0
 
 
+def decoded_by_hand(text, model):
+    """All plain texts of the lattice with their likeliest paths, nothing dropped."""
+    def after(s):
+        return model[toxicity.CODE.get(s[-2:-1], 0)][toxicity.CODE.get(s[-1:], 0)]
+
+    paths = {"": 0.0}
+    for ways in toxicity._options(text):
+        longer = {}
+        for s, p in paths.items():
+            for letter, cost in ways:
+                q = p + cost + (after(s)[toxicity.CODE.get(letter, 0)] if letter else 0)
+                longer[s + letter] = max(q, longer.get(s + letter, -1e9))
+        paths = longer
+    ended = sorted(((p + after(s)[0], s) for s, p in paths.items()), reverse=True)
+    return [s for _, s in ended[: toxicity.BEST]]
+
+
+def test_decoder_is_exact(monkeypatch):
+    """Equal to all paths of short runs: signs, repeats, gaps, wild signs; with pieces and arrays as in long runs, too."""
+    rng = random.Random(5)
+    cube = np.log(np.random.default_rng(5).dirichlet(np.full(toxicity.A, 0.3), (toxicity.A, toxicity.A)) + 1e-6)
+    model = cube.tolist()
+    runs = ["".join(rng.choice("abss1!|3- .a") for _ in range(rng.randrange(9))) for _ in range(150)]
+    wild = ["a**", "s*#t", "f**1", "*a*b", "**", "1**s!", "", "a", "=", "--"]
+    by_hand = {run: decoded_by_hand(run, model) for run in runs + wild}
+    for piece, many, ahead in ((64, 1000, 64), (2, 0, 1), (3, 20, 2)):
+        monkeypatch.setattr(toxicity, "PIECE", piece)
+        monkeypatch.setattr(toxicity, "MANY", many)
+        monkeypatch.setattr(toxicity, "AHEAD", ahead)
+        for run, texts in by_hand.items():
+            assert toxicity.decode(run, model, cube) == texts, (run, piece)
+
+
+def test_toxicity_of_awkward_tables(spark):
+    """Null and repeated ids, equal rows, runs without white space of any length, an empty table."""
+    docs, labels = (common.table(spark, "/root/testdata/sf0.001", t) for t in ("documents", "labels"))
+    texts = ["you 1d1ot", "you 1d1ot", None, "", "a1-" * 3_000, "a" * 20_000, "-" * 200_000, "x" + "*" * 50_000, "-" * 500 + "ab cd"]
+    odd = spark.createDataFrame([*enumerate(texts), (0, "you 1d1ot"), (None, "other")], "doc_id long, text string")
+    rows = toxicity.toxicity_of(spark, odd, labels).collect()
+    assert Counter(r.doc_id for r in rows) == Counter([*range(len(texts)), 0, None])
+    assert len({r.score for r in rows if r.doc_id in (0, 1)}) == 1 and all(0 <= r.score <= 1 for r in rows)
+    assert not next(r for r in rows if r.doc_id is None).held_out
+    model = toxicity.fit(docs.select("doc_id", "text"), labels)
+    assert toxicity.score(odd.select("doc_id", "text"), model).count() == len(rows)
+    assert toxicity.toxicity_of(spark, odd.limit(0), labels).count() == 0
+
+
 def test_toxicity_of_long_disguised_runs(spark):
     docs, labels = (common.table(spark, "/root/testdata/sf0.1", t) for t in ("documents", "labels"))
     model = toxicity.fit(docs.select("doc_id", "text"), labels)
