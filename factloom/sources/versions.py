@@ -47,6 +47,11 @@ def replace_by_key(rows: DataFrame, path: str, key: str, keys: DataFrame | None
     return publish(rows.sparkSession, path, stage(rows, path, key, keys), version)
 
 
+def writes(spark: SparkSession, path: str) -> list[str]:
+    """The names of the registered writes, in order."""
+    return [r.write for r in _manifest(spark, path).groupBy("write").agg(F.max("version").alias("v")).orderBy("v", "write").collect()]
+
+
 def registered(spark: SparkSession, path: str, key: str, kind: str = "long") -> DataFrame:
     """key, version and write of every key that was written, by its latest write. A null key is one like others."""
     known = _manifest(spark, path).groupBy("write").agg(F.max("version").alias("version"))

@@ -20,9 +20,9 @@ def process(docs: DataFrame, size: int, overlap: int) -> DataFrame:
 
 
 def stream_quantities(spark: SparkSession, source: str, target: str, checkpoint: str, size: int = 1000, overlap: int = 200, files_per_batch: int = 100):
-    """Start a query that reads new document files of a folder and replaces their documents' partitions in target.
+    """Start a query that reads new document files of a folder and replaces their documents' rows in target (see facts_io.load_chunks).
 
-    The checkpoint remembers the files; a batch that runs again writes the same partitions again.
+    The checkpoint remembers the files; a batch that runs again replaces the same documents again.
     """
     schema = spark.read.parquet(source).schema  # source: a folder or a pattern
     docs = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
