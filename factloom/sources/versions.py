@@ -80,7 +80,8 @@ def produced_once(chunks: DataFrame, produce: Callable[[DataFrame], DataFrame],
     spark.createDataFrame([], "content string, run string").write.mode("append").parquet(f"{path}/done")
     spark.createDataFrame([], f"content string, {schema}, run string").write.mode("append").parquet(f"{path}/answers")
     done = spark.read.schema("content string, run string").parquet(f"{path}/done")
-    fresh = named.join(done, "content", "left_anti").groupBy("content").agg(F.first("chunk_text").alias("chunk_text"))
+    # hints: answers with long keys that repeat are small as files and large in memory, so their size says nothing about a broadcast
+    fresh = named.join(done.hint("merge"), "content", "left_anti").groupBy("content").agg(F.first("chunk_text").alias("chunk_text"))
     run = uuid.uuid4().hex
     fresh.write.parquet(f"{path}/asked/run={run}")
     asked = spark.read.schema("content string, chunk_text string").parquet(f"{path}/asked/run={run}")
@@ -88,5 +89,5 @@ def produced_once(chunks: DataFrame, produce: Callable[[DataFrame], DataFrame],
         produce(asked).withColumn("run", F.lit(run)).write.mode("append").parquet(f"{path}/answers")
         asked.select("content", F.lit(run).alias("run")).write.mode("append").parquet(f"{path}/done")  # known as done only once its answers are there
     first = spark.read.schema("content string, run string").parquet(f"{path}/done").groupBy("content").agg(F.min("run").alias("run"))
-    answers = spark.read.schema(f"content string, {schema}, run string").parquet(f"{path}/answers").join(first, ["content", "run"], "left_semi").drop("run")
-    return named.select("doc_id", "chunk_id", "content").join(answers, "content").drop("content")
+    answers = spark.read.schema(f"content string, {schema}, run string").parquet(f"{path}/answers").join(first.hint("merge"), ["content", "run"], "left_semi").drop("run")
+    return named.select("doc_id", "chunk_id", "content").join(answers.hint("merge"), "content").drop("content")

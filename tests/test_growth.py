@@ -1,10 +1,13 @@
 """Work that must not grow faster than its input: values computed once, texts shuffled once, few files."""
 
+import glob
+
 import pytest
 from pyspark.sql import functions as F
 
 from factloom.functions import text as T
 from factloom.operators import chunks, score
+from factloom.sources import facts_io, versions
 
 
 def written(column) -> str:
@@ -32,3 +35,24 @@ def test_a_range_meets_one_part(spark):
     """Texts of ranges up to a part's length needn't be put together from pieces, which shuffled them."""
     docs = spark.createDataFrame([(1, [str(i) for i in range(1, 131)])], "doc_id int, lines array<string>")
     assert [(r.part, len(r.part_lines), r.part_lines[0]) for r in chunks.line_parts(docs).orderBy("part").collect()] == [(0, 128, "1"), (1, 66, "65"), (2, 2, "129")]
+
+
+def test_files_do_not_grow_with_chunks(spark):
+    """Rows of many keys in one write, of which some are written again."""
+    path = facts_io.scratch(spark, "chunks")
+    rows = spark.range(600).selectExpr("cast(id div 6 as int) as doc_id", "if(id % 6 = 5, null, cast(id % 6 as int)) as chunk_id", "id as fact_no").coalesce(2)
+    facts_io.sink_chunks(rows, path, "doc_id", "chunk_id")
+    assert len(glob.glob(f"{path}/data/**/*.parquet", recursive=True)) <= 2
+    assert sorted(facts_io.load_all_facts(spark, path).collect(), key=str) == sorted(rows.collect(), key=str)
+    facts_io.sink_chunks(rows.where("doc_id < 9 and chunk_id is null").withColumn("fact_no", F.col("fact_no") + 1000), path, "doc_id", "chunk_id")
+    got = {(r.doc_id, r.chunk_id): r.fact_no for r in facts_io.load_all_facts(spark, path).collect()}
+    assert len(got) == 600 and got[0, None] == 1005 and got[9, None] == 59 and got[0, 0] == 0
+    assert facts_io.load_all_facts(spark, path, 3).count() == 6
+
+
+def test_answers_are_not_broadcast(spark):
+    path = facts_io.scratch(spark, "store")
+    chunks_ = spark.range(50).selectExpr("cast(id as int) as doc_id", "0 as chunk_id", "concat('text ', id) as chunk_text")
+    found = versions.produced_once(chunks_, lambda asked: asked.select("content", F.upper("chunk_text").alias("claim")), "claim string", path)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.count() == 50
