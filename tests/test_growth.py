@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from factloom.functions import text as T
-from factloom.operators import chunks, score
+from factloom.operators import chunks, propose, score
 from factloom.sources import facts_io, versions
 
 
@@ -56,3 +56,9 @@ def test_answers_are_not_broadcast(spark):
     found = versions.produced_once(chunks_, lambda asked: asked.select("content", F.upper("chunk_text").alias("claim")), "claim string", path)
     assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
     assert found.count() == 50
+
+
+def test_a_quote_that_stands_there_is_not_aligned(monkeypatch):
+    monkeypatch.setattr(propose, "local_alignment", None)
+    assert propose.proposal("B c", ["a b", "c b", "C d"]) == ("b\nc", 1.0, 0, 1)
+    assert propose.proposal("c d", ["a c", " c  d"]) == ("c  d", 1.0, 1, 1)
