@@ -1,10 +1,12 @@
 """Work that must not grow faster than its input: values computed once, texts shuffled once, few files."""
 
 import glob
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from factloom.functions import patterns
 from factloom.functions import text as T
 from factloom.operators import chunks, propose, score
 from factloom.sources import facts_io, versions
@@ -62,3 +64,18 @@ def test_a_quote_that_stands_there_is_not_aligned(monkeypatch):
     monkeypatch.setattr(propose, "local_alignment", None)
     assert propose.proposal("B c", ["a b", "c b", "C d"]) == ("b\nc", 1.0, 0, 1)
     assert propose.proposal("c d", ["a c", " c  d"]) == ("c  d", 1.0, 1, 1)
+
+
+def test_rules_are_tried_only_where_they_can_match(spark):
+    """The same matches as without the words that rules need, also of letters that only fold into ASCII."""
+    words = "daily EVERY 30 dayſ weeKs wıthin 24 hours real-tİme upon request at least 3 times per year on a regular basis 90-day retention samples sampled 5 of 9 items inspected all".split(" ")
+    words += "١٢ percent 5% than more 7 above exceeds uptime of 99.5%x uſers over 1,200 100+ countries\n tested reviewed out of minimum sample months seconds no less".split(" ")
+    pick = random.Random(2)
+    texts = [pick.choice([" ", "\n"]).join(pick.choices(words, k=pick.randrange(0, 40))) for _ in range(400)] + [None, "", " ".join(words)]
+    rules = [r for family in patterns.QUANTITIES.values() for r in family]
+    plain = F.concat(*(F.regexp_extract_all("t", F.lit(patterns.FLAGS + r), F.lit(0)) for r in rules))
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(plain.alias("want"), patterns.hits(F.col("t"), rules).alias("got"), F.expr("t is null").alias("none"), patterns.quantities(F.col("t")).alias("q")).collect()
+    assert set(patterns.NEEDED) == set(rules)
+    for r in rows:
+        assert r.got == (r.want or []) == [q.value for q in r.q]
+    assert sum(len(r.got) for r in rows) > 500
