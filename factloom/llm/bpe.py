@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -20,6 +21,8 @@ from factloom.llm.common import U64, mix64
 
 #: Pre-tokens whose ids a worker holds, twice over at most; none longer than LONGEST_HELD characters.
 HELD, LONGEST_HELD = 120_000, 64
+#: Bytes of text that are encoded at once.
+PIECE = 1 << 20
 
 
 MASK = (1 << 64) - 1
@@ -198,15 +201,27 @@ class Tokenizer:
         return self.flat[np.arange(int(n.sum())) + np.repeat(self.start[ids] - shift, n)].tobytes()
 
 
+def _pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch's rows in pieces of about PIECE bytes of text, one row at least."""
+    size = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(size, dtype=np.int64)
+    first = 0
+    while first < len(ends):
+        before = ends[first] - size[first]
+        stop = max(first + 1, int(np.searchsorted(ends, before + PIECE, "right")))
+        yield batch.slice(first, stop - first)
+        first = stop
+
+
 def _encode(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = shared.value
-        for batch in batches:
-            coded = [tokenizer.encode(t.as_py() or "") for t in batch.column(1)]
+        for piece in (p for batch in batches for p in _pieces(batch)):  # ids of a whole batch would take several times its room
+            coded = [tokenizer.encode(t.as_py() or "") for t in piece.column(1)]
             offsets = np.concatenate([[0], np.cumsum([len(c) // 4 for c in coded])]).astype(np.int32)
             ids = pa.array(np.frombuffer(b"".join(coded), np.int32))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), ids)], names=["row", "ids"]
+                [piece.column(0), pa.ListArray.from_arrays(pa.array(offsets), ids)], names=["row", "ids"]
             )
 
     return run

@@ -2,12 +2,16 @@
 
 import glob
 import random
+from types import SimpleNamespace
 
+import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from factloom.functions import patterns
 from factloom.functions import text as T
+from factloom.llm import bpe
 from factloom.operators import chunks, propose, score
 from factloom.sources import facts_io, versions
 
@@ -79,3 +83,14 @@ def test_rules_are_tried_only_where_they_can_match(spark):
     for r in rows:
         assert r.got == (r.want or []) == [q.value for q in r.q]
     assert sum(len(r.got) for r in rows) > 500
+
+
+def test_ids_take_the_room_of_a_piece(spark, monkeypatch):
+    """Not that of a whole batch of texts, of which an executor holds one for each core."""
+    monkeypatch.setattr(bpe, "PIECE", 100)
+    texts = ["a b" * 20, None, "", "é" * 80, "x" * 500, "c", "d"] * 9
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["row", "text"])
+    shared = SimpleNamespace(value=bpe.Tokenizer({bytes([b]): b for b in range(256)}, public_tokenizers.PATTERN))
+    out = list(bpe._encode(shared)(iter([batch.slice(1), batch.slice(0, 0)])))
+    assert [(r["row"], bytes(r["ids"])) for b in out for r in b.to_pylist()] == [(i, (t or "").encode()) for i, t in enumerate(texts)][1:]
+    assert all(len(b) == 1 or sum(map(len, b.column(1).to_pylist())) <= 100 for b in out)
