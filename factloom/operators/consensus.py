@@ -158,27 +158,47 @@ def contradictions(facts: DataFrame, percent: int = 80) -> DataFrame:
     return found.where(F.col("low") < F.col("high"))
 
 
+#: Buckets of words that are counted for each document.
+BUCKETS = 512
+
+
 def _near_groups(sets: DataFrame, percent: int) -> DataFrame:
     """doc_id, claim, _group for rows of doc_id, claim and words (a sorted set): sets of a document that links reach.
 
     Sets are linked if 100 * |A and B| >= percent * |A or B|; only sets that share one of their rarest words can be, so
     only they are compared. Equal sets are one; empty ones are one group of a document.
+
+    How rare a word is goes by counts of buckets of words, one array of a fixed size for each document, so that words
+    aren't shuffled one by one. Words are compared by hashes where they meet; what passes is compared by words.
     """
     doc = F.coalesce(F.concat(F.lit("+"), F.col("doc_id").cast("string")), F.lit("-"))
-    key = F.sha2(F.concat_ws("\n", doc, F.array_join("words", " ")), 256)
+    key = F.substring(F.unhex(F.sha2(F.concat_ws("\n", doc, F.array_join("words", " ")), 256)), 1, 16)
     named = stored(sets.select("doc_id", "claim", doc.alias("doc"), key.alias("_node"), "words"), "claims")
-    distinct = named.select("doc", "_node", "words").distinct()
-    each = distinct.select("doc", "_node", F.size("words").alias("n"), F.explode("words").alias("word"))
-    common = each.groupBy("doc", "word").agg(F.count("*").alias("c"))
-    turn = F.row_number().over(Window.partitionBy("_node").orderBy("c", "word"))
-    rare = each.join(common, ["doc", "word"]).withColumn("turn", turn)
-    rare = stored(rare.where(f"c > 1 and turn <= n - ({percent} * n + 99) div 100 + 1").select("doc", "word", "_node", "n"), "rare")
-    other = rare.select("doc", "word", F.col("_node").alias("b"), F.col("n").alias("n_b"))
-    pairs = rare.join(other, ["doc", "word"]).where(f"_node < b and 100 * least(n, n_b) >= {percent} * greatest(n, n_b)")
-    pairs = pairs.select(F.col("_node").alias("a"), "b").distinct()
-    # words come back only for the candidates
-    held = lambda s: distinct.select(F.col("_node").alias(s), F.col("words").alias(f"words_{s}"))
+    hashes = F.transform("words", lambda w: F.xxhash64(w))
+    distinct = named.groupBy("_node").agg(F.first("doc").alias("doc"), F.first(hashes).alias("words"))
+    distinct = stored(distinct, "sets")
+    bucket = lambda h: F.pmod(h, F.lit(BUCKETS)).cast("int")
+    counts = distinct.select("doc", F.explode("words").alias("h")).groupBy("doc", bucket(F.col("h")).alias("at")).agg(F.count("*").alias("c"))
+    counts = counts.groupBy("doc").agg(F.map_from_entries(F.collect_list(F.struct("at", "c"))).alias("m"))  # at most BUCKETS
+    counts = counts.select("doc", F.transform(F.sequence(F.lit(0), F.lit(BUCKETS - 1)), lambda i: F.coalesce(F.col("m")[i], F.lit(0))).alias("counts"))
+    ranked = F.array_sort(F.transform("words", lambda h: F.struct(F.get("counts", bucket(h)).alias("c"), h.alias("h"))))
+    n = F.size("words")
+    first = F.slice("ranked", 1, F.greatest(F.lit(0), n - F.expr(f"({percent} * size(words) + 99) div 100").cast("int") + 1))
+    rows = distinct.join(counts, "doc").select("doc", "_node", "words", ranked.alias("ranked"))
+    rows = rows.select("doc", "_node", "words", n.alias("n"), F.posexplode(first).alias("at", "rare")).where("rare.c > 1")
+    rows = stored(rows.select("doc", F.col("rare.h").alias("word"), "_node", "n", "at", "words"), "rare")
+    other = rows.select("doc", "word", *(F.col(c).alias(f"{c}_b") for c in ("_node", "n", "at", "words")))
+    pairs = rows.join(other, ["doc", "word"]).where(f"_node < _node_b and 100 * least(n, n_b) >= {percent} * greatest(n, n_b)")
+    # at the first word that two sets share, what follows it bounds what they can share
+    pairs = pairs.where(f"(100 + {percent}) * (least(n - at, n_b - at_b)) >= {percent} * (n + n_b)")
+    met = F.size(F.array_intersect("words", "words_b"))
+    pairs = pairs.where((100 + percent) * met >= percent * (F.col("n") + F.col("n_b"))).select(F.col("_node").alias("a"), F.col("_node_b").alias("b")).distinct()
+    # words come back only for these
     shared = F.size(F.array_intersect("words_a", "words_b"))
+    pairs = stored(pairs, "pairs")
+    ends = pairs.select(F.col("a").alias("_node")).union(pairs.select("b")).distinct()
+    meant = stored(named.join(ends, "_node", "left_semi").groupBy("_node").agg(F.first("words").alias("words")), "words")
+    held = lambda s: meant.select(F.col("_node").alias(s), F.col("words").alias(f"words_{s}"))
     links = pairs.join(held("a"), "a").join(held("b"), "b").where(100 * shared >= percent * (F.size("words_a") + F.size("words_b") - shared))
     links = stored(links.select("a", "b"), "near")
     linked = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()

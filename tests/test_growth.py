@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from factloom.functions import patterns
 from factloom.functions import text as T
 from factloom.llm import bpe
-from factloom.operators import chunks, extract, propose, score
+from factloom.operators import chunks, consensus, extract, propose, score
 from factloom.plans import chains
 from factloom.sources import facts_io, versions
 
@@ -112,3 +112,26 @@ def test_passes_read_rows_once(spark):
     assert found._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
     want = {(0, "quantitative"), (0, "technical_specs"), (1, "cuec"), (1, "test_procedures"), (2, "quantitative")}
     assert {(r.line_no, r.pass_type) for r in found.collect()} == want == {(r.line_no, n) for n in names for r in chains.specialized_pass(rows, n).collect()}
+
+
+@pytest.mark.parametrize("buckets", [1, 512])
+def test_near_claims_without_a_shuffle_of_words(spark, monkeypatch, buckets):
+    """Groups equal those by all pairs, however words are counted; claims without words, unknown documents."""
+    monkeypatch.setattr(consensus, "BUCKETS", buckets)
+    pick = random.Random(5)
+    claims = {(d, " ".join(sorted(pick.sample("abcdefgh", pick.randrange(5, 9))))) for d in (1, 2, None) for _ in range(12)} | {(1, ""), (2, "zz")}
+    found = consensus._near_groups(spark.createDataFrame([(d, c, c.split()) for d, c in claims], "doc_id int, claim string, words array<string>"), 80)
+    got = {}
+    for r in found.collect():
+        got.setdefault(bytes(r["_group"]), set()).add((r.doc_id, r.claim))
+    near = lambda a, b: a[0] == b[0] and 100 * len({*a[1].split()} & {*b[1].split()}) >= 80 * len({*a[1].split()} | {*b[1].split()})
+    want, left = [], set(claims)
+    while left:
+        group, ahead = set(), [left.pop()]
+        while ahead:
+            group.add(x := ahead.pop())
+            ahead += (close := {y for y in left if near(x, y)})
+            left -= close
+        want.append(group)
+    assert sorted(got.values(), key=str) and {frozenset(g) for g in got.values()} == {frozenset(g) for g in want}
+    assert 2 < len(want) < len(claims)
